@@ -78,3 +78,10 @@ def untidy(tx: DataFrame) -> DataFrame:
         "nameDest": F.when(eid % 71 == 19, F.lit(None).cast("string")).otherwise(F.col("nameDest")),
     })
     return spoiled.unionByName(spoiled.filter(eid % 7 == 2))
+
+
+def transaction_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same transactions as a file stream. The bracket makes the path a
+    pattern, which a file source accepts for one file and for a folder alike."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return from_events(spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet"))
