@@ -53,20 +53,25 @@ def sigmoid(raw: Column) -> Column:
 
 
 def micros(df: DataFrame, name: str) -> Column:
-    """Microseconds since 1970 of a timestamp column; values without a zone are
-    taken as UTC whatever the zone of the session."""
+    """Microseconds since 1970 of a timestamp column."""
+    return F.unix_micros(_instant(df, name))
+
+
+def seconds(df: DataFrame, name: str) -> Column:
+    """Whole seconds since 1970."""
+    return F.unix_seconds(_instant(df, name))
+
+
+def _instant(df: DataFrame, name: str) -> Column:
+    """A timestamp column as an instant; values without a zone are taken as UTC
+    whatever the zone of the session."""
     column = F.col(name)
     if isinstance(df.schema[name].dataType, T.TimestampNTZType):
         zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
         if zone not in ("UTC", "Etc/UTC", "GMT"):
             column = F.convert_timezone(F.lit("UTC"), F.lit(zone), column)
         column = column.cast("timestamp")
-    return F.unix_micros(column)
-
-
-def seconds(df: DataFrame, name: str) -> Column:
-    """Whole seconds since 1970."""
-    return F.floor(micros(df, name) / F.lit(1000000)).cast("bigint")
+    return column
 
 
 def event_hour(name: str) -> Column:

@@ -18,7 +18,11 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from txrisk.constants import COUNTER_SECONDS, OTHER_COUNTER_SECONDS
 from txrisk.functions.columns import seconds
-from txrisk.operators.scans import HEAVY_ROWS, KeyedRows, Running, heavy_keys, part_by
+from txrisk.operators.scans import HEAVY_ROWS, Heavy, KeyedRows, Running, heavy_keys
+
+
+# Stands for a missing key where keys have to be compared.
+NO_KEY = "\0"
 
 
 def window_seconds(name: str) -> int:
@@ -93,28 +97,28 @@ def _walked(df: DataFrame, order: list[str], windows: dict[str, int], weight: st
 
 
 def anchored(df: DataFrame, key: str, time: str, row_id: str, windows: dict[str, int] | None = None,
-             inclusive: bool = True, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+             inclusive: bool = True, heavy_rows: int = HEAVY_ROWS, known: Heavy | None = None) -> DataFrame:
     """Add ``tx_count_<window>``: events of the open window up to the row
     (``inclusive``) or before it (0 if the row opens a new window).
 
     Ordinary keys: one shuffle by key, rows walked in order. Heavy keys: rows are
     first added up per key and second, which bounds the walk of a key by the time
     it covers; a row then adds its place within its second. Rows without a key
-    count as one customer.
+    count as one customer of their own.
     """
     windows = windows or COUNTER_SECONDS
     plus = 1 if inclusive else 0
     timed = df.withColumns({
-        "_key": F.coalesce(F.col(key).cast("string"), F.lit("")), "_sec": seconds(df, time),
+        "_key": F.coalesce(F.col(key).cast("string"), F.lit(NO_KEY)), "_sec": seconds(df, time),
     })
-    keys, _ = heavy_keys(timed, ["_key"], heavy_rows)
-    ordinary, heavy = part_by(timed, keys, ["_key"])
+    known = known or heavy_keys(df, [key], heavy_rows)
+    ordinary, heavy = known.part(timed)
     counted = _walked(ordinary, ["_sec", row_id], windows, None).select(
         *df.columns, *[(F.col(f"_before_{n}") + plus).alias(f"tx_count_{n}") for n in windows])
     if heavy is not None:
         cells = heavy.groupBy("_key", "_sec").agg(F.count(F.lit(1)).alias("_n"))
         opened = _walked(cells, ["_sec"], windows, "_n").drop("_n")
-        placed = KeyedRows.of(heavy, ["_key", "_sec"], [row_id], heavy_rows).running(
+        placed = KeyedRows.of(heavy, ["_key", "_sec"], [row_id], known.limit).running(
             Running("_place", "count", before=True)).rows()
         joined = placed.join(opened, ["_key", "_sec"])
         counted = counted.unionByName(joined.select(
@@ -124,7 +128,7 @@ def anchored(df: DataFrame, key: str, time: str, row_id: str, windows: dict[str,
 
 
 def sliding(df: DataFrame, key: str, time: str, row_id: str, windows: dict[str, int] | None = None,
-            heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+            heavy_rows: int = HEAVY_ROWS, known: Heavy | None = None) -> DataFrame:
     """Add ``tx_count_<window>``: events of the key in the last so many seconds,
     the current second included.
 
@@ -134,11 +138,11 @@ def sliding(df: DataFrame, key: str, time: str, row_id: str, windows: dict[str,
     """
     windows = windows or COUNTER_SECONDS
     timed = df.withColumn("_sec", seconds(df, time))
-    keys, _ = heavy_keys(timed, [key], heavy_rows)
-    ordinary, heavy = part_by(timed, keys, [key])
+    known = known or heavy_keys(df, [key], heavy_rows)
+    ordinary, heavy = known.part(timed)
 
-    def counts(weight):
-        by_time = Window.partitionBy(key).orderBy("_sec")
+    def counts(weight, key=key, second="_sec"):
+        by_time = Window.partitionBy(key).orderBy(second)
         upto = F.sum(weight).over(by_time.rangeBetween(Window.unboundedPreceding, 0))
         return {
             f"tx_count_{n}": upto - F.coalesce(
@@ -149,7 +153,8 @@ def sliding(df: DataFrame, key: str, time: str, row_id: str, windows: dict[str,
     result = ordinary.withColumns(counts(F.lit(1).cast("bigint")))
     if heavy is not None:
         # One row per key and second: bounded by the time the table covers.
-        cells = heavy.groupBy(key, "_sec").agg(F.count(F.lit(1)).alias("_n"))
-        result = result.unionByName(heavy.join(cells.withColumns(counts(F.col("_n"))).drop("_n"), [key, "_sec"]),
-                                    allowMissingColumns=True)
+        cells = heavy.groupBy(F.col(key).alias("_k"), F.col("_sec").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+        cells = cells.select("_k", "_s", *[c.alias(n) for n, c in counts(F.col("_n"), "_k", "_s").items()])
+        same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_sec") == F.col("_s"))
+        result = result.unionByName(heavy.join(cells, same).drop("_k", "_s"))
     return result.drop("_sec")

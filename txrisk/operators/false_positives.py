@@ -53,7 +53,7 @@ def legitimacy() -> Column:
 
 def _other_grounds() -> Column:
     """Grounds for clearing that do not depend on the confidence threshold."""
-    few = (F.col("_n_reasons") < FP_MIN_REASONS) & (F.col("legitimacy") > 0.6)
+    few = (F.col("n_reasons") < FP_MIN_REASONS) & (F.col("legitimacy") > 0.6)
     small = (F.col("amount") < FP_AMOUNT) & (F.col("weighted_score") < 0.6)
     payment = (F.col("type") == "PAYMENT") & (F.col("score") < 0.8)
     return holds(few) | holds(small) | holds(payment)
@@ -64,11 +64,13 @@ def _unsure(threshold: float) -> Column:
 
 
 def _prepared(df: DataFrame, reasons: str) -> DataFrame:
-    """Evidence and legitimacy columns. Rows of the rule scorer already carry the
-    evidence as plain sums; other rows get it from their array of reasons."""
-    columns = {"legitimacy": legitimacy(), "_n_reasons": F.coalesce(F.size(reasons), F.lit(0))}
+    """Evidence, number of reasons and legitimacy. Rows of the rule scorer carry
+    the first two already; other rows get them from their array of reasons."""
+    columns = {"legitimacy": legitimacy()}
     if "weighted_score" not in df.columns:
         columns["weighted_score"] = reason_weight(reasons)
+    if "n_reasons" not in df.columns:
+        columns["n_reasons"] = F.coalesce(F.size(reasons), F.lit(0))
     return df.withColumns(columns)
 
 
@@ -88,7 +90,7 @@ def fp_reduce(df: DataFrame, threshold: float = FP_CONFIDENCE, reasons: str = "r
         "fraud_probability": F.when(F.col("fp_reduced"), lowered).otherwise(F.col("score")),
         "risk_score": F.col("weighted_score"),
         "confidence": F.when(F.col("fp_reduced"), F.lit("low")).otherwise(F.col("confidence")),
-    }).drop("_n_reasons")
+    })
 
 
 def fp_stats(reduced: DataFrame, target: float = FP_TARGET) -> DataFrame:

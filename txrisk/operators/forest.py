@@ -24,6 +24,7 @@ from txrisk.session import scratch_path
 TREES = 100
 TREE_ROWS = 256
 CONTAMINATION = 0.01
+POOL_PARTS = 16
 # Nodes a forest may have: the bound of what scoring broadcasts (40 bytes each).
 MOST_NODES = 4_000_000
 # Rows that go through the trees together; their values stay in the cache.
@@ -120,8 +121,9 @@ def fit(df: DataFrame, key: str, features: list[str] = FEATURES, contamination:
     size = rows_per_tree(total, max_samples)
     if trees * (2 * size - 1) > MOST_NODES:
         raise ValueError(f"{trees} trees of {size} rows exceed the {MOST_NODES} nodes that scoring may broadcast")
-    pool_rows = min(total, max(trees * size, size))
-    pool = seeded_sample(numeric, "_id", pool_rows, seed, bracket_rows)
+    pool_rows = min(total, SAMPLE_ROWS)
+    # The pool is small; spread it, because every row meets every tree.
+    pool = seeded_sample(numeric, "_id", pool_rows, seed, bracket_rows).repartition(POOL_PARTS)
     # Each tree draws its rows from the pool: those with the smallest hash of
     # (seed, tree, row). The filter keeps few more than needed before the shuffle.
     drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("tree"), F.col("_id")), 11) / F.lit(float(2 ** 53))

@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from txrisk.constants import PROFILE_TTL_SECONDS
 from txrisk.functions.columns import cents, event_hour, first_of, flag, holds, micros, money
 from txrisk.operators import counters
-from txrisk.operators.scans import HEAVY_ROWS, KeyedRows, Running
+from txrisk.operators.scans import HEAVY_ROWS, Heavy, KeyedRows, Running, heavy_keys
 
 HIGH_VELOCITY = 10
 
 
 def profile(df: DataFrame, key: str = "nameOrig", time: str = "ts", row_id: str = "event_id",
-            include_current: bool = True, ttl: int = PROFILE_TTL_SECONDS, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+            include_current: bool = True, ttl: int = PROFILE_TTL_SECONDS, heavy_rows: int = HEAVY_ROWS,
+            known: Heavy | None = None) -> DataFrame:
     """Add total_amount, tx_count, avg_amount, max_amount, last_us of the customer.
 
     Every transaction renews the life of the profile; after ``ttl`` idle seconds
@@ -21,7 +22,7 @@ def profile(df: DataFrame, key: str = "nameOrig", time: str = "ts", row_id: str
     the row; it is empty (count 0, the rest NULL) for a new or expired customer.
     """
     timed = df.withColumns({"_us": micros(df, time), "_cents": cents(F.col("amount"))})
-    ordered = KeyedRows.of(timed, [key], ["_us", row_id], heavy_rows)
+    ordered = KeyedRows.of(timed, [key], ["_us", row_id], heavy_rows, known)
     ordered = ordered.running(Running("_prev_us", "last", "_us", before=True))
     idle = F.col("_us") - F.col("_prev_us") >= F.lit(ttl * 1000000)
     ordered = ordered.with_columns({"_restart": holds(idle)})
@@ -76,13 +77,14 @@ def realtime_features(df: DataFrame, key: str = "nameOrig", time: str = "ts", ro
     the row sees itself: no customer is new and the age is 0. ``False`` shows
     the state before the row.
     """
+    heavy = heavy_keys(df, [key], heavy_rows)
     if mode == "anchored":
-        counted = counters.anchored(df, key, time, row_id, inclusive=include_current, heavy_rows=heavy_rows)
+        counted = counters.anchored(df, key, time, row_id, inclusive=include_current, known=heavy)
     else:
-        counted = counters.sliding(df, key, time, row_id, heavy_rows=heavy_rows)
+        counted = counters.sliding(df, key, time, row_id, known=heavy)
         if not include_current:
             names = [f"tx_count_{n}" for n in counters.COUNTER_SECONDS]
             counted = counted.withColumns({n: F.col(n) - 1 for n in names})
-    profiled = profile(counted, key, time, row_id, include_current, heavy_rows=heavy_rows)
+    profiled = profile(counted, key, time, row_id, include_current, known=heavy)
     risk = F.lit(None).cast("double") if known_risk is None else F.col(known_risk)
     return risk_features(velocity_features(profiled.withColumn("known_risk", risk), time), time)

@@ -17,7 +17,7 @@ from txrisk.functions.columns import no_nan
 from txrisk.operators.scans import KeyedRows, Running
 
 # Distinct values that may be ranked by one task.
-BRACKET_ROWS = 1_000_000
+BRACKET_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -128,11 +128,8 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = SAMPLE_SEED,
     if total <= n:
         return df
     hashed = df.withColumn("_hash", sample_hash(key, seed))
-    (cut,) = kth_smallest(hashed, "_hash", [n - 1], bracket_rows, rows=total)
-    # Rows that share the last hash are told apart by the key: at most a few
-    # rows beyond n pass the filter, so the final limit sorts about n rows.
-    kept = hashed.filter(F.col("_hash") <= F.lit(cut))
-    return kept.orderBy("_hash", key).limit(n).drop("_hash")
+    cut = _cuts(hashed, "_hash", key, [n], total, bracket_rows)[n]
+    return hashed.filter(_not_after("_hash", key, cut)).drop("_hash")
 
 
 def split_sizes(n: int, test: float = 0.2, val: float = 0.1) -> tuple[int, int]:
@@ -150,28 +147,33 @@ def temporal_split(df: DataFrame, time: str = "step", key: str = "event_id", tes
     """
     total = df.count()
     ends = split_sizes(total, test, val)
-    cuts = _time_cuts(df, time, key, [end for end in ends if end > 0], total, bracket_rows)
+    cuts = _cuts(df, time, key, [end for end in ends if end > 0], total, bracket_rows)
     train_cut, val_cut = (cuts.get(end) for end in ends)
     part = F.when(_not_after(time, key, train_cut), "train").when(_not_after(time, key, val_cut), "val")
     return df.withColumn("part", part.otherwise("test"))
 
 
-def _time_cuts(df: DataFrame, time: str, key: str, ends: list[int], total: int, bracket_rows: int) -> dict:
-    """Time and key of the last row of each part, by the rows up to its end."""
+def _cuts(df: DataFrame, first: str, key: str, ends: list[int], total: int, bracket_rows: int) -> dict:
+    """For each number of rows: the values of the last of so many rows in the
+    order of (first, key)."""
     if not ends:
         return {}
-    steps = kth_smallest(df, time, [end - 1 for end in ends], bracket_rows, rows=total)
-    earlier = df.agg(*[F.count_if(F.col(time) < F.lit(step)).alias(f"c{i}") for i, step in enumerate(steps)]).first()
+    values = kth_smallest(df, first, [end - 1 for end in ends], bracket_rows, rows=total)
+    counts = df.agg(*[
+        F.struct(F.count_if(F.col(first) < F.lit(v)).alias("under"), F.count_if(F.col(first) == F.lit(v)).alias("same"))
+        .alias(f"c{i}") for i, v in enumerate(values)
+    ]).first()
     cuts = {}
-    for i, (end, step) in enumerate(zip(ends, steps)):
-        same = df.filter(F.col(time) == F.lit(step))
-        (last,) = kth_smallest(same, key, [end - 1 - earlier[f"c{i}"]], bracket_rows)
-        cuts[end] = (step, last)
+    for i, (end, value) in enumerate(zip(ends, values)):
+        same = df.filter(F.col(first) == F.lit(value))
+        rank = end - 1 - counts[f"c{i}"]["under"]
+        (last,) = kth_smallest(same, key, [rank], bracket_rows, rows=counts[f"c{i}"]["same"])
+        cuts[end] = (value, last)
     return cuts
 
 
-def _not_after(time: str, key: str, cut) -> Column:
+def _not_after(first: str, key: str, cut) -> Column:
     if cut is None:
         return F.lit(False)
-    step, last = cut
-    return (F.col(time) < F.lit(step)) | ((F.col(time) == F.lit(step)) & (F.col(key) <= F.lit(last)))
+    value, last = cut
+    return (F.col(first) < F.lit(value)) | ((F.col(first) == F.lit(value)) & (F.col(key) <= F.lit(last)))

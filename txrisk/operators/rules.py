@@ -98,16 +98,31 @@ def flagged_weight() -> Column:
 
 
 def reasons() -> Column:
-    """Array of the rules that hold, in rule order."""
+    """Array of the rules that hold, in rule order. Joined from arrays of one
+    entry or none, which stays in generated code."""
+    none = F.array().cast(REASONS_TYPE)
     entries = [
         F.when(
             F.col(rule.code),
-            F.struct(F.lit(rule.code).alias("code"), F.lit(rule.severity).alias("severity"),
-                     F.lit(rule.weight).alias("weight")),
-        )
+            F.array(F.struct(F.lit(rule.code).alias("code"), F.lit(rule.severity).alias("severity"),
+                             F.lit(rule.weight).alias("weight"))),
+        ).otherwise(none)
         for rule in RULES
     ]
-    return F.array_compact(F.array(*entries)).cast(REASONS_TYPE)
+    return F.concat(*entries)
+
+
+def flagged_count() -> Column:
+    total = F.lit(0)
+    for rule in RULES:
+        total = total + F.col(rule.code).cast("int")
+    return total
+
+
+def flagged_text() -> Column:
+    """Texts of the rules that hold in one line, or a word that there are none."""
+    joined = F.concat_ws(" | ", *[F.when(F.col(rule.code), F.lit(rule.text)) for rule in RULES])
+    return F.when(joined == "", NO_REASON).otherwise(joined)
 
 
 def confidence(score: Column) -> Column:
@@ -115,8 +130,13 @@ def confidence(score: Column) -> Column:
 
 
 def rule_score(df: DataFrame) -> DataFrame:
-    """Add raw_score, score, confidence, is_fraud, reasons and weighted_score."""
-    extra = {"raw_score": raw_score(), "reasons": reasons(), "weighted_score": flagged_weight()}
+    """Add raw_score, score, confidence, is_fraud, reasons, and what later steps
+    need of the reasons: weighted_score, n_reasons and fraud_reasons (text).
+    Columns that a caller does not use are never computed."""
+    extra = {
+        "raw_score": raw_score(), "reasons": reasons(), "weighted_score": flagged_weight(),
+        "n_reasons": flagged_count(), "fraud_reasons": flagged_text(),
+    }
     scored = rule_flags(df).withColumns(extra).drop(*[rule.code for rule in RULES])
     return scored.withColumn("score", sigmoid(F.col("raw_score"))).withColumns({
         "confidence": confidence(F.col("score")),
@@ -129,7 +149,7 @@ def reason_codes(column: str = "reasons") -> Column:
 
 
 def reason_text(column: str = "reasons") -> Column:
-    """Texts of the reasons in one line, or a word that there are none."""
+    """Text of an array of reasons that did not come from these rules' flags."""
     texts = F.create_map(*[F.lit(x) for rule in RULES for x in (rule.code, rule.text)])
     joined = F.array_join(F.transform(column, lambda r: texts[r["code"]]), " | ")
     return F.when(F.size(column) == 0, NO_REASON).otherwise(joined)

@@ -29,27 +29,37 @@ HEAVY_ROWS = 1_000_000
 MOST_HEAVY = 100_000
 
 
-def heavy_keys(df: DataFrame, key: list[str], heavy_rows: int = HEAVY_ROWS) -> tuple[DataFrame | None, int]:
-    """Keys with more than ``heavy_rows`` rows as a small local frame, and their rows."""
+@dataclass(frozen=True)
+class Heavy:
+    """Keys with many rows (a small local frame, None if there are none) and how
+    many rows they have together. Found once and shared by several operators."""
+
+    key: list[str]
+    keys: DataFrame | None
+    rows: int
+    limit: int
+
+    def part(self, df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Rows of ordinary keys, and rows of heavy keys."""
+        if self.keys is None:
+            return df, None
+        names = [f"_h{i}" for i in range(len(self.key))]
+        small = F.broadcast(self.keys.toDF(*names))  # at most MOST_HEAVY rows
+        same = F.lit(True)
+        for name, other in zip(self.key, names):
+            same = same & F.col(name).eqNullSafe(F.col(other))
+        return df.join(small, same, "left_anti"), df.join(small, same, "left_semi")
+
+
+def heavy_keys(df: DataFrame, key: list[str], heavy_rows: int = HEAVY_ROWS) -> Heavy:
+    """Count the rows of each key, in one partial aggregate over the key alone."""
     counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > heavy_rows)
     found = counts.orderBy(F.desc("_n")).limit(MOST_HEAVY)
     rows = found.collect()
     if not rows:
-        return None, 0
+        return Heavy(key, None, 0, heavy_rows)
     local = df.sparkSession.createDataFrame(rows, found.schema).drop("_n")
-    return local, sum(row["_n"] for row in rows)
-
-
-def part_by(df: DataFrame, keys: DataFrame | None, key: list[str]) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of other keys, and rows of the given (at most MOST_HEAVY) keys."""
-    if keys is None:
-        return df, None
-    names = [f"_h{i}" for i in range(len(key))]
-    small = F.broadcast(keys.toDF(*names))
-    same = F.lit(True)
-    for name, other in zip(key, names):
-        same = same & F.col(name).eqNullSafe(F.col(other))
-    return df.join(small, same, "left_anti"), df.join(small, same, "left_semi")
+    return Heavy(key, local, sum(row["_n"] for row in rows), heavy_rows)
 
 
 @dataclass(frozen=True)
@@ -89,11 +99,13 @@ class KeyedRows:
     heavy: DataFrame | None = field(default=None)
 
     @classmethod
-    def of(cls, df: DataFrame, key: list[str], order: list[str], heavy_rows: int = HEAVY_ROWS) -> KeyedRows:
-        keys, n = heavy_keys(df, key, heavy_rows)
-        ordinary, heavy = part_by(df, keys, key)
+    def of(cls, df: DataFrame, key: list[str], order: list[str], heavy_rows: int = HEAVY_ROWS,
+           known: Heavy | None = None) -> KeyedRows:
+        """``known`` saves counting the rows of each key again."""
+        known = known or heavy_keys(df, key, heavy_rows)
+        ordinary, heavy = known.part(df)
         if heavy is not None:
-            chunks = max(2, math.ceil(n / heavy_rows))
+            chunks = max(2, math.ceil(known.rows / known.limit))
             cut = heavy.repartitionByRange(chunks, *key, *order)
             heavy = reliable(cut.withColumn("_chunk", F.spark_partition_id()))
         return cls(key, order, ordinary, heavy)

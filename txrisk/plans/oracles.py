@@ -406,7 +406,7 @@ def build() -> dict[str, str]:
     q["rule_score"] = rules + """SELECT event_id, round(raw_score, 6) AS raw_score, round(score, 6) AS score,
       conf AS confidence, verdict AS is_fraud FROM scored"""
     q["rule_reasons"] = rules + f"""SELECT event_id, {CODES} AS codes,
-      CASE WHEN n_reasons = 0 THEN 'no suspicious pattern' ELSE {TEXTS} END AS text, n_reasons AS n FROM scored"""
+      CASE WHEN n_reasons = 0 THEN 'no suspicious pattern' ELSE {TEXTS} END AS text, n_reasons FROM scored"""
     q["report"] = q["stream_report"] = rules + reduced + f"SELECT {REPORT_LIST} FROM reduced"
     q["report_unreduced"] = rules + """SELECT event_id, step, type, amount, nameOrig, nameDest, verdict AS is_fraud,
       round(score, 6) AS fraud_probability, round(score, 6) AS risk_score, conf AS confidence, false AS fp_reduced

@@ -290,8 +290,7 @@ def rule_score(tx):
 @query
 def rule_reasons(tx):
     return rules.rule_score(tx).select(
-        "event_id", rules.reason_codes().alias("codes"), rules.reason_text().alias("text"),
-        F.size("reasons").alias("n"))
+        "event_id", rules.reason_codes().alias("codes"), rules.reason_text().alias("text"), "n_reasons")
 
 
 @query
@@ -333,7 +332,7 @@ def _model_scored(tx: DataFrame) -> DataFrame:
     would, so that each ground for clearing occurs."""
     score = F.lit(0.5) + (F.col("event_id") % 50) / F.lit(100.0)
     kept = F.slice("reasons", F.lit(1), (F.col("event_id") % 3 + 1).cast("int"))
-    return rules.rule_score(tx).withColumns({"score": score, "reasons": kept}).drop("weighted_score").withColumn(
+    return rules.rule_score(tx).withColumns({"score": score, "reasons": kept}).drop("weighted_score", "n_reasons").withColumn(
         "confidence", rules.confidence(F.col("score")))
 
 
@@ -501,13 +500,13 @@ COUNTS = [f"tx_count_{n}" for n in C.COUNTER_SECONDS]
 
 @query
 def counter_anchored(tx):
-    return counters.anchored(tx, "nameOrig", "ts", "event_id").select("event_id", *COUNTS)
+    return counters.anchored(tx.select("event_id", "nameOrig", "ts"), "nameOrig", "ts", "event_id").select("event_id", *COUNTS)
 
 
 @query
 def counter_anchored_dest(tx):
     """The same over receiving accounts, a few of which are busy."""
-    return counters.anchored(tx, "nameDest", "ts", "event_id").select("event_id", *COUNTS)
+    return counters.anchored(tx.select("event_id", "nameDest", "ts"), "nameDest", "ts", "event_id").select("event_id", *COUNTS)
 
 
 @query

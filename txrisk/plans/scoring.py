@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from txrisk.operators import boosted, ensemble, forest
 from txrisk.operators.false_positives import CLEARED_SUFFIX, fp_reduce
 from txrisk.operators.features import training_features
-from txrisk.operators.rules import fallback_rule, reason_text, risk_score, rule_score
+from txrisk.operators.rules import fallback_rule, risk_score, rule_score
 
 
 def detect(df: DataFrame) -> DataFrame:
@@ -22,11 +22,11 @@ def report(df: DataFrame, reduce: bool = True) -> DataFrame:
     """One report row per transaction."""
     if reduce:
         judged = detect(df)
-        text = F.concat(reason_text(), F.when(F.col("fp_reduced"), CLEARED_SUFFIX).otherwise(""))
+        text = F.concat("fraud_reasons", F.when(F.col("fp_reduced"), CLEARED_SUFFIX).otherwise(""))
     else:
         judged = rule_score(df).withColumns({
             "fraud_probability": F.col("score"), "risk_score": F.col("score"), "fp_reduced": F.lit(False)})
-        text = reason_text()
+        text = F.col("fraud_reasons")
     return judged.select(
         "event_id", "step", "type", "amount", "nameOrig", "nameDest", "is_fraud", "fraud_probability",
         "risk_score", text.alias("fraud_reasons"), "confidence", "fp_reduced")
@@ -39,7 +39,7 @@ def labelled_report(df: DataFrame) -> DataFrame:
         "event_id", "step", "type", "amount", "nameOrig", "nameDest", "is_fraud",
         F.col("score").alias("fraud_probability"), F.col("score").alias("risk_score"),
         F.lit("rule_based").alias("model_used"), F.col("isFraud").alias("actual_isFraud"),
-        reason_text().alias("fraud_reasons"), "confidence")
+        "fraud_reasons", "confidence")
 
 
 @dataclass(frozen=True)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -31,16 +33,19 @@ def prediction_entries(scored: DataFrame, row_id: str = "event_id", time: str =
 
 def log_run(spark: SparkSession, path: str, run_id: str, model: str, params: dict, metrics: dict,
             parent_id: str | None = None) -> None:
-    """Append one run; nested runs name their parent."""
+    """Append one run; nested runs name their parent. Every run gets a folder of
+    its own, because two jobs that append to one folder at the same time clear
+    away each other's unfinished files."""
     row = (
         run_id, parent_id, model, {k: json.dumps(v) for k, v in params.items()},
         {k: float(v) for k, v in metrics.items() if v is not None}, dt.datetime.now(dt.timezone.utc),
     )
-    spark.createDataFrame([row], RUN_SCHEMA).write.mode("append").parquet(path)
+    own = os.path.join(path, f"{run_id}-{uuid.uuid4().hex[:8]}")
+    spark.createDataFrame([row], RUN_SCHEMA).coalesce(1).write.parquet(own)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUN_SCHEMA).parquet(path)
+    return spark.read.schema(RUN_SCHEMA).option("recursiveFileLookup", True).parquet(path)
 
 
 def best_run(runs: DataFrame, metric: str = "f1_score") -> DataFrame:
