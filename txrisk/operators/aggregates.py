@@ -43,10 +43,10 @@ def range_label(amount: Column, edges: list[float] = AMOUNT_EDGES, labels: list[
 def amount_bins(df: DataFrame, verdict: str = "is_fraud") -> DataFrame:
     """Rows per amount range and verdict; a pair that does not occur counts 0."""
     return (
-        df.withColumn("amount_range", range_label(F.col("amount")))
-        .filter(F.col("amount_range").isNotNull() & F.col(verdict).isNotNull())
-        .groupBy("amount_range")
+        df.filter(F.col("amount") > AMOUNT_EDGES[0])
+        .groupBy(range_label(F.col("amount")).alias("amount_range"))
         .agg(F.count_if(~F.col(verdict)).alias("legit"), F.count_if(F.col(verdict)).alias("fraud"))
+        .filter(F.col("legit") + F.col("fraud") > 0)
     )
 
 

@@ -114,10 +114,11 @@ def threshold_sweep(df: DataFrame, thresholds: list[float] | None = None, target
     single row of counts is then turned into one row per threshold.
     """
     thresholds = thresholds or FP_THRESHOLDS
-    ready = _prepared(df, reasons).filter(F.col("score") > 0.5).withColumn("_other", _other_grounds())
+    ready = _prepared(df, reasons).withColumns({"_flagged": holds(F.col("score") > 0.5), "_other": _other_grounds()})
     counted = ready.agg(
-        F.count(F.lit(1)).alias("flagged"),
-        *[F.count_if(_unsure(t) | F.col("_other")).alias(f"_c{i}") for i, t in enumerate(thresholds)],
+        F.count_if(F.col("_flagged")).alias("flagged"),
+        *[F.count_if(F.col("_flagged") & (F.col("_other") | _unsure(t))).alias(f"_c{i}")
+          for i, t in enumerate(thresholds)],
     )
     per_threshold = F.array(*[
         F.struct(F.lit(t).alias("threshold"), F.col(f"_c{i}").alias("cleared")) for i, t in enumerate(thresholds)

@@ -17,7 +17,7 @@ from txrisk.operators import (
     rules, state,
 )
 from txrisk.plans import prepare as preparing, scoring, training
-from txrisk.session import scratch_path
+from txrisk.session import scratch_path, tuned
 from txrisk.sources import files, messages, tables
 from txrisk.sources.fixture import transaction_stream, transactions, untidy
 from txrisk.streaming import flows, run, velocity
@@ -35,13 +35,13 @@ AS_OF = 1705708800 * 1000000
 
 def query(make):
     """Register a function of the transaction table."""
-    QUERIES[make.__name__] = lambda spark, sf_dir: make(transactions(spark, sf_dir))
+    QUERIES[make.__name__] = lambda spark, sf_dir: make(transactions(tuned(spark), sf_dir))
     return make
 
 
 def folder_query(make):
     """Register a function of the session and the folder."""
-    QUERIES[make.__name__] = make
+    QUERIES[make.__name__] = lambda spark, sf_dir: make(tuned(spark), sf_dir)
     return make
 
 
@@ -229,7 +229,10 @@ def account_lookup(tx):
 
 @query
 def verdict_views(tx):
-    judged = scoring.detect(tx).select("event_id", "type", "is_fraud")
+    """Scored once and stored; each view then filters a plain column."""
+    path = scratch_path(tx.sparkSession, "report")
+    scoring.detect(tx).select("event_id", "type", "is_fraud").write.parquet(path)
+    judged = tx.sparkSession.read.parquet(path)
     views = {"fraud": judged.filter("is_fraud"), "legit": judged.filter(~F.col("is_fraud")), "all": judged}
     parts = [rows.orderBy("event_id").limit(C.VIEW_ROWS).withColumn("view", F.lit(name))
              for name, rows in views.items()]
@@ -753,7 +756,7 @@ def batch_score(tx):
 def stream_query(make):
     """Register a function of the transaction stream; it runs over what is there."""
     def run_it(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return make(transaction_stream(spark, sf_dir), scratch_path(spark, make.__name__))
+        return make(transaction_stream(tuned(spark), sf_dir), scratch_path(spark, make.__name__))
 
     QUERIES[make.__name__] = run_it
     return make
@@ -785,9 +788,10 @@ def stream_sessions(stream, path):
                        micros(made, "session_end").alias("end_us"), "tx_count", "total_amount", "max_amount")
 
 
-@stream_query
-def stream_velocity(stream, path):
-    velocity.use_rocksdb(stream.sparkSession)
+@folder_query
+def stream_velocity(spark, sf_dir):
+    """Small micro-batches: a task holds the rows of one customer and micro-batch."""
+    stream, path = transaction_stream(spark, sf_dir, 1 << 30), scratch_path(spark, "stream_velocity")
     made = run.run_available(velocity.velocity_stream(stream), path)
     return made.select("event_id", *COUNTS, "tx_count", money(F.col("total_cents")).alias("total_amount"),
                        money(F.col("max_cents")).alias("max_amount"), "last_us")

@@ -23,6 +23,23 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """Settings the operators rely on for speed or state; all can be set on a
+    running session.
+
+    * The Java compiler leaves methods above 8000 bytes of code interpreted, which
+      is about five times slower; beyond that Spark shall generate smaller ones.
+    * Streaming sessions are merged before the shuffle, so that a busy account is
+      a few rows there.
+    * Keyed streaming state lives in RocksDB.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 

@@ -3,6 +3,9 @@ functions themselves; the others add a watermark."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from txrisk.constants import PROFILE_TTL_SECONDS
@@ -45,8 +48,23 @@ def rates(judged: DataFrame, length: str = "5 minutes", seconds: float = 300.0,
 
 def without_repeats(transactions: DataFrame, columns: list[str], time: str = "ts",
                     lateness: str = LATENESS) -> DataFrame:
-    """Drop repetitions that arrive within the watermark of the first one."""
-    return timed(transactions, time, lateness).dropDuplicatesWithinWatermark(columns)
+    """Drop repetitions that arrive within the watermark of the first one.
+
+    Equal rows of one Arrow batch become one row before the shuffle, so very many
+    copies of a row do not all travel to the task that keeps its state.
+    """
+    combined = transactions.mapInArrow(_first_of_equal(columns), transactions.schema)
+    return timed(combined, time, lateness).dropDuplicatesWithinWatermark(columns)
+
+
+def _first_of_equal(columns: list[str]):
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbered = pa.table({c: batch.column(c) for c in columns} | {"_row": pa.array(range(batch.num_rows))})
+            first = numbered.group_by(columns, use_threads=False).aggregate([("_row", "min")])
+            yield batch.take(first["_row_min"].combine_chunks().sort())
+
+    return combine
 
 
 def sessions(transactions: DataFrame, key: str = "nameOrig", time: str = "ts", idle: int = PROFILE_TTL_SECONDS,

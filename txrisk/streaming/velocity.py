@@ -86,14 +86,9 @@ class CustomerState(StatefulProcessor):
 
 def velocity_stream(transactions: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Counters and profile after each transaction of a stream.
-    Needs the RocksDB state store (``use_rocksdb``)."""
+    Needs the RocksDB state store, which ``session.tuned`` sets."""
     rows = timed(transactions, "ts", lateness)
     narrow = rows.select("event_id", "nameOrig", "ts", micros(rows, "ts").alias("us"),
                          cents(F.col("amount")).cast("bigint").alias("cents"))
     return narrow.groupBy("nameOrig").transformWithStateInPandas(
         statefulProcessor=CustomerState(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
-
-
-def use_rocksdb(spark) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
