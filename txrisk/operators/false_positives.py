@@ -23,7 +23,7 @@ def reason_weight(column: str = "reasons") -> Column:
         return F.coalesce(reason["weight"], F.lit(MISSING_WEIGHT)) * factor.otherwise(F.lit(OTHER_SEVERITY_FACTOR))
 
     total = F.aggregate(column, F.lit(0.0), lambda sum_, reason: sum_ + part(reason))
-    return F.coalesce(F.least(total / F.lit(2.0), F.lit(1.0)), F.lit(0.0))
+    return F.least(F.coalesce(total, F.lit(0.0)) / F.lit(2.0), F.lit(1.0))
 
 
 def behaviour() -> dict[str, Column]:

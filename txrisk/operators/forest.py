@@ -180,6 +180,7 @@ def score_column(forest: Forest, spark: SparkSession) -> Column:
     @F.pandas_udf("double")
     def walk(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
+            columns = [columns] if isinstance(columns, pd.Series) else columns  # a single feature
             values = np.column_stack([c.to_numpy(dtype=np.float64) for c in columns])
             total = np.empty(len(values))
             for start in range(0, len(values), SCORE_ROWS):
