@@ -48,10 +48,6 @@ def money(cents_column: Column) -> Column:
     return cents_column.cast("double") / F.lit(100.0)
 
 
-def sigmoid(raw: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-10.0) * (raw - F.lit(0.5))))
-
-
 def micros(df: DataFrame, name: str) -> Column:
     """Microseconds since 1970 of a timestamp column."""
     return F.unix_micros(_instant(df, name))

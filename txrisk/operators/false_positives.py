@@ -26,41 +26,38 @@ def reason_weight(column: str = "reasons") -> Column:
     return F.least(F.coalesce(total, F.lit(0.0)) / F.lit(2.0), F.lit(1.0))
 
 
-def behaviour() -> dict[str, Column]:
-    """Signs of an ordinary transaction, each 1.0 or 0.0."""
-    amount, old, new = F.col("amount"), F.col("oldbalanceOrg"), F.col("newbalanceOrig")
+# Signs of an ordinary transaction, each 1.0 or 0.0.
+BEHAVIOUR = {
+    "small_amount": "amount < 500",
+    "is_payment": "type = 'PAYMENT'",
+    "proportional": "CASE WHEN oldbalanceOrg > 0 THEN newbalanceOrig / oldbalanceOrg BETWEEN 0.1D AND 0.9D END",
+    "regular_pattern": "try_divide(amount, oldbalanceOrg + 1) > 0.1D AND try_divide(amount, oldbalanceOrg + 1) < 0.9D",
+}
+LEGITIMACY_WEIGHTS = {"small_amount": 0.3, "is_payment": 0.25, "proportional": 0.25, "regular_pattern": 0.2}
+
+
+def _sign(name: str, value: float = 1.0) -> str:
+    return f"CASE WHEN {BEHAVIOUR[name]} THEN {value!r}D ELSE 0D END"
 
-    def sign(condition):
-        return F.when(condition, F.lit(1.0)).otherwise(F.lit(0.0))
 
-    kept = F.when(old > 0, new / old)
-    used = F.try_divide(amount, old + 1)
-    return {
-        "small_amount": sign(amount < 500),
-        "is_payment": sign(F.col("type") == "PAYMENT"),
-        "proportional": sign((kept >= 0.1) & (kept <= 0.9)),
-        "regular_pattern": sign((used > 0.1) & (used < 0.9)),
-    }
+def behaviour() -> dict[str, Column]:
+    return {name: F.expr(_sign(name)) for name in BEHAVIOUR}
 
 
 def legitimacy() -> Column:
-    signs = behaviour()
-    return (
-        signs["small_amount"] * 0.3 + signs["is_payment"] * 0.25
-        + signs["proportional"] * 0.25 + signs["regular_pattern"] * 0.2
-    )
+    return F.expr(" + ".join(_sign(name, weight) for name, weight in LEGITIMACY_WEIGHTS.items()))
 
 
 def _other_grounds() -> Column:
     """Grounds for clearing that do not depend on the confidence threshold."""
-    few = (F.col("n_reasons") < FP_MIN_REASONS) & (F.col("legitimacy") > 0.6)
-    small = (F.col("amount") < FP_AMOUNT) & (F.col("weighted_score") < 0.6)
-    payment = (F.col("type") == "PAYMENT") & (F.col("score") < 0.8)
-    return holds(few) | holds(small) | holds(payment)
+    return F.expr(f"""
+        coalesce(n_reasons < {FP_MIN_REASONS} AND legitimacy > 0.6D, false)
+        OR coalesce(amount < {FP_AMOUNT!r}D AND weighted_score < 0.6D, false)
+        OR coalesce(type = 'PAYMENT' AND score < 0.8D, false)""")
 
 
 def _unsure(threshold: float) -> Column:
-    return holds((F.col("score") < threshold) & (F.col("legitimacy") > 0.5))
+    return F.expr(f"coalesce(score < {threshold!r}D AND legitimacy > 0.5D, false)")
 
 
 def _prepared(df: DataFrame, reasons: str) -> DataFrame:
@@ -81,15 +78,13 @@ def fp_reduce(df: DataFrame, threshold: float = FP_CONFIDENCE, reasons: str = "r
     original_is_fraud, fp_reduced, is_fraud, fraud_probability, risk_score and
     the adjusted confidence. A verdict is only ever cleared, never set.
     """
-    flagged = holds(F.col("score") > 0.5)
-    ready = _prepared(df, reasons).withColumn("original_is_fraud", flagged)
+    ready = _prepared(df, reasons).withColumn("original_is_fraud", F.expr("coalesce(score > 0.5D, false)"))
     cleared = ready.withColumn("fp_reduced", F.col("original_is_fraud") & (_unsure(threshold) | _other_grounds()))
-    lowered = F.greatest(F.col("score") * F.lit(0.7), F.lit(0.3))
     return cleared.withColumns({
-        "is_fraud": F.col("original_is_fraud") & ~F.col("fp_reduced"),
-        "fraud_probability": F.when(F.col("fp_reduced"), lowered).otherwise(F.col("score")),
+        "is_fraud": F.expr("original_is_fraud AND NOT fp_reduced"),
+        "fraud_probability": F.expr("CASE WHEN fp_reduced THEN greatest(score * 0.7D, 0.3D) ELSE score END"),
         "risk_score": F.col("weighted_score"),
-        "confidence": F.when(F.col("fp_reduced"), F.lit("low")).otherwise(F.col("confidence")),
+        "confidence": F.expr("CASE WHEN fp_reduced THEN 'low' ELSE confidence END"),
     })
 
 

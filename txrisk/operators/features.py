@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from txrisk.constants import FEATURES, SERVING_FEATURES
-from txrisk.functions.columns import account_kind, flag, holds, type_code
+from txrisk.functions.columns import account_kind, holds, type_code
 from txrisk.operators.ranks import percentile
 
 LARGE_AMOUNT_SHARE = 0.95
@@ -32,30 +32,30 @@ def large_amount_threshold(df: DataFrame) -> float | None:
 def derive(df: DataFrame, large_amount: float | None) -> DataFrame:
     """Training features of encoded or raw transactions. The threshold is a
     number, so no pass over the table is hidden in the projection."""
-    amount, old_orig, new_orig = F.col("amount"), F.col("oldbalanceOrg"), F.col("newbalanceOrig")
-    old_dest, new_dest = F.col("oldbalanceDest"), F.col("newbalanceDest")
-    spent = old_orig - new_orig
-
-    def share(balance):
-        return F.when(balance > 0, amount / balance).otherwise(F.lit(0.0))
-
-    return df.withColumns({
-        "amount_log": F.log1p(amount),
-        "balance_diff_orig": spent,
-        "balance_diff_dest": new_dest - old_dest,
-        "amount_to_balance_orig": share(old_orig),
-        "amount_to_balance_dest": share(old_dest),
-        "is_zero_balance_orig": flag(new_orig == 0),
-        "is_zero_balance_dest": flag(new_dest == 0),
-        "is_large_amount": flag(amount > F.lit(large_amount).cast("double")),
-        "is_transfer": flag(F.col("type") == "TRANSFER"),
-        "is_cash_out": flag(F.col("type") == "CASH_OUT"),
-        "is_merchant_dest": flag(F.col("nameDest").startswith("M")),
-        "hour_of_day": F.pmod(F.col("step"), F.lit(24)),
-        "day_of_week": F.pmod(F.floor(F.col("step") / F.lit(24)), F.lit(7)).cast("int"),
-        "risk_amount": flag(amount > RISK_AMOUNT),
-        "risk_zero_balance": flag((spent == amount) & (new_dest == 0)),
-    })
+    threshold = "cast(NULL AS double)" if large_amount is None else f"{float(large_amount)!r}D"
+    derived = {
+        "amount_log": "log1p(amount)",
+        "balance_diff_orig": "oldbalanceOrg - newbalanceOrig",
+        "balance_diff_dest": "newbalanceDest - oldbalanceDest",
+        "amount_to_balance_orig": "CASE WHEN oldbalanceOrg > 0 THEN amount / oldbalanceOrg ELSE 0D END",
+        "amount_to_balance_dest": "CASE WHEN oldbalanceDest > 0 THEN amount / oldbalanceDest ELSE 0D END",
+        "is_zero_balance_orig": _flag("newbalanceOrig = 0"),
+        "is_zero_balance_dest": _flag("newbalanceDest = 0"),
+        "is_large_amount": _flag(f"amount > {threshold}"),
+        "is_transfer": _flag("type = 'TRANSFER'"),
+        "is_cash_out": _flag("type = 'CASH_OUT'"),
+        "is_merchant_dest": _flag("startswith(nameDest, 'M')"),
+        "hour_of_day": "pmod(step, 24)",
+        "day_of_week": "cast(pmod(floor(step / 24), 7) AS int)",
+        "risk_amount": _flag(f"amount > {RISK_AMOUNT!r}D"),
+        "risk_zero_balance": _flag("oldbalanceOrg - newbalanceOrig = amount AND newbalanceDest = 0"),
+    }
+    return df.withColumns({name: F.expr(sql) for name, sql in derived.items()})
+
+
+def _flag(condition: str) -> str:
+    """1 where the condition holds, 0 where it fails or is unknown."""
+    return f"CASE WHEN {condition} THEN 1 ELSE 0 END"
 
 
 def training_features(df: DataFrame, large_amount: float | None = None) -> DataFrame:
@@ -76,26 +76,28 @@ def select_features(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
 
 def serving_features(df: DataFrame) -> DataFrame:
     """Features of the online profile; its formulas differ from the training ones."""
-    amount, old_orig, old_dest = F.col("amount"), F.col("oldbalanceOrg"), F.col("oldbalanceDest")
     unknown = F.lit(0)
     merchant = account_kind(F.col("nameDest"), unknown)
-    return df.withColumns({
+    coded = {
         "type_encoded": type_code(F.col("type"), unknown),
         "nameOrig_type": account_kind(F.col("nameOrig"), unknown),
         "nameDest_type": merchant,
-        "amount_log": F.log1p(amount),
-        "amount_to_balance_orig": F.try_divide(amount, old_orig + 1),
-        "amount_to_balance_dest": F.try_divide(amount, old_dest + 1),
-        "balance_diff_orig": old_orig - F.col("newbalanceOrig"),
-        "balance_diff_dest": F.col("newbalanceDest") - old_dest,
-        "is_zero_balance_orig": flag(old_orig == 0),
-        "is_zero_balance_dest": flag(old_dest == 0),
-        "day_of_week": F.pmod(F.col("step"), F.lit(7)),
-        "hour_of_day": F.pmod(F.col("step"), F.lit(24)),
-        "is_cash_out": flag(F.col("type") == "CASH_OUT"),
-        "is_large_amount": flag(amount > SERVING_LARGE_AMOUNT),
         "is_merchant_dest": merchant,
-    })
+    }
+    derived = {
+        "amount_log": "log1p(amount)",
+        "amount_to_balance_orig": "try_divide(amount, oldbalanceOrg + 1)",
+        "amount_to_balance_dest": "try_divide(amount, oldbalanceDest + 1)",
+        "balance_diff_orig": "oldbalanceOrg - newbalanceOrig",
+        "balance_diff_dest": "newbalanceDest - oldbalanceDest",
+        "is_zero_balance_orig": _flag("oldbalanceOrg = 0"),
+        "is_zero_balance_dest": _flag("oldbalanceDest = 0"),
+        "day_of_week": "pmod(step, 7)",
+        "hour_of_day": "pmod(step, 24)",
+        "is_cash_out": _flag("type = 'CASH_OUT'"),
+        "is_large_amount": _flag(f"amount > {SERVING_LARGE_AMOUNT!r}D"),
+    }
+    return df.withColumns(coded | {name: F.expr(sql) for name, sql in derived.items()})
 
 
 def select_serving_features(df: DataFrame) -> DataFrame:

@@ -145,14 +145,39 @@ def temporal_split(df: DataFrame, time: str = "step", key: str = "event_id", tes
     step has to be found per cut. The rows themselves are neither sorted nor
     shuffled, whatever the share of a single step.
     """
-    total = df.count()
-    ends = split_sizes(total, test, val)
-    cuts = _cuts(df, time, key, [end for end in ends if end > 0], total, bracket_rows)
-    train_cut, val_cut = (cuts.get(end) for end in ends)
+    train_cut, val_cut = _step_cuts(df, time, key, test, val, bracket_rows)
     part = F.when(_not_after(time, key, train_cut), "train").when(_not_after(time, key, val_cut), "val")
     return df.withColumn("part", part.otherwise("test"))
 
 
+# Distinct times, and rows of the times at the cuts, that the driver may look at.
+MOST_STEPS = 50_000
+
+
+def _step_cuts(df: DataFrame, time: str, key: str, test: float, val: float, bracket_rows: int) -> list:
+    """Cuts of the split from the rows per time step; None for an empty part."""
+    per_step = df.groupBy(time).agg(F.count(F.lit(1)).alias("n")).limit(MOST_STEPS + 1).collect()
+    if len(per_step) > MOST_STEPS:  # times are not steps: look for the cuts among all rows
+        total = df.count()
+        ends = split_sizes(total, test, val)
+        found = _cuts(df, time, key, [end for end in ends if end > 0], total, bracket_rows)
+        return [found.get(end) for end in ends]
+    ends = split_sizes(sum(r["n"] for r in per_step), test, val)
+    steps, under = {}, 0
+    for r in sorted((r for r in per_step if r[time] is not None), key=lambda r: r[time]):
+        for end in ends:
+            if under < end <= under + r["n"]:
+                steps[end] = (r[time], end - 1 - under, r["n"])
+        under += r["n"]
+    return [None if end not in steps else (steps[end][0], _key_at(df, time, key, *steps[end], bracket_rows))
+            for end in ends]
+
+
+def _key_at(df: DataFrame, time: str, key: str, step, rank: int, rows: int, bracket_rows: int):
+    same = df.filter(F.col(time) == F.lit(step))
+    return kth_smallest(same, key, [rank], bracket_rows, rows=rows)[0]
+
+
 def _cuts(df: DataFrame, first: str, key: str, ends: list[int], total: int, bracket_rows: int) -> dict:
     """For each number of rows: the values of the last of so many rows in the
     order of (first, key)."""

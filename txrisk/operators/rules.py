@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from txrisk.constants import REASONS_TYPE, SEVERITY_FACTORS
-from txrisk.functions.columns import flag, holds, sigmoid
+from txrisk.functions.columns import holds
 
 NO_REASON = "no suspicious pattern"
 CUT = 0.5
@@ -19,114 +19,82 @@ class Rule:
     severity: str
     weight: float
     text: str
+    condition: str  # Spark SQL over the transaction columns and ``_ratio``
 
 
 # ---------------------------------------------------------------- fixed values
 # Rules in the order in which their weights are added; texts are our own.
 RULES = [
-    Rule("R1", "high", 0.8, "amount exceeds the balance"),
-    Rule("R2", "high", 0.7, "account almost emptied"),
-    Rule("R3a", "high", 0.6, "most of the balance moved"),
-    Rule("R3b", "medium", 0.4, "over half of the balance moved"),
-    Rule("R4a", "medium", 0.5, "amount above 10000"),
-    Rule("R4b", "low", 0.3, "amount above 5000"),
-    Rule("R5", "medium", 0.5, "transfer to a merchant"),
-    Rule("R6", "medium", 0.5, "balance reduced to zero"),
-    Rule("R7", "medium", 0.4, "large transfer leaving nothing"),
-    Rule("R8", "low", 0.3, "large cash withdrawal"),
-    Rule("R9a", "medium", 0.4, "suspicious round amount"),
-    Rule("R9b", "low", 0.3, "amount ending in a round pattern"),
+    Rule("R1", "high", 0.8, "amount exceeds the balance", "amount > oldbalanceOrg AND oldbalanceOrg > 0"),
+    Rule("R2", "high", 0.7, "account almost emptied",
+         "oldbalanceOrg > 0 AND newbalanceOrig < oldbalanceOrg * 0.05D AND type IN ('TRANSFER', 'CASH_OUT')"),
+    Rule("R3a", "high", 0.6, "most of the balance moved", "_ratio > 0.8D AND type IN ('TRANSFER', 'CASH_OUT')"),
+    Rule("R3b", "medium", 0.4, "over half of the balance moved",
+         "_ratio > 0.5D AND _ratio <= 0.8D AND type IN ('TRANSFER', 'CASH_OUT')"),
+    Rule("R4a", "medium", 0.5, "amount above 10000", "amount > 10000"),
+    Rule("R4b", "low", 0.3, "amount above 5000", "amount > 5000 AND amount <= 10000"),
+    Rule("R5", "medium", 0.5, "transfer to a merchant", "type = 'TRANSFER' AND startswith(nameDest, 'M')"),
+    Rule("R6", "medium", 0.5, "balance reduced to zero", "newbalanceOrig = 0 AND amount > 0 AND oldbalanceOrg > 0"),
+    Rule("R7", "medium", 0.4, "large transfer leaving nothing",
+         "type = 'TRANSFER' AND amount > 1000 AND newbalanceOrig = 0"),
+    Rule("R8", "low", 0.3, "large cash withdrawal", "type = 'CASH_OUT' AND _ratio > 0.5D"),
+    Rule("R9a", "medium", 0.4, "suspicious round amount", "amount IN (9999D, 10000D, 5000D)"),
+    Rule("R9b", "low", 0.3, "amount ending in a round pattern",
+         "amount > 1000 AND amount % 1 = 0 AND amount % 10000 IN (0D, 9999D, 5000D) "
+         "AND amount NOT IN (9999D, 10000D, 5000D)"),
 ]
-ROUND_AMOUNTS = [9999.0, 10000.0, 5000.0]
-ROUND_ENDINGS = [0.0, 9999.0, 5000.0]
 # ----------------------------------------------------------- end fixed values
 
+BALANCE_RATIO = "CASE WHEN oldbalanceOrg > 0 THEN amount / (oldbalanceOrg + 1) ELSE amount END"
 
-def balance_ratio() -> Column:
-    old = F.col("oldbalanceOrg")
-    return F.when(old > 0, F.col("amount") / (old + 1)).otherwise(F.col("amount"))
-
-
-def _conditions() -> dict[str, Column]:
-    amount, old, new = F.col("amount"), F.col("oldbalanceOrg"), F.col("newbalanceOrig")
-    ratio, kind = F.col("_ratio"), F.col("type")
-    moving = kind.isin("TRANSFER", "CASH_OUT")
-    whole = (amount > 1000) & (amount % 1 == 0)
-    return {
-        "R1": (amount > old) & (old > 0),
-        "R2": (old > 0) & (new < old * 0.05) & moving,
-        "R3a": (ratio > 0.8) & moving,
-        "R3b": (ratio > 0.5) & (ratio <= 0.8) & moving,
-        "R4a": amount > 10000,
-        "R4b": (amount > 5000) & (amount <= 10000),
-        "R5": (kind == "TRANSFER") & F.col("nameDest").startswith("M"),
-        "R6": (new == 0) & (amount > 0) & (old > 0),
-        "R7": (kind == "TRANSFER") & (amount > 1000) & (new == 0),
-        "R8": (kind == "CASH_OUT") & (ratio > 0.5),
-        "R9a": whole & amount.isin(ROUND_AMOUNTS),
-        "R9b": whole & ~amount.isin(ROUND_AMOUNTS) & (amount % 10000).isin(ROUND_ENDINGS),
-    }
+
+def _weighted(factor) -> str:
+    """Sum over the rules that hold, in rule order: sums of doubles depend on the
+    order, and many rows lie exactly on the cut."""
+    return " + ".join(f"CASE WHEN {rule.code} THEN {factor(rule)!r}D ELSE 0D END" for rule in RULES)
 
 
 def rule_flags(df: DataFrame) -> DataFrame:
     """Add one boolean column per rule, named after its code."""
-    conditions = _conditions()
-    return (
-        df.withColumn("_ratio", balance_ratio())
-        .withColumns({rule.code: holds(conditions[rule.code]) for rule in RULES})
-        .drop("_ratio")
-    )
+    flags = {rule.code: F.expr(f"coalesce({rule.condition}, false)") for rule in RULES}
+    return df.withColumn("_ratio", F.expr(BALANCE_RATIO)).withColumns(flags).drop("_ratio")
 
 
 def raw_score() -> Column:
-    """Weights of the rules that hold, added in rule order (sums of doubles
-    depend on the order, and many rows lie exactly on the cut)."""
-    total = F.lit(0.0)
-    for rule in RULES:
-        total = total + F.when(F.col(rule.code), F.lit(rule.weight)).otherwise(F.lit(0.0))
-    return total
+    """Weights of the rules that hold."""
+    return F.expr(_weighted(lambda rule: rule.weight))
 
 
 def flagged_weight() -> Column:
     """Severity-weighted evidence straight from the flags; equal to
     ``false_positives.reason_weight`` on the reasons of the same row."""
-    total = F.lit(0.0)
-    for rule in RULES:
-        part = rule.weight * SEVERITY_FACTORS[rule.severity]
-        total = total + F.when(F.col(rule.code), F.lit(part)).otherwise(F.lit(0.0))
-    return F.least(total / F.lit(2.0), F.lit(1.0))
+    return F.expr(f"least(({_weighted(lambda rule: rule.weight * SEVERITY_FACTORS[rule.severity])}) / 2D, 1D)")
 
 
 def reasons() -> Column:
     """Array of the rules that hold, in rule order. Joined from arrays of one
     entry or none, which stays in generated code."""
-    none = F.array().cast(REASONS_TYPE)
+    none = f"cast(array() AS {REASONS_TYPE})"
     entries = [
-        F.when(
-            F.col(rule.code),
-            F.array(F.struct(F.lit(rule.code).alias("code"), F.lit(rule.severity).alias("severity"),
-                             F.lit(rule.weight).alias("weight"))),
-        ).otherwise(none)
-        for rule in RULES
+        f"CASE WHEN {r.code} THEN array(named_struct('code', '{r.code}', 'severity', '{r.severity}', "
+        f"'weight', {r.weight!r}D)) ELSE {none} END"
+        for r in RULES
     ]
-    return F.concat(*entries)
+    return F.expr(f"concat({', '.join(entries)})")
 
 
 def flagged_count() -> Column:
-    total = F.lit(0)
-    for rule in RULES:
-        total = total + F.col(rule.code).cast("int")
-    return total
+    return F.expr(" + ".join(f"cast({rule.code} AS int)" for rule in RULES))
 
 
 def flagged_text() -> Column:
     """Texts of the rules that hold in one line, or a word that there are none."""
-    joined = F.concat_ws(" | ", *[F.when(F.col(rule.code), F.lit(rule.text)) for rule in RULES])
-    return F.when(joined == "", NO_REASON).otherwise(joined)
+    joined = ", ".join(f"CASE WHEN {rule.code} THEN '{rule.text}' END" for rule in RULES)
+    return F.expr(f"coalesce(nullif(concat_ws(' | ', {joined}), ''), '{NO_REASON}')")
 
 
-def confidence(score: Column) -> Column:
-    return F.when(score > 0.7, "high").when(score > 0.4, "medium").otherwise("low")
+def confidence(score: str) -> Column:
+    return F.expr(f"CASE WHEN {score} > 0.7D THEN 'high' WHEN {score} > 0.4D THEN 'medium' ELSE 'low' END")
 
 
 def rule_score(df: DataFrame) -> DataFrame:
@@ -138,9 +106,8 @@ def rule_score(df: DataFrame) -> DataFrame:
         "n_reasons": flagged_count(), "fraud_reasons": flagged_text(),
     }
     scored = rule_flags(df).withColumns(extra).drop(*[rule.code for rule in RULES])
-    return scored.withColumn("score", sigmoid(F.col("raw_score"))).withColumns({
-        "confidence": confidence(F.col("score")),
-        "is_fraud": F.col("score") > CUT,
+    return scored.withColumn("score", F.expr("1D / (1D + exp(-10D * (raw_score - 0.5D)))")).withColumns({
+        "confidence": confidence("score"), "is_fraud": F.expr(f"score > {CUT}D"),
     })
 
 
@@ -157,9 +124,10 @@ def reason_text(column: str = "reasons") -> Column:
 
 def fallback_rule() -> Column:
     """Verdict (0/1) used when no model is available."""
-    amount, old, new = F.col("amount"), F.col("oldbalanceOrg"), F.col("newbalanceOrig")
-    emptied = (old > 0) & (new == 0) & F.col("type").isin("TRANSFER", "CASH_OUT")
-    return flag(((amount > 1000000) & emptied) | (amount > 5000000))
+    return F.expr("""
+        CASE WHEN amount > 5000000 OR (amount > 1000000 AND oldbalanceOrg > 0 AND newbalanceOrig = 0
+                                       AND type IN ('TRANSFER', 'CASH_OUT'))
+        THEN 1 ELSE 0 END""")
 
 
 def risk_score(probability: Column, fast: Column, odd_hour: Column, customer_risk: Column) -> Column:

@@ -336,7 +336,7 @@ def _model_scored(tx: DataFrame) -> DataFrame:
     score = F.lit(0.5) + (F.col("event_id") % 50) / F.lit(100.0)
     kept = F.slice("reasons", F.lit(1), (F.col("event_id") % 3 + 1).cast("int"))
     return rules.rule_score(tx).withColumns({"score": score, "reasons": kept}).drop("weighted_score", "n_reasons").withColumn(
-        "confidence", rules.confidence(F.col("score")))
+        "confidence", rules.confidence("score"))
 
 
 @query
@@ -802,7 +802,7 @@ def stream_score(spark, sf_dir):
     """Published messages in, scored messages out."""
     path = scratch_path(spark, "stream_score")
     messages.publish_folder(transactions(spark, sf_dir), f"{path}/in")
-    out = flows.score_messages(messages.replay_folder(spark, f"{path}/in"))
+    out = flows.score_messages(messages.replay_folder(spark, f"{path}/in", 1000))
     return run.run_available(out, path).select(*messages.ENVELOPE_COLUMNS)
 
 
@@ -814,5 +814,5 @@ def stream_quarantine(spark, sf_dir):
     number = F.get_json_object("value", "$.event_id").cast("bigint")
     cut = F.when(number % 23 == 0, F.substring("value", 1, 30)).otherwise(F.col("value"))
     sent.select(cut.alias("value")).write.text(f"{path}/in")
-    decoded = messages.decode(messages.replay_folder(spark, f"{path}/in"))
+    decoded = messages.decode(messages.replay_folder(spark, f"{path}/in", 1000))
     return run.run_available(messages.quarantined(decoded), path).select(F.length(messages.CORRUPT).alias("length"))

@@ -6,7 +6,7 @@ Money is whole cents until the last step, so every engine gets the same doubles.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from txrisk.functions.columns import flag
 from txrisk.session import scratch_path
@@ -59,8 +59,8 @@ def from_events(events: DataFrame) -> DataFrame:
     )
 
 
-# Transaction tables already written: (application, folder of test data) -> path.
-_WRITTEN: dict[tuple[str, str], str] = {}
+# Transaction tables already written: (application, folder of test data) -> path, schema.
+_WRITTEN: dict[tuple[str, str], tuple[str, T.StructType]] = {}
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = (spark.sparkContext.applicationId, sf_dir)
     if where in _WRITTEN:
         try:
-            return spark.read.parquet(_WRITTEN[where])
+            path, schema = _WRITTEN[where]
+            return spark.read.schema(schema).parquet(path)
         except AnalysisException:
             pass  # the folder was cleared; write the table again
     derived = from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
@@ -81,8 +82,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         derived = derived.repartition(cores)  # a few small files: use all cores
     path = scratch_path(spark, "transactions")
     derived.write.parquet(path)
-    _WRITTEN[where] = path
-    return spark.read.parquet(path)
+    _WRITTEN[where] = path, derived.schema
+    return spark.read.schema(derived.schema).parquet(path)
 
 
 def untidy(tx: DataFrame) -> DataFrame:
