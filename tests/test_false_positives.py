@@ -81,3 +81,23 @@ def test_report_reduction(spark):
     assert (r["original"], r["remaining"], r["reduced"]) == (3, 2, 1)
     assert r["reduction_rate"] == pytest.approx(100 / 3)
     assert fp.report_reduction(df.filter(F.lit(False))).first()["reduction_rate"] == 0.0
+
+
+def test_any_detector_can_be_reduced(spark, tx):
+    from txrisk.plans import scoring
+
+    def by_amount(df):
+        return df.withColumns({
+            "score": F.when(F.col("amount") < 1000, 0.9).otherwise(0.1), "confidence": F.lit("high"),
+            "reasons": F.array().cast(REASONS_TYPE)})
+
+    judged = scoring.detect(tx, by_amount)
+    assert judged.filter("amount < 1000 and not fp_reduced").count() == 0
+    assert judged.filter("is_fraud").count() == 0
+
+
+def test_predictions_are_paired_by_key(tx):
+    scored = rule_score(tx).select("event_id", "score", "confidence", "reasons")
+    got = fp.fp_reduce(fp.paired(tx, scored.orderBy(F.desc("event_id")))).select("event_id", "is_fraud")
+    want = fp.fp_reduce(rule_score(tx)).select("event_id", "is_fraud")
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()

@@ -88,6 +88,12 @@ def fp_reduce(df: DataFrame, threshold: float = FP_CONFIDENCE, reasons: str = "r
     })
 
 
+def paired(rows: DataFrame, predictions: DataFrame, key: str = "event_id") -> DataFrame:
+    """Transactions with predictions that are kept apart (score, confidence,
+    reasons), matched by the unique key and never by position."""
+    return rows.join(predictions, key)
+
+
 def fp_stats(reduced: DataFrame, target: float = FP_TARGET) -> DataFrame:
     """One row: rows, verdicts before, verdicts cleared, rate, target, reached."""
     counts = reduced.agg(

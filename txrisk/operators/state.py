@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from txrisk.constants import ERASABLE_KINDS, TTL_SECONDS
 from txrisk.functions.columns import micros
@@ -51,15 +51,15 @@ def as_of_lookup(rows: DataFrame, key: str, time: str, row_id: str, state: DataF
     chunks by :class:`KeyedRows`. ``state`` needs key, payload, write_ts, ttl_s.
     """
     asked = rows.select("*", F.col(key).alias("_key"), micros(rows, time).alias("_us"), F.lit(1).alias("_kind"),
-                        F.col(row_id).alias("_tie"))
+                        _number(rows, row_id).alias("_tie"))
     us = micros(state, "write_ts")
     entry = F.struct(F.col("payload"), (us + F.col("ttl_s").cast("bigint") * 1000000).alias("until"))
+    # Of writes at one time the one with the larger ``seq`` is newer; without such
+    # a column any fixed order will do.
+    tie = _number(state, "seq") if "seq" in state.columns else F.xxhash64("payload", "ttl_s")
     # An entry written at the time of a row is seen by it: entries sort first.
-    written = state.select(F.col("key").alias("_key"), us.alias("_us"), F.lit(0).alias("_kind"),
-                           F.monotonically_increasing_id().alias("_tie"), entry.alias("_entry"))
-    if "seq" in state.columns:
-        written = state.select(F.col("key").alias("_key"), us.alias("_us"), F.lit(0).alias("_kind"),
-                               F.col("seq").cast("bigint").alias("_tie"), entry.alias("_entry"))
+    written = state.select(F.col("key").alias("_key"), us.alias("_us"), F.lit(0).alias("_kind"), tie.alias("_tie"),
+                           entry.alias("_entry"))
     stacked = asked.unionByName(written, allowMissingColumns=True)
     scanned = KeyedRows.of(stacked, ["_key"], ["_us", "_kind", "_tie"], heavy_rows).running(
         Running("_last", "last", "_entry"))
@@ -68,6 +68,12 @@ def as_of_lookup(rows: DataFrame, key: str, time: str, row_id: str, state: DataF
     return answered.select(*rows.columns, alive.alias(value))
 
 
+def _number(df: DataFrame, name: str) -> Column:
+    """An identifier as a number: itself, or a hash of other types."""
+    integral = isinstance(df.schema[name].dataType, T.IntegralType)
+    return F.col(name).cast("bigint") if integral else F.xxhash64(name)
+
+
 def bounded(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """Marked for broadcast only if it is counted to hold at most ``rows`` rows;
     beyond that the join shuffles, and AQE splits its skewed partitions."""
@@ -79,9 +85,10 @@ def erase(state: DataFrame, customers: DataFrame, key: str = "key") -> DataFrame
     Counter keys carry the window after a colon."""
     owner = F.when(F.col("kind") == "count", F.substring_index(key, ":", 1)).otherwise(F.col(key))
     erasable = F.col("kind").isin(ERASABLE_KINDS)
-    marked = state.withColumn("_owner", F.when(erasable, owner))
     gone = bounded(customers.select(F.col("customer").alias("_owner")).distinct())
-    return marked.join(gone, "_owner", "left_anti").drop("_owner")
+    # Entries that stay in any case are not joined: they would all meet as one key.
+    kept = state.filter(erasable).withColumn("_owner", owner).join(gone, "_owner", "left_anti").drop("_owner")
+    return state.filter(~erasable).unionByName(kept)
 
 
 def clear(state: DataFrame) -> DataFrame:

@@ -424,7 +424,7 @@ def build() -> dict[str, str]:
     q["behaviour"] = f""", signs AS (SELECT *, {SIGNS} FROM tx) SELECT event_id, small_amount, is_payment, proportional,
       regular_pattern, round({LEGIT}, 6) AS legitimacy FROM signs"""
     q["fp_reduce"] = rules + reduced + f"SELECT {FP_LIST} FROM reduced"
-    q["fp_model_scores"] = model + f"SELECT {FP_LIST} FROM reduced"
+    q["fp_model_scores"] = q["fp_paired"] = model + f"SELECT {FP_LIST} FROM reduced"
     q["fp_stats"] = model + f""", c AS (SELECT count(*) AS total_predictions,
       {COUNT_IF.format('original_is_fraud')} AS original_fraud_count,
       {COUNT_IF.format('original_is_fraud AND NOT is_fraud')} AS reduced_fraud_count FROM reduced),
@@ -528,6 +528,10 @@ def build() -> dict[str, str]:
       'rule_based' AS model_used, """ + clamped_risk("0.5e0", "tx_count_hour > 10", ODD_HOUR, "known") + \
         " AS risk_score FROM profiled"
 
+    q["prediction_records"] = behind + f"""SELECT event_id, {FALLBACK} = 1 AS is_fraud, 0.5e0 AS fraud_probability,
+      'rule_based' AS model_used, 12 AS n_features, CAST(tx_count_day AS DOUBLE) AS tx_count_day, {RATIO_TO_AVG},
+      coalesce(known, 0e0) AS customer_risk_score FROM profiled"""
+
     # sessions closed before the watermark, ten minutes behind the last event
     q["stream_sessions"] = """, gaps AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY nameOrig ORDER BY us) >= 86400000000
         THEN 1 ELSE 0 END AS opens FROM tx),

@@ -365,6 +365,15 @@ def fp_model_scores(tx):
     return rounded(fp.fp_reduce(_model_scored(tx)).select(*FP_COLUMNS), "fraud_probability", "risk_score")
 
 
+@query
+def fp_paired(tx):
+    """Predictions kept apart from their transactions."""
+    spark, path = tx.sparkSession, scratch_path(tx.sparkSession, "predictions")
+    _model_scored(tx).select("event_id", "score", "confidence", "reasons").write.parquet(path)
+    both = fp.paired(tx, spark.read.parquet(path))
+    return rounded(fp.fp_reduce(both).select(*FP_COLUMNS), "fraud_probability", "risk_score")
+
+
 @query
 def fp_stats(tx):
     return fp.fp_stats(fp.fp_reduce(_model_scored(tx)))
@@ -743,6 +752,15 @@ def score_dispatch(tx):
     return rounded(judged.select("event_id", "is_fraud", "fraud_probability", "risk_score", "model_used"), "risk_score")
 
 
+@query
+def prediction_records(tx):
+    state_rows = profile.realtime_features(_known_risk(tx), mode="sliding", known_risk="known")
+    made = scoring.records(scoring.dispatch(state_rows))
+    of = F.col("features")
+    return made.select("event_id", "is_fraud", "fraud_probability", "model_used", F.size("features").alias("n_features"),
+                       *[of[n].alias(n) for n in ("tx_count_day", "amount_ratio_to_avg", "customer_risk_score")])
+
+
 @query
 def batch_score(tx):
     """All models over the whole table."""

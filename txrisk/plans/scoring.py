@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -13,9 +14,20 @@ from txrisk.operators.features import training_features
 from txrisk.operators.rules import fallback_rule, risk_score, rule_score
 
 
-def detect(df: DataFrame) -> DataFrame:
-    """Rules followed by suppression of false alarms, as one projection."""
-    return fp_reduce(rule_score(df))
+Detector = Callable[[DataFrame], DataFrame]
+
+# Real-time features that a prediction record carries, when the rows have them.
+RECORD_FEATURES = [
+    "tx_count_minute", "tx_count_hour", "tx_count_day", "tx_velocity_hour", "amount_ratio_to_avg", "is_high_velocity",
+    "is_unusual_time", "customer_risk_score", "is_new_customer", "is_high_amount_customer", "customer_age_hours",
+    "avg_amount_deviation",
+]
+
+
+def detect(df: DataFrame, detector: Detector = rule_score) -> DataFrame:
+    """A detector followed by suppression of false alarms. The detector adds
+    score, confidence and reasons; with the rules all is one projection."""
+    return df.transform(detector).transform(fp_reduce)
 
 
 def report(df: DataFrame, reduce: bool = True) -> DataFrame:
@@ -101,3 +113,13 @@ def dispatch(df: DataFrame, models: Models = Models(), batch_range: bool = False
     if "is_high_velocity" in columns:
         score = risk_score(score, F.col("is_high_velocity"), F.col("is_unusual_time"), F.col("customer_risk_score"))
     return judged.withColumn("risk_score", score)
+
+
+def records(judged: DataFrame, row_id: str = "event_id", time: str = "ts") -> DataFrame:
+    """Prediction records: verdict, probability, risk, model, the real-time
+    features as a map (NULL if the rows have none) and the time."""
+    present = [name for name in RECORD_FEATURES if name in judged.columns]
+    pairs = [x for name in present for x in (F.lit(name), F.col(name).cast("double"))]
+    features = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,double>")
+    return judged.select(row_id, "is_fraud", "fraud_probability", "risk_score", "model_used",
+                         features.alias("features"), F.col(time).alias("timestamp"))
