@@ -50,15 +50,15 @@ def money(cents_column: Column) -> Column:
 
 def micros(df: DataFrame, name: str) -> Column:
     """Microseconds since 1970 of a timestamp column."""
-    return F.unix_micros(_instant(df, name))
+    return F.unix_micros(instant(df, name))
 
 
 def seconds(df: DataFrame, name: str) -> Column:
     """Whole seconds since 1970."""
-    return F.unix_seconds(_instant(df, name))
+    return F.unix_seconds(instant(df, name))
 
 
-def _instant(df: DataFrame, name: str) -> Column:
+def instant(df: DataFrame, name: str) -> Column:
     """A timestamp column as an instant; values without a zone are taken as UTC
     whatever the zone of the session."""
     column = F.col(name)

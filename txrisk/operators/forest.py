@@ -121,16 +121,21 @@ def fit(df: DataFrame, key: str, features: list[str] = FEATURES, contamination:
     size = rows_per_tree(total, max_samples)
     if trees * (2 * size - 1) > MOST_NODES:
         raise ValueError(f"{trees} trees of {size} rows exceed the {MOST_NODES} nodes that scoring may broadcast")
-    pool_rows = min(total, SAMPLE_ROWS)
+    pool_rows = min(total, max(size, min(SAMPLE_ROWS, trees * size)))
     # The pool is small; spread it, because every row meets every tree.
     pool = seeded_sample(numeric, "_id", pool_rows, seed, bracket_rows).repartition(POOL_PARTS)
-    # Each tree draws its rows from the pool: those with the smallest hash of
-    # (seed, tree, row). The filter keeps few more than needed before the shuffle.
-    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("tree"), F.col("_id")), 11) / F.lit(float(2 ** 53))
+
+    def drawn(tree: Column) -> Column:
+        bits = F.xxhash64(F.lit(seed), tree, F.col("_id"))
+        return F.shiftrightunsigned(bits, 11) / F.lit(float(2 ** 53))
+
+    # Each tree draws from the pool the rows with the smallest hash of (seed, tree,
+    # row). A row is copied only for trees that may draw it: few more than needed.
     margin = (size + 6.0 * math.sqrt(size) + 10.0) / pool_rows
+    numbers = F.sequence(F.lit(0), F.lit(trees - 1))
     candidates = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("_u", drawn).filter(F.col("_u") < margin)
+        pool.withColumn("tree", F.explode(F.filter(numbers, lambda tree: drawn(tree) < margin)))
+        .withColumn("_u", drawn(F.col("tree")))
     )
     width = max(1, int(max_features * len(features)))
 

@@ -22,13 +22,14 @@ SKETCH_ACCURACY = 10_000
 
 
 def kth_smallest(df: DataFrame, column: str, ranks: list[int], bracket_rows: int = BRACKET_ROWS,
-                 rows: int | None = None) -> list:
+                 rows: int | None = None, near: tuple | None = None) -> list:
     """Exact values at the given 0-based ranks of the non-null values.
 
     The values are narrowed to a bracket around each rank until at most
     ``bracket_rows`` rows are left in it or one value fills it. Values are
     grouped with a count before they are ranked, so a value that many rows
-    share is one row.
+    share is one row. ``near`` is a first guess of a bracket, for values whose
+    distribution is known; a wrong guess costs one pass.
     """
     values = df.select(F.col(column).alias("v")).filter(F.col("v").isNotNull())
     total = values.count() if rows is None else rows
@@ -38,25 +39,31 @@ def kth_smallest(df: DataFrame, column: str, ranks: list[int], bracket_rows: int
     if total <= bracket_rows:
         found = _at_ranks(values, wanted, 0, True)
     else:
-        found = {rank: _narrowed(values, rank, total, bracket_rows) for rank in wanted}
+        found = {rank: _narrowed(values, rank, total, bracket_rows, near) for rank in wanted}
     return [found[rank] for rank in ranks]
 
 
-def _narrowed(values: DataFrame, rank: int, total: int, bracket_rows: int):
+def _narrowed(values: DataFrame, rank: int, total: int, bracket_rows: int, near: tuple | None):
     below, inside, low, high = 0, total, None, None
     margin = 2.0 / SKETCH_ACCURACY
     while inside > bracket_rows:
-        share = (rank - below + 0.5) / inside
         current = _between(values, low, high)
-        new_low, new_high = current.agg(
-            F.percentile_approx("v", [max(0.0, share - margin), min(1.0, share + margin)], SKETCH_ACCURACY).alias("q")
-        ).first()["q"]
+        if near is not None:
+            (new_low, new_high), near = near, None
+            guessed = True
+        else:
+            share = (rank - below + 0.5) / inside
+            around = [max(0.0, share - margin), min(1.0, share + margin)]
+            new_low, new_high = current.agg(F.percentile_approx("v", around, SKETCH_ACCURACY).alias("q")).first()["q"]
+            guessed = False
         counts = current.agg(
-            F.count_if(F.col("v") < new_low).alias("under"),
+            F.count_if(F.col("v") < F.lit(new_low)).alias("under"),
             F.count_if(F.col("v").between(new_low, new_high)).alias("within"),
         ).first()
         start = below + counts["under"]
         if not start <= rank < start + counts["within"]:
+            if guessed:
+                continue
             if margin >= 1.0:
                 break
             margin *= 10  # the sketch rounds very large integers; look further around
@@ -114,10 +121,13 @@ def head_by(df: DataFrame, key: str, n: int, bracket_rows: int = BRACKET_ROWS) -
     return df.filter(F.col(key) <= F.lit(cut))
 
 
+HASH_BITS = 52  # exact in a double, which the quantile sketch works with
+
+
 def sample_hash(key: str, seed: int = SAMPLE_SEED) -> Column:
-    """60 uniform bits from the seed and the key, equal in every engine."""
+    """Uniform bits from the seed and the key, equal in every engine."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = SAMPLE_SEED,
@@ -128,7 +138,11 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = SAMPLE_SEED,
     if total <= n:
         return df
     hashed = df.withColumn("_hash", sample_hash(key, seed))
-    cut = _cuts(hashed, "_hash", key, [n], total, bracket_rows)[n]
+    # The n-th smallest of uniform hashes lies within a few deviations of n / total.
+    deviations = 8.0 * math.sqrt(n) + 10.0
+    near = tuple(
+        max(0, min(1 << HASH_BITS, int((n + side * deviations) / total * (1 << HASH_BITS)))) for side in (-1, 1))
+    cut = _cuts(hashed, "_hash", key, [n], total, bracket_rows, near)[n]
     return hashed.filter(_not_after("_hash", key, cut)).drop("_hash")
 
 
@@ -178,12 +192,13 @@ def _key_at(df: DataFrame, time: str, key: str, step, rank: int, rows: int, brac
     return kth_smallest(same, key, [rank], bracket_rows, rows=rows)[0]
 
 
-def _cuts(df: DataFrame, first: str, key: str, ends: list[int], total: int, bracket_rows: int) -> dict:
+def _cuts(df: DataFrame, first: str, key: str, ends: list[int], total: int, bracket_rows: int,
+          near: tuple | None = None) -> dict:
     """For each number of rows: the values of the last of so many rows in the
     order of (first, key)."""
     if not ends:
         return {}
-    values = kth_smallest(df, first, [end - 1 for end in ends], bracket_rows, rows=total)
+    values = kth_smallest(df, first, [end - 1 for end in ends], bracket_rows, rows=total, near=near)
     counts = df.agg(*[
         F.struct(F.count_if(F.col(first) < F.lit(v)).alias("under"), F.count_if(F.col(first) == F.lit(v)).alias("same"))
         .alias(f"c{i}") for i, v in enumerate(values)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from txrisk.constants import PROFILE_TTL_SECONDS
-from txrisk.functions.columns import cents, money
+from txrisk.functions.columns import cents, instant, money
 from txrisk.operators.aggregates import rate_per_window
 from txrisk.plans.scoring import Models, dispatch, report
 from txrisk.sources.messages import decode, envelope, readable
@@ -19,7 +19,7 @@ LATENESS = "10 minutes"
 
 def timed(stream: DataFrame, time: str = "ts", lateness: str = LATENESS) -> DataFrame:
     """Event time as an instant, with a watermark."""
-    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
+    return stream.withColumn(time, instant(stream, time)).withWatermark(time, lateness)
 
 
 def score_messages(messages: DataFrame, models: Models = Models(), large_amount: float | None = None) -> DataFrame:

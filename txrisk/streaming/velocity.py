@@ -25,6 +25,11 @@ OUTPUT = (
 )
 
 
+def end_of_life(last_us: int) -> int:
+    """When the state of a customer ends, in milliseconds."""
+    return int(last_us) // 1000 + PROFILE_TTL_SECONDS * 1000
+
+
 class CustomerState(StatefulProcessor):
     """Per customer: the open window of each counter and the running profile.
 
@@ -38,15 +43,16 @@ class CustomerState(StatefulProcessor):
         self._state = handle.getValueState("customer", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable")
-        us = batch["us"].to_numpy(dtype=np.int64)
-        amount = batch["cents"].to_numpy(dtype=np.int64)
+        frames = list(rows)
+        us, ids, amount = (np.concatenate([f[c].to_numpy() for f in frames]) for c in ("us", "event_id", "cents"))
+        order = np.lexsort((ids, us))
+        us, ids, amount = us[order], ids[order], amount[order]
         second, n = us // 1_000_000, len(us)
-        old = self._state.get() if self._state.exists() else None
+        old = self._state.get()
         known = old is not None
         new_key = np.zeros(n, dtype=bool)
         new_key[0] = not known
-        out = {"event_id": batch["event_id"].to_numpy(), "nameOrig": key[0]}
+        out = {"event_id": ids, "nameOrig": key[0]}
         state = []
         for i, name in enumerate(WINDOWS):
             carried = (old[2 * i], old[2 * i + 1]) if known else None
@@ -70,14 +76,17 @@ class CustomerState(StatefulProcessor):
         out |= {"tx_count": counts, "total_cents": totals, "max_cents": maxima, "last_us": us}
         last_us = int(us[-1]) if last is None else max(int(us[-1]), int(last))
         self._state.update((*state, int(total), int(count), int(largest), last_us))
-        self._handle.registerTimer(last_us // 1000 + PROFILE_TTL_SECONDS * 1000)
+        if not known:  # one timer per customer; it is moved on when it fires too early
+            self._handle.registerTimer(end_of_life(last_us))
         yield pd.DataFrame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self._state.exists():
-            last_us = self._state.get()[-1]
-            if last_us // 1000 + PROFILE_TTL_SECONDS * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+        old = self._state.get()
+        if old is not None:
+            if end_of_life(old[-1]) <= expiredTimerInfo.getExpiryTimeInMs():
                 self._state.clear()
+            else:
+                self._handle.registerTimer(end_of_life(old[-1]))
         return iter(())
 
     def close(self) -> None:
