@@ -92,9 +92,12 @@ def test_constant_and_tiny_tables(spark):
     assert scored.filter(forest.is_outlier(model)).count() == 0
 
 
-def test_forest_size_is_checked(planted):
-    with pytest.raises(ValueError):
-        forest.fit(planted, "id", ["a", "b"], trees=10**6)
+def test_large_forests_are_walked_in_blocks(planted, fitted, monkeypatch):
+    whole = forest.scored(planted, fitted, "whole")
+    monkeypatch.setattr(forest, "MOST_NODES", 1000)
+    assert len(forest._blocks(fitted, planted.sparkSession)) > 3
+    both = forest.scored(whole, fitted)
+    assert both.filter("abs(forest_score - whole) > 1e-12").count() == 0 and both.count() == 1010
 
 
 @pytest.mark.parametrize("scores", [[-0.5], [-0.4, -0.4, -0.4]])

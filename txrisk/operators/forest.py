@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from txrisk.constants import FEATURES, SAMPLE_ROWS, SAMPLE_SEED
 from txrisk.operators.ranks import BRACKET_ROWS, percentile, seeded_sample
-from txrisk.session import scratch_path
+from txrisk.session import reliable, scratch_path
 
 TREES = 100
 TREE_ROWS = 256
 CONTAMINATION = 0.01
 POOL_PARTS = 16
-# Nodes a forest may have: the bound of what scoring broadcasts (40 bytes each).
+# Nodes that scoring broadcasts at once (about 50 bytes each).
 MOST_NODES = 4_000_000
 # Rows that go through the trees together; their values stay in the cache.
 SCORE_ROWS = 2048
@@ -118,9 +118,9 @@ def fit(df: DataFrame, key: str, features: list[str] = FEATURES, contamination:
     # The sampling hash and the rows have to be the same in every pass.
     numeric = df.select(F.col(key).alias("_id"), *_numbers(features))
     total = numeric.count()
+    if total == 0:
+        raise ValueError("a forest needs rows to grow on")
     size = rows_per_tree(total, max_samples)
-    if trees * (2 * size - 1) > MOST_NODES:
-        raise ValueError(f"{trees} trees of {size} rows exceed the {MOST_NODES} nodes that scoring may broadcast")
     pool_rows = min(total, max(size, min(SAMPLE_ROWS, trees * size)))
     # The pool is small; spread it, because every row meets every tree.
     pool = seeded_sample(numeric, "_id", pool_rows, seed, bracket_rows).repartition(POOL_PARTS)
@@ -158,18 +158,44 @@ def fit(df: DataFrame, key: str, features: list[str] = FEATURES, contamination:
 def _with_cut(forest: Forest, df: DataFrame, bracket_rows: int) -> Forest:
     """Fit the cut and the range of scores on training rows. The scores are
     written once and read by the passes that look for the cut."""
-    spark = df.sparkSession
-    stored = scratch_path(spark, "forest-scores")
-    df.select(score_column(forest, spark).alias("s")).write.parquet(stored)
-    scores = spark.read.parquet(stored)
+    scores = reliable(scored(df.select(*forest.features), forest, "s").select("s"))
     ends = scores.agg(F.min("s").alias("low"), F.max("s").alias("high")).first()
     cut = percentile(scores, "s", forest.contamination, bracket_rows)
     return Forest(**{**forest.__dict__, "cut": cut, "low": ends["low"], "high": ends["high"]})
 
 
-def score_column(forest: Forest, spark: SparkSession) -> Column:
-    """Score of a row, -1 (isolated at once) .. 0; lower is more unusual."""
-    table = forest.nodes(spark).orderBy("tree", "node").toPandas()  # at most MOST_NODES rows
+def scored(df: DataFrame, forest: Forest, name: str = "forest_score") -> DataFrame:
+    """Add the score of each row, -1 (isolated at once) .. 0; lower is more unusual.
+
+    A forest that is too large to broadcast at once is walked in blocks of trees:
+    the sums of the paths are stored between the blocks.
+    """
+    blocks = _blocks(forest, df.sparkSession)
+    total = _path_column(forest, df.sparkSession, *blocks[0])
+    rows = df.withColumn(name, total)
+    for block in blocks[1:]:
+        rows = rows if df.isStreaming else reliable(rows)
+        rows = rows.withColumn(name, F.col(name) + _path_column(forest, df.sparkSession, *block))
+    scale = forest.trees * mean_path(forest.tree_rows) or 1.0
+    return rows.withColumn(name, -F.pow(F.lit(2.0), -F.col(name) / F.lit(scale)))
+
+
+def _blocks(forest: Forest, spark: SparkSession) -> list[tuple[int, int]]:
+    """Ranges of trees with at most MOST_NODES nodes; one tree has far fewer."""
+    sizes = forest.nodes(spark).groupBy("tree").agg(F.count(F.lit(1)).alias("n")).orderBy("tree").collect()
+    blocks, first, nodes = [], sizes[0]["tree"], 0
+    for row in sizes:
+        if nodes and nodes + row["n"] > MOST_NODES:
+            blocks.append((first, row["tree"] - 1))
+            first, nodes = row["tree"], 0
+        nodes += row["n"]
+    return [*blocks, (first, sizes[-1]["tree"])]
+
+
+def _path_column(forest: Forest, spark: SparkSession, first: int, last: int) -> Column:
+    """Summed length of the paths of a row through a block of trees."""
+    block = forest.nodes(spark).filter(F.col("tree").between(first, last))
+    table = block.orderBy("tree", "node").toPandas()  # at most MOST_NODES rows
     sizes = table.groupby("tree", sort=True)["node"].size()
     roots = (sizes.cumsum() - sizes).to_numpy()
     base = np.repeat(roots, sizes.to_numpy())
@@ -180,7 +206,6 @@ def score_column(forest: Forest, spark: SparkSession) -> Column:
         table["threshold"].to_numpy(), children.astype(np.intp), table["length"].to_numpy(),
     ))
     levels = math.ceil(math.log2(max(forest.tree_rows, 2)))
-    scale = len(roots) * mean_path(forest.tree_rows) or 1.0
 
     @F.pandas_udf("double")
     def walk(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -191,7 +216,7 @@ def score_column(forest: Forest, spark: SparkSession) -> Column:
             for start in range(0, len(values), SCORE_ROWS):
                 part = slice(start, start + SCORE_ROWS)
                 total[part] = path_lengths(np.ascontiguousarray(values[part]), levels, *shared.value)
-            yield pd.Series(-np.exp2(-total / scale))
+            yield pd.Series(total)
 
     return walk(*_numbers(forest.features))
 
@@ -210,10 +235,6 @@ def path_lengths(values, levels, roots, feature, threshold, children, length) ->
     return total
 
 
-def scored(df: DataFrame, forest: Forest, name: str = "forest_score") -> DataFrame:
-    return df.withColumn(name, score_column(forest, df.sparkSession))
-
-
 def is_outlier(forest: Forest, score: str = "forest_score") -> Column:
     return F.coalesce(F.col(score) < F.lit(forest.cut), F.lit(False))
 
