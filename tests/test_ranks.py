@@ -70,9 +70,12 @@ def test_sample_is_exact_and_repeatable(skewed):
     assert ranks.seeded_sample(df, "id", 7000).count() == 6000
 
 
+@pytest.mark.parametrize("most_steps", [2, 50_000])
 @pytest.mark.parametrize("bracket_rows", [10, 10**6])
-def test_split_with_a_step_that_holds_most_rows(spark, bracket_rows):
-    """The cut lies inside a step with 80 % of the rows."""
+def test_split_with_a_step_that_holds_most_rows(spark, bracket_rows, most_steps, monkeypatch):
+    """The cut lies inside a step with 80 % of the rows; with and without counting
+    the rows of each step first."""
+    monkeypatch.setattr(ranks, "MOST_STEPS", most_steps)
     rows = [(i, 1 if i < 100 else 2 if i < 900 else 3) for i in range(1000)]
     random.Random(3).shuffle(rows)
     parts = ranks.temporal_split(spark.createDataFrame(rows, "event_id bigint, step int"), bracket_rows=bracket_rows)

@@ -1,9 +1,7 @@
 import pytest
-from helpers import plan
 from pyspark.sql import functions as F
 
 from txrisk.operators import aggregates, counters, profile
-from txrisk.operators.rules import rule_score
 from txrisk.plans import scoring
 from txrisk.session import scratch_path, tuned
 from txrisk.sources import messages
@@ -52,7 +50,8 @@ def test_sessions_close_after_a_day(spark):
     batches = [[(1, "C1", at(0), 1.5), (2, "C1", at(day - 1), 2.5)], [(3, "C1", at(3 * day), 4.0)],
                [(4, "C2", at(9 * day), 1.0)]]
     got = run.run_available(flows.sessions(replay(spark, batches)), scratch_path(spark, "out"))
-    rows = [(r["nameOrig"], r["tx_count"], r["total_amount"], r["max_amount"]) for r in got.orderBy("session_start").collect()]
+    columns = ["nameOrig", "tx_count", "total_amount", "max_amount"]
+    rows = [tuple(r) for r in got.orderBy("session_start").select(columns).collect()]
     assert rows == [("C1", 2, 4.0, 2.5), ("C1", 1, 4.0, 4.0)]
 
 

@@ -19,6 +19,8 @@ from txrisk.operators.scans import KeyedRows, Running
 # Distinct values that may be ranked by one task.
 BRACKET_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
+# Distinct time steps whose row counts the driver may look at.
+MOST_STEPS = 50_000
 
 
 def kth_smallest(df: DataFrame, column: str, ranks: list[int], bracket_rows: int = BRACKET_ROWS,
@@ -164,10 +166,6 @@ def temporal_split(df: DataFrame, time: str = "step", key: str = "event_id", tes
     return df.withColumn("part", part.otherwise("test"))
 
 
-# Distinct times, and rows of the times at the cuts, that the driver may look at.
-MOST_STEPS = 50_000
-
-
 def _step_cuts(df: DataFrame, time: str, key: str, test: float, val: float, bracket_rows: int) -> list:
     """Cuts of the split from the rows per time step; None for an empty part."""
     per_step = df.groupBy(time).agg(F.count(F.lit(1)).alias("n")).limit(MOST_STEPS + 1).collect()

@@ -352,7 +352,8 @@ def behaviour(tx):
     return rounded(made, "legitimacy")
 
 
-FP_COLUMNS = ["event_id", "original_is_fraud", "is_fraud", "fp_reduced", "fraud_probability", "risk_score", "confidence"]
+FP_COLUMNS = [
+    "event_id", "original_is_fraud", "is_fraud", "fp_reduced", "fraud_probability", "risk_score", "confidence"]
 
 
 @query

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from txrisk.constants import BOOSTED_WEIGHT, FOREST_WEIGHT, SAMPLE_ROWS
-from txrisk.operators import boosted, ensemble, forest, metrics, tuning
+from txrisk.operators import boosted, forest, metrics, tuning
 from txrisk.plans.prepare import Prepared, prepare
 from txrisk.plans.scoring import Models, model_scores
 from txrisk.sources.tables import log_run
