@@ -36,7 +36,8 @@ def plain(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "NaN"
-        return 0.0 if value == 0 else float(f"{value:.12g}")
+        digits = int(os.environ.get("ORACLE_DIGITS", "12"))  # 17 compares doubles exactly
+        return 0.0 if value == 0 else float(f"{value:.{digits}g}")
     if isinstance(value, dt.datetime):
         return value.replace(tzinfo=None).isoformat()
     return value
