@@ -24,7 +24,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BLOCK_WORDS = 64
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 1_000_000
 SEED = "mix-1"
 
 

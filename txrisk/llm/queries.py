@@ -4,13 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txrisk.llm import mixing
+from txrisk.llm import mixing, packing, quality_rules, secrets, simhash
 from txrisk.llm.common import table
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents")).select(
+        "doc_id", simhash.digits("fp").alias("fingerprint"), "component_id")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op7_mixing": op7_mixing}
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.found(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    "op3_packing": op3_packing,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_simhash": op6_simhash,
+    "op7_mixing": op7_mixing,
+    "op8_secrets": op8_secrets,
+}
 ORACLES: dict[str, str] = {}
