@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 
 #: Labelled pages of the table that are learnt from, the first by a hash of the address and id; a fixed bound.
 TRAINING_PAGES = 300
-STEPS = 150
+STEPS = 250
 RATE = 0.1
 DECAY = 1e-3
 SEED = 11
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+                   r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME = re.compile(r"[a-z]+")
 #: Their content is never text of the page.
@@ -49,6 +49,8 @@ SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "
             "option": {"option"}}
 SCOPES = frozenset("ul ol dl table menu".split())
 ARTICLE = frozenset(("article", "main"))
+NEVER = frozenset("nav aside footer form".split())
+BOILER = frozenset("advert menu side notice comment form share foot".split())
 #: Words of names that mean the same to a reader.
 FAMILIES = {
     "advert": "ad ads advert adverts advertisement adsense banner promo promotion promoted sponsor sponsored sponsors outbrain taboola dfp gpt affiliate",
@@ -169,29 +171,38 @@ def leaf_blocks(page: str | None) -> list[Block]:
     return out
 
 
-def features(block: Block, before: Block | None, hide: frozenset = frozenset()) -> set[str]:
-    """The names of a block's features. Tags in ``hide`` count as div."""
-    tags = ["div" if t in hide else t for t in block.tags]
+def place_features(block_tags: tuple[str, ...], names: tuple[str, ...], hide: frozenset = frozenset()) -> set[str]:
+    """The features that the ancestors give. Tags in ``hide`` count as div."""
+    tags = ["div" if t in hide else t for t in block_tags]
     out = {"bias", "tag:" + (tags[-1] if tags else "none")}
     out |= {"in:" + t for t in tags if t not in ("html", "body", "div")}
-    families = [FAMILY.get(n) or next((FAMILY[n[i:]] for i in range(1, len(n) - 3) if n[i:] in FAMILY), None) for n in block.names]
-    out |= {"family:" + f for f in families if f} | {"name:" + n for n in block.names if n not in FAMILY}
-    if families and any(families):
-        out.add("nearest:" + [f for f in families if f][-1])
+    families = [FAMILY.get(n) or next((FAMILY[n[i:]] for i in range(1, len(n) - 3) if n[i:] in FAMILY), None) for n in names]
+    families = [f for f in families if f]
+    out |= {"family:" + f for f in families} | {"name:" + n for n in names if n not in FAMILY}
+    if NEVER.intersection(tags):
+        out.add("never")
+    if BOILER.intersection(families):
+        out.add("boiler")
+    if families:
+        out.add("nearest:" + families[-1])
     if "header" in tags and ("article" in tags or "main" in tags):
         out.add("article header")
-    if "article" in tags and tags.index("article") < len(tags) - 1 and "article" in tags[tags.index("article") + 1:]:
+    if tags.count("article") > 1:
         out.add("article in article")
-    words = block.text.split()
-    out.add(f"words:{min(5, int(math.log2(len(words) + 1)))}")
+    if not any(t in ("p", "pre", "blockquote", "li", "td") or re.fullmatch("h[1-6]", t) for t in tags):
+        out.add("bare")
+    return out
+
+
+def text_features(block: Block, before: Block | None) -> set[str]:
+    """The features that the text gives, and the block before."""
+    out = {f"words:{min(5, int(math.log2(block.text.count(' ') + 2)))}"}
     share = block.linked / max(1, len(block.text))
     out.add("links:" + ("most" if share > 0.6 else "some" if share > 0.2 else "few"))
     if block.text[-1] in ".!?:;\"')":
         out.add("ends")
-    if "©" in block.text:
+    if "\u00a9" in block.text:
         out.add("copyright")
-    if not any(t in ("p", "pre", "blockquote") or re.fullmatch("h[1-6]|li|td", t) for t in tags):
-        out.add("bare")
     if before is None:
         out.add("first")
     elif before.tags[:-1] == block.tags[:-1]:
@@ -206,8 +217,13 @@ class Field:
     steps: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
 
     def emissions(self, blocks: list[Block]) -> np.ndarray:
-        before = [None, *blocks[:-1]]
-        return np.array([sum(self.weights.get(f, 0.0) for f in features(b, p)) for b, p in zip(blocks, before)])
+        weight, seen, out = self.weights.get, {}, []
+        for b, p in zip(blocks, [None, *blocks[:-1]]):
+            where = (b.tags, b.names)
+            if where not in seen:
+                seen[where] = sum(weight(f, 0.0) for f in sorted(place_features(*where)))
+            out.append(seen[where] + sum(weight(f, 0.0) for f in sorted(text_features(b, p))))
+        return np.array(out)
 
     def decode(self, blocks: list[Block]) -> list[bool]:
         """Viterbi: the most likely labels."""
@@ -232,72 +248,71 @@ class Field:
 def train(pages: list[tuple[list[set[str]], list[int]]], steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> Field:
     """Pages of (features, labels) -> a field, by Adam on the mean negative log likelihood.
 
-    All chains are walked together, padded to the longest; a mask ends each where it ends.
+    All chains are walked together; the shorter ones end earlier.
     """
-    pages = [p for p in pages if p[0]]
+    pages = sorted((p for p in pages if p[0]), key=lambda p: -len(p[0]))
     if not pages:
         return Field({"bias": -1.0, "in:article": 4.0, "in:main": 4.0})
     names = sorted({f for page, _ in pages for block in page for f in block})
     place = {f: i for i, f in enumerate(names)}
     row = np.concatenate([[i] * len(block) for i, block in enumerate(b for page, _ in pages for b in page)]).astype(int)
-    column = np.array([place[f] for page, _ in pages for block in page for f in block])
-    total, longest = sum(len(p) for p, _ in pages), max(len(p) for p, _ in pages)
-    where = np.concatenate([np.arange(len(p)) + i * longest for i, (p, _) in enumerate(pages)])
-    mask = np.zeros(len(pages) * longest, bool)
-    mask[where] = True
-    mask = mask.reshape(len(pages), longest)
-    label = np.zeros(mask.size, int)
+    column = np.array([place[f] for page, _ in pages for block in page for f in sorted(block)])
+    lengths = np.array([len(p) for p, _ in pages])
+    total, longest, count = int(lengths.sum()), int(lengths[0]), len(pages)
+    # Longest first: at each place the chains that go on are a prefix.
+    on = [int((lengths > i).sum()) for i in range(longest)]
+    where = np.concatenate([np.arange(n) * count + i for i, n in enumerate(lengths)])
+    label = np.zeros(longest * count, int)
     label[where] = np.concatenate([y for _, y in pages])
-    label = label.reshape(mask.shape)
+    label = label.reshape(longest, count)
     w, t = np.zeros(len(names)), np.zeros((2, 2))
     m1, m2 = np.zeros(len(names) + 4), np.zeros(len(names) + 4)
     for step in range(1, steps + 1):
-        e = np.zeros(mask.size)
-        e[where] = np.bincount(row, w[column], minlength=total)
-        emit = np.stack((np.zeros(mask.shape), e.reshape(mask.shape)), axis=2)
-        forward = [emit[:, 0]]
+        emit = np.zeros(longest * count)
+        emit[where] = np.bincount(row, w[column], minlength=total)
+        emit = np.stack((np.zeros((longest, count)), emit.reshape(longest, count)), axis=2)
+        forward = [emit[0]]
         for i in range(1, longest):
-            moved = np.logaddexp(forward[-1][:, 0, None] + t[0], forward[-1][:, 1, None] + t[1]) + emit[:, i]
-            forward.append(np.where(mask[:, i, None], moved, forward[-1]))
-        backward = [np.zeros((len(pages), 2))]
-        for i in range(longest - 1, 0, -1):
-            ahead = backward[-1] + emit[:, i]
-            moved = np.logaddexp(t[:, 0] + ahead[:, 0, None], t[:, 1] + ahead[:, 1, None])
-            backward.append(np.where(mask[:, i, None], moved, backward[-1]))
-        backward.reverse()
-        z = np.logaddexp(forward[-1][:, 0], forward[-1][:, 1])
-        one = np.stack([np.exp(forward[i][:, 1] + backward[i][:, 1] - z) for i in range(longest)], axis=1)
-        off = ((one - label) * mask).reshape(-1)[where] / total
-        gw = np.bincount(column, off[row], minlength=len(names)) + decay * w / total
+            f = forward[-1][:on[i]]
+            forward.append(np.logaddexp(f[:, 0, None] + t[0], f[:, 1, None] + t[1]) + emit[i, :on[i]])
+        z = np.empty(count)
+        one = np.zeros((longest, count))
         gt = np.zeros((2, 2))
-        for i in range(1, longest):
-            both = np.exp(forward[i - 1][:, :, None] + t + (emit[:, i] + backward[i])[:, None, :] - z[:, None, None])
-            gt += (both * mask[:, i, None, None]).sum(0)
-            np.subtract.at(gt, (label[:, i - 1][mask[:, i]], label[:, i][mask[:, i]]), 1)
-        g = np.concatenate((gw, gt.ravel() / total))
+        ahead = np.zeros((0, 2))
+        for i in range(longest - 1, -1, -1):
+            later = len(ahead)
+            back = np.zeros((on[i], 2))
+            if later:
+                reach = ahead + emit[i + 1, :later]
+                back[:later] = np.logaddexp(t[:, 0] + reach[:, 0, None], t[:, 1] + reach[:, 1, None])
+            f = forward[i]
+            z[later:on[i]] = np.logaddexp(f[later:, 0], f[later:, 1])
+            one[i, :on[i]] = np.exp(f[:, 1] + back[:, 1] - z[:on[i]])
+            if later:
+                gt += np.exp(f[:later, :, None] + t + reach[:, None, :] - z[:later, None, None]).sum(0)
+                np.subtract.at(gt, (label[i, :later], label[i + 1, :later]), 1)
+            ahead = back
+        off = (one - label).reshape(-1)[where] / total
+        g = np.concatenate((np.bincount(column, off[row], minlength=len(names)) + decay * w / total, gt.ravel() / total))
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         move = rate * (m1 / (1 - 0.9 ** step)) / (np.sqrt(m2 / (1 - 0.999 ** step)) + 1e-8)
         w, t = w - move[:-4], t - move[-4:].reshape(2, 2)
     return Field(dict(zip(names, w.tolist())), t)
 
 
-NEVER = frozenset("nav aside footer form".split())
-
-
 def own_labels(blocks: list[Block]) -> list[int] | None:
     """Labels of a page that marks its article by a tag, or None."""
     if not any(ARTICLE & set(b.tags) for b in blocks):
         return None
-    boiler = {"advert", "menu", "side", "notice", "comment", "form", "share", "foot"}
     out = []
     for b in blocks:
         inside = [i for i, t in enumerate(b.tags) if t in ARTICLE]
         inner = set(b.tags[inside[0]:]) if inside else set()
-        out.append(int(bool(inside) and not inner & NEVER and not boiler & {FAMILY.get(n) for n in b.names}))
+        out.append(int(bool(inside) and not inner & NEVER and not BOILER & {FAMILY.get(n) for n in b.names}))
     return out
 
 
-def patterns(seed: int = SEED, pages: int = 240) -> list[tuple[list[Block], list[int]]]:
+def patterns(seed: int = SEED, pages: int = 400) -> list[tuple[list[Block], list[int]]]:
     """Labelled arrangements: every family's names around, before, after and inside an article of some kind."""
     rng = np.random.default_rng(seed)
 
@@ -368,7 +383,7 @@ def patterns(seed: int = SEED, pages: int = 240) -> list[tuple[list[Block], list
 
 
 def described(blocks: list[Block], hide: frozenset = frozenset()) -> list[set[str]]:
-    return [features(b, p, hide) for b, p in zip(blocks, [None, *blocks[:-1]])]
+    return [place_features(b.tags, b.names, hide) | text_features(b, p) for b, p in zip(blocks, [None, *blocks[:-1]])]
 
 
 def learnt(pages: DataFrame, key: str = "page_id", html: str = "html", training_pages: int = TRAINING_PAGES, **settings) -> Field:
