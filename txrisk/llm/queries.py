@@ -4,14 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txrisk.llm import mixing, packing, quality_rules, secrets, simhash
+from txrisk.llm import (
+    html_extraction,
+    mixing,
+    nn_descent,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    simhash,
+    suffix_dedup,
+    surrogates,
+)
 from txrisk.llm.common import table
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replaced_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -30,11 +53,24 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.found(table(spark, sf_dir, "documents")))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cleaned(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_surrogates": op1_surrogates,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_packing": op3_packing,
+    "op4_nn_descent": op4_nn_descent,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
     "op8_secrets": op8_secrets,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLES: dict[str, str] = {}
