@@ -1,23 +1,54 @@
-"""The corpus pipeline: quality rules, SimHash near-dedup, secret scans, mixing sources, packing."""
+"""The corpus pipeline: quality rules, SimHash near-dedup, secret scans, mixing sources, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; what it returns is written as
+Parquet and read again. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txrisk.llm import mixing
+from txrisk.llm import mixing, packing, quality_rules, secrets, simhash
 from txrisk.llm.common import table
 from txrisk.session import reliable
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules go."""
+    return quality_rules.kept_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the smallest id."""
+    return simhash.first_of_groups(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; what looks like a secret is masked."""
+    return secrets.masked(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated, cut or left out, so that sources come near their targets."""
     return mixing.mixed(docs)
 
 
-STAGES = [("mixing sources", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, in sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("SimHash near-dedup", near_dedup),
+    ("secret scans", mask_secrets),
+    ("mixing sources", mix),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage over what the stage before has kept, written and read again between them."""
+    """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for place, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
