@@ -70,12 +70,9 @@ def test_sample_is_exact_and_repeatable(skewed):
     assert ranks.seeded_sample(df, "id", 7000).count() == 6000
 
 
-@pytest.mark.parametrize("most_steps", [2, 50_000])
 @pytest.mark.parametrize("bracket_rows", [10, 10**6])
-def test_split_with_a_step_that_holds_most_rows(spark, bracket_rows, most_steps, monkeypatch):
-    """The cut lies inside a step with 80 % of the rows; with and without counting
-    the rows of each step first."""
-    monkeypatch.setattr(ranks, "MOST_STEPS", most_steps)
+def test_split_with_a_step_that_holds_most_rows(spark, bracket_rows):
+    """The cut lies inside a step with 80 % of the rows."""
     rows = [(i, 1 if i < 100 else 2 if i < 900 else 3) for i in range(1000)]
     random.Random(3).shuffle(rows)
     parts = ranks.temporal_split(spark.createDataFrame(rows, "event_id bigint, step int"), bracket_rows=bracket_rows)
@@ -85,6 +82,24 @@ def test_split_with_a_step_that_holds_most_rows(spark, bracket_rows, most_steps,
     assert [got[i] for i in ordered] == ["train"] * train + ["val"] * (val - train) + ["test"] * (1000 - val)
 
 
+@pytest.mark.parametrize("bracket_rows", [10, 10**6])
+@pytest.mark.parametrize("untimed", [25, 50, 100])
+def test_split_puts_rows_without_a_time_last(spark, bracket_rows, untimed):
+    rows = [(i, None if i < untimed else i) for i in range(100)]
+    random.Random(5).shuffle(rows)
+    parts = ranks.temporal_split(spark.createDataFrame(rows, "event_id bigint, step int"), bracket_rows=bracket_rows)
+    got = {r["event_id"]: r["part"] for r in parts.collect()}
+    ordered = [*range(untimed, 100), *range(untimed)]
+    assert [got[i] for i in ordered] == ["train"] * 70 + ["val"] * 10 + ["test"] * 20
+
+
+@pytest.mark.parametrize("bracket_rows", [5, 10**6])
+def test_head_puts_rows_without_a_key_last(spark, bracket_rows):
+    df = spark.createDataFrame([(i if i % 4 else None,) for i in range(40)], "id bigint")
+    assert sorted(r["id"] for r in ranks.head_by(df, "id", 10, bracket_rows).collect()) == [1, 2, 3, 5, 6, 7, 9, 10, 11, 13]
+    assert ranks.head_by(df, "id", 35, bracket_rows).filter("id IS NULL").count() == 5
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10])
 def test_split_of_few_rows(spark, n):
     df = spark.range(n).select(F.col("id").alias("event_id"), F.lit(1).alias("step"))

@@ -72,7 +72,6 @@ ERASABLE_KINDS = ["customer", "pattern", "risk", "count"]
 # Row limits of the reports.
 SAMPLE_ROWS = 100000
 SAMPLE_SEED = 42
-SEARCH_ROWS = 100000
 SEARCH_SHOWN = 100
 VIEW_ROWS = 1000
 BATCH_MAX = 100

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from txrisk.constants import AMOUNT_EDGES, AMOUNT_LABELS
+from txrisk.functions.columns import no_nan
 
 
 def fraud_rate(df: DataFrame, by: str = "type", label: str = "isFraud") -> DataFrame:
@@ -41,13 +42,15 @@ def range_label(amount: Column, edges: list[float] = AMOUNT_EDGES, labels: list[
 
 
 def amount_bins(df: DataFrame, verdict: str = "is_fraud") -> DataFrame:
-    """Rows per amount range and verdict; a pair that does not occur counts 0."""
-    return (
-        df.filter(F.col("amount") > AMOUNT_EDGES[0])
-        .groupBy(range_label(F.col("amount")).alias("amount_range"))
-        .agg(F.count_if(~F.col(verdict)).alias("legit"), F.count_if(F.col(verdict)).alias("fraud"))
-        .filter(F.col("legit") + F.col("fraud") > 0)
-    )
+    """Rows per amount range and verdict: every range, also those without a row.
+    Amounts that are missing or NaN are in no range. One aggregate over the table."""
+    amount = no_nan(F.col("amount"))
+    label = range_label(amount)
+    counts = df.agg(*[
+        F.struct(F.lit(name).alias("amount_range"), F.count_if((label == name) & ~F.col(verdict)).alias("legit"),
+                 F.count_if((label == name) & F.col(verdict)).alias("fraud")).alias(f"r{i}")
+        for i, name in enumerate(AMOUNT_LABELS)])
+    return counts.select(F.inline(F.array(*counts.columns)))
 
 
 def result_word(verdict: Column) -> Column:

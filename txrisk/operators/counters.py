@@ -5,6 +5,8 @@ number of seconds later; the next event opens a new one. The clock of a counter
 counts whole seconds, as its time to live does.
 
 ``sliding``: events of the last so many seconds, the current one included.
+
+A row without a time is in no window: its counts are NULL and it counts nowhere.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from txrisk.constants import COUNTER_SECONDS, OTHER_COUNTER_SECONDS
 from txrisk.functions.columns import seconds
@@ -23,6 +25,7 @@ from txrisk.operators.scans import HEAVY_ROWS, Heavy, KeyedRows, Running, heavy_
 
 # Stands for a missing key where keys have to be compared.
 NO_KEY = "\0"
+NO_TIME = "\1"
 
 
 def window_seconds(name: str) -> int:
@@ -108,13 +111,20 @@ def anchored(df: DataFrame, key: str, time: str, row_id: str, windows: dict[str,
     """
     windows = windows or COUNTER_SECONDS
     plus = 1 if inclusive else 0
+    known = known or heavy_keys(df, [key], heavy_rows)
+    # A row without a time is a customer of its own for the walk.
+    alone = F.concat(F.lit(NO_TIME), F.coalesce(F.col(row_id).cast("string"), F.lit("")))
     timed = df.withColumns({
-        "_key": F.coalesce(F.col(key).cast("string"), F.lit(NO_KEY)), "_sec": seconds(df, time),
+        "_key": F.when(F.col(time).isNull(), alone).otherwise(F.coalesce(F.col(key).cast("string"), F.lit(NO_KEY))),
+        "_sec": F.coalesce(seconds(df, time), F.lit(0)),
     })
-    known = known or heavy_keys(df, [key], heavy_rows)
+
+    def told(count: Column) -> Column:
+        return F.when(F.col(time).isNotNull(), count)
+
     ordinary, heavy = known.part(timed)
     counted = _walked(ordinary, ["_sec", row_id], windows, None).select(
-        *df.columns, *[(F.col(f"_before_{n}") + plus).alias(f"tx_count_{n}") for n in windows])
+        *df.columns, *[told(F.col(f"_before_{n}") + plus).alias(f"tx_count_{n}") for n in windows])
     if heavy is not None:
         cells = heavy.groupBy("_key", "_sec").agg(F.count(F.lit(1)).alias("_n"))
         opened = _walked(cells, ["_sec"], windows, "_n").drop("_n")
@@ -123,7 +133,7 @@ def anchored(df: DataFrame, key: str, time: str, row_id: str, windows: dict[str,
         joined = placed.join(opened, ["_key", "_sec"])
         counted = counted.unionByName(joined.select(
             *df.columns,
-            *[(F.col(f"_before_{n}") + F.col("_place") + plus).alias(f"tx_count_{n}") for n in windows]))
+            *[told(F.col(f"_before_{n}") + F.col("_place") + plus).alias(f"tx_count_{n}") for n in windows]))
     return counted
 
 
@@ -137,24 +147,24 @@ def sliding(df: DataFrame, key: str, time: str, row_id: str, windows: dict[str,
     a moving frame would be counted again for every row.
     """
     windows = windows or COUNTER_SECONDS
-    timed = df.withColumn("_sec", seconds(df, time))
     known = known or heavy_keys(df, [key], heavy_rows)
+    timed = df.withColumn("_sec", seconds(df, time))
     ordinary, heavy = known.part(timed)
 
     def counts(weight, key=key, second="_sec"):
         by_time = Window.partitionBy(key).orderBy(second)
         upto = F.sum(weight).over(by_time.rangeBetween(Window.unboundedPreceding, 0))
         return {
-            f"tx_count_{n}": upto - F.coalesce(
-                F.sum(weight).over(by_time.rangeBetween(Window.unboundedPreceding, -s)), F.lit(0))
+            f"tx_count_{n}": F.when(F.col(second).isNotNull(), upto - F.coalesce(
+                F.sum(weight).over(by_time.rangeBetween(Window.unboundedPreceding, -s)), F.lit(0)))
             for n, s in windows.items()
         }
 
-    result = ordinary.withColumns(counts(F.lit(1).cast("bigint")))
+    result = ordinary.withColumns(counts(F.col("_sec").isNotNull().cast("bigint")))
     if heavy is not None:
         # One row per key and second: bounded by the time the table covers.
-        cells = heavy.groupBy(F.col(key).alias("_k"), F.col("_sec").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+        cells = heavy.groupBy(F.col(key).alias("_k"), F.col("_sec").alias("_s")).agg(F.count("_sec").alias("_n"))
         cells = cells.select("_k", "_s", *[c.alias(n) for n, c in counts(F.col("_n"), "_k", "_s").items()])
-        same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_sec") == F.col("_s"))
+        same = F.col(key).eqNullSafe(F.col("_k")) & F.col("_sec").eqNullSafe(F.col("_s"))
         result = result.unionByName(heavy.join(cells, same).drop("_k", "_s"))
     return result.drop("_sec")

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from txrisk.constants import FEATURES, SAMPLE_ROWS, SAMPLE_SEED
+from txrisk.constants import FEATURES, SAMPLE_SEED
 from txrisk.operators.ranks import BRACKET_ROWS, percentile, seeded_sample
 from txrisk.session import reliable, scratch_path
 
@@ -103,17 +103,23 @@ def grow(rows: np.ndarray, rng: np.random.Generator, columns: np.ndarray) -> lis
 
 
 def rows_per_tree(total: int, max_samples: float | str = "auto") -> int:
-    """``auto`` is 256 rows; a share counts rows of the table, or of a sample of
-    SAMPLE_ROWS rows when the table is larger, so a tree always fits one task."""
+    """``auto`` is 256 rows; a number above 1 is a number of rows; a share is one of
+    the whole table."""
     if max_samples == "auto":
         return min(TREE_ROWS, total)
-    return max(2, int(max_samples * min(total, SAMPLE_ROWS)))
+    return min(total, max(2, int(max_samples if max_samples > 1 else max_samples * total)))
 
 
 def fit(df: DataFrame, key: str, features: list[str] = FEATURES, contamination: float = CONTAMINATION,
         trees: int = TREES, max_samples: float | str = "auto", max_features: float = 1.0,
-        seed: int = SAMPLE_SEED, path: str | None = None, bracket_rows: int = BRACKET_ROWS) -> Forest:
-    """Grow a forest and fit its outlier cut on the scores of the same rows."""
+        seed: int = SAMPLE_SEED, path: str | None = None, bracket_rows: int = BRACKET_ROWS,
+        pool: int | None = None) -> Forest:
+    """Grow a forest and fit its outlier cut on the scores of the same rows.
+
+    Each tree draws its rows from the whole table and is grown by one task, so a
+    share that is too large for a task's memory has to be given as a number of
+    rows. ``pool`` draws all trees from a sample of so many rows instead.
+    """
     spark = df.sparkSession
     # The sampling hash and the rows have to be the same in every pass.
     numeric = df.select(F.col(key).alias("_id"), *_numbers(features))
@@ -121,9 +127,10 @@ def fit(df: DataFrame, key: str, features: list[str] = FEATURES, contamination:
     if total == 0:
         raise ValueError("a forest needs rows to grow on")
     size = rows_per_tree(total, max_samples)
-    pool_rows = min(total, max(size, min(SAMPLE_ROWS, trees * size)))
-    # The pool is small; spread it, because every row meets every tree.
-    pool = seeded_sample(numeric, "_id", pool_rows, seed, bracket_rows).repartition(POOL_PARTS)
+    pool_rows = total if pool is None else min(total, max(size, pool))
+    drawn_from = numeric if pool is None else seeded_sample(numeric, "_id", pool_rows, seed, bracket_rows)
+    if pool_rows <= POOL_PARTS * 10_000:
+        drawn_from = drawn_from.repartition(POOL_PARTS)  # few rows: spread them, because each meets every tree
 
     def drawn(tree: Column) -> Column:
         bits = F.xxhash64(F.lit(seed), tree, F.col("_id"))
@@ -134,7 +141,7 @@ def fit(df: DataFrame, key: str, features: list[str] = FEATURES, contamination:
     margin = (size + 6.0 * math.sqrt(size) + 10.0) / pool_rows
     numbers = F.sequence(F.lit(0), F.lit(trees - 1))
     candidates = (
-        pool.withColumn("tree", F.explode(F.filter(numbers, lambda tree: drawn(tree) < margin)))
+        drawn_from.withColumn("tree", F.explode(F.filter(numbers, lambda tree: drawn(tree) < margin)))
         .withColumn("_u", drawn(F.col("tree")))
     )
     width = max(1, int(max_features * len(features)))

@@ -20,8 +20,11 @@ def profile(df: DataFrame, key: str = "nameOrig", time: str = "ts", row_id: str
     Every transaction renews the life of the profile; after ``ttl`` idle seconds
     it starts anew. ``include_current=False`` shows the profile as it was before
     the row; it is empty (count 0, the rest NULL) for a new or expired customer.
+    A row without a time has no profile (all NULL) and is in nobody's; a missing
+    amount adds nothing, but its row counts.
     """
-    timed = df.withColumns({"_us": micros(df, time), "_cents": cents(F.col("amount"))})
+    us = micros(df, time)
+    timed = df.withColumns({"_us": us, "_cents": F.when(us.isNotNull(), cents(F.col("amount")))})
     ordered = KeyedRows.of(timed, [key], ["_us", row_id], heavy_rows, known)
     ordered = ordered.running(Running("_prev_us", "last", "_us", before=True))
     idle = F.col("_us") - F.col("_prev_us") >= F.lit(ttl * 1000000)
@@ -29,13 +32,13 @@ def profile(df: DataFrame, key: str = "nameOrig", time: str = "ts", row_id: str
     before = not include_current
     scanned = ordered.running(
         Running("_total", "sum", "_cents", before),
-        Running("tx_count", "count", None, before),
+        Running("tx_count", "count", "_us", before),
         Running("_max", "max", "_cents", before),
         Running("last_us", "last", "_us", before),
         reset="_restart",
     ).rows()
     return scanned.withColumns({
-        "tx_count": F.coalesce(F.col("tx_count"), F.lit(0)),
+        "tx_count": F.when(F.col("_us").isNotNull(), F.coalesce(F.col("tx_count"), F.lit(0))),
         "total_amount": money(F.col("_total")),
         "max_amount": money(F.col("_max")),
     }).withColumn("avg_amount", F.try_divide(F.col("total_amount"), F.col("tx_count"))).drop(

@@ -12,15 +12,13 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from txrisk.constants import SAMPLE_SEED
+from txrisk.constants import SAMPLE_SEED, SEARCH_SHOWN
 from txrisk.functions.columns import no_nan
 from txrisk.operators.scans import KeyedRows, Running
 
 # Distinct values that may be ranked by one task.
 BRACKET_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
-# Distinct time steps whose row counts the driver may look at.
-MOST_STEPS = 50_000
 
 
 def kth_smallest(df: DataFrame, column: str, ranks: list[int], bracket_rows: int = BRACKET_ROWS,
@@ -115,14 +113,26 @@ def percentile(df: DataFrame, column: str, share: float, bracket_rows: int = BRA
 
 def head_by(df: DataFrame, key: str, n: int, bracket_rows: int = BRACKET_ROWS) -> DataFrame:
     """The n rows with the smallest values of a unique key; all rows if there are
-    fewer. A filter on the key instead of a sort."""
-    total = df.count()
-    if total <= n:
+    fewer. Rows without a key come last. A filter on the key instead of a sort."""
+    counts = df.agg(F.count(F.lit(1)).alias("all"), F.count(key).alias("keyed")).first()
+    if counts["all"] <= n:
         return df
-    (cut,) = kth_smallest(df, key, [n - 1], bracket_rows, rows=total)
+    if counts["keyed"] <= n:
+        keyless = df.filter(F.col(key).isNull()).limit(n - counts["keyed"])
+        return df.filter(F.col(key).isNotNull()).unionByName(keyless)
+    (cut,) = kth_smallest(df, key, [n - 1], bracket_rows, rows=counts["keyed"])
     return df.filter(F.col(key) <= F.lit(cut))
 
 
+def search(df: DataFrame, column: str, value, key: str, shown: int = SEARCH_SHOWN) -> DataFrame:
+    """The first ``shown`` rows by key whose column has the value, each with
+    ``count``, the number of all such rows of the table. The comparison reaches
+    the file scan, and hits are counted before the shuffle."""
+    hits = df.filter(F.col(column) == F.lit(value))
+    total = hits.agg(F.count(F.lit(1)).alias("count"))  # one row
+    return hits.orderBy(key).limit(shown).join(F.broadcast(total))
+
+
 HASH_BITS = 52  # exact in a double, which the quantile sketch works with
 
 
@@ -155,41 +165,27 @@ def split_sizes(n: int, test: float = 0.2, val: float = 0.1) -> tuple[int, int]:
 
 def temporal_split(df: DataFrame, time: str = "step", key: str = "event_id", test: float = 0.2,
                    val: float = 0.1, bracket_rows: int = BRACKET_ROWS) -> DataFrame:
-    """Add ``part``: train, val or test by time, ties by the unique key.
+    """Add ``part``: train, val or test by time, ties by the unique key. Rows
+    without a time are the last, in order of the key.
 
-    Rows per time step are counted first, so only the key of one row inside one
-    step has to be found per cut. The rows themselves are neither sorted nor
-    shuffled, whatever the share of a single step.
+    Times are grouped with a count before they are ranked, and only the key of
+    one row inside one time has to be found per cut. The rows themselves are
+    neither sorted nor shuffled, whatever the share of a single time.
     """
-    train_cut, val_cut = _step_cuts(df, time, key, test, val, bracket_rows)
+    counts = df.agg(F.count(F.lit(1)).alias("all"), F.count(time).alias("timed")).first()
+    timed = counts["timed"]
+    ends = split_sizes(counts["all"], test, val)
+    cuts = _cuts(df, time, key, [end for end in dict.fromkeys(ends) if 0 < end <= timed], timed, bracket_rows)
+    late = [end for end in dict.fromkeys(ends) if end > timed]
+    if late:
+        untimed = df.filter(F.col(time).isNull())
+        keys = kth_smallest(untimed, key, [end - 1 - timed for end in late], bracket_rows, rows=counts["all"] - timed)
+        cuts |= {end: (None, last) for end, last in zip(late, keys)}
+    train_cut, val_cut = (cuts.get(end) for end in ends)
     part = F.when(_not_after(time, key, train_cut), "train").when(_not_after(time, key, val_cut), "val")
     return df.withColumn("part", part.otherwise("test"))
 
 
-def _step_cuts(df: DataFrame, time: str, key: str, test: float, val: float, bracket_rows: int) -> list:
-    """Cuts of the split from the rows per time step; None for an empty part."""
-    per_step = df.groupBy(time).agg(F.count(F.lit(1)).alias("n")).limit(MOST_STEPS + 1).collect()
-    if len(per_step) > MOST_STEPS:  # times are not steps: look for the cuts among all rows
-        total = df.count()
-        ends = split_sizes(total, test, val)
-        found = _cuts(df, time, key, [end for end in ends if end > 0], total, bracket_rows)
-        return [found.get(end) for end in ends]
-    ends = split_sizes(sum(r["n"] for r in per_step), test, val)
-    steps, under = {}, 0
-    for r in sorted((r for r in per_step if r[time] is not None), key=lambda r: r[time]):
-        for end in ends:
-            if under < end <= under + r["n"]:
-                steps[end] = (r[time], end - 1 - under, r["n"])
-        under += r["n"]
-    return [None if end not in steps else (steps[end][0], _key_at(df, time, key, *steps[end], bracket_rows))
-            for end in ends]
-
-
-def _key_at(df: DataFrame, time: str, key: str, step, rank: int, rows: int, bracket_rows: int):
-    same = df.filter(F.col(time) == F.lit(step))
-    return kth_smallest(same, key, [rank], bracket_rows, rows=rows)[0]
-
-
 def _cuts(df: DataFrame, first: str, key: str, ends: list[int], total: int, bracket_rows: int,
           near: tuple | None = None) -> dict:
     """For each number of rows: the values of the last of so many rows in the
@@ -214,4 +210,6 @@ def _not_after(first: str, key: str, cut) -> Column:
     if cut is None:
         return F.lit(False)
     value, last = cut
+    if value is None:
+        return F.col(first).isNotNull() | (F.col(key) <= F.lit(last))
     return (F.col(first) < F.lit(value)) | ((F.col(first) == F.lit(value)) & (F.col(key) <= F.lit(last)))

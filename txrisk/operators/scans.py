@@ -64,7 +64,8 @@ def heavy_keys(df: DataFrame, key: list[str], heavy_rows: int = HEAVY_ROWS) -> H
 
 @dataclass(frozen=True)
 class Running:
-    """One running aggregate: ``kind`` is sum, count, max or last (non-null)."""
+    """One running aggregate: ``kind`` is sum, count (of rows, or of those where
+    the column is not null), max or last (non-null)."""
 
     name: str
     kind: str
@@ -75,7 +76,7 @@ class Running:
         end = -1 if self.before else 0
         frame = window.rowsBetween(Window.unboundedPreceding, end)
         if self.kind == "count":
-            return F.count(F.lit(1)).over(frame)
+            return F.count(F.lit(1) if self.column is None else self.column).over(frame)
         if self.kind == "last":
             return F.last(self.column, ignorenulls=True).over(frame)
         return {"sum": F.sum, "max": F.max}[self.kind](self.column).over(frame)

@@ -24,13 +24,17 @@ def entries(df: DataFrame, kind: str, key: Column, payload: Column, time: Column
 
 def latest_alive(state: DataFrame, as_of, tie: str | None = None) -> DataFrame:
     """Newest entry per (kind, key) written up to ``as_of``, if it is still alive.
+    Of writes at one time the one with the larger ``tie`` is newer (``seq``, if
+    there is such a column); without one the order is fixed by the content, as in
+    :func:`as_of_lookup`.
 
     The newest write decides even when an older one would live longer. Only one
     short row per key and task is shuffled, so a key with many writes is cheap.
     """
     written = micros(state, "write_ts")
     when = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    order = F.struct(*["write_ts", *([tie] if tie else [])])
+    tie = tie or ("seq" if "seq" in state.columns else None)
+    order = F.struct("write_ts", F.col(tie) if tie else F.xxhash64("payload", "ttl_s"))
     newest = (
         state.withColumn("_us", written)
         .filter(F.col("_us") <= when)
@@ -58,7 +62,7 @@ def as_of_lookup(rows: DataFrame, key: str, time: str, row_id: str, state: DataF
     # a column any fixed order will do.
     tie = _number(state, "seq") if "seq" in state.columns else F.xxhash64("payload", "ttl_s")
     # An entry written at the time of a row is seen by it: entries sort first.
-    written = state.select(F.col("key").alias("_key"), us.alias("_us"), F.lit(0).alias("_kind"), tie.alias("_tie"),
+    written = state.filter(us.isNotNull()).select(F.col("key").alias("_key"), us.alias("_us"), F.lit(0).alias("_kind"), tie.alias("_tie"),
                            entry.alias("_entry"))
     stacked = asked.unionByName(written, allowMissingColumns=True)
     scanned = KeyedRows.of(stacked, ["_key"], ["_us", "_kind", "_tie"], heavy_rows).running(

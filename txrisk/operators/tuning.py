@@ -7,6 +7,7 @@ of runs, and a search continues where that table ends.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 import math
@@ -14,7 +15,8 @@ import random
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from txrisk.constants import FEATURES, SAMPLE_SEED
 from txrisk.operators import boosted, forest, metrics
@@ -36,9 +38,6 @@ BOOSTED_SPACE = {
     "subsample": ("float", 0.6, 1.0),
     "colsample": ("float", 0.6, 1.0),
     "min_child_weight": ("int", 1, 10),
-    "gamma": ("float", 0.0, 5.0),
-    "reg_alpha": ("float", 0.0, 5.0),
-    "reg_lambda": ("float", 0.0, 5.0),
     "scale_pos_weight": ("int", 1, 50),
 }
 FOREST_SPACE = {
@@ -49,6 +48,11 @@ FOREST_SPACE = {
 }
 # ----------------------------------------------------------- end fixed values
 
+# The least gain of a split is on the scale of the learner's impurity, where
+# anything near one stops every split; the penalties have no counterpart there
+# and are not drawn.
+BOOSTED_SPACE["gamma"] = ("log", 1e-6, 1e-1)
+
 
 def grid(space: dict[str, list]) -> list[dict]:
     """Every combination, names in alphabetical order."""
@@ -91,24 +95,43 @@ def boosted_trial(train: DataFrame, val: DataFrame, params: dict,
 
 
 def search(spark: SparkSession, settings: list[dict], trial: Callable[[dict], tuple[dict, object]], study: str,
-           runs_path: str, parallelism: int = 2) -> DataFrame:
+           runs_path: str, parallelism: int = 2, data: str = "") -> DataFrame:
     """Run every setting that the table of runs does not hold yet; return the runs
-    of the study. The first one with the highest F1 score is the best."""
-    log_run(spark, runs_path, study, study, {"trials": len(settings)}, {})
-    done = {r["run_id"] for r in read_runs(spark, runs_path).select("run_id").distinct().collect()}
-
-    def one(number: int, params: dict) -> None:
+    of these settings. The first one with the highest F1 score is the best.
+
+    A run is named by its study, its place and a hash of its settings and of
+    ``data``, which stands for whatever else decides the outcome; so another
+    search in the same folder starts runs of its own.
+    """
+    names = [run_id(study, i, params, data) for i, params in enumerate(settings)]
+    known = _logged(spark, runs_path)
+    if study not in known:
+        log_run(spark, runs_path, study, study, {"trials": len(settings)}, {})
+
+    def one(name: str, params: dict) -> None:
         scores, _ = trial(params)
-        log_run(spark, runs_path, run_id(study, number), study, params, scores, parent_id=study)
+        log_run(spark, runs_path, name, study, params, scores, parent_id=study)
 
-    waiting = [(i, p) for i, p in enumerate(settings) if run_id(study, i) not in done]
+    waiting = [(name, params) for name, params in zip(names, settings) if name not in known]
     with ThreadPoolExecutor(parallelism) as pool:
         list(pool.map(lambda task: one(*task), waiting))
-    return read_runs(spark, runs_path).filter(f"parent_id = '{study}'")
+    wanted = spark.createDataFrame([(name,) for name in names], "run_id string")
+    return read_runs(spark, runs_path).join(F.broadcast(wanted), "run_id", "left_semi")  # a row per setting
+
+
+def _logged(spark: SparkSession, runs_path: str) -> set[str]:
+    """Names of the runs that a folder holds; none if there is no folder yet."""
+    try:
+        return {r["run_id"] for r in read_runs(spark, runs_path).select("run_id").distinct().collect()}
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return set()
 
 
-def run_id(study: str, number: int) -> str:
-    return f"{study}-{number:05d}"
+def run_id(study: str, number: int, params: dict, data: str = "") -> str:
+    mark = hashlib.sha256(json.dumps([params, data], sort_keys=True).encode()).hexdigest()[:10]
+    return f"{study}-{number:05d}-{mark}"
 
 
 def best_settings(runs: DataFrame) -> tuple[dict, float] | None:

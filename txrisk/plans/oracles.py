@@ -201,7 +201,7 @@ known AS (
 """
 
 
-def anchored_sql(key: str) -> str:
+def anchored_sql(key: str, source: str = "tx") -> str:
     """One recursive walk per key and window length: the n-th event joins the open
     window or opens a new one."""
     steps = "\n".join(f"""
@@ -214,7 +214,7 @@ def anchored_sql(key: str) -> str:
   FROM walk_{name} w JOIN seq s ON s.k = w.k AND s.rn = w.rn + 1)"""
                       for name, ttl in [("minute", 60), ("hour", 3600), ("day", 86400)])
     return f"""
-, seq AS (SELECT {key} AS k, event_id, sec, row_number() OVER (PARTITION BY {key} ORDER BY sec, event_id) AS rn FROM tx)
+, seq AS (SELECT {key} AS k, event_id, sec, row_number() OVER (PARTITION BY {key} ORDER BY sec, event_id) AS rn FROM {source})
 {steps}
 , anchored AS (
   SELECT m.event_id, m.n AS tx_count_minute, h.n AS tx_count_hour, d.n AS tx_count_day
@@ -222,6 +222,9 @@ def anchored_sql(key: str) -> str:
 """
 
 
+UNTIMED_SQL = """
+, untimed AS (SELECT * REPLACE (CASE WHEN event_id % 13 <> 0 THEN cents END AS cents) FROM tx)
+"""
 SLIDING_SQL = ", sliding AS (SELECT *, " + ", ".join(
     f"count(*) OVER (PARTITION BY nameOrig ORDER BY sec RANGE BETWEEN {ttl - 1} PRECEDING AND CURRENT ROW) AS tx_count_{n}"
     for n, ttl in [("minute", 60), ("hour", 3600), ("day", 86400)]) + " FROM {source})"
@@ -364,8 +367,7 @@ def build() -> dict[str, str]:
       ('CASH_IN','CASH_OUT','DEBIT','PAYMENT','TRANSFER') THEN upper(type) ELSE type END AS type, amount,
       {ERRORS} AS errors FROM untidy"""
     q["batch_sizes"] = """SELECT step, count(*) AS size, count(*) BETWEEN 1 AND 100 AS allowed FROM tx GROUP BY step"""
-    q["account_search"] = """, bounded AS (SELECT * FROM tx ORDER BY event_id LIMIT 100000),
-      found AS (SELECT *, count(*) OVER () AS count FROM bounded WHERE nameOrig = 'C42')
+    q["account_search"] = """, found AS (SELECT *, count(*) OVER () AS count FROM tx WHERE nameOrig = 'C42')
       SELECT event_id, step, type, amount, nameDest, count FROM found ORDER BY event_id LIMIT 100"""
     q["account_lookup"] = """SELECT event_id, nameOrig, amount FROM tx
       WHERE nameOrig IN (SELECT nameOrig FROM tx WHERE isFlaggedFraud = 1)"""
@@ -445,8 +447,11 @@ def build() -> dict[str, str]:
       FROM reduced"""
     q["fraud_by_type"] = rules + f"""SELECT type, count(*) AS total, {COUNT_IF.format('verdict')} AS fraud_count
       FROM scored GROUP BY type"""
-    q["amount_bins"] = untidy_rules + f"""SELECT {BINS} AS amount_range, {COUNT_IF.format('NOT verdict')} AS legit,
-      {COUNT_IF.format('verdict')} AS fraud FROM scored WHERE amount > 0 GROUP BY 1"""
+    q["amount_bins"] = untidy_rules + f""", labels AS (SELECT * FROM (VALUES ('0-100'), ('100-500'), ('500-1000'), ('1000-5000'),
+        ('5000-10000'), ('10000+')) AS v(amount_range)),
+      binned AS (SELECT {BINS} AS amount_range, verdict FROM scored WHERE amount > 0)
+      SELECT amount_range, {COUNT_IF.format('NOT verdict')} AS legit, {COUNT_IF.format('verdict')} AS fraud
+      FROM labels LEFT JOIN binned USING (amount_range) GROUP BY amount_range"""
     q["confusion"] = rules + f"SELECT {CONFUSION} FROM scored"
     q["quality"] = rules + f""", c AS (SELECT {CONFUSION} FROM scored)
       SELECT CASE WHEN true_positives + false_positives > 0
@@ -483,6 +488,14 @@ def build() -> dict[str, str]:
     q["counter_anchored"] = anchored_sql("nameOrig") + f"SELECT event_id, {COUNTS} FROM anchored"
     q["counter_anchored_dest"] = anchored_sql("nameDest") + f"SELECT event_id, {COUNTS} FROM anchored"
     q["counter_sliding"] = SLIDING_SQL.format(source="tx") + f"SELECT event_id, {COUNTS} FROM sliding"
+    untimed = UNTIMED_SQL + ", placed AS (SELECT * FROM untimed WHERE event_id % 11 <> 0)"
+    q["counter_anchored_untimed"] = untimed + anchored_sql("nameOrig", "placed") + \
+        f"SELECT event_id, {COUNTS} FROM untimed LEFT JOIN anchored USING (event_id)"
+    q["counter_sliding_untimed"] = untimed + SLIDING_SQL.format(source="placed") + \
+        f"SELECT event_id, {COUNTS} FROM untimed LEFT JOIN sliding USING (event_id)"
+    q["customer_profile_untimed"] = untimed + profile_sql("placed", False) + \
+        "SELECT event_id, total_amount, tx_count, avg_amount, max_amount, last_us FROM untimed LEFT JOIN profiled USING (event_id)"
+    q["clear_state"] = "SELECT 0 AS entries"
     q["customer_profile"] = profile_sql("tx", False) + \
         "SELECT event_id, total_amount, tx_count, avg_amount, max_amount, last_us FROM profiled"
     q["customer_profile_before"] = profile_sql("tx", True) + \
@@ -508,6 +521,9 @@ def build() -> dict[str, str]:
 
     # sorts, limits, splits
     q["temporal_split"] = SPLIT_SQL.format(source="tx") + "SELECT event_id, step, part FROM parts"
+    holed = ", holed AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN step END AS step FROM tx)"
+    q["temporal_split_untimed"] = holed + SPLIT_SQL.format(source="holed").replace(
+        "ORDER BY step, event_id", "ORDER BY step NULLS LAST, event_id") + "SELECT event_id, step, part FROM parts"
     q["by_step"] = "SELECT step, event_id, amount FROM tx ORDER BY step, event_id"
     q["top_risk"] = rules + """SELECT event_id, round(raw_score, 6) AS raw_score FROM scored
       ORDER BY scored.raw_score DESC, event_id LIMIT 100"""
@@ -518,6 +534,23 @@ def build() -> dict[str, str]:
     q["prepare_train_scope"] = SPLIT_SQL.format(source="tx") + \
         ", training AS (SELECT * FROM parts WHERE part = 'train')" + \
         FEATURES_SQL.format(source="parts", fitted="training") + "SELECT event_id, part, is_large_amount FROM derived"
+    q["forest_saved"] = "SELECT count(*) AS rows, count(*) AS equal FROM tx"
+    q["gbt_checked"] = "SELECT count(*) AS rows, count(*) AS in_range, count(*) AS consistent FROM tx"
+    n = len(C.FEATURES)
+    q["importance_checked"] = f"SELECT {n} AS features, 1e0 AS total, {n} AS in_range"
+    q["ensemble_metrics_checked"] = "SELECT 3 AS models, 3 AS precision, 3 AS recall, 3 AS f1_score, 3 AS auc"
+    q["batch_score_checked"] = """SELECT unnest(['ensemble', 'xgboost']) AS model_used, count(*) AS rows, count(*) AS in_range,
+      count(*) AS consistent FROM tx"""
+    q["search_resume"] = """SELECT * FROM (VALUES (0, 5, 0.01e0, true), (0, 5, 0.02e0, true), (1, 6, 0.03e0, true),
+      (2, 5, 0.01e0, true), (2, 5, 0.02e0, true)) AS v(search, trees, contamination, scored)"""
+    q["best_refit"] = "SELECT count(*) AS rows, count(*) AS in_range, 5 AS trees FROM tx"
+    # mean path of an unsuccessful search among eight rows
+    mean_path = "(2e0 * (ln(7e0) + 0.5772156649015329e0) - 2e0 * 7e0 / 8e0)"
+    q["forest_walk"] = f""", walked AS (SELECT event_id,
+        CASE WHEN NOT amount > 1000 THEN 3.5e0 WHEN NOT oldbalanceOrg > 5000 THEN 2e0 ELSE 1e0 END
+        + CASE WHEN NOT oldbalanceOrg > 100 THEN 2.5e0 ELSE 4.25e0 END AS total FROM tx),
+      judged AS (SELECT event_id, -pow(2e0, -total / (2 * {mean_path})) AS score FROM walked)
+      SELECT event_id, round(score, 9) AS forest_score, score < -0.55e0 AS is_outlier FROM judged"""
     q["forest_probability"] = GIVEN_SQL + "SELECT event_id, round(forest_probability, 6) AS forest_probability FROM scaled"
     q["forest_cut"] = GIVEN_SQL + """, p AS (SELECT quantile_cont(forest_score, 0.05) AS cut FROM given)
       SELECT count(*) FILTER (WHERE forest_score < cut) AS outliers, round(max(cut), 9) AS cut FROM given, p"""

@@ -26,9 +26,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 TX = ["event_id", *C.TX_COLUMNS]
-# Model sizes of the registered queries; the library's defaults are the full ones.
-TREES = 20
-BOOSTED = boosted.Settings(n_estimators=5, max_depth=4)
+# Searches train many models: in the registered queries they look at fewer and
+# smaller ones than the library's defaults. All other queries use full models.
+SEARCHED_TREES = ("int", 5, 15)
+# Models already trained: (application, table) -> folder.
+_TRAINED: dict[tuple[str, tuple], str] = {}
 # A moment inside the test data, 2024-01-20 00:00 UTC, in microseconds.
 AS_OF = 1705708800 * 1000000
 
@@ -163,7 +165,9 @@ def _score_runs(tx: DataFrame) -> DataFrame:
 @query
 def run_log(tx):
     spark, path = tx.sparkSession, scratch_path(tx.sparkSession, "runs")
-    _score_runs(tx).write.mode("append").parquet(path)
+    for run_ in _score_runs(tx).collect():  # one row per cut
+        tables.log_run(spark, path, run_["run_id"], run_["model"], {k: float(v) for k, v in run_["params"].items()},
+                       run_["metrics"], run_["parent_id"])
     return tables.read_runs(spark, path).select(
         "run_id", "parent_id", F.col("params")["cut"].cast("double").alias("cut"),
         F.col("metrics")["f1_score"].alias("f1_score"))
@@ -215,10 +219,8 @@ def batch_sizes(tx):
 
 @query
 def account_search(tx):
-    found = ranks.head_by(tx, "event_id", C.SEARCH_ROWS).filter(F.col("nameOrig") == "C42")
-    shown = found.orderBy("event_id").limit(C.SEARCH_SHOWN)
-    (count,) = found.agg(F.count(F.lit(1))).first()
-    return shown.select("event_id", "step", "type", "amount", "nameDest", F.lit(count).cast("bigint").alias("count"))
+    return ranks.search(tx, "nameOrig", "C42", "event_id").select(
+        "event_id", "step", "type", "amount", "nameDest", "count")
 
 
 @query
@@ -229,14 +231,7 @@ def account_lookup(tx):
 
 @query
 def verdict_views(tx):
-    """Scored once and stored; each view then filters a plain column."""
-    path = scratch_path(tx.sparkSession, "report")
-    scoring.detect(tx).select("event_id", "type", "is_fraud").write.parquet(path)
-    judged = tx.sparkSession.read.parquet(path)
-    views = {"fraud": judged.filter("is_fraud"), "legit": judged.filter(~F.col("is_fraud")), "all": judged}
-    parts = [rows.orderBy("event_id").limit(C.VIEW_ROWS).withColumn("view", F.lit(name))
-             for name, rows in views.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return scoring.verdict_views(scoring.detect(tx).select("event_id", "type", "is_fraud"))
 
 
 # --------------------------------------------------------- encodings, features
@@ -414,7 +409,7 @@ def fraud_by_type(tx):
 
 @query
 def amount_bins(tx):
-    return aggregates.amount_bins(rules.rule_score(untidy(tx).filter(~F.isnan("amount"))))
+    return aggregates.amount_bins(rules.rule_score(clean.nan_to_null(untidy(tx))))
 
 
 @query
@@ -540,6 +535,27 @@ def customer_profile_before(tx):
     return profile.profile(tx, include_current=False).select(*PROFILE)
 
 
+def _untimed(tx: DataFrame) -> DataFrame:
+    """Every eleventh row lacks its time, every thirteenth its amount."""
+    eid = F.col("event_id")
+    return tx.withColumns({"ts": F.when(eid % 11 != 0, F.col("ts")), "amount": F.when(eid % 13 != 0, F.col("amount"))})
+
+
+@query
+def counter_anchored_untimed(tx):
+    return counters.anchored(_untimed(tx).select("event_id", "nameOrig", "ts"), "nameOrig", "ts", "event_id").select("event_id", *COUNTS)
+
+
+@query
+def counter_sliding_untimed(tx):
+    return counters.sliding(_untimed(tx), "nameOrig", "ts", "event_id").select("event_id", *COUNTS)
+
+
+@query
+def customer_profile_untimed(tx):
+    return profile.profile(_untimed(tx)).select(*PROFILE)
+
+
 @query
 def velocity_features(tx):
     made = profile.realtime_features(tx, mode="sliding")
@@ -585,8 +601,22 @@ def stats_snapshot(tx):
                         body["fraud_count"].alias("fraud_count"), body["legit_count"].alias("legit_count"), "ttl_s")
 
 
+@query
+def clear_state(tx):
+    """Nothing is left of the state, but its columns."""
+    left = state.clear(_risk_state(tx))
+    return left.agg(F.count(F.lit(1)).alias("entries"))
+
+
 # -------------------------------------------------------- sorts, limits, splits
 
+@query
+def temporal_split_untimed(tx):
+    """Rows without a step are the last."""
+    holed = tx.withColumn("step", F.when(F.col("event_id") % 5 != 0, F.col("step")))
+    return ranks.temporal_split(holed).select("event_id", "step", "part")
+
+
 @query
 def temporal_split(tx):
     return ranks.temporal_split(tx).select("event_id", "step", "part")
@@ -620,7 +650,7 @@ def prepare_train_scope(tx):
 
 def _forest(tx: DataFrame) -> tuple[DataFrame, forest.Forest]:
     rows = features.training_features(tx)
-    return rows, forest.fit(rows, "event_id", trees=TREES)
+    return rows, forest.fit(rows, "event_id")
 
 
 @query
@@ -679,38 +709,88 @@ def ensemble_combine(tx):
     return rounded(made, "ensemble_probability")
 
 
-def _boosted(tx: DataFrame):
-    made = preparing.prepare(tx)
-    return made, boosted.fit(made.part("train"), BOOSTED, made.part("val"))
+def _models(tx: DataFrame) -> scoring.Models:
+    """Forest and boosted trees at full size, trained once per application and table, and loaded from what was saved."""
+    spark = tx.sparkSession
+    where = (spark.sparkContext.applicationId, tuple(sorted(tx.inputFiles())))
+    if where not in _TRAINED:
+        path = scratch_path(spark, "models")
+        training.save_models(spark, training.train(preparing.prepare(tx)), path)
+        _TRAINED[where] = path
+    return training.load_models(spark, _TRAINED[where])
 
 
 @query
 def gbt_score(tx):
-    made, model = _boosted(tx)
+    made, model = preparing.prepare(tx), _models(tx).boosted
     return boosted.scored(made.rows, model).select("event_id", "boosted_probability", "boosted_probability_verdict")
 
 
+def _between(name: str, low=0.0, high=1.0):
+    return F.count_if(F.col(name).between(low, high))
+
+
+@query
+def gbt_checked(tx):
+    """What must hold of the boosted scores, whatever the trees."""
+    said = F.col("boosted_probability_verdict") == (F.col("boosted_probability") > 0.5).cast("int")
+    return gbt_score_rows(tx).agg(F.count(F.lit(1)).alias("rows"), _between("boosted_probability").alias("in_range"),
+                                  F.count_if(said).alias("consistent"))
+
+
+def gbt_score_rows(tx):
+    return boosted.scored(features.training_features(tx), _models(tx).boosted)
+
+
 @query
 def feature_importance(tx):
-    return boosted.importance(_boosted(tx)[1], tx.sparkSession)
+    return boosted.importance(_models(tx).boosted, tx.sparkSession)
 
 
-SIZES = training.Sizes(TREES, BOOSTED)
+@query
+def importance_checked(tx):
+    found = boosted.importance(_models(tx).boosted, tx.sparkSession)
+    return found.agg(F.count_if(F.col("feature").isin(C.FEATURES)).alias("features"),
+                     F.round(F.sum("importance"), 6).alias("total"), _between("importance").alias("in_range"))
 
 
 @query
 def full_pipeline(tx):
-    return training.full_pipeline(tx, sizes=SIZES)
+    return training.full_pipeline(tx)
 
 
 @query
 def ensemble_metrics(tx):
     """Models trained, saved, loaded and judged on the held-out rows."""
-    spark, path = tx.sparkSession, scratch_path(tx.sparkSession, "models")
-    made = preparing.prepare(tx)
-    training.save_models(spark, training.train(made, SIZES), path)
-    judged = training.evaluate(made.part("test"), training.load_models(spark, path))
-    return training.as_table(spark, judged)
+    judged = training.evaluate(preparing.prepare(tx).part("test"), _models(tx))
+    return training.as_table(tx.sparkSession, judged)
+
+
+@query
+def ensemble_metrics_checked(tx):
+    found = ensemble_metrics_rows(tx)
+    return found.agg(F.count(F.lit(1)).alias("models"), *[_between(m).alias(m) for m in training.METRICS])
+
+
+def ensemble_metrics_rows(tx):
+    return training.as_table(tx.sparkSession, training.evaluate(preparing.prepare(tx).part("test"), _models(tx)))
+
+
+# A small forest, written out: tree, node, feature, threshold, left, right, length.
+WALKED = [
+    (0, 0, 0, 1000.0, 1, 2, 0.0), (0, 1, -1, 0.0, 1, 1, 3.5), (0, 2, 1, 5000.0, 3, 4, 0.0), (0, 3, -1, 0.0, 3, 3, 2.0),
+    (0, 4, -1, 0.0, 4, 4, 1.0), (1, 0, 1, 100.0, 1, 2, 0.0), (1, 1, -1, 0.0, 1, 1, 2.5), (1, 2, -1, 0.0, 2, 2, 4.25),
+]
+
+
+@query
+def forest_walk(tx):
+    """Paths, scores and verdicts of a given forest."""
+    spark, path = tx.sparkSession, scratch_path(tx.sparkSession, "walked")
+    spark.createDataFrame(WALKED, forest.NODE_SCHEMA).write.parquet(path)
+    model = forest.Forest(path, ["amount", "oldbalanceOrg"], 2, 8, 0.01, cut=-0.55)
+    made = forest.scored(tx, model).select("event_id", "forest_score", forest.is_outlier(model).alias("is_outlier"))
+    return rounded(made, "forest_score", digits=9)
 
 
 def _runs(runs: DataFrame) -> DataFrame:
@@ -724,6 +804,31 @@ def grid_forest(tx):
     return _runs(training.grid_search(preparing.prepare(tx), runs, "forest", space))
 
 
+@query
+def search_resume(tx):
+    """Two searches in one folder; each returns runs of its own settings, the first one again without training."""
+    runs, made = scratch_path(tx.sparkSession, "runs"), preparing.prepare(tx)
+    first, second = {"n_estimators": [5], "contamination": [0.01, 0.02]}, {"n_estimators": [6], "contamination": [0.03]}
+    found = [training.grid_search(made, runs, "forest", space) for space in (first, second, first)]
+    parts = [rows.select(F.lit(i).alias("search"), F.col("params")["n_estimators"].cast("int").alias("trees"),
+                         F.col("params")["contamination"].cast("double").alias("contamination"),
+                         F.col("metrics")["f1_score"].between(0, 1).alias("scored")) for i, rows in enumerate(found)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def best_refit(tx):
+    """The winner of a search, trained anew, saved, loaded, scoring every row."""
+    spark, path = tx.sparkSession, scratch_path(tx.sparkSession, "best")
+    made = preparing.prepare(tx)
+    training.grid_search(made, scratch_path(spark, "runs"), "forest", {"n_estimators": [5], "contamination": [0.02, 0.05]},
+                         model_path=path)
+    model = forest.Forest.load(spark, path)
+    scored = forest.scored(made.rows, model)
+    return scored.agg(F.count(F.lit(1)).alias("rows"), _between("forest_score", -1.0, 0.0).alias("in_range"),
+                      F.lit(model.trees).alias("trees"))
+
+
 @query
 def grid_boosted(tx):
     runs = scratch_path(tx.sparkSession, "runs")
@@ -734,7 +839,7 @@ def grid_boosted(tx):
 @query
 def trials_forest(tx):
     runs = scratch_path(tx.sparkSession, "runs")
-    space = {**training.tuning.FOREST_SPACE, "n_estimators": ("int", 5, 15)}
+    space = {**training.tuning.FOREST_SPACE, "n_estimators": SEARCHED_TREES}
     return _runs(training.trial_search(preparing.prepare(tx), runs, "forest", 2, space))
 
 
@@ -765,9 +870,21 @@ def prediction_records(tx):
 @query
 def batch_score(tx):
     """All models over the whole table."""
-    made = preparing.prepare(tx)
-    models = training.train(made, SIZES)
-    return scoring.dispatch(tx, models).select("event_id", "is_fraud", "fraud_probability", "risk_score", "model_used")
+    return scoring.dispatch(tx, _models(tx)).select("event_id", "is_fraud", "fraud_probability", "risk_score", "model_used")
+
+
+@query
+def batch_score_checked(tx):
+    """Rows, probabilities and verdicts of each branch of the dispatch."""
+    both = _models(tx)
+    parts = []
+    for models, cut in ((both, C.ENSEMBLE_CUT), (scoring.Models(None, both.boosted, both.large_amount), 0.5)):
+        made = scoring.dispatch(tx, models)
+        over = F.col("fraud_probability") > cut
+        said = (F.col("is_fraud") == over) | (F.col("fraud_probability") == cut)
+        parts.append(made.groupBy("model_used").agg(
+            F.count(F.lit(1)).alias("rows"), _between("fraud_probability").alias("in_range"), F.count_if(said).alias("consistent")))
+    return parts[0].unionByName(parts[1])
 
 
 # -------------------------------------------------------------------- streaming

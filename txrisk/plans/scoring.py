@@ -8,10 +8,12 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
+from txrisk.constants import VIEW_ROWS
 from txrisk.operators import boosted, ensemble, forest
 from txrisk.operators.false_positives import CLEARED_SUFFIX, fp_reduce
 from txrisk.operators.features import training_features
 from txrisk.operators.rules import fallback_rule, risk_score, rule_score
+from txrisk.session import reliable
 
 
 Detector = Callable[[DataFrame], DataFrame]
@@ -115,6 +117,15 @@ def dispatch(df: DataFrame, models: Models = Models(), batch_range: bool = False
     return judged.withColumn("risk_score", score)
 
 
+def verdict_views(judged: DataFrame, row_id: str = "event_id", rows: int = VIEW_ROWS) -> DataFrame:
+    """The first rows of each view (fraud, legit, all), with the column ``view``.
+    The rows are stored once; each view then filters a plain column."""
+    stored = reliable(judged)
+    views = {"fraud": stored.filter("is_fraud"), "legit": stored.filter(~F.col("is_fraud")), "all": stored}
+    parts = [v.orderBy(row_id).limit(rows).withColumn("view", F.lit(name)) for name, v in views.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def records(judged: DataFrame, row_id: str = "event_id", time: str = "ts") -> DataFrame:
     """Prediction records: verdict, probability, risk, model, the real-time
     features as a map (NULL if the rows have none) and the time."""

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txrisk.constants import BOOSTED_WEIGHT, FOREST_WEIGHT, SAMPLE_ROWS
+from txrisk.constants import BOOSTED_WEIGHT, FOREST_WEIGHT
 from txrisk.operators import boosted, forest, metrics, tuning
 from txrisk.plans.prepare import Prepared, prepare
 from txrisk.plans.scoring import Models, model_scores
@@ -39,6 +39,13 @@ def evaluate(rows: DataFrame, models: Models) -> dict[str, dict[str, float]]:
     # Scores come from Python and from the trees: computed once, judged three times.
     scored = scored.select("isFraud", "forest_verdict", "forest_probability", "boosted_probability_verdict",
                            "boosted_probability", "ensemble_verdict", "ensemble_probability").persist()
+    try:
+        return _judged(scored)
+    finally:
+        scored.unpersist()
+
+
+def _judged(scored: DataFrame) -> dict[str, dict[str, float]]:
     judged = {}
     for name, verdict, probability in [
         ("isolation_forest", "forest_verdict", "forest_probability"),
@@ -48,7 +55,6 @@ def evaluate(rows: DataFrame, models: Models) -> dict[str, dict[str, float]]:
         numbers = metrics.quality(scored, "isFraud", verdict).first().asDict()
         numbers["auc"] = metrics.auc(scored, "isFraud", probability).first()["auc"]
         judged[name] = numbers
-    scored.unpersist()
     return judged
 
 
@@ -59,13 +65,18 @@ def as_table(spark: SparkSession, judged: dict[str, dict[str, float]]) -> DataFr
 
 
 def full_pipeline(tx: DataFrame, runs_path: str | None = None, model_path: str | None = None,
-                  sample_rows: int | None = SAMPLE_ROWS, sizes: Sizes = Sizes(),
-                  key: str = "event_id") -> DataFrame:
+                  sample_rows: int | None = None, sizes: Sizes = Sizes(),
+                  key: str = "event_id", trials: int = 0) -> DataFrame:
     """Prepare, train, judge on the validation part, log and save.
-    Returns one row of metrics per model."""
+    Returns one row of metrics per model.
+
+    All rows are prepared, split and judged, unless the caller asks for a sample.
+    With ``trials`` both models are those of the best of so many searched
+    settings each, trained anew; the search logs its runs below ``runs_path``.
+    """
     spark = tx.sparkSession
     prepared = prepare(tx, sample_rows, key=key)
-    models = train(prepared, sizes, key)
+    models = train(prepared, sizes, key) if not trials else searched(prepared, runs_path, trials)
     judged = evaluate(prepared.part("val"), models)
     if runs_path:
         for model, numbers in judged.items():
@@ -76,6 +87,17 @@ def full_pipeline(tx: DataFrame, runs_path: str | None = None, model_path: str |
     return as_table(spark, judged)
 
 
+def searched(prepared: Prepared, runs_path: str, trials: int) -> Models:
+    """Both models with the best of the searched settings."""
+    if not runs_path:
+        raise ValueError("a search needs a folder for its runs")
+    best = {}
+    for model in ("forest", "boosted"):
+        runs = trial_search(prepared, runs_path, model, trials)
+        best[model] = tuning.refit(runs, trial_of(prepared, model))[2]
+    return Models(best["forest"], best["boosted"], prepared.large_amount)
+
+
 def save_models(spark: SparkSession, models: Models, path: str) -> None:
     models.forest.save(spark, os.path.join(path, "forest"))
     boosted.save(models.boosted, os.path.join(path, "boosted"))
@@ -90,19 +112,22 @@ def load_models(spark: SparkSession, path: str) -> Models:
 
 
 def grid_search(prepared: Prepared, runs_path: str, model: str, space: dict[str, list] | None = None,
-                parallelism: int = 2) -> DataFrame:
-    """All settings of a grid, judged on the validation part."""
+                parallelism: int = 2, model_path: str | None = None) -> DataFrame:
+    """All settings of a grid, judged on the validation part. A model of the best
+    ones is trained anew and saved at ``model_path``."""
     space = space or (tuning.FOREST_GRID if model == "forest" else tuning.BOOSTED_GRID)
-    return _search(prepared, runs_path, model, f"{model}-grid", tuning.grid(space), parallelism)
+    return _search(prepared, runs_path, model, f"{model}-grid", tuning.grid(space), parallelism, model_path)
 
 
 def trial_search(prepared: Prepared, runs_path: str, model: str, trials: int = 50,
-                 space: dict[str, tuple] | None = None, parallelism: int = 2) -> DataFrame:
-    """Randomly drawn settings; a repeated call continues the same study."""
+                 space: dict[str, tuple] | None = None, parallelism: int = 2,
+                 model_path: str | None = None) -> DataFrame:
+    """Randomly drawn settings; a repeated call continues the same study. A model
+    of the best ones is trained anew and saved at ``model_path``."""
     space = space or (tuning.FOREST_SPACE if model == "forest" else tuning.BOOSTED_SPACE)
     study = f"{model}-trials"
     settings = [tuning.draw(space, study, i) for i in range(trials)]
-    return _search(prepared, runs_path, model, study, settings, parallelism)
+    return _search(prepared, runs_path, model, study, settings, parallelism, model_path)
 
 
 def trial_of(prepared: Prepared, model: str):
@@ -112,6 +137,14 @@ def trial_of(prepared: Prepared, model: str):
     return lambda params: tuning.boosted_trial(train_rows, val_rows, params)
 
 
-def _search(prepared, runs_path, model, study, settings, parallelism) -> DataFrame:
+def _search(prepared, runs_path, model, study, settings, parallelism, model_path) -> DataFrame:
     spark = prepared.rows.sparkSession
-    return tuning.search(spark, settings, trial_of(prepared, model), study, runs_path, parallelism)
+    trial = trial_of(prepared, model)
+    data = f"{model}:{prepared.large_amount!r}"
+    runs = tuning.search(spark, settings, trial, study, runs_path, parallelism, data)
+    if model_path and (best := tuning.refit(runs, trial)):
+        if model == "forest":
+            best[2].save(spark, model_path)
+        else:
+            boosted.save(best[2], model_path)
+    return runs

@@ -15,6 +15,8 @@ from txrisk.operators.counters import count_in_open_window
 from txrisk.streaming.flows import LATENESS, timed
 
 WINDOWS = list(COUNTER_SECONDS)
+# Stands for the largest amount of a customer without any.
+NOTHING = np.iinfo(np.int64).min
 STATE = ", ".join(
     [f"start_{n} bigint, count_{n} bigint" for n in WINDOWS]
     + ["total bigint", "n bigint", "largest bigint", "last_us bigint"]
@@ -47,6 +49,10 @@ class CustomerState(StatefulProcessor):
         us, ids, amount = (np.concatenate([f[c].to_numpy() for f in frames]) for c in ("us", "event_id", "cents"))
         order = np.lexsort((ids, us))
         us, ids, amount = us[order], ids[order], amount[order]
+        # A missing amount adds nothing and is no largest one; the row still counts.
+        given = ~pd.isna(amount)
+        amount = np.where(given, amount, 0).astype(np.int64)
+        ranked = np.where(given, amount, NOTHING)
         second, n = us // 1_000_000, len(us)
         old = self._state.get()
         known = old is not None
@@ -60,20 +66,24 @@ class CustomerState(StatefulProcessor):
                 new_key, second, np.ones(n, np.int64), COUNTER_SECONDS[name], carried)
             out[f"tx_count_{name}"] = before + 1
             state += [int(left[0]), int(left[1])]
-        total, count, largest, last = old[2 * len(WINDOWS):] if known else (0, 0, 0, None)
+        total, count, largest, last = old[2 * len(WINDOWS):] if known else (0, 0, NOTHING, None)
         gaps = np.diff(us, prepend=us[0] if last is None else last)
         starts = np.flatnonzero(gaps >= PROFILE_TTL_SECONDS * 1_000_000).tolist()
         totals, counts, maxima = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
         edges = sorted({0, *starts, n})
         for low, high in zip(edges, edges[1:]):
             if low in starts:
-                total, count, largest = 0, 0, 0
+                total, count, largest = 0, 0, NOTHING
             part = slice(low, high)
             totals[part] = total + np.cumsum(amount[part])
             counts[part] = count + np.arange(1, high - low + 1)
-            maxima[part] = np.maximum(largest, np.maximum.accumulate(amount[part]))
+            maxima[part] = np.maximum(largest, np.maximum.accumulate(ranked[part]))
             total, count, largest = totals[high - 1], counts[high - 1], maxima[high - 1]
-        out |= {"tx_count": counts, "total_cents": totals, "max_cents": maxima, "last_us": us}
+        some = maxima != NOTHING
+        out |= {"tx_count": counts, "total_cents": pd.array(totals, dtype="Int64"), "last_us": us,
+                "max_cents": pd.array(np.where(some, maxima, 0), dtype="Int64")}
+        out["total_cents"][~some] = pd.NA
+        out["max_cents"][~some] = pd.NA
         last_us = int(us[-1]) if last is None else max(int(us[-1]), int(last))
         self._state.update((*state, int(total), int(count), int(largest), last_us))
         if not known:  # one timer per customer; it is moved on when it fires too early
