@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled pages of the table that are learnt from, the first by a hash of the address and id; a fixed bound.
+#: Labelled pages of the table that are learnt from, the first by a hash; and the most blocks that such a page has.
 TRAINING_PAGES = 300
+TRAINING_BLOCKS = 200
 STEPS = 250
 RATE = 0.1
 DECAY = 1e-3
@@ -394,7 +395,7 @@ def learnt(pages: DataFrame, key: str = "page_id", html: str = "html", training_
     for row in sample:
         blocks = leaf_blocks(row.html)
         labels = own_labels(blocks)
-        if labels:
+        if labels and len(blocks) <= TRAINING_BLOCKS:
             learn += [(described(blocks), labels), (described(blocks, ARTICLE), labels)]
     return train(learn, **settings)
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import WORD, whole
+from txrisk.llm.common import WORD, prefix, whole
 from txrisk.session import reliable
 
 WEIGHTS = (5, 2, 1)
@@ -147,27 +147,31 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     words taken that time (white space between them as it was, ranges that do not touch parted by a line break);
     n_chars, where there is one, is the new length. A document taken whole keeps its text untouched.
     """
+    p = prefix(docs)
+    c = {n: f"{p}{n}" for n in ("id", "hash", "size", "runs", "turn", "own", "use", "time", "now", "tokens", "new")}
     took = (shares(docs.select("doc_id", "text", "source"), **settings).filter("taken > 0")
-            .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), "runs",
-                    F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("runs")).alias("_turn")))
-    rows = docs.withColumn("_text_hash", F.xxhash64(whole("text"))).join(
-        took, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
+            .select(F.col("doc_id").alias(c["id"]), F.col("text_hash").alias(c["hash"]), F.col("size").alias(c["size"]),
+                    F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("runs")).alias(c["turn"]),
+                    F.col("runs").alias(c["runs"])))
+    rows = docs.withColumn(c["own"], F.xxhash64(whole("text"))).join(
+        took, F.col("doc_id").eqNullSafe(F.col(c["id"])) & (F.col(c["own"]) == F.col(c["hash"])))
     # Rows that repeat each other meet each other's ranges: each set of ranges is used once.
-    once = Window.partitionBy("_id", "_hash", "_turn").orderBy("_turn")
-    rows = rows.withColumn("_use", F.row_number().over(once)).filter("_use = 1")
-    top = F.array_max(F.transform("runs", lambda r: r["times"]))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), top)).alias("_time"))
-    rows = rows.withColumn("_now", F.filter("runs", lambda r: r["times"] >= F.col("_time")))
-    all_words = F.aggregate("_now", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["first"]) == F.col("_size")
+    once = Window.partitionBy(c["id"], c["hash"], c["turn"]).orderBy(c["turn"])
+    rows = rows.withColumn(c["use"], F.row_number().over(once)).filter(F.col(c["use"]) == 1)
+    top = F.array_max(F.transform(c["runs"], lambda r: r["times"]))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), top)).alias(c["time"]))
+    rows = rows.withColumn(c["now"], F.filter(c["runs"], lambda r: r["times"] >= F.col(c["time"])))
+    all_words = F.aggregate(c["now"], F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["first"]) == F.col(c["size"])
     tokens = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    # Touching ranges stay together; a gap becomes a line break.
-    joined = F.array_join(F.transform("_now", lambda r, i: F.concat(
-        F.when((i > 0) & (F.get("_now", i - 1)["end"] != r["first"]), F.lit("\n")).otherwise(F.lit("")),
-        F.when((i == 0) | (F.get("_now", i - 1)["end"] != r["first"]), F.ltrim(
-            F.array_join(F.slice("_tokens", (r["first"] + 1).cast("int"), (r["end"] - r["first"]).cast("int")), ""),
-            F.lit(" \t\n\x0b\x0c\r")))
-        .otherwise(F.array_join(F.slice("_tokens", (r["first"] + 1).cast("int"), (r["end"] - r["first"]).cast("int")), "")))), "")
-    rows = rows.withColumn("_tokens", F.when(all_words, F.lit(None)).otherwise(tokens))
-    rows = rows.withColumn("_new", F.when(F.col("_tokens").isNull(), F.col("text")).otherwise(joined))
-    fresh = {"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}
-    return rows.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in docs.columns])
+
+    def part(r: Column, i: Column) -> Column:
+        """Touching ranges stay together; a gap becomes a line break."""
+        said = F.array_join(F.slice(c["tokens"], (r["first"] + 1).cast("int"), (r["end"] - r["first"]).cast("int")), "")
+        opens = (i == 0) | (F.get(c["now"], i - 1)["end"] != r["first"])
+        return F.when(opens, F.concat(F.when(i > 0, F.lit("\n")).otherwise(F.lit("")), F.ltrim(said, F.lit(" \t\n\x0b\x0c\r")))).otherwise(said)
+
+    joined = F.array_join(F.transform(c["now"], part), "")
+    rows = rows.withColumn(c["tokens"], F.when(~all_words, tokens))
+    rows = rows.withColumn(c["new"], F.when(F.col(c["tokens"]).isNull(), F.col("text")).otherwise(joined))
+    fresh = {"text": F.col(c["new"]), "n_chars": F.length(c["new"]).cast("long")}
+    return rows.select(*[fresh[n].alias(n) if n in fresh else F.col(n) for n in docs.columns])

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import WORD, let, whole
+from txrisk.llm.common import WORD, let, prefix, whole
 from txrisk.session import reliable
 
 SYMBOLS = "#*$%&|<>"
@@ -161,7 +161,8 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def kept_documents(docs: DataFrame, **settings) -> DataFrame:
     """The documents that pass, all columns as they were."""
-    good = (judged(docs, **settings).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    p = prefix(docs)
+    good = (judged(docs, **settings).filter("kept").select(F.col("doc_id").alias(f"{p}id"), F.col("text_hash").alias(f"{p}hash"))
             .distinct())
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(whole("text")) == F.col("_hash"))
+    on = F.col("doc_id").eqNullSafe(F.col(f"{p}id")) & (F.xxhash64(whole("text")) == F.col(f"{p}hash"))
     return docs.join(good.hint("shuffle_hash"), on, "left_semi")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import let, whole
+from txrisk.llm.common import let, prefix, whole
 from txrisk.session import reliable
 
 
@@ -141,19 +141,21 @@ def digest(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 def masked(docs: DataFrame, mark: str = "[secret]", **settings) -> DataFrame:
     """The documents with every finding replaced by ``mark``, overlapping ones by one; clean ones are untouched.
     n_chars, where there is one, is the new length."""
+    p = prefix(docs)
+    spans, new = F.col(f"{p}spans"), f"{p}new"
     hits = found(docs.select("doc_id", "text"), **settings).filter(F.size("spans") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).distinct()
-    rows = docs.withColumn("_name", blob_name("text")).join(
-        hits.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_name") == F.col("_blob")), "left")
+        F.col("doc_id").alias(f"{p}id"), F.col("blob").alias(f"{p}blob"), F.col("spans").alias(f"{p}spans")).distinct()
+    rows = docs.withColumn(f"{p}name", blob_name("text")).join(
+        hits.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}name") == F.col(f"{p}blob")), "left")
     # Walk the spans by start; a span that begins before the last end prolongs the gap.
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("upto"))
-    walked = F.aggregate("_spans", state, lambda a, s: F.struct(
+    walked = F.aggregate(spans, state, lambda a, s: F.struct(
         F.when(s["begin"] < a["upto"], a["out"]).otherwise(F.concat(
             a["out"], F.substring(F.col("text"), (a["upto"] + 1).cast("int"), (s["begin"] - a["upto"]).cast("int")), F.lit(mark))).alias("out"),
         F.greatest(a["upto"], s["end"]).alias("upto")))
-    new = let(walked, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["upto"] + 1).cast("int"), F.lit(2147483647))))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(new)
-    rows = rows.withColumn("_new", text)
-    fresh = {"text": F.col("_new"), "n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(
-        F.length("_new").cast("long")) if "n_chars" in docs.columns else None}
-    return rows.select(*[fresh[c].alias(c) if fresh.get(c) is not None else F.col(c) for c in docs.columns])
+    tail = let(walked, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["upto"] + 1).cast("int"), F.lit(2147483647))))
+    rows = rows.withColumn(new, F.when(spans.isNull(), F.col("text")).otherwise(tail))
+    fresh = {"text": F.col(new)}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.when(spans.isNull(), F.col("n_chars")).otherwise(F.length(new).cast("long"))
+    return rows.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in docs.columns])

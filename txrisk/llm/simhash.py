@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txrisk.llm.common import prefix
 from txrisk.llm.graph import components
 from txrisk.session import reliable
 
@@ -224,6 +225,7 @@ def digits(fp: str) -> Column:
 def first_of_groups(docs: DataFrame, **settings) -> DataFrame:
     """The document with the smallest doc_id of every group, all columns as they were; of rows that repeat each other
     with one doc_id, all stay. A group without any doc_id stays whole."""
+    own = f"{prefix(docs)}id"
     firsts = (groups(docs, **settings).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-              .select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(firsts.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+              .select(F.col("doc_id").alias(own)).distinct())
+    return docs.join(firsts.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
