@@ -17,6 +17,7 @@ from txrisk.llm import (
     surrogates,
 )
 from txrisk.llm.common import table
+from txrisk.llm.oracles import ORACLES  # noqa: F401 - read by the driver contract
 
 
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +74,4 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLES: dict[str, str] = {}
+
