@@ -709,7 +709,7 @@ def ensemble_combine(tx):
     return rounded(made, "ensemble_probability")
 
 
-def _models(tx: DataFrame) -> scoring.Models:
+def trained_models(tx: DataFrame) -> scoring.Models:
     """Forest and boosted trees at full size, trained once per application and table, and loaded from what was saved."""
     spark = tx.sparkSession
     where = (spark.sparkContext.applicationId, tuple(sorted(tx.inputFiles())))
@@ -722,7 +722,7 @@ def _models(tx: DataFrame) -> scoring.Models:
 
 @query
 def gbt_score(tx):
-    made, model = preparing.prepare(tx), _models(tx).boosted
+    made, model = preparing.prepare(tx), trained_models(tx).boosted
     return boosted.scored(made.rows, model).select("event_id", "boosted_probability", "boosted_probability_verdict")
 
 
@@ -739,17 +739,17 @@ def gbt_checked(tx):
 
 
 def gbt_score_rows(tx):
-    return boosted.scored(features.training_features(tx), _models(tx).boosted)
+    return boosted.scored(features.training_features(tx), trained_models(tx).boosted)
 
 
 @query
 def feature_importance(tx):
-    return boosted.importance(_models(tx).boosted, tx.sparkSession)
+    return boosted.importance(trained_models(tx).boosted, tx.sparkSession)
 
 
 @query
 def importance_checked(tx):
-    found = boosted.importance(_models(tx).boosted, tx.sparkSession)
+    found = boosted.importance(trained_models(tx).boosted, tx.sparkSession)
     return found.agg(F.count_if(F.col("feature").isin(C.FEATURES)).alias("features"),
                      F.round(F.sum("importance"), 6).alias("total"), _between("importance").alias("in_range"))
 
@@ -762,7 +762,7 @@ def full_pipeline(tx):
 @query
 def ensemble_metrics(tx):
     """Models trained, saved, loaded and judged on the held-out rows."""
-    judged = training.evaluate(preparing.prepare(tx).part("test"), _models(tx))
+    judged = training.evaluate(preparing.prepare(tx).part("test"), trained_models(tx))
     return training.as_table(tx.sparkSession, judged)
 
 
@@ -773,7 +773,7 @@ def ensemble_metrics_checked(tx):
 
 
 def ensemble_metrics_rows(tx):
-    return training.as_table(tx.sparkSession, training.evaluate(preparing.prepare(tx).part("test"), _models(tx)))
+    return training.as_table(tx.sparkSession, training.evaluate(preparing.prepare(tx).part("test"), trained_models(tx)))
 
 
 # A small forest, written out: tree, node, feature, threshold, left, right, length.
@@ -870,13 +870,13 @@ def prediction_records(tx):
 @query
 def batch_score(tx):
     """All models over the whole table."""
-    return scoring.dispatch(tx, _models(tx)).select("event_id", "is_fraud", "fraud_probability", "risk_score", "model_used")
+    return scoring.dispatch(tx, trained_models(tx)).select("event_id", "is_fraud", "fraud_probability", "risk_score", "model_used")
 
 
 @query
 def batch_score_checked(tx):
     """Rows, probabilities and verdicts of each branch of the dispatch."""
-    both = _models(tx)
+    both = trained_models(tx)
     parts = []
     for models, cut in ((both, C.ENSEMBLE_CUT), (scoring.Models(None, both.boosted, both.large_amount), 0.5)):
         made = scoring.dispatch(tx, models)
@@ -906,7 +906,7 @@ def stream_report(stream, path):
 
 @stream_query
 def stream_rate_5m(stream, path):
-    made = run.run_available(flows.rates(rules.rule_score(stream)), path)
+    made = run.run_to_the_end(flows.rates(rules.rule_score(stream)), path, ["window_start", "result"])
     return made.select(micros(made, "window_start").alias("window_us"), "result", "predictions", "per_second")
 
 
@@ -919,7 +919,7 @@ def stream_dedupe(stream, path):
 
 @stream_query
 def stream_sessions(stream, path):
-    made = run.run_available(flows.sessions(stream), path)
+    made = run.run_to_the_end(flows.sessions(stream), path, ["nameOrig", "session_start"], "complete")
     return made.select("nameOrig", micros(made, "session_start").alias("start_us"),
                        micros(made, "session_end").alias("end_us"), "tx_count", "total_amount", "max_amount")
 

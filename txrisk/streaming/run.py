@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from txrisk.constants import BATCH_SECONDS
@@ -29,6 +29,34 @@ def run_available(out: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return out.sparkSession.read.schema(out.schema).parquet(os.path.join(path, "rows"))
 
 
+def run_to_the_end(out: DataFrame, path: str, keys: list[str], mode: str = "update") -> DataFrame:
+    """Process what is there, stop, and return the last state of every key, so
+    that windows still open at the end of a finite input come out as well.
+
+    Each micro-batch is stored under its number, so a batch that runs again
+    replaces what it wrote. ``complete`` is for aggregates that can't be updated
+    (sessions); there the last batch holds everything.
+    """
+    rows = os.path.join(path, "rows")
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(rows, f"batch={number}"))
+
+    query = (
+        out.writeStream.foreachBatch(store).option("checkpointLocation", os.path.join(path, "checkpoint"))
+        .outputMode(mode).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    schema = T.StructType([*out.schema.fields, T.StructField("batch", T.IntegerType())])
+    stored = out.sparkSession.read.schema(schema).parquet(rows)
+    if mode == "complete":
+        last = stored.agg(F.max("batch")).first()[0]
+        return stored.filter(F.col("batch") == F.lit(last)).drop("batch")
+    values = [c for c in out.columns if c not in keys]
+    newest = stored.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return newest.select(*[F.col(c) if c in keys else F.col(f"_v.{c}") for c in out.columns])
+
+
 def batch_durations(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     """Seconds and rows of the recent micro-batches, for ``aggregates.histogram``."""
     rows = [
