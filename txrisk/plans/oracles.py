@@ -508,6 +508,8 @@ def build() -> dict[str, str]:
       FROM profiled JOIN anchored USING (event_id)"""
     q["stream_velocity"] = anchored_sql("nameOrig") + profile_sql("tx", False) + f"""SELECT event_id, {COUNTS}, tx_count,
       total_amount, max_amount, last_us FROM profiled JOIN anchored USING (event_id)"""
+    q["stream_velocity_missing"] = UNTIMED_SQL + profile_sql("untimed", False) + \
+        "SELECT event_id, tx_count, total_amount, max_amount FROM profiled"
     q["erase_customer"] = STATE_SQL + """, gone AS (SELECT DISTINCT nameOrig FROM tx WHERE isFlaggedFraud = 1)
       SELECT kind, key, count(*) AS entries FROM (
         SELECT kind, key, CASE WHEN kind = 'risk' THEN key END AS owner FROM entries

@@ -933,6 +933,16 @@ def stream_velocity(spark, sf_dir):
                        money(F.col("max_cents")).alias("max_amount"), "last_us")
 
 
+@folder_query
+def stream_velocity_missing(spark, sf_dir):
+    """The same where every thirteenth amount is missing."""
+    stream, path = transaction_stream(spark, sf_dir, 1 << 30), scratch_path(spark, "stream_velocity")
+    holed = stream.withColumn("amount", F.when(F.col("event_id") % 13 != 0, F.col("amount")))
+    made = run.run_available(velocity.velocity_stream(holed), path)
+    return made.select("event_id", "tx_count", money(F.col("total_cents")).alias("total_amount"),
+                       money(F.col("max_cents")).alias("max_amount"))
+
+
 @folder_query
 def stream_score(spark, sf_dir):
     """Published messages in, scored messages out."""
