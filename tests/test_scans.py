@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from txrisk.operators import scans
 from txrisk.operators.scans import KeyedRows, Running, heavy_keys
 
 AGGREGATES = [
@@ -61,3 +62,12 @@ def test_heavy_keys(spark, rows):
     assert heavy.rows == sum(r[0] == "hot" for r in rows)
     ordinary, hot = heavy.part(df)
     assert ordinary.count() + hot.count() == len(rows) and ordinary.filter("k is null").count() > 0
+
+
+def test_heavy_keys_beyond_the_bound_are_scanned_as_ordinary_ones(spark, monkeypatch):
+    monkeypatch.setattr(scans, "MOST_HEAVY", 1)
+    df = spark.createDataFrame([(i, i % 3, i) for i in range(60)], "id bigint, k int, v bigint")
+    known = heavy_keys(df, ["k"], 5)
+    assert known.keys.count() == 1
+    made = KeyedRows.of(df, ["k"], ["id"], 5, known).running(Running("upto", "sum", "v")).rows()
+    assert {r["id"]: r["upto"] for r in made.collect()} == {i: sum(range(i % 3, i + 1, 3)) for i in range(60)}

@@ -197,3 +197,23 @@ def test_heavy_customers_get_the_same_features(spark, events, mode):
     plain = profile.realtime_features(df, mode=mode)
     cut = profile.realtime_features(df, mode=mode, heavy_rows=50).select(plain.columns)
     assert sorted(map(str, plain.collect())) == sorted(map(str, cut.collect()))
+
+
+@pytest.mark.parametrize("heavy_rows", [10**6, 1])
+@pytest.mark.parametrize("count", [counters.anchored, counters.sliding])
+def test_rows_without_a_time_are_in_no_window(spark, count, heavy_rows):
+    df = spark.createDataFrame([(1, "a", 0), (2, "a", None), (3, "a", 30), (4, "a", None), (5, None, 10), (6, None, None)],
+                               "event_id bigint, nameOrig string, s int")
+    df = df.selectExpr("event_id", "nameOrig", "cast(timestamp_seconds(s) as timestamp_ntz) AS ts")
+    got = {r["event_id"]: r["tx_count_minute"] for r in count(df, "nameOrig", "ts", "event_id", heavy_rows=heavy_rows).collect()}
+    assert got == {1: 1, 2: None, 3: 2, 4: None, 5: 1, 6: None}
+
+
+def test_writes_at_one_time_have_a_fixed_order(spark):
+    rows = [("risk", "a", p, 100, 3600) for p in ("0.9", "0.1", "0.5")]
+    found = set()
+    for order in (rows, rows[::-1], [rows[1], rows[2], rows[0]]):
+        df = spark.createDataFrame(order, "kind string, key string, payload string, s int, ttl_s int").selectExpr(
+            "kind", "key", "payload", "cast(timestamp_seconds(s) as timestamp_ntz) AS write_ts", "ttl_s").repartition(3)
+        found.add(state.latest_alive(df, 200 * 1000000).first()["payload"])
+    assert len(found) == 1
