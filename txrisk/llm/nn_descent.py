@@ -99,7 +99,9 @@ def first_pairs(vertices: DataFrame, count: int, trees: range, most: int, seed:
     crowd = spread.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks")).filter("chunks > 1")
     # A crowded block is cut by a hash that differs from partition to partition.
     chunk = F.pmod(F.xxhash64("tree", "id"), F.coalesce("chunks", F.lit(1))).cast("int")
-    return (spread.join(crowd, key, "left").withColumn("chunk", chunk).drop("chunks").groupBy(*key, "chunk")
+    cut = spread.join(crowd, key, "left").withColumn("chunk", chunk).drop("chunks")
+    # Dealt out by chunk too: else the chunks of a block would share a task.
+    return (cut.repartition(*key, "chunk").groupBy(*key, "chunk")
             .applyInArrow(lambda t: best_in_block(t, most), "u bigint, v bigint, s double"))
 
 
