@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.session import reliable
+from txrisk.session import discard, reliable
 
 MOST_ROUNDS = 60
 
@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b) pairs of whole numbers -> (node, root) for every node that has an edge; root is the component's smallest node.
 
     A round costs a few shuffles of the edges, whose number does not grow; stars need about log n rounds. Each round
-    is stored in the shared folder, which cuts the lineage. A node with many edges is a skewed join, which Spark splits.
+    is stored in the shared folder, which cuts the lineage, and the one before is deleted. A node with many edges is a skewed join, which Spark splits.
     """
     now = reliable(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
@@ -38,7 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
         if mark.n == 0 or mark == before:
             break
         before = mark
-        now = reliable(small_star(large_star(now)))
+        old, now = now, reliable(small_star(large_star(now)))
+        discard(old)
     else:
         raise RuntimeError(f"no fixed point after {MOST_ROUNDS} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
