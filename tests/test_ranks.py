@@ -111,3 +111,15 @@ def test_split_of_few_rows(spark, n):
 def test_split_sizes_keep_double_arithmetic():
     assert ranks.split_sizes(10) == (7, 8)
     assert ranks.split_sizes(100000) == (70000, 80000)
+
+
+def test_a_percentile_takes_few_passes(spark):
+    """Both neighbours come out of one bracket: a count, a sketch, a count, and the rows of the bracket."""
+    df = spark.range(50_000).select((F.col("id") * 7919 % 50_021).cast("double").alias("v"))
+    context = spark.sparkContext
+    context.setJobGroup("percentile", "")
+    try:
+        ranks.percentile(df, "v", 0.95, bracket_rows=500)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("percentile")) <= 9

@@ -39,12 +39,26 @@ def kth_smallest(df: DataFrame, column: str, ranks: list[int], bracket_rows: int
     if total <= bracket_rows:
         found = _at_ranks(values, wanted, 0, True)
     else:
-        found = {rank: _narrowed(values, rank, total, bracket_rows, near) for rank in wanted}
+        found = {}
+        for together in _neighbours(wanted):
+            found |= _narrowed(values, together, total, bracket_rows, near)
     return [found[rank] for rank in ranks]
 
 
-def _narrowed(values: DataFrame, rank: int, total: int, bracket_rows: int, near: tuple | None):
+def _neighbours(ranks: list[int]) -> list[list[int]]:
+    """Ranks that follow each other share a bracket."""
+    groups: list[list[int]] = []
+    for rank in ranks:
+        if groups and rank == groups[-1][-1] + 1:
+            groups[-1].append(rank)
+        else:
+            groups.append([rank])
+    return groups
+
+
+def _narrowed(values: DataFrame, ranks: list[int], total: int, bracket_rows: int, near: tuple | None) -> dict:
     below, inside, low, high = 0, total, None, None
+    first, last = ranks[0], ranks[-1]
     margin = 2.0 / SKETCH_ACCURACY
     while inside > bracket_rows:
         current = _between(values, low, high)
@@ -52,8 +66,8 @@ def _narrowed(values: DataFrame, rank: int, total: int, bracket_rows: int, near:
             (new_low, new_high), near = near, None
             guessed = True
         else:
-            share = (rank - below + 0.5) / inside
-            around = [max(0.0, share - margin), min(1.0, share + margin)]
+            shares = [(rank - below + 0.5) / inside for rank in (first, last)]
+            around = [max(0.0, shares[0] - margin), min(1.0, shares[1] + margin)]
             new_low, new_high = current.agg(F.percentile_approx("v", around, SKETCH_ACCURACY).alias("q")).first()["q"]
             guessed = False
         counts = current.agg(
@@ -61,7 +75,7 @@ def _narrowed(values: DataFrame, rank: int, total: int, bracket_rows: int, near:
             F.count_if(F.col("v").between(new_low, new_high)).alias("within"),
         ).first()
         start = below + counts["under"]
-        if not start <= rank < start + counts["within"]:
+        if not start <= first <= last < start + counts["within"]:
             if guessed:
                 continue
             if margin >= 1.0:
@@ -69,11 +83,11 @@ def _narrowed(values: DataFrame, rank: int, total: int, bracket_rows: int, near:
             margin *= 10  # the sketch rounds very large integers; look further around
             continue
         if new_low == new_high:
-            return new_low
+            return {rank: new_low for rank in ranks}
         if counts["within"] >= inside:
             break  # a few values hold nearly all rows
         below, inside, low, high = start, counts["within"], new_low, new_high
-    return _at_ranks(_between(values, low, high), [rank], below, inside <= bracket_rows)[rank]
+    return _at_ranks(_between(values, low, high), ranks, below, inside <= bracket_rows)
 
 
 def _at_ranks(values: DataFrame, ranks: list[int], below: int, few: bool) -> dict:
