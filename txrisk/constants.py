@@ -54,6 +54,16 @@ FP_AMOUNT = 1000.0
 FP_TARGET = 0.30
 FP_THRESHOLDS = [0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85]
 
+# Weights of the signs of an ordinary transaction.
+LEGITIMACY_WEIGHTS = {"small_amount": 0.3, "is_payment": 0.25, "proportional": 0.25, "regular_pattern": 0.2}
+
+# Transactions in an hour beyond which a customer is fast.
+HIGH_VELOCITY = 10
+
+# Topics of the message broker.
+INPUT_TOPIC = "transactions_input"
+OUTPUT_TOPIC = "fraud_predictions"
+
 # Amount ranges of the report: right-closed, label of each.
 AMOUNT_EDGES = [0.0, 100.0, 500.0, 1000.0, 5000.0, 10000.0]
 AMOUNT_LABELS = ["0-100", "100-500", "500-1000", "1000-5000", "5000-10000", "10000+"]

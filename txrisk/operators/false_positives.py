@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from txrisk.constants import (
-    FP_AMOUNT, FP_CONFIDENCE, FP_MIN_REASONS, FP_TARGET, FP_THRESHOLDS, MISSING_SEVERITY, MISSING_WEIGHT,
-    OTHER_SEVERITY_FACTOR, SEVERITY_FACTORS,
+    FP_AMOUNT, FP_CONFIDENCE, FP_MIN_REASONS, FP_TARGET, FP_THRESHOLDS, LEGITIMACY_WEIGHTS, MISSING_SEVERITY,
+    MISSING_WEIGHT, OTHER_SEVERITY_FACTOR, SEVERITY_FACTORS,
 )
 from txrisk.functions.columns import holds
 
@@ -33,7 +33,6 @@ BEHAVIOUR = {
     "proportional": "CASE WHEN oldbalanceOrg > 0 THEN newbalanceOrig / oldbalanceOrg BETWEEN 0.1D AND 0.9D END",
     "regular_pattern": "try_divide(amount, oldbalanceOrg + 1) > 0.1D AND try_divide(amount, oldbalanceOrg + 1) < 0.9D",
 }
-LEGITIMACY_WEIGHTS = {"small_amount": 0.3, "is_payment": 0.25, "proportional": 0.25, "regular_pattern": 0.2}
 
 
 def _sign(name: str, value: float = 1.0) -> str:

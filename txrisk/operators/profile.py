@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from txrisk.constants import PROFILE_TTL_SECONDS
+from txrisk.constants import HIGH_VELOCITY, PROFILE_TTL_SECONDS
 from txrisk.functions.columns import cents, event_hour, first_of, flag, holds, micros, money
 from txrisk.operators import counters
 from txrisk.operators.scans import HEAVY_ROWS, Heavy, KeyedRows, Running, heavy_keys
 
-HIGH_VELOCITY = 10
-
 
 def profile(df: DataFrame, key: str = "nameOrig", time: str = "ts", row_id: str = "event_id",
             include_current: bool = True, ttl: int = PROFILE_TTL_SECONDS, heavy_rows: int = HEAVY_ROWS,

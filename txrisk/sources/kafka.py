@@ -6,12 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
-from txrisk.constants import BATCH_EVENTS
+from txrisk.constants import BATCH_EVENTS, INPUT_TOPIC, OUTPUT_TOPIC
 from txrisk.sources.messages import encode
 
-INPUT_TOPIC = "transactions_input"
-OUTPUT_TOPIC = "fraud_predictions"
-
 
 def kafka_messages(spark: SparkSession, servers: str, topic: str = INPUT_TOPIC, starting: str = "latest",
                    events_per_trigger: int = BATCH_EVENTS) -> DataFrame:
