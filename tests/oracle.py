@@ -16,13 +16,10 @@ import duckdb
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), ".."))
 
-TABLES = ["events"]
-
-
 def connect(sf_dir: str):
     connection = duckdb.connect()
-    for table in TABLES:
-        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    for file in sorted(os.listdir(sf_dir)):
+        connection.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{sf_dir}/{file}'")
     return connection
 
 
