@@ -2,11 +2,12 @@
 
 A byte goes if a string of ``size`` bytes that covers it also starts in a document with a smaller id.
 
-Every string of ``size`` bytes is named by its minimizer: the smallest hash of the 16-byte grams in it. Equal strings
+Every string of ``size`` bytes is named by its minimizer: the smallest hash of the 12-byte grams in it. Equal strings
 have equal minimizers, so only strings of one minimizer are compared. Neighbouring strings with one minimizer are kept
 together as a segment.
 
-1. A shard is some megabytes of documents. Where a minimizer comes from several of its documents, a suffix array of
+1. A shard is some megabytes of documents. Where a minimizer comes from several of its documents, equal segments are
+   made one, and those that agree with another in sixteen bytes beside the gram are sorted. A suffix array of
    those segments (Larsson-Sadakane refinement: sorted by eight bytes, then each group of equal rank by the rank
    eight, sixteen, thirty-two bytes on) and the common prefixes of neighbours (Kasai's rule: one less than at the
    position before, if both neighbours moved on by one) show which strings are equal. What repeats an earlier document
@@ -21,52 +22,53 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.llm.common import whole
 from txrisk.session import reliable
 
 SIZE = 50
-GRAM = 16
+GRAM = 12
 SHARD_BYTES = 6_000_000
 #: Bytes of segments that a bucket holds, and that one suffix array is built over.
-BUCKET_BYTES = 24_000_000
+BUCKET_BYTES = 40_000_000
 ARRAY_BYTES = 2_000_000
 LAST = np.iinfo(np.int64).max  # stands for a missing id: after all others
 U = np.uint64
+PLACE = U((1 << 24) - 1)
+MANY = 255
 
 
 def eight(buffer: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on, the first one highest; zeros follow the end."""
-    w = np.zeros(len(buffer) + 8, U)
-    w[:len(buffer)] = buffer
-    for k in (1, 2, 4):
-        shifted = np.zeros_like(w)
-        shifted[:-k] = w[k:]
-        w = (w << U(8 * k)) | shifted
-    return w[:len(buffer)]
+    padded = np.zeros(len(buffer) + 8, np.uint8)
+    padded[:len(buffer)] = buffer
+    return np.ndarray((len(buffer),), ">u8", padded, strides=(1,)).astype(U)
 
 
 def minimizers(words: np.ndarray, size: int, gram: int) -> np.ndarray:
-    """For each position the smallest hash of the grams in the next ``size`` bytes (nothing is said of the last ones)."""
+    """For each position the smallest hash of the grams in the next ``size`` bytes, in the upper forty bits; below, where
+    the first gram with this hash is (its position modulo 2 to the 24th)."""
     n = len(words) - size + 1
     if n <= 0:
         return np.empty(0, U)
-    h = words * U(0x9E3779B97F4A7C15)
-    h ^= h >> U(29)
     last = words[gram - 8:]
-    h = h[:len(last)]
+    h = words[:len(last)] * U(0x9E3779B97F4A7C15)
+    h ^= h >> U(29)
     h ^= last * U(0xC2B2AE3D27D4EB4F)
     h *= U(0xFF51AFD7ED558CCD)
     h ^= h >> U(32)
     h *= U(0xC4CEB9FE1A85EC53)
     h ^= h >> U(31)
+    h &= ~PLACE
+    h |= np.arange(len(h), dtype=U) & PLACE
     width, span = size - gram + 1, 1
     while 2 * span <= width:
         h = np.minimum(h[:-span], h[span:])
@@ -77,20 +79,30 @@ def minimizers(words: np.ndarray, size: int, gram: int) -> np.ndarray:
 
 
 def segments(minimal: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """(minimizer, document, begin in the buffer, bytes) of the runs of strings with one minimizer."""
+    """(minimizer, anchor, document, begin in the buffer, bytes) of the runs of strings with one minimizer."""
     valid = np.zeros(len(minimal) + 1, np.int8)
     long = lengths >= size
     np.add.at(valid, starts[long], 1)
     np.add.at(valid, starts[long] + lengths[long] - size + 1, -1)
     valid = np.cumsum(valid[:-1]).astype(bool)
+    name = minimal >> U(24)
     fresh = valid.copy()
-    fresh[1:] &= ~valid[:-1] | (minimal[1:] != minimal[:-1])
+    fresh[1:] &= ~valid[:-1] | (name[1:] != name[:-1])
     fresh[starts[long]] = True
     begin = np.flatnonzero(fresh)
     document = np.searchsorted(starts, begin, side="right") - 1
     # Documents of no bytes share their start with the next one.
     end = np.minimum(np.append(begin[1:], len(minimal)), starts[document] + lengths[document] - size + 1)
-    return minimal[begin], document, begin, end - begin + size - 1
+    return (*named(minimal, begin, end - begin + size - 1, size), document, begin, end - begin + size - 1)
+
+
+def named(minimal: np.ndarray, begin: np.ndarray, length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(minimizer, anchor) of segments. The anchor is where its gram is in the segment, or MANY if it is there more than
+    once."""
+    first, last = minimal[begin], minimal[begin + length - size]
+    anchor = ((first & PLACE).astype(np.int64) - begin) % (1 << 24)
+    once = ((first & PLACE) == (last & PLACE)) & (anchor < MANY) & (len(minimal) < 1 << 24)
+    return first >> U(24), np.where(once, anchor, MANY).astype(np.uint8)
 
 
 def gathered(buffer: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -238,18 +250,70 @@ def merged(buffer: np.ndarray, length: np.ndarray, document: np.ndarray, size: i
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
 
 
-def resolved(minimizer: np.ndarray, document: np.ndarray, length: np.ndarray, begin: np.ndarray, buffer: np.ndarray, size: int,
-             array_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, offset in it) of all strings that repeat a smaller document. Segments of a minimizer with one document
-    are not looked at; those of whole minimizers share an array as far as it goes."""
-    by = np.lexsort((document, minimizer))
-    m, d = minimizer[by], document[by]
-    starts = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1]))) if len(m) else np.empty(0, np.int64)
-    sizes = np.diff(np.append(starts, len(m)))
-    several = d[starts] != d[np.minimum(starts + sizes, len(m)) - 1] if len(m) else np.empty(0, bool)
-    by, group = by[np.repeat(several, sizes)], np.repeat(np.arange(several.sum()), sizes[several])
-    if not len(by):
+def in_several(name: np.ndarray, document: np.ndarray) -> np.ndarray:
+    """Which rows have a name that comes from at least two documents."""
+    by = np.lexsort((document, name))
+    n, d = name[by], document[by]
+    starts = np.flatnonzero(np.concatenate(([True], n[1:] != n[:-1])))[:len(n)]
+    sizes = np.diff(np.append(starts, len(n)))
+    out = np.zeros(len(n), bool)
+    if len(n):
+        out[by] = np.repeat(d[starts] != d[starts + sizes - 1], sizes)
+    return out
+
+
+def beside(buffer: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """A hash of the sixteen bytes at each place; where they are not there, no other is like it."""
+    view = np.ndarray((max(0, len(buffer) - 7),), "<u8", buffer, strides=(1,))
+    out = np.arange(len(at), dtype=U)
+    x = view[at[there]] * U(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> U(31))) * U(0xC2B2AE3D27D4EB4F) + view[at[there] + 8] * U(0xFF51AFD7ED558CCD)
+    out[there] = x ^ (x >> U(29))
+    return out
+
+
+def comparable(minimizer: np.ndarray, document: np.ndarray, length: np.ndarray, anchor: np.ndarray, begin: np.ndarray, buffer: np.ndarray,
+               gram: int) -> np.ndarray:
+    """Which segments may share a string with another document. Of a string's bytes beside the gram, sixteen or more lie
+    on one side; so the segments agree in the sixteen bytes before their anchors or in those behind them."""
+    many = anchor == MANY
+    unclear = np.isin(minimizer, minimizer[many])
+    where = begin + anchor
+    out = unclear & in_several(minimizer, document)
+    for at, there in ((where + gram, anchor + gram + 16 <= length), (where - 16, anchor >= 16)):
+        there = there & ~unclear
+        side = beside(buffer, at, there) ^ (minimizer * U(0xD6E8FEB86659FD93))
+        side[~there] = np.flatnonzero(~there).astype(U)
+        out |= in_several(side, document) & there
+    return out
+
+
+def resolved(minimizer: np.ndarray, document: np.ndarray, length: np.ndarray, anchor: np.ndarray, begin: np.ndarray, buffer: np.ndarray,
+             size: int, gram: int, array_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, offset in it) of all strings that repeat a smaller document.
+
+    Segments of a minimizer with one document are not looked at. Equal segments are one, that of the smallest document;
+    the others repeat it whole. What is left, segments that are alike in part, is sorted; those of whole minimizers share
+    an array as far as it goes.
+    """
+    rows = np.flatnonzero(in_several(minimizer, document))
+    if not len(rows):
         return np.empty(0, np.int64), np.empty(0, np.int64)
+    rows = rows[np.argsort(document[rows], kind="stable")]
+    raw = buffer.tobytes()
+    seen: dict[bytes, int] = {}
+    first = np.array([seen.setdefault(raw[b:e], i) for i, (b, e) in enumerate(zip(begin[rows].tolist(), (begin[rows] + length[rows]).tolist()))])
+    del seen
+    copies = np.flatnonzero(document[rows] > document[rows[first]])
+    strings_in = length[rows[copies]] - size + 1
+    out = [(np.repeat(rows[copies], strings_in), np.arange(strings_in.sum()) - np.repeat(np.cumsum(strings_in) - strings_in, strings_in))]
+    # Equal segments of the smallest document, too, get what is found of the first.
+    same = np.flatnonzero((first != np.arange(len(rows))) & (document[rows] == document[rows[first]]))
+    lone = rows[first == np.arange(len(rows))]
+    columns = [x[lone] for x in (minimizer, document, length, anchor.astype(np.int64), begin)]
+    lone = lone[comparable(*columns, buffer, gram)]
+    by = lone[np.lexsort((document[lone], minimizer[lone]))]
+    group = np.cumsum(np.concatenate(([True], minimizer[by][1:] != minimizer[by][:-1])))[:len(by)] - 1
     weight = np.bincount(group, length[by]).astype(np.int64)
     lots, lot, held = [], 0, 0
     for w in weight.tolist():
@@ -257,15 +321,23 @@ def resolved(minimizer: np.ndarray, document: np.ndarray, length: np.ndarray, be
             lot, held = lot + 1, 0
         lots.append(lot)
         held += w
-    lot_of = np.array(lots)[group]
-    out = []
-    for part in np.split(by, np.flatnonzero(np.diff(lot_of)) + 1):
+    found = []
+    for part in np.split(by, np.flatnonzero(np.diff(np.array(lots, np.int64)[group])) + 1) if len(by) else []:
         own = gathered(buffer, begin[part], length[part])
-        if len(own) > 2 * array_bytes:
-            position, segment = merged(own, length[part], document[part], size, array_bytes)
-        else:
-            position, segment = later(own, length[part], document[part], size)
-        out.append((part[segment], position - (np.cumsum(length[part]) - length[part])[segment]))
+        look = merged if len(own) > 2 * array_bytes else later
+        position, segment = look(own, length[part], document[part], size, *([array_bytes] if look is merged else []))
+        found.append((part[segment], position - (np.cumsum(length[part]) - length[part])[segment]))
+    if found:
+        segment, offset = (np.concatenate(x) for x in zip(*found))
+        out.append((segment, offset))
+        if len(same):
+            by = np.argsort(segment, kind="stable")
+            segment, offset = segment[by], offset[by]
+            owner = rows[first[same]]
+            low, high = np.searchsorted(segment, owner), np.searchsorted(segment, owner, side="right")
+            n = high - low
+            take = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            out.append((np.repeat(rows[same], n), offset[take]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -290,18 +362,17 @@ class Spans:
         return np.frombuffer(blob, "<i8").reshape(4, -1)
 
 
-def bundle(minimizer: np.ndarray, key: np.ndarray, mark: np.ndarray, start: np.ndarray, length: np.ndarray, raw: bytes) -> bytes:
-    """Segments in the order of documents: the table of documents, then columns that repeat little, then the bytes."""
+def bundle(key: np.ndarray, mark: np.ndarray, start: np.ndarray, length: np.ndarray, raw: bytes) -> bytes:
+    """Segments in the order of documents: the table of documents, then starts and lengths, then the bytes. Minimizers are
+    found again on the other side."""
     change = np.concatenate(([True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])))
-    document = np.cumsum(change) - 1
-    columns = [np.array([len(key), change.sum()], "<i8"), key[change], mark[change], np.bincount(document).astype("<u4"),
-               np.diff(start, prepend=0).astype("<i4"), length.astype("<u4"), (minimizer >> U(24)).astype(U)]
-    five = columns[-1].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    body = b"".join([c.astype(c.dtype.newbyteorder("<")).tobytes() for c in columns[:-1]] + [five.tobytes(), raw])
-    return zstandard.ZstdCompressor(level=3).compress(body)
+    columns = [np.array([len(key), change.sum()], "<i8"), key[change].astype("<i8"), mark[change].astype("<i8"),
+               np.bincount(np.cumsum(change) - 1).astype("<u4"), np.diff(start, prepend=0).astype("<i4"), length.astype("<u4")]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([c.tobytes() for c in columns] + [raw]))
 
 
-def unbundle(blob: bytes) -> tuple[np.ndarray, ...]:
+def unbundle(blob: bytes, size: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(minimizer, anchor, key, mark, start, bytes of each, the bytes)."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, docs = np.frombuffer(raw, "<i8", 2).tolist()
     at = 16
@@ -310,10 +381,10 @@ def unbundle(blob: bytes) -> tuple[np.ndarray, ...]:
         out.append(np.frombuffer(raw, kind, count, at))
         at += out[-1].nbytes
     key, mark, per, start, length = out
-    five = np.zeros((n, 8), np.uint8)
-    five[:, :5] = np.frombuffer(raw, np.uint8, 5 * n, at).reshape(-1, 5)
-    body = np.frombuffer(raw, np.uint8, -1, at + 5 * n)
-    return (five.view("<u8").reshape(-1), np.repeat(key, per), np.repeat(mark, per), np.cumsum(start.astype(np.int64)), length.astype(np.int64), body)
+    length, body = length.astype(np.int64), np.frombuffer(raw, np.uint8, -1, at)
+    minimal = minimizers(eight(body), size, gram)
+    return (*named(minimal, np.cumsum(length) - length, length, size), np.repeat(key, per), np.repeat(mark, per),
+            np.cumsum(start.astype(np.int64)), length, body)
 
 
 def shards(batches: Iterator[pa.RecordBatch], size: int, gram: int, shard_bytes: int, array_bytes: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -326,8 +397,8 @@ def shards(batches: Iterator[pa.RecordBatch], size: int, gram: int, shard_bytes:
         buffer = np.frombuffer(b"".join(texts), np.uint8)
         keys, marks = np.array(key, np.int64), np.array(mark, np.int64)
         minimal = minimizers(eight(buffer), size, gram) if len(buffer) >= size else np.empty(0, U)
-        m, d, begin, length = segments(minimal, starts, lengths, size)
-        late, offset = resolved(m, keys[d], length, begin, buffer, size, array_bytes)
+        m, anchor, d, begin, length = segments(minimal, starts, lengths, size)
+        late, offset = resolved(m, keys[d], length, anchor, begin, buffer, size, gram, array_bytes)
         rows: dict[str, list] = {"bucket": [], "spans": [], "segments": []}
         if len(late):
             at = begin[late] + offset
@@ -340,18 +411,18 @@ def shards(batches: Iterator[pa.RecordBatch], size: int, gram: int, shard_bytes:
                 rows["segments"].append(None)
         # A segment all of whose strings are settled need not go on.
         settled = np.bincount(late, minlength=len(m)) >= length - size + 1 if len(m) else np.empty(0, bool)
-        m, d, begin, length = m[~settled], d[~settled], begin[~settled], length[~settled]
+        m, d, begin, length = (x[~settled] for x in (m, d, begin, length))
         bucket = (m % U(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
-        m, d, begin, length, bucket = m[by], d[by], begin[by], length[by], bucket[by]
+        d, begin, length, bucket = (x[by] for x in (d, begin, length, bucket))
         edges = np.flatnonzero(np.diff(bucket)) + 1
         raw = buffer.tobytes()
-        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(m)]):
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(d)]):
             if hi > lo:
                 body = b"".join([raw[b:e] for b, e in zip(begin[lo:hi].tolist(), (begin[lo:hi] + length[lo:hi]).tolist())])
                 rows["bucket"].append(int(bucket[lo]))
                 rows["spans"].append(None)
-                rows["segments"].append(bundle(m[lo:hi], keys[d[lo:hi]], marks[d[lo:hi]], begin[lo:hi] - starts[d[lo:hi]], length[lo:hi], body))
+                rows["segments"].append(bundle(keys[d[lo:hi]], marks[d[lo:hi]], begin[lo:hi] - starts[d[lo:hi]], length[lo:hi], body))
         return pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int64()), pa.array(rows["spans"], pa.binary()),
                                            pa.array(rows["segments"], pa.binary())], names=["bucket", "spans", "segments"])
 
@@ -371,39 +442,55 @@ def shards(batches: Iterator[pa.RecordBatch], size: int, gram: int, shard_bytes:
         yield shard()
 
 
-def met(table: pa.Table, size: int, array_bytes: int) -> pa.Table:
-    """All rows of a bucket -> (key, mark, spans): begin and end of the bytes to remove, one after the other."""
+NO_SPANS = {"bucket": pa.int64(), "spans": pa.binary()}
+
+
+def met(table: pa.Table, size: int, gram: int, array_bytes: int, buckets: int) -> pa.Table:
+    """All rows of a bucket -> spans, (bucket by document, spans)."""
     settled = [Spans.unpack(x) for x in table["spans"].to_pylist() if x is not None]
-    bundles = [unbundle(x) for x in table["segments"].to_pylist() if x is not None]
+    bundles = [unbundle(x, size, gram) for x in table["segments"].to_pylist() if x is not None]
     if bundles:
-        m, key, mark, start, length, body = (np.concatenate(x) for x in zip(*bundles))
+        m, anchor, key, mark, start, length, body = (np.concatenate(x) for x in zip(*bundles))
         del bundles
         begin = np.cumsum(length) - length
-        segment, offset = resolved(m, key, length, begin, body, size, array_bytes)
+        segment, offset = resolved(m, key, length, anchor, begin, body, size, gram, array_bytes)
         if len(segment):
             # Documents are told apart by key and mark.
-            pairs, number = np.unique(np.stack((key[segment], mark[segment])), axis=1, return_inverse=True)
-            who, b, e = runs(start[segment] + offset, number.reshape(-1), size)
-            settled.append(np.stack((pairs[0][who], pairs[1][who], b, e)))
+            by = np.lexsort((mark[segment], key[segment]))
+            segment, offset = segment[by], offset[by]
+            k, x = key[segment], mark[segment]
+            number = np.cumsum(np.concatenate(([True], (k[1:] != k[:-1]) | (x[1:] != x[:-1])))) - 1
+            first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+            who, b, e = runs(start[segment] + offset, number, size)
+            settled.append(np.stack((k[first][who], x[first][who], b, e)))
     if not settled:
-        return pa.table({"key": pa.array([], pa.int64()), "mark": pa.array([], pa.int64()), "spans": pa.array([], pa.binary())})
-    key, mark, begin, end = np.concatenate(settled, axis=1)
+        return pa.table({c: pa.array([], t) for c, t in NO_SPANS.items()})
+    spans = np.concatenate(settled, axis=1)
+    to = spans[0].astype(U) % U(buckets)
+    by = np.argsort(to, kind="stable")
+    cuts = np.flatnonzero(np.diff(to[by])) + 1
+    parts = np.split(by, cuts)
+    return pa.table({"bucket": pa.array([int(to[p[0]]) for p in parts], pa.int64()), "spans": pa.array([Spans.pack(*spans[:, p]) for p in parts], pa.binary())})
+
+
+def by_document(table: pa.Table) -> pa.Table:
+    """All spans of a bucket of documents -> (key, mark, spans): begin and end of the bytes to remove, one after the other."""
+    key, mark, begin, end = np.concatenate([Spans.unpack(x) for x in table["spans"].to_pylist()], axis=1)
     by = np.lexsort((begin, mark, key))
     key, mark, begin, end = key[by], mark[by], begin[by], end[by]
-    cuts = np.flatnonzero((key[1:] != key[:-1]) | (mark[1:] != mark[:-1])) + 1
+    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]))))
     both = np.stack((begin, end), axis=1).astype("<i8")
-    first = np.concatenate(([0], cuts))
     return pa.table({"key": pa.array(key[first]), "mark": pa.array(mark[first]),
-                     "spans": pa.array([x.tobytes() for x in np.split(both, cuts)], pa.binary())})
+                     "spans": pa.array([x.tobytes() for x in np.split(both, first[1:])], pa.binary())})
 
 
-def free(*frames: DataFrame) -> None:
-    """Lets Spark drop the shuffle files of frames whose result is stored; else they stay until the driver's garbage is
-    collected."""
-    spark = frames[0].sparkSession
-    del frames
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def free(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of frames that nobody holds any more; else they stay until the driver happens to
+    collect its garbage. Files go a moment after their frame, and a frame a moment after what refers to it."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def spans_found(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, shard_bytes: int = SHARD_BYTES,
@@ -414,16 +501,15 @@ def spans_found(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     # Segments overlap: together they have about four times the bytes.
     buckets = max(1, -(-4 * total // bucket_bytes))
     sent = rows.mapInArrow(lambda it: shards(it, size, gram, shard_bytes, array_bytes, buckets), "bucket bigint, spans binary, segments binary")
-    found = sent.groupBy("bucket").applyInArrow(lambda t: met(t, size, array_bytes), "key bigint, mark bigint, spans binary")
-    return reliable(found)
+    found = sent.groupBy("bucket").applyInArrow(lambda t: met(t, size, gram, array_bytes, buckets), "bucket bigint, spans binary")
+    return reliable(found.groupBy("bucket").applyInArrow(by_document, "key bigint, mark bigint, spans binary"))
 
 
-def kept_bytes(raw: bytes, spans: list[bytes] | None) -> tuple[bytes, int, int]:
+def kept_bytes(raw: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
     """What is left, how many bytes went, and in how many runs."""
     if not spans:
         return raw, 0, 0
-    pairs = np.concatenate([np.frombuffer(s, "<i8").reshape(-1, 2) for s in spans])
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    pairs = np.frombuffer(spans, "<i8").reshape(-1, 2)
     reach = np.maximum.accumulate(pairs[:, 1])
     fresh = np.concatenate(([True], pairs[1:, 0] > reach[:-1]))
     begin = pairs[fresh, 0].tolist()
@@ -439,12 +525,11 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings
     each other, so rows that repeat each other are treated alike. No rows give no rows. Other columns may have any name.
     """
     spans = spans_found(docs, key, text, **settings)
-    free(spans)
-    by_document = spans.groupBy("key", "mark").agg(F.collect_list("spans").alias("spans"))
+    free(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("mark", F.xxhash64(whole("text")))
     rows = rows.withColumn("whole_key", F.coalesce(F.col("key").cast("long"), F.lit(int(LAST))))
-    side = by_document.withColumnsRenamed({"key": "whole_key"}).hint("shuffle_hash")
+    side = spans.withColumnsRenamed({"key": "whole_key"}).hint("shuffle_hash")
     joined = rows.join(side, ["whole_key", "mark"], "left").select("key", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
