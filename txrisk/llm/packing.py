@@ -10,7 +10,9 @@ dealt to shorter sequences, also of powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -28,8 +30,10 @@ VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Pieces per bin of the classes; beyond 8, powers of two.
 SMALL_CLASSES = (1, 2, 3, 4, 5, 6, 7, 8)
-#: Words that a worker remembers the ids of.
-REMEMBERED = 300_000
+#: Words of each of the two generations that a worker process remembers the ids of.
+REMEMBERED = 500_000
+#: Characters of the texts whose words are held at a time.
+HELD = 1_000_000
 
 
 def class_lengths(capacity: int) -> list[int]:
@@ -51,29 +55,85 @@ def cuts(length: int, lengths: list[int]) -> list[int]:
     return out
 
 
+#: New words that are encoded in one call.
+JOINED = 4_000
+STOP = re.compile(r"(?<=[A-Za-z0-9])([.,]) ")
+
+
 class Ids:
-    """Token ids of texts. No token of this kind of vocabulary crosses white space, so words are encoded once each."""
+    """Token ids of texts, for vocabularies whose tokens cross neither white space nor the border of letters and
+    punctuation. So words are encoded once each."""
 
     def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         if not os.path.exists(vocabulary):
             import public_tokenizers
 
             vocabulary = public_tokenizers.path(vocabulary)
-        self.tokenizer, self.known, self.remembered = Tokenizer.from_file(vocabulary), {}, remembered
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").split(" ") if "\n" not in (text or "") else text.replace("\n", " ").split(" ")
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > self.remembered:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for w, made in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[w] = made.ids
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.dtype("<u4"))
+        tokenizer = Tokenizer.from_file(vocabulary)
+        special = tokenizer.get_added_tokens_decoder()
+        self.parting = next(((t.content, i) for i, t in special.items() if t.special and not (t.normalized or t.lstrip or t.rstrip)
+                             and len(t.content) > 4 and not t.content.isalnum()), None)
+        self.folds = '"Lowercase"' in json.dumps(json.loads(tokenizer.to_str())["normalizer"])
+        self.tokenizer, self.known, self.older, self.remembered = tokenizer, {}, {}, remembered
+
+    def raw(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
+        out = []
+        at = 0
+        while at < len(texts):
+            split, held = [], 0
+            while at < len(texts) and held < HELD:
+                text = texts[at] or ""
+                held += len(text)
+                if self.folds and text.isascii() and "<|" not in text:
+                    text = text.lower()  # special tokens are looked for before case is dropped
+                # A full stop or comma after a letter is a token of its own, so there are fewer kinds of words.
+                split.append(STOP.sub(r" \1 ", text.replace("\n", " ")).split(" "))
+                at += 1
+            self.learn(split)
+            out += [b"".join(map(self.known.__getitem__, words)) for words in split]
+        return out
+
+    def learn(self, split: list[list[str]]) -> None:
+        """Makes sure that all words are known. When too many are, those not met again are forgotten."""
+        if len(self.known) > self.remembered:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
+        known.update({w: older[w] for w in new if w in older})
+        new = [w for w in new if w not in known]
+        for i in range(0, len(new), JOINED):
+            self.encode(new[i:i + JOINED])
+
+    def encode(self, words: list[str]) -> None:
+        """Learns new words: all in one call, parted by a special token, which is looked for before anything else is done to
+        a text. Words that may hold a part of one are encoded one by one."""
+        alone = words
+        if self.parting:
+            mark, number = self.parting
+            alone = [w for w in words if mark[:2] in w]
+            words = [w for w in words if mark[:2] not in w] if alone else words
+            (made,) = self.tokenizer.encode_batch_fast([mark.join(words)], add_special_tokens=False)
+            ids = np.array(made.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == number), len(ids))
+            raw, begins = ids.tobytes(), np.concatenate(([0], ends[:-1] + 1))
+            if words:
+                self.known.update(zip(words, [raw[a:b] for a, b in zip((4 * begins).tolist(), (4 * ends).tolist())]))
+        for w in alone:
+            self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+#: One for each vocabulary in a worker process, kept from task to task.
+WORKERS: dict[str, Ids] = {}
+
+
+def ids_of(vocabulary: str) -> Ids:
+    if vocabulary not in WORKERS:
+        WORKERS[vocabulary] = Ids(vocabulary)
+    return WORKERS[vocabulary]
 
 
 SCHEMA = ("key {key}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, class int, worker int, "
@@ -87,13 +147,14 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, worker = Ids(vocabulary), TaskContext.get().partitionId()
+        ids, worker = ids_of(vocabulary), TaskContext.get().partitionId()
+        last = np.array([end], "<u4").tobytes()
         placed, crc = [0] * len(lengths), zlib.crc32
         for batch in batches:
             whose, out = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                made = np.append(ids.of(text), np.array([end], "<u4"))
-                raw, start, total = made.tobytes(), 0, len(made)
+            for i, raw in enumerate(ids.raw(batch.column(1).to_pylist())):
+                raw, start = raw + last, 0
+                total = len(raw) // 4
                 for c in cuts(total, lengths):
                     size = lengths[c]
                     whose.append(i)
