@@ -242,6 +242,21 @@ def test_nn_descent(spark, monkeypatch, block):
         assert (r.component_id, r.n_links, r.kept) == (100 + smallest[i], sum(i in p for p in pairs), smallest[i] == i)
 
 
+@pytest.mark.parametrize("block", [7, 1024])
+def test_links_that_no_list_has_room_for(spark, monkeypatch, block):
+    """Two dense groups, each larger than a list, joined only by pairs just above the threshold."""
+    monkeypatch.setattr(nn_descent, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    group = lambda angle: [math.cos(angle), math.sin(angle), 0, 0, 0, 0] + rng.normal(scale=0.003, size=(14, 6))
+    vectors = np.concatenate((group(0.0), group(0.435))).astype(np.float32).astype(float).tolist()
+    pairs = brute_links(vectors)
+    across = [p for p in pairs if p[0] < 14 <= p[1]]
+    assert 28 < len(across) and brute.classes(28, pairs) == [0] * 28 and brute.classes(28, [p for p in pairs if p not in across]) == [0] * 14 + [14] * 14
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id int, embedding array<float>")
+    for r in nn_descent.linked(rows, neighbours=4).collect():
+        assert (r.component_id, r.n_links) == (0, sum(r.vec_id in p for p in pairs))
+
+
 def test_nn_descent_of_repeated_and_no_rows(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (None, [0.0, 1.0]), (None, None)], "vec_id bigint, embedding array<float>")
     got = bag(tuple(r) for r in nn_descent.linked(rows).collect())

@@ -5,9 +5,10 @@ blocks: a few random-hyperplane partitions, in each of which the vertices of a b
 round, the neighbours and reverse neighbours of a vertex meet and are compared with each other, and better ones enter
 the lists. Pairs at the threshold are links; links give components.
 
-A list that is full of links is saturated: it may lack some. Such lists are enlarged to all that can be linked to
-their vertex, which is its component: within a component of three or more all pairs are compared, block against block,
-and only counts leave a task. So the number of links is complete as far as the components are.
+A list is cut to its best, so links are not read from lists alone: every block and every meeting also ties together what
+its links connect, by at most one row per member, before anything is cut. Lists and ties give the components; within a
+component all pairs are compared, block against block, and only counts leave a task. So no link that was ever computed
+is lost, and the number of links is complete as far as the components are.
 
 The recall is audited: a bounded number of vectors, chosen by hash, is compared with all vectors. As long as too many
 of their links are missing, further partitions and rounds follow.
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.llm.graph import components
-from txrisk.session import reliable
+from txrisk.session import discard, reliable
 
 THRESHOLD = 0.9
 NEIGHBOURS = 8
@@ -76,23 +77,43 @@ def leaves(vertices: DataFrame, trees: range, bits: int, seed: int) -> DataFrame
     return vertices.mapInArrow(run, "tree int, width int, code bigint, id bigint, vec array<float>")
 
 
-def best_in_block(table: pa.Table, most: int) -> pa.Table:
-    """The best neighbours of every vertex of a block: (u, v, s)."""
+def tied(count: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links a-b of ``count`` members -> (member, smallest member that it is connected to), where they differ."""
+    root = np.arange(count)
+    while True:
+        x, y = root[a], root[b]
+        open_ = x != y
+        if not open_.any():
+            member = np.flatnonzero(root != np.arange(count))
+            return member, root[member]
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def best_in_block(table: pa.Table, most: int, threshold: float) -> pa.Table:
+    """The best neighbours of every vertex of a block: (u, v, s); and what its links tie together, without s."""
     ids = table["id"].to_numpy()
     x = vectors(table["vec"].combine_chunks())
-    out = []
+    out, links = [], []
     for i in range(0, len(x), BLOCK):
         s = x[i:i + BLOCK] @ x.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
+        a, b = np.nonzero(s >= threshold)
+        links.append((a + i, b))
         k = min(most, len(x) - 1)
         if k > 0:
             at = np.argpartition(-s, k - 1, axis=1)[:, :k]
             out.append((np.repeat(ids[i:i + BLOCK], k), ids[at].ravel(), np.take_along_axis(s, at, 1).ravel()))
     u, v, s = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "s": pa.array(s, pa.float64())})
+    a, b = tied(len(x), *(np.concatenate(c) for c in zip(*links))) if links else (np.empty(0, np.int64), np.empty(0, np.int64))
+    return pa.table({"u": pa.array(np.concatenate((u, ids[a])), pa.int64()), "v": pa.array(np.concatenate((v, ids[b])), pa.int64()),
+                     "s": pa.concat_arrays([pa.array(s, pa.float64()), pa.nulls(len(a), pa.float64())])})
 
 
-def first_pairs(vertices: DataFrame, count: int, trees: range, most: int, seed: int) -> DataFrame:
+def first_pairs(vertices: DataFrame, count: int, trees: range, most: int, threshold: float, seed: int) -> DataFrame:
+    """Pairs (u, v, s) of the partitions; without s, a tie."""
     bits = max(0, math.ceil(math.log2(max(1, count) / LEAF)))
     spread = leaves(vertices, trees, bits, seed)
     key = ["tree", "width", "code"]
@@ -102,7 +123,7 @@ def first_pairs(vertices: DataFrame, count: int, trees: range, most: int, seed:
     cut = spread.join(crowd, key, "left").withColumn("chunk", chunk).drop("chunks")
     # Dealt out by chunk too: else the chunks of a block would share a task.
     return (cut.repartition(*key, "chunk").groupBy(*key, "chunk")
-            .applyInArrow(lambda t: best_in_block(t, most), "u bigint, v bigint, s double"))
+            .applyInArrow(lambda t: best_in_block(t, most, threshold), "u bigint, v bigint, s double"))
 
 
 def lists(pairs: DataFrame, most: int) -> DataFrame:
@@ -111,9 +132,9 @@ def lists(pairs: DataFrame, most: int) -> DataFrame:
     return once.groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "v")), asc=False), 1, most).alias("list"))
 
 
-def meetings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def meetings(rows: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Rows (p, m, least, vec), sorted by p: all members of a pivot are compared; (u, v, s) where s is better than what
-    u has last. Pivots with equally many members of one width are computed together."""
+    u has last, and what the links tie together, without s. Pivots with equally many members of one width are computed together."""
     held: list[pa.RecordBatch] = []
 
     def work(t: pa.Table) -> pa.RecordBatch | None:
@@ -122,7 +143,7 @@ def meetings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         widths = np.asarray(vec.value_lengths())
         starts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
         sizes = np.diff(np.append(starts, len(p)))
-        out = []
+        out, ties = [], []
         for width in np.unique(widths[starts]).tolist():
             for size in np.unique(sizes).tolist():
                 at = starts[(sizes == size) & (widths[starts] == width)]
@@ -130,9 +151,12 @@ def meetings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     own = at[lo:lo + 512, None] + np.arange(size)
                     x = vectors(vec.take(pa.array(own.ravel()))).reshape(len(own), size, width)
                     s = x @ x.transpose(0, 2, 1)
-                    ok = (s > least[own][:, :, None]) & ~np.eye(size, dtype=bool)
-                    g, a, b = np.nonzero(ok)
+                    other = ~np.eye(size, dtype=bool)
+                    g, a, b = np.nonzero((s > least[own][:, :, None]) & other)
                     out.append((m[own[g, a]], m[own[g, b]], s[g, a, b]))
+                    g, a, b = np.nonzero((s >= threshold) & other)
+                    a, b = tied(own.size, g * size + a, g * size + b)
+                    ties.append((m[own.ravel()[a]], m[own.ravel()[b]]))
         if not out:
             return None
         u, v, s = (np.concatenate(c) for c in zip(*out))
@@ -140,7 +164,9 @@ def meetings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = np.lexsort((v, u))
         u, v, s = u[by], v[by], s[by]
         new = np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])))[:len(u)]
-        return pa.RecordBatch.from_arrays([pa.array(u[new]), pa.array(v[new]), pa.array(s[new])], names=["u", "v", "s"])
+        a, b = np.unique(np.stack([np.concatenate(c) for c in zip(*ties)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate((u[new], a))), pa.array(np.concatenate((v[new], b))),
+                                           pa.concat_arrays([pa.array(s[new]), pa.nulls(len(a), pa.float64())])], names=["u", "v", "s"])
 
     for batch in rows:
         if not batch.num_rows:
@@ -160,8 +186,18 @@ def meetings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made
 
 
-def descended(vertices: DataFrame, graph: DataFrame, most: int) -> DataFrame:
-    """One round: (u, list) -> better (u, list)."""
+def kept(pairs: DataFrame, known: DataFrame | None, most: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs, and those known before -> (u, list) and the ties (a, b); both stored."""
+    pairs = reliable(pairs)
+    scored = pairs.filter("s IS NOT NULL")
+    graph = reliable(lists(scored if known is None else scored.unionByName(known), most))
+    ties = reliable(pairs.filter("s IS NULL").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct())
+    discard(pairs)
+    return graph, ties
+
+
+def descended(vertices: DataFrame, graph: DataFrame, most: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """One round: (u, list) -> better (u, list), and what the links of the round tie together."""
     edges = graph.select("u", F.explode("list").alias("e")).select("u", "e.v", "e.s")
     reverse = lists(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "s"), most)
     members = edges.select("u", "v").unionByName(
@@ -171,8 +207,8 @@ def descended(vertices: DataFrame, graph: DataFrame, most: int) -> DataFrame:
     bar = graph.select(F.col("u").alias("id"), F.when(F.size("list") >= most, F.element_at("list", -1)["s"]).otherwise(-2.0).alias("least"))
     known = vertices.join(bar, "id", "left").select(F.col("id").alias("m"), F.coalesce("least", F.lit(-2.0)).alias("least"), "vec")
     rows = members.select(F.col("u").alias("p"), F.col("v").alias("m")).join(known, "m").select("p", "m", "least", "vec")
-    met = rows.repartition("p").sortWithinPartitions("p").mapInArrow(meetings, "u bigint, v bigint, s double")
-    return lists(edges.unionByName(met), most)
+    met = rows.repartition("p").sortWithinPartitions("p").mapInArrow(lambda t: meetings(t, threshold), "u bigint, v bigint, s double")
+    return kept(met, edges, most)
 
 
 def counted(table: pa.Table, threshold: float) -> pa.Table:
@@ -238,17 +274,18 @@ def linked(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", thre
     turn = F.row_number().over(Window.partitionBy("id").orderBy("vec"))
     vertices = reliable(grouped.withColumn("id", F.when(turn > 1, F.xxhash64("vec", turn)).otherwise(F.col("id"))))
     count = vertices.count()
-    graph, found, labels, reached = None, None, None, 0.0
+    graph, ties, found, labels, reached = None, None, None, None, 0.0
     for attempt in range(tries):
         trees = range(attempt * partitions, (attempt + 1) * partitions)
-        pairs = first_pairs(vertices.select("id", "vec"), count, trees, neighbours, seed)
-        if graph is not None:
-            pairs = pairs.unionByName(graph.select("u", F.explode("list").alias("e")).select("u", "e.v", "e.s"))
-        graph = reliable(lists(pairs, neighbours))
+        pairs = first_pairs(vertices.select("id", "vec"), count, trees, neighbours, threshold, seed)
+        known = None if graph is None else graph.select("u", F.explode("list").alias("e")).select("u", "e.v", "e.s")
+        graph, more = kept(pairs, known, neighbours)
+        ties = more if ties is None else ties.unionByName(more)
         for _ in range(rounds):
-            graph = reliable(descended(vertices.select("id", "vec"), graph, neighbours))
+            graph, more = descended(vertices.select("id", "vec"), graph, neighbours, threshold)
+            ties = ties.unionByName(more)
         links = graph.select("u", F.explode("list").alias("e")).filter(F.col("e.s") >= threshold).select(F.col("u").alias("a"), F.col("e.v").alias("b"))
-        labels = reliable(components(links))
+        labels = reliable(components(links.unionByName(ties)))
         sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
         members = labels.join(sizes, "root").join(vertices, F.col("node") == F.col("id")).select("root", "size", "id", "vec", "n")
         found = reliable(link_counts(members, threshold))
