@@ -257,6 +257,27 @@ def test_links_that_no_list_has_room_for(spark, monkeypatch, block):
         assert (r.component_id, r.n_links) == (0, sum(r.vec_id in p for p in pairs))
 
 
+@pytest.mark.parametrize("most_audited", [8, 10**6])
+def test_a_hot_group_hides_no_missing_pairs(spark, monkeypatch, most_audited):
+    """A vector with a thousand copies beside thirty pairs, of which a search by pairs of vertices finds few."""
+    monkeypatch.setattr(nn_descent, "BLOCK", 2)
+    monkeypatch.setattr(nn_descent, "LEAF", 2)
+    monkeypatch.setattr(nn_descent, "EXACT_BLOCK", 16)
+    monkeypatch.setattr(nn_descent, "MOST_AUDITED", most_audited)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(30, 24))
+    hot = rng.normal(size=24)
+    vectors = np.concatenate((base, base + rng.normal(scale=0.3, size=base.shape), [hot + 0.01] * 2, [hot] * 1000)).astype(np.float32).astype(float)
+    pairs = brute_links(vectors[:61].tolist())
+    smallest = brute.classes(61, pairs)
+    assert len(pairs) >= 25
+    rows = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id int, embedding array<float>")
+    got = {r.vec_id: r for r in nn_descent.linked(rows, partitions=1, rounds=0, tries=1, neighbours=1, audit=8).collect()}
+    for i in range(60):
+        assert (got[i].component_id, got[i].n_links) == (smallest[i], sum(i in p for p in pairs))
+    assert all((got[i].component_id, got[i].n_links) == (60, 1001) for i in range(60, 1062))
+
+
 def test_nn_descent_of_repeated_and_no_rows(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (None, [0.0, 1.0]), (None, None)], "vec_id bigint, embedding array<float>")
     got = bag(tuple(r) for r in nn_descent.linked(rows).collect())

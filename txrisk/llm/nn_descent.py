@@ -10,14 +10,15 @@ its links connect, by at most one row per member, before anything is cut. Lists
 component all pairs are compared, block against block, and only counts leave a task. So no link that was ever computed
 is lost, and the number of links is complete as far as the components are.
 
-The recall is audited: a bounded number of vectors, chosen by hash, is compared with all vectors. As long as too many
-of their links are missing, further partitions and rounds follow.
+The recall is audited: vectors chosen by hash are compared with all vectors, until enough of them have links. The recall
+is the mean over these vertices of the share of their distinct partners that was found, whatever the copies. While it is too
+low, further partitions and rounds follow; if they do not suffice, or too few vertices of the largest sample have links
+to tell, all vertices are compared block against block, which misses nothing.
 """
 
 from __future__ import annotations
 
 import math
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,12 @@ LEAF = 256
 BLOCK = 1024
 ROUNDS = 2
 MOST_TRIES = 3
+#: Vectors that the audit asks first and at most, and how many of them shall have links.
 AUDIT = 500
+MOST_AUDITED = 16_384
+LEAST_LINKED = 100
+#: Vertices of a block when all are compared with all.
+EXACT_BLOCK = 4096
 RECALL = 0.99
 SEED = 5
 
@@ -212,49 +218,106 @@ def descended(vertices: DataFrame, graph: DataFrame, most: int, threshold: float
 
 
 def counted(table: pa.Table, threshold: float) -> pa.Table:
-    """Block i against block j of a component: how much weight of j each vertex of i is linked to."""
+    """Block i against block j of a component: how many vertices of j each vertex of i is linked to, and their weight."""
     left = table["left"].to_numpy(zero_copy_only=False).astype(bool)
     ids, weight = table["id"].to_numpy(), table["n"].to_numpy()
     x = vectors(table["vec"].combine_chunks())
     s = x[left] @ x[~left].T >= threshold
     s &= ids[left][:, None] != ids[~left][None, :]
-    return pa.table({"id": pa.array(ids[left]), "links": pa.array(s @ weight[~left], pa.int64())})
+    return pa.table({"id": pa.array(ids[left]), "links": pa.array(s @ weight[~left], pa.int64()),
+                     "partners": pa.array(s.sum(axis=1), pa.int64())})
 
 
 def link_counts(members: DataFrame, threshold: float) -> DataFrame:
-    """(root, size, id, vec, n) -> (id, links): links to other vertices of the component, by their number of copies."""
+    """(root, size, id, vec, n) -> (id, links, partners): other vertices of the component linked to, with and without their copies."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     sides = F.concat(F.transform(other, lambda k: F.struct(F.col("own").alias("i"), k.alias("j"), F.lit(True).alias("left"))),
                      F.transform(other, lambda k: F.struct(k.alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"))))
     rows = rows.select("root", "id", "vec", "n", F.explode(sides).alias("side")).select("root", "id", "vec", "n", "side.*")
-    parts = rows.groupBy("root", "i", "j").applyInArrow(lambda t: counted(t, threshold), "id bigint, links bigint")
-    return parts.groupBy("id").agg(F.sum("links").alias("links"))
+    parts = rows.groupBy("root", "i", "j").applyInArrow(lambda t: counted(t, threshold), "id bigint, links bigint, partners bigint")
+    return parts.groupBy("id").agg(F.sum("links").alias("links"), F.sum("partners").alias("partners"))
 
 
-def audited(vertices: DataFrame, found: DataFrame, threshold: float, most: int) -> float:
-    """Of the links of a sample of vertices (their number is bounded), compared with all vertices, the share found."""
+def real_partners(vertices: DataFrame, threshold: float, most: int) -> DataFrame:
+    """(id, real) of a sample of ``most`` vertices, compared with all: those that have partners, and how many."""
     sample = vertices.orderBy(F.xxhash64("id"), "id").limit(most).select("id", "vec").toArrow()
     widths = np.asarray(sample["vec"].combine_chunks().value_lengths())
     asked = {w: (sample["id"].to_numpy()[widths == w], vectors(sample["vec"].combine_chunks().filter(pa.array(widths == w))))
              for w in np.unique(widths).tolist()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {w: np.zeros(len(ids), np.int64) for w, (ids, _) in asked.items()}
         for batch in batches:
             lengths = np.asarray(batch.column("vec").value_lengths())
             for w, (ids, x) in asked.items():
                 part = batch.filter(pa.array(lengths == w))
-                if part.num_rows:
-                    own = part.column("id").to_numpy()
-                    s = vectors(part.column("vec")) @ x.T >= threshold
-                    s &= own[:, None] != ids[None, :]
-                    total = part.column("n").to_numpy() @ s
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total, pa.int64())], names=["id", "links"])
-
-    real = vertices.mapInArrow(run, "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("real")).filter("real > 0")
-    got = real.join(found, "id", "left").agg(F.sum("real"), F.sum(F.least("real", F.coalesce("links", F.lit(0))))).first()
-    return got[1] / got[0] if got[0] else 1.0
+                own, y = part.column("id").to_numpy(), vectors(part.column("vec")) if part.num_rows else None
+                for lo in range(0, part.num_rows, BLOCK):
+                    s = y[lo:lo + BLOCK] @ x.T >= threshold
+                    s &= own[lo:lo + BLOCK, None] != ids[None, :]
+                    totals[w] += s.sum(axis=0)
+        for w, (ids, _) in asked.items():
+            some = totals[w] > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(totals[w][some])], names=["id", "real"])
+
+    return vertices.select("id", "vec").mapInArrow(run, "id bigint, real bigint").groupBy("id").agg(F.sum("real").alias("real"))
+
+
+def drawn(vertices: DataFrame, count: int, threshold: float, first: int) -> tuple[DataFrame, bool]:
+    """(id, real) of a sample that grows until enough vertices have partners, and whether it can tell the recall: there
+    are enough, or all vertices were asked."""
+    size = first
+    while True:
+        real = reliable(real_partners(vertices, threshold, size))
+        if real.count() >= LEAST_LINKED or size >= count:
+            return real, True
+        if size >= MOST_AUDITED:
+            return real, False
+        discard(real)
+        size = min(4 * size, MOST_AUDITED)
+
+
+def audited(real: DataFrame, found: DataFrame) -> float:
+    """The mean over the vertices with partners of the share of partners found; a copy does not count again."""
+    share = F.least("real", F.coalesce("partners", F.lit(0))) / F.col("real")
+    got = real.join(found, "id", "left").agg(F.avg(share)).first()[0]
+    return 1.0 if got is None else got
+
+
+def met_all(table: pa.Table, threshold: float) -> pa.Table:
+    """Two blocks, or one, compared: what their links tie together."""
+    ids, block = table["id"].to_numpy(), table["block"].to_numpy()
+    by = np.argsort(block, kind="stable")
+    x = vectors(table["vec"].combine_chunks().take(pa.array(by)))
+    split = int((block == block.min()).sum())
+    rest = split % len(ids)  # one block is compared with itself
+    out = []
+    for lo in range(0, split, BLOCK):
+        a, b = np.nonzero(x[lo:min(lo + BLOCK, split)] @ x[rest:].T >= threshold)
+        out.append(tied(len(ids), a + lo, b + rest))
+    a, b = tied(len(ids), *(np.concatenate(c) for c in zip(*out)))
+    return pa.table({"a": pa.array(ids[by][a], pa.int64()), "b": pa.array(ids[by][b], pa.int64())})
+
+
+def exact_ties(vertices: DataFrame, count: int, threshold: float) -> DataFrame:
+    """(id, vec) -> ties (a, b) of all links there are: every block against every other of its width. A vertex is sent once
+    for every block."""
+    blocks = max(1, math.ceil(count / EXACT_BLOCK))
+    rows = vertices.select("id", "vec", F.size("vec").alias("width"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    others = F.sequence(F.lit(0), F.lit(blocks - 1))
+    sent = rows.select("id", "vec", "width", "block", F.explode(others).alias("other")).select(
+        "id", "vec", "width", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return sent.groupBy("width", "i", "j").applyInArrow(lambda t: met_all(t, threshold), "a bigint, b bigint").distinct()
+
+
+def joined(vertices: DataFrame, ties: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Ties -> components (node, root) and links (id, links, partners); both stored."""
+    labels = reliable(components(ties))
+    sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    members = labels.join(sizes, "root").join(vertices, F.col("node") == F.col("id")).select("root", "size", "id", "vec", "n")
+    return labels, reliable(link_counts(members, threshold))
 
 
 def linked(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS,
@@ -274,8 +337,10 @@ def linked(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", thre
     turn = F.row_number().over(Window.partitionBy("id").orderBy("vec"))
     vertices = reliable(grouped.withColumn("id", F.when(turn > 1, F.xxhash64("vec", turn)).otherwise(F.col("id"))))
     count = vertices.count()
-    graph, ties, found, labels, reached = None, None, None, None, 0.0
-    for attempt in range(tries):
+    graph, ties, reached = None, None, 0.0
+    real, telling = drawn(vertices, count, threshold, audit)
+    # Where the audit cannot tell, it could not after any partitions either.
+    for attempt in range(tries if telling else 0):
         trees = range(attempt * partitions, (attempt + 1) * partitions)
         pairs = first_pairs(vertices.select("id", "vec"), count, trees, neighbours, threshold, seed)
         known = None if graph is None else graph.select("u", F.explode("list").alias("e")).select("u", "e.v", "e.s")
@@ -285,15 +350,12 @@ def linked(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", thre
             graph, more = descended(vertices.select("id", "vec"), graph, neighbours, threshold)
             ties = ties.unionByName(more)
         links = graph.select("u", F.explode("list").alias("e")).filter(F.col("e.s") >= threshold).select(F.col("u").alias("a"), F.col("e.v").alias("b"))
-        labels = reliable(components(links.unionByName(ties)))
-        sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-        members = labels.join(sizes, "root").join(vertices, F.col("node") == F.col("id")).select("root", "size", "id", "vec", "n")
-        found = reliable(link_counts(members, threshold))
-        reached = audited(vertices, found, threshold, audit)
+        labels, found = joined(vertices, links.unionByName(ties), threshold)
+        reached = audited(real, found)
         if reached >= recall:
             break
-    else:
-        warnings.warn(f"audited recall {reached:.3f} after {tries} tries", stacklevel=2)
+    if reached < recall:
+        labels, found = joined(vertices, exact_ties(vertices, count, threshold), threshold)
     rooted = vertices.join(labels, vertices["id"] == labels["node"], "left").select(
         "id", "vec", "least", "n", F.coalesce("root", "id").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
