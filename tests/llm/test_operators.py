@@ -552,6 +552,25 @@ def test_a_page_by_hand(field):
         "A & B\n\nFirst paragraph of the text, with a link. Second line.\n\nNext one <here> é.\n\nAn item of the list.\n\nAnother item of it.")
 
 
+WORDS_OF_TEXT = "A paragraph of the article with some words in it, long enough to be read."
+
+
+@pytest.mark.parametrize("attribute", ['aria-hidden="false"', 'data-title="A hidden valley"', 'data-state="hidden"', "title='the hidden one'",
+                                       'data-style="display:none"', 'data-class="advert"', "data-id=sidebar", "data-hidden", 'x-role="menu" hidden-by=no'])
+def test_words_inside_other_attributes_hide_nothing(field, attribute):
+    for tag in ("article", "main"):
+        page = f"<html><body><{tag} {attribute}><h1>Head</h1><p>{WORDS_OF_TEXT}</p><div {attribute}><p>{WORDS_OF_TEXT}</p></div></{tag}></body></html>"
+        assert all(b.names == () for b in html_extraction.leaf_blocks(page))
+        assert html_extraction.main_text(page, field) == "\n\n".join(["Head", WORDS_OF_TEXT, WORDS_OF_TEXT])
+
+
+@pytest.mark.parametrize("attribute", ["hidden", 'HIDDEN=""', 'class="x" style="color:red; display : none"'])
+def test_the_field_sees_what_is_hidden(field, attribute):
+    page = f"<html><body><article><h1>Head</h1><p>{WORDS_OF_TEXT}</p><div {attribute}><p>Not shown to a reader.</p></div><p>{WORDS_OF_TEXT}</p></article></body></html>"
+    assert [html_extraction.HIDDEN in b.names for b in html_extraction.leaf_blocks(page)] == [False, False, True, False]
+    assert html_extraction.main_text(page, field) == "\n\n".join(["Head", WORDS_OF_TEXT, WORDS_OF_TEXT])
+
+
 def test_odd_pages(spark, field):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p"), (4, "u", "a < b & c"), (4, "u", "a < b & c"), (None, "u", "<article><p>Text of it.</p>"),
             (5, "u", "<article>" + "<p>A paragraph of words.</p>" * 5000), (6, "u", "</div></p><script>x"), (7, "u", "<article><div><div>" * 300 + "deep text")]

@@ -1,7 +1,7 @@
 """Main text of web pages by a linear-chain conditional random field over the leaf blocks of the page.
 
 A page is cut into leaf blocks: the text between two block tags. A block is described by the tags and the words of
-class, id and role of its ancestors, its own tag, and its text. Two labels, kept and dropped, form a chain in page
+class, id and role of its ancestors, whether one of them is hidden, its own tag, and its text. Two labels, kept and dropped, form a chain in page
 order; the field is trained on labelled pages by gradient steps on the exact likelihood (forward-backward), and a
 page is decoded by Viterbi. Scripts, styles, forms' controls and other things that are never text are no blocks.
 
@@ -34,7 +34,11 @@ SEED = 11
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: A whole name and its whole value, one after the other.
+ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+NAMING = frozenset("class id role itemprop aria-label".split())
+#: Stands among the names of an element with the attribute hidden, or that is not displayed; no name is written so.
+HIDDEN = "(hidden)"
 NAME = re.compile(r"[a-z]+")
 #: Their content is never text of the page.
 OPAQUE = frozenset("script style noscript template iframe object svg math canvas select textarea button title datalist audio video".split())
@@ -160,14 +164,14 @@ def leaf_blocks(page: str | None) -> list[Block]:
             stack.pop()
         if m[0].endswith("/>") and name in ("path", "use", "image"):
             continue
-        names, hidden = [], False
+        names = []
         for key, value in ATTRIBUTE.findall(m[3]):
             key, value = key.lower(), value.strip("\"'").lower()
             if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value):
-                hidden = True
-            elif key != "style":
+                names.append(HIDDEN)
+            elif key in NAMING:
                 names += NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value))
-        stack.append(Element(name, tuple(names), hidden))
+        stack.append(Element(name, tuple(names)))
     flush()
     return out
 
@@ -309,7 +313,8 @@ def own_labels(blocks: list[Block]) -> list[int] | None:
     for b in blocks:
         inside = [i for i, t in enumerate(b.tags) if t in ARTICLE]
         inner = set(b.tags[inside[0]:]) if inside else set()
-        out.append(int(bool(inside) and not inner & NEVER and not BOILER & {FAMILY.get(n) for n in b.names}))
+        out.append(int(bool(inside) and not inner & NEVER and not BOILER & {FAMILY.get(n) for n in b.names}
+                       and HIDDEN not in b.names))
     return out
 
 
@@ -362,6 +367,13 @@ def patterns(seed: int = SEED, pages: int = 400) -> list[tuple[list[Block], list
                                  f"<p>{mark}{text(2, 20)} <a href='/'>{text(1, 4)}</a> {text(2, 20)}</p>", f"<figure><figcaption>{mark}{text(3, 15)}</figcaption></figure>",
                                  f"<p><b>{mark}{text(2, 50)}<br>", f"<h3>{mark}{text(1, 6)}</h3>"])
 
+    def add(page: str) -> None:
+        blocks = leaf_blocks(page)
+        labels = [int(mark in b.text) for b in blocks]
+        for b in blocks:
+            b.text = b.text.replace(mark, "") or "."
+        out.append((blocks, labels))
+
     out = []
     for _ in range(pages):
         title = f"<h1>{mark}{text(2, 14)}</h1>"
@@ -375,11 +387,15 @@ def patterns(seed: int = SEED, pages: int = 400) -> list[tuple[list[Block], list
         page = f"<html><body>{around[0]}{body}{around[1]}</body></html>"
         if rng.random() < 0.3:
             page = page.replace("<body>", "<body><div class='wrapper'><div class='container'>").replace("</body>", "</div></div></body>")
-        blocks = leaf_blocks(page)
-        labels = [int(mark in b.text) for b in blocks]
-        for b in blocks:
-            b.text = b.text.replace(mark, "") or "."
-        out.append((blocks, labels))
+        add(page)
+    # What is hidden looks like any text.
+    for _ in range(pages // 8):
+        parts = [kept() for _ in range(int(rng.integers(2, 9)))]
+        hidden = "".join(kept() for _ in range(int(rng.integers(1, 4)))).replace(mark, "")
+        how = pick(["hidden", "hidden=''", "style='display: none'", "style='display:none;color:red'"])
+        parts.insert(int(rng.integers(0, len(parts) + 1)), f"<{(tag := pick(['div', 'section']))} {how}>{hidden}</{tag}>")
+        tag = pick(["article", "main", "div class='content'"])
+        add(f"<html><body>{boiler(False)}<{tag}>{''.join(parts)}</{tag.split()[0]}>{boiler(False)}</body></html>")
     return out
 
 
