@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from txrisk.llm import (
     html_extraction,
+    importance_resampling,
     mixing,
     nn_descent,
     packing,
@@ -15,6 +16,8 @@ from txrisk.llm import (
     simhash,
     suffix_dedup,
     surrogates,
+    token_alignment,
+    va_search,
 )
 from txrisk.llm.common import table
 from txrisk.llm.oracles import ORACLES  # noqa: F401 - read by the driver contract
@@ -62,6 +65,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_va_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_search.searched(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_surrogates": op1_surrogates,
     "op2_quality_classifier": op2_quality_classifier,
@@ -73,5 +89,8 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_va_search": op12_va_search,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
