@@ -36,10 +36,11 @@ BEST = 5
 EVERY = 50
 #: Rows whose components the cells are fitted on, for each length of vectors.
 FITTED_ON = 10_000
-#: Share of the sample's components outside the cells of equal width, at either end; number of these cells.
-TAIL, CELLS = 0.001, 64
-#: Cells of doubling width at either end; 2 ** 95 widths reach far beyond.
-BEYOND = 95
+#: Share of the sample's components outside the cells of equal width, at either end, and how many quartile ranges such cells reach
+#: beyond the quartiles at most; number of these cells.
+TAIL, REACH, CELLS = 0.001, 4, 128
+#: Cells of doubling width at either end, which reach 2 ** 62 widths far.
+BEYOND = 63
 #: Vectors of a block of the file, distinct queries of a block of queries.
 FILE_BLOCK, QUERY_BLOCK = 16_384, 4_096
 #: Cells of the matrix of bounds that is made at a time.
@@ -48,6 +49,8 @@ AT_ONCE = 2_000_000
 MOST_LENGTHS = 100
 #: Sums of products below this are exact in doubles.
 EXACT = 2.0 ** 53
+#: The ends of the range of scores.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def whole_vectors(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
@@ -80,10 +83,17 @@ class Cells:
     """For each component its cells' lower and upper bounds; cell c of component d reaches from bounds[d, c] to bounds[d, c + 1]."""
 
     def __init__(self, low: np.ndarray, high: np.ndarray, cells: int = CELLS, beyond: int = BEYOND):
-        width = np.maximum((high - low) / cells, 1.0)
-        inner = low[:, None] + width[:, None] * np.arange(cells + 1)
-        steps = width[:, None] * 2.0 ** np.arange(beyond)
-        self.edges = np.concatenate([inner[:, :1] - steps[:, ::-1], inner, inner[:, -1:] + steps], 1)
+        with np.errstate(over="ignore"):
+            width = np.maximum((high - low) / cells, 1.0)
+            inner = low[:, None] + width[:, None] * np.arange(cells + 1)
+            steps = width[:, None] * 2.0 ** np.arange(beyond)
+            self.edges = np.concatenate([inner[:, :1] - steps[:, ::-1], inner, inner[:, -1:] + steps], 1)
+
+    @classmethod
+    def ends(cls, sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the cells of equal width begin and end."""
+        low, q1, q3, high = np.quantile(sample, [TAIL, 0.25, 0.75, 1 - TAIL], axis=0)
+        return np.maximum(low, q1 - REACH * (q3 - q1)), np.minimum(high, q3 + REACH * (q3 - q1))
 
     def codes(self, exact: np.ndarray) -> np.ndarray:
         out = np.empty(exact.shape, np.uint8)
@@ -108,7 +118,7 @@ def fitted(stored: DataFrame, sample: int = FITTED_ON) -> dict[int, Cells]:
 
     def quantiles(table: pa.Table) -> pa.Table:
         dims = table["dims"][0].as_py()
-        low, high = np.quantile(matrix(table["exact"], dims), [TAIL, 1 - TAIL], axis=0) if dims else np.zeros((2, 0))
+        low, high = Cells.ends(matrix(table["exact"], dims)) if dims else np.zeros((2, 0))
         return pa.table({"dims": pa.array([dims], pa.int32()), "low": [low.tolist()], "high": [high.tolist()]},
                         schema=pa.schema([("dims", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))]))
 
@@ -148,7 +158,9 @@ def products(query: np.ndarray, vectors: np.ndarray) -> list[int] | np.ndarray:
     """Exact inner products."""
     if not query.size:
         return np.zeros(len(vectors))
-    if np.abs(query).max() * np.abs(vectors).max(initial=0) * len(query) < EXACT:
+    with np.errstate(over="ignore"):
+        exact = np.abs(query).max() * np.abs(vectors).max(initial=0) * len(query) < EXACT
+    if exact:
         return vectors @ query
     numbers = [int(x) for x in query]
     return [sum(a * int(b) for a, b in zip(numbers, v)) for v in vectors]
@@ -216,7 +228,10 @@ def marks_of(queries: DataFrame, file: DataFrame, cells: dict[int, Cells], best:
     lows = queries.groupBy("dims", "qb", "fb").cogroup(file.groupBy("dims", "qb", "fb")).applyInArrow(run, "query bigint, low double")
     by_query = Window.partitionBy("query").orderBy(F.desc("low"))
     kept = lows.withColumn("nth", F.row_number().over(by_query)).filter(F.col("nth") <= best)
-    return kept.groupBy("query").agg(F.when(F.count(F.lit(1)) == best, F.min("low")).otherwise(F.lit(float("-inf"))).alias("mark"))
+    # A mark beyond the range of scores is cut to it: what lies further out is equal there.
+    low = F.min("low")
+    mark = F.when((F.count(F.lit(1)) < best) | (low <= F.lit(float(LEAST))), F.lit(float("-inf"))).otherwise(F.least(low, F.lit(float(MOST))))
+    return kept.groupBy("query").agg(mark.alias("mark"))
 
 
 def needed(queries: DataFrame, file: DataFrame, cells: dict[int, Cells]) -> DataFrame:
@@ -244,13 +259,13 @@ def certain(query: np.ndarray, mark: float, high: np.ndarray, exact: np.ndarray,
     top, at, step = [], 0, 4 * best
     while at < len(order) and (len(top) < best or high[order[at]] >= top[-1][0]):
         places = order[at:at + step]
-        top += [(int(s), p) for s, p in zip(products(query, exact[places]), places.tolist())]
+        top += [(min(max(int(s), LEAST), MOST), p) for s, p in zip(products(query, exact[places]), places.tolist())]
         top = sorted(top, key=lambda x: (-x[0], ids[x[1]], x[1]))[:best]
         at, step = at + step, 2 * step
     return top
 
 
-NO_ID = np.iinfo(np.int64).max
+NO_ID = MOST
 
 
 def read_exactly(queries: DataFrame, vectors: DataFrame, cells: dict[int, Cells], best: int) -> DataFrame:
@@ -265,11 +280,10 @@ def read_exactly(queries: DataFrame, vectors: DataFrame, cells: dict[int, Cells]
             marks, numbers = asking["mark"].to_numpy(), asking["query"].to_numpy()
             within = Bounds(cells[dims], cells[dims].codes(vectors))
             rows, ids = held["row"].to_numpy(), held["id"].fill_null(NO_ID).to_numpy()
-            least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
             for part in slices(len(exact), len(vectors)):
                 _, high = within.of(exact[part])
                 for i, q in enumerate(range(part.start, part.stop)):
-                    out += [(int(numbers[q]), int(rows[p]), p, min(max(score, least), most))
+                    out += [(int(numbers[q]), int(rows[p]), p, score)
                             for score, p in certain(exact[q], marks[q], high[i], vectors, ids, best)]
         query, row, place, score = (np.array(x, np.int64) for x in zip(*out)) if out else [np.zeros(0, np.int64)] * 4
         return pa.table({"query": query, "row": row, "id": held["id"].take(pa.array(place)), "score": score})
