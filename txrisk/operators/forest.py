@@ -1,8 +1,16 @@
 """Isolation forest (Liu, Ting and Zhou, 2008) on Spark.
 
-A tree sees a small random sample only, so trees are grown side by side, one
-group of at most a few thousand rows per tree. The forest is a table of nodes;
-scoring walks it inside the scan of the rows, without a shuffle.
+A tree sees a random sample. Small samples are grown side by side, one group per
+tree. A tree that sees more rows than a group may hold is grown breadth first:
+every pass over the rows counts them per open node and takes the least and the
+largest value of each feature there, nodes with more rows than a group holds are
+split, and once none is left the rows of the others are grouped by node and
+grown to the end. The draws of a node depend on the seed, the tree and the node's
+place alone, so both ways grow the same tree.
+
+Nodes are placed as in a heap (root 1, children 2n and 2n + 1). The forest is a
+table of nodes, of which the root has the smallest number; scoring walks it inside
+the scan of the rows, without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +23,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from txrisk.constants import FEATURES, SAMPLE_SEED
 from txrisk.operators.ranks import BRACKET_ROWS, percentile, seeded_sample
@@ -29,7 +38,11 @@ POOL_PARTS = 16
 MOST_NODES = 4_000_000
 # Rows that go through the trees together; their values stay in the cache.
 SCORE_ROWS = 2048
-NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, length double"
+NODE_SCHEMA = "tree int, node bigint, feature int, threshold double, left bigint, right bigint, length double"
+# Rows that one task may hold while it grows a tree or a part of one.
+GROUP_ROWS = 50_000
+# Nodes of the upper parts of the trees that the driver holds at once.
+MOST_UPPER = 200_000
 EULER = 0.5772156649015329
 
 
@@ -71,37 +84,249 @@ class Forest:
 
 
 def _numbers(features: list[str]) -> list[Column]:
-    return [F.coalesce(F.col(name).cast("double"), F.lit(0.0)).alias(name) for name in features]
+    return [F.coalesce(F.nanvl(F.col(name).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(name) for name in features]
 
 
-def grow(rows: np.ndarray, rng: np.random.Generator, columns: np.ndarray) -> list[tuple]:
-    """Nodes of one tree: (node, feature, threshold, left, right, length)."""
-    limit = math.ceil(math.log2(max(len(rows), 2)))
-    nodes: list[tuple | None] = [None]
-    open_nodes = [(0, np.arange(len(rows)), 0)]
+def draws(seed: int, tree: int, node: int) -> tuple[float, float]:
+    """Two numbers from 0 to below 1 that belong to a node of a tree."""
+    state = (seed * 0x9E3779B97F4A7C15 + tree * 0xD1B54A32D192ED03 + node * 0x8CB92BA72F3D8DD7) & _MASK
+    out = []
+    for _ in range(2):
+        state = (state + 0x9E3779B97F4A7C15) & _MASK
+        mixed = ((state ^ (state >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
+        mixed = ((mixed ^ (mixed >> 27)) * 0x94D049BB133111EB) & _MASK
+        out.append(((mixed ^ (mixed >> 31)) >> 11) / 2.0 ** 53)
+    return out[0], out[1]
+
+
+_MASK = (1 << 64) - 1
+
+
+def columns_of(seed: int, tree: int, features: int, width: int) -> np.ndarray:
+    """The features that a tree may use."""
+    return np.sort(np.random.default_rng([seed, tree]).choice(features, width, replace=False))
+
+
+def split(low: np.ndarray, high: np.ndarray, columns: np.ndarray, seed: int, tree: int, node: int) -> tuple[int, float] | None:
+    """Feature and threshold for rows whose values of ``columns`` lie between ``low`` and ``high``; none if all are equal."""
+    usable = np.flatnonzero(high > low)
+    if len(usable) == 0:
+        return None
+    which, where = draws(seed, tree, node)
+    pick = usable[int(which * len(usable))]
+    # Strictly below the maximum, so that both sides get rows.
+    threshold = float(low[pick] + (high[pick] - low[pick]) * where)
+    if not threshold < high[pick]:
+        threshold = float(low[pick])
+    return int(columns[pick]), threshold
+
+
+def depth_of(node: int) -> int:
+    return node.bit_length() - 1
+
+
+def deepest(size: int) -> int:
+    """Levels of a tree that sees ``size`` rows."""
+    return math.ceil(math.log2(max(size, 2)))
+
+
+def leaf(node: int, rows: int) -> tuple:
+    return node, -1, 0.0, node, node, depth_of(node) + mean_path(rows)
+
+
+def grow(rows: np.ndarray, seed: int, tree: int, columns: np.ndarray, limit: int, root: int = 1) -> list[tuple]:
+    """Nodes below and including ``root``: (node, feature, threshold, left, right, length)."""
+    nodes = []
+    open_nodes = [(root, np.arange(len(rows)))]
     while open_nodes:
-        node, members, depth = open_nodes.pop()
-        inside = rows[members][:, columns]
-        low, high = inside.min(axis=0), inside.max(axis=0)
-        usable = np.flatnonzero(high > low)
-        if depth >= limit or len(members) <= 1 or len(usable) == 0:
-            nodes[node] = (node, -1, 0.0, node, node, depth + mean_path(len(members)))
+        node, members = open_nodes.pop()
+        found = None
+        if depth_of(node) < limit and len(members) > 1:
+            inside = rows[members][:, columns]
+            found = split(inside.min(axis=0), inside.max(axis=0), columns, seed, tree, node)
+        if found is None:
+            nodes.append(leaf(node, len(members)))
             continue
-        pick = rng.choice(usable)
-        # Strictly below the maximum, so that both sides get rows.
-        threshold = float(low[pick] + (high[pick] - low[pick]) * rng.random())
-        goes_left = inside[:, pick] <= threshold
-        if goes_left.all():
-            threshold = float(low[pick])
-            goes_left = inside[:, pick] <= threshold
-        left, right = len(nodes), len(nodes) + 1
-        nodes += [None, None]
-        nodes[node] = (node, int(columns[pick]), threshold, left, right, 0.0)
-        open_nodes.append((left, members[goes_left], depth + 1))
-        open_nodes.append((right, members[~goes_left], depth + 1))
+        nodes.append((node, *found, 2 * node, 2 * node + 1, 0.0))
+        goes_left = rows[members, found[0]] <= found[1]
+        open_nodes += [(2 * node, members[goes_left]), (2 * node + 1, members[~goes_left])]
     return nodes
 
 
+class Upper:
+    """The upper part of one tree while it is grown by passes: splits, finished leaves, open nodes and nodes that are small
+    enough for one task."""
+
+    def __init__(self):
+        self.splits: dict[int, tuple[int, float]] = {}
+        self.leaves: dict[int, int] = {}  # node -> rows
+        self.open, self.small = {1}, set()
+
+    def walk(self, values: np.ndarray) -> np.ndarray:
+        """The node below all splits that each row comes to."""
+        at = np.ones(len(values), np.int64)
+        moving = np.arange(len(values)) if 1 in self.splits else np.zeros(0, np.int64)
+        nodes = np.array(sorted(self.splits), np.int64)
+        feature = np.array([self.splits[n][0] for n in nodes.tolist()], np.int64)
+        threshold = np.array([self.splits[n][1] for n in nodes.tolist()])
+        while len(moving):
+            place = np.searchsorted(nodes, at[moving])
+            at[moving] = 2 * at[moving] + (values[moving, feature[place]] > threshold[place])
+            place = np.minimum(np.searchsorted(nodes, at[moving]), len(nodes) - 1)
+            moving = moving[nodes[place] == at[moving]]
+        return at
+
+    def settle(self, stats: dict[int, tuple[int, np.ndarray, np.ndarray]], columns, seed: int, tree: int, limit: int,
+               group_rows: int) -> None:
+        """Split the open nodes, given their rows and the ends of each feature there."""
+        now, self.open = self.open, set()
+        for node in now:
+            rows, low, high = stats[node]
+            if rows <= group_rows:
+                self.small.add(node)
+                continue
+            found = split(low, high, columns, seed, tree, node) if depth_of(node) < limit else None
+            if found is None:
+                self.leaves[node] = rows
+            else:
+                self.splits[node] = found
+                self.open |= {2 * node, 2 * node + 1}
+
+    def nodes(self) -> list[tuple]:
+        made = [(n, f, t, 2 * n, 2 * n + 1, 0.0) for n, (f, t) in self.splits.items()]
+        return made + [leaf(n, rows) for n, rows in self.leaves.items()]
+
+
+def cuts(ids: DataFrame, drawn, size: int, total: int, trees: range) -> dict[int, tuple]:
+    """For each tree the draw and the id of its last row: the ``size`` rows of smallest (draw, id) are its sample.
+
+    Draws are uniform, so the last one lies in a narrow band around the share. Rows below the band are counted, and only
+    those in it, about the square root of the sample, are put in order.
+    """
+    wide = 6.0
+    while True:
+        half = wide * math.sqrt(size * (1 - size / total) + 1) / total
+        low, high = size / total - half, size / total + half
+        u = ids.withColumn("tree", F.explode(F.array(*map(F.lit, trees)))).withColumn("_u", drawn(F.col("tree")))
+        in_order = Window.partitionBy("tree").orderBy("_u", "_id")
+        below = u.filter(F.col("_u") < high).groupBy("tree").agg(F.count_if(F.col("_u") < low).alias("n"))
+        band = u.filter(F.col("_u").between(low, high) & (F.col("_u") < high)).withColumn("nth", F.row_number().over(in_order))
+        found = band.join(F.broadcast(below), "tree").filter(F.col("nth") == size - F.col("n")).select("tree", "_u", "_id").collect()
+        if len(found) == len(trees):  # a row for each tree
+            return {r["tree"]: (r["_u"], r["_id"]) for r in found}
+        wide *= 2
+
+
+def _members(drawn, ends: dict[int, tuple] | None, trees: range) -> Column:
+    """For each tree whether the row is in its sample."""
+    if ends is None:
+        return F.array(*[F.lit(True) for _ in trees])
+    last = F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(ends[t][0]).alias("u"), F.lit(ends[t][1]).alias("id")) for t in trees])
+    return F.transform(last, lambda x: (drawn(x["tree"]) < x["u"]) | F.coalesce(
+        (drawn(x["tree"]) == x["u"]) & (F.col("_id") <= x["id"]), F.lit(False)))
+
+
+def _grown_by_level(numeric: DataFrame, features: list[str], drawn, size: int, total: int, trees: range, width: int, seed: int,
+                    group_rows: int) -> DataFrame:
+    """The nodes of trees whose samples are too large for one task."""
+    spark, limit = numeric.sparkSession, deepest(size)
+    columns = {t: columns_of(seed, t, len(features), width) for t in trees}
+    ends = None if size == total else cuts(numeric.select("_id"), drawn, size, total, trees)
+    rows = numeric.select(_members(drawn, ends, trees).alias("_in"), *features)
+    upper = {t: Upper() for t in trees}
+
+    def matrices(batches):
+        for batch in batches:
+            member = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(trees))
+            values = np.column_stack([batch.column(i + 1).to_numpy() for i in range(len(features))])
+            yield member, values
+
+    def ends_of_nodes(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tops = shared.value
+            held = {}  # (tree, node) -> rows, least, largest; at most the open nodes
+            for member, values in matrices(batches):
+                for i, t in enumerate(trees):
+                    mine = values[member[:, i]]
+                    if not tops[t].open or not len(mine):
+                        continue
+                    at = tops[t].walk(mine)
+                    order = np.argsort(at, kind="stable")
+                    at, mine = at[order], mine[order][:, columns[t]]
+                    begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+                    n = np.diff(np.append(begin, len(at)))
+                    least, largest = np.minimum.reduceat(mine, begin), np.maximum.reduceat(mine, begin)
+                    for j, node in enumerate(at[begin].tolist()):
+                        if node not in tops[t].open:
+                            continue
+                        old = held.get((t, node))
+                        held[t, node] = (int(n[j]), least[j], largest[j]) if old is None else (
+                            old[0] + int(n[j]), np.minimum(old[1], least[j]), np.maximum(old[2], largest[j]))
+            for i in range(0, len(held), 1000):
+                part = list(held.items())[i:i + 1000]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat([k[0] for k, _ in part], width).astype(np.int32)), pa.array(np.repeat([k[1] for k, _ in part], width)),
+                    pa.array(np.tile(np.arange(width, dtype=np.int32), len(part))), pa.array(np.repeat([v[0] for _, v in part], width)),
+                    pa.array(np.concatenate([v[1] for _, v in part])), pa.array(np.concatenate([v[2] for _, v in part]))],
+                    names=["tree", "node", "at", "n", "low", "high"])
+
+        return run
+
+    while any(u.open for u in upper.values()):
+        shared = spark.sparkContext.broadcast(upper)
+        partial = rows.mapInArrow(ends_of_nodes(shared), "tree int, node bigint, at int, n bigint, low double, high double")
+        found = partial.groupBy("tree", "node", "at").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        stats = {t: {} for t in trees}
+        for r in found.collect():  # the open nodes: each held more than group_rows rows of a sample, or is a child of one that did
+            entry = stats[r["tree"]].setdefault(r["node"], (r["n"], np.empty(width), np.empty(width)))
+            entry[1][r["at"]], entry[2][r["at"]] = r["low"], r["high"]
+        upper = {t: copied(u) for t, u in upper.items()}
+        for t, u in upper.items():
+            u.settle(stats[t], columns[t], seed, t, limit, group_rows)
+        shared.unpersist()
+
+    shared = spark.sparkContext.broadcast(upper)
+
+    def handed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for member, values in matrices(batches):
+            for i, t in enumerate(trees):
+                mine = values[member[:, i]]
+                at = shared.value[t].walk(mine)
+                use = np.isin(at, np.fromiter(shared.value[t].small, np.int64))
+                if use.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(use.sum(), t, np.int32)), pa.array(at[use]), *map(pa.array, mine[use].T)],
+                                                     names=["tree", "node", *features])
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        tree, root = int(group["tree"].iloc[0]), int(group["node"].iloc[0])
+        return _table(tree, grow(group[features].to_numpy(dtype=np.float64), seed, tree, columns[tree], limit, root))
+
+    parts = rows.mapInArrow(handed, "tree int, node bigint, " + ", ".join(f"`{f}` double" for f in features))
+    lower = parts.groupBy("tree", "node").applyInPandas(build, NODE_SCHEMA)
+    made = [(t, *n) for t, u in upper.items() for n in u.nodes()]
+    return spark.createDataFrame(made, NODE_SCHEMA).unionByName(lower) if made else lower
+
+
+def copied(upper: Upper) -> Upper:
+    """Another object, as tasks may still read the one that was sent."""
+    out = Upper()
+    out.splits, out.leaves, out.open, out.small = dict(upper.splits), dict(upper.leaves), set(upper.open), set(upper.small)
+    return out
+
+
+def numbered(nodes: list[tuple]) -> list[tuple]:
+    """The nodes numbered from 0 without gaps, in the order of their places; the root is 0."""
+    nodes = sorted(nodes)
+    place = {n[0]: i for i, n in enumerate(nodes)}
+    return [(place[n], feature, threshold, place[left], place[right], length) for n, feature, threshold, left, right, length in nodes]
+
+
+def _table(tree: int, nodes: list[tuple]) -> pd.DataFrame:
+    table = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "length"])
+    table.insert(0, "tree", tree)
+    return table
+
+
 def rows_per_tree(total: int, max_samples: float | str = "auto") -> int:
     """``auto`` is 256 rows; a number above 1 is a number of rows; a share is one of
     the whole table."""
@@ -113,12 +338,12 @@ def rows_per_tree(total: int, max_samples: float | str = "auto") -> int:
 def fit(df: DataFrame, key: str, features: list[str] = FEATURES, contamination: float = CONTAMINATION,
         trees: int = TREES, max_samples: float | str = "auto", max_features: float = 1.0,
         seed: int = SAMPLE_SEED, path: str | None = None, bracket_rows: int = BRACKET_ROWS,
-        pool: int | None = None) -> Forest:
+        pool: int | None = None, group_rows: int = GROUP_ROWS) -> Forest:
     """Grow a forest and fit its outlier cut on the scores of the same rows.
 
-    Each tree draws its rows from the whole table and is grown by one task, so a
-    share that is too large for a task's memory has to be given as a number of
-    rows. ``pool`` draws all trees from a sample of so many rows instead.
+    Each tree draws its rows from the whole table, whatever share that is; no task
+    holds more than ``group_rows`` of them. ``pool`` draws all trees from a sample
+    of so many rows instead.
     """
     spark = df.sparkSession
     # The sampling hash and the rows have to be the same in every pass.
@@ -129,37 +354,49 @@ def fit(df: DataFrame, key: str, features: list[str] = FEATURES, contamination:
     size = rows_per_tree(total, max_samples)
     pool_rows = total if pool is None else min(total, max(size, pool))
     drawn_from = numeric if pool is None else seeded_sample(numeric, "_id", pool_rows, seed, bracket_rows)
-    if pool_rows <= POOL_PARTS * 10_000:
-        drawn_from = drawn_from.repartition(POOL_PARTS)  # few rows: spread them, because each meets every tree
 
     def drawn(tree: Column) -> Column:
         bits = F.xxhash64(F.lit(seed), tree, F.col("_id"))
         return F.shiftrightunsigned(bits, 11) / F.lit(float(2 ** 53))
 
+    width = max(1, int(max_features * len(features)))
+    path = path or os.path.join(scratch_path(spark, "forest"), "nodes")
+    if size > group_rows:
+        rows = reliable(drawn_from)  # read once per level
+        # Every open node of a level holds more than group_rows rows of the sample, so a tree's upper nodes are bounded.
+        at_once = max(1, MOST_UPPER // (2 * deepest(size) * (size // group_rows + 1)))
+        for first in range(0, trees, at_once):
+            block = range(first, min(first + at_once, trees))
+            grown = _grown_by_level(rows, features, drawn, size, pool_rows, block, width, seed, group_rows)
+            grown.write.mode("append" if first else "overwrite").parquet(path)
+    else:
+        _grown_in_groups(drawn_from, features, drawn, size, pool_rows, trees, width, seed).write.mode("overwrite").parquet(path)
+    forest = Forest(path, list(features), trees, size, contamination)
+    return _with_cut(forest, df, bracket_rows)
+
+
+def _grown_in_groups(drawn_from: DataFrame, features: list[str], drawn, size: int, total: int, trees: int, width: int,
+                     seed: int) -> DataFrame:
+    """The nodes of trees whose samples one task can hold."""
+    if total <= POOL_PARTS * 10_000:
+        drawn_from = drawn_from.repartition(POOL_PARTS)  # few rows: spread them, because each meets every tree
     # Each tree draws from the pool the rows with the smallest hash of (seed, tree,
     # row). A row is copied only for trees that may draw it: few more than needed.
-    margin = (size + 6.0 * math.sqrt(size) + 10.0) / pool_rows
+    margin = (size + 6.0 * math.sqrt(size) + 10.0) / total
     numbers = F.sequence(F.lit(0), F.lit(trees - 1))
     candidates = (
         drawn_from.withColumn("tree", F.explode(F.filter(numbers, lambda tree: drawn(tree) < margin)))
         .withColumn("_u", drawn(F.col("tree")))
     )
-    width = max(1, int(max_features * len(features)))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree"].iloc[0])
         chosen = group.sort_values(["_u", "_id"]).head(size)
-        rng = np.random.default_rng([seed, tree])
-        columns = np.sort(rng.choice(len(features), width, replace=False))
-        nodes = grow(chosen[features].to_numpy(dtype=np.float64), rng, columns)
-        table = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "length"])
-        table.insert(0, "tree", tree)
-        return table
+        columns = columns_of(seed, tree, len(features), width)
+        nodes = grow(chosen[features].to_numpy(dtype=np.float64), seed, tree, columns, deepest(size))
+        return _table(tree, numbered(nodes))
 
-    path = path or os.path.join(scratch_path(spark, "forest"), "nodes")
-    candidates.groupBy("tree").applyInPandas(build, NODE_SCHEMA).write.mode("overwrite").parquet(path)
-    forest = Forest(path, list(features), trees, size, contamination)
-    return _with_cut(forest, df, bracket_rows)
+    return candidates.groupBy("tree").applyInPandas(build, NODE_SCHEMA)
 
 
 def _with_cut(forest: Forest, df: DataFrame, bracket_rows: int) -> Forest:
@@ -205,9 +442,14 @@ def _path_column(forest: Forest, spark: SparkSession, first: int, last: int) ->
     table = block.orderBy("tree", "node").toPandas()  # at most MOST_NODES rows
     sizes = table.groupby("tree", sort=True)["node"].size()
     roots = (sizes.cumsum() - sizes).to_numpy()
-    base = np.repeat(roots, sizes.to_numpy())
-    # Both children of node i at 2i and 2i+1; a leaf is its own child.
-    children = np.column_stack([table["left"].to_numpy() + base, table["right"].to_numpy() + base]).ravel()
+    # Both children of the node at place i at 2i and 2i+1; a leaf is its own child. Nodes may have any numbers.
+    ends = roots + sizes.to_numpy()
+    children = np.empty((len(table), 2), np.int64)
+    numbers = table["node"].to_numpy()
+    for begin, end in zip(roots, ends):
+        for side, name in enumerate(("left", "right")):
+            children[begin:end, side] = begin + np.searchsorted(numbers[begin:end], table[name].to_numpy()[begin:end])
+    children = children.ravel()
     shared = spark.sparkContext.broadcast((
         roots.astype(np.intp), np.maximum(table["feature"].to_numpy(), 0).astype(np.intp),
         table["threshold"].to_numpy(), children.astype(np.intp), table["length"].to_numpy(),
