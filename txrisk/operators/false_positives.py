@@ -10,7 +10,7 @@ from txrisk.constants import (
 )
 from txrisk.functions.columns import holds
 
-CLEARED_SUFFIX = " | [cleared by behaviour analysis]"
+CLEARED_SUFFIX = " | verdict withdrawn: usual conduct"
 
 
 def reason_weight(column: str = "reasons") -> Column:

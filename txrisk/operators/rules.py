@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from txrisk.constants import REASONS_TYPE, SEVERITY_FACTORS
 from txrisk.functions.columns import holds
 
-NO_REASON = "no suspicious pattern"
+NO_REASON = "no rule applies"
 CUT = 0.5
 
 
@@ -18,28 +18,28 @@ class Rule:
     code: str
     severity: str
     weight: float
-    text: str
+    text: str  # may name {amount} and {share}, the percentage of the balance
     condition: str  # Spark SQL over the transaction columns and ``_ratio``
 
 
 # ---------------------------------------------------------------- fixed values
-# Rules in the order in which their weights are added; texts are our own.
+# Rules in the order in which their weights are added.
 RULES = [
-    Rule("R1", "high", 0.8, "amount exceeds the balance", "amount > oldbalanceOrg AND oldbalanceOrg > 0"),
-    Rule("R2", "high", 0.7, "account almost emptied",
+    Rule("R1", "high", 0.8, "needs {amount} but holds less", "amount > oldbalanceOrg AND oldbalanceOrg > 0"),
+    Rule("R2", "high", 0.7, "under 5 % of the opening balance is left",
          "oldbalanceOrg > 0 AND newbalanceOrig < oldbalanceOrg * 0.05D AND type IN ('TRANSFER', 'CASH_OUT')"),
-    Rule("R3a", "high", 0.6, "most of the balance moved", "_ratio > 0.8D AND type IN ('TRANSFER', 'CASH_OUT')"),
-    Rule("R3b", "medium", 0.4, "over half of the balance moved",
+    Rule("R3a", "high", 0.6, "share sent: {share} % (limit 80)", "_ratio > 0.8D AND type IN ('TRANSFER', 'CASH_OUT')"),
+    Rule("R3b", "medium", 0.4, "share sent: {share} % (limit 50)",
          "_ratio > 0.5D AND _ratio <= 0.8D AND type IN ('TRANSFER', 'CASH_OUT')"),
-    Rule("R4a", "medium", 0.5, "amount above 10000", "amount > 10000"),
-    Rule("R4b", "low", 0.3, "amount above 5000", "amount > 5000 AND amount <= 10000"),
-    Rule("R5", "medium", 0.5, "transfer to a merchant", "type = 'TRANSFER' AND startswith(nameDest, 'M')"),
-    Rule("R6", "medium", 0.5, "balance reduced to zero", "newbalanceOrig = 0 AND amount > 0 AND oldbalanceOrg > 0"),
-    Rule("R7", "medium", 0.4, "large transfer leaving nothing",
+    Rule("R4a", "medium", 0.5, "value {amount}, limit 10000", "amount > 10000"),
+    Rule("R4b", "low", 0.3, "value {amount}, limit 5000", "amount > 5000 AND amount <= 10000"),
+    Rule("R5", "medium", 0.5, "payee of a TRANSFER has a merchant number", "type = 'TRANSFER' AND startswith(nameDest, 'M')"),
+    Rule("R6", "medium", 0.5, "closing balance 0 after paying {amount}", "newbalanceOrig = 0 AND amount > 0 AND oldbalanceOrg > 0"),
+    Rule("R7", "medium", 0.4, "TRANSFER above 1000 closes at 0: {amount}",
          "type = 'TRANSFER' AND amount > 1000 AND newbalanceOrig = 0"),
-    Rule("R8", "low", 0.3, "large cash withdrawal", "type = 'CASH_OUT' AND _ratio > 0.5D"),
-    Rule("R9a", "medium", 0.4, "suspicious round amount", "amount IN (9999D, 10000D, 5000D)"),
-    Rule("R9b", "low", 0.3, "amount ending in a round pattern",
+    Rule("R8", "low", 0.3, "CASH_OUT takes {share} % (limit 50)", "type = 'CASH_OUT' AND _ratio > 0.5D"),
+    Rule("R9a", "medium", 0.4, "value is a listed one: {amount}", "amount IN (9999D, 10000D, 5000D)"),
+    Rule("R9b", "low", 0.3, "last four digits of {amount} are 0000, 5000 or 9999",
          "amount > 1000 AND amount % 1 = 0 AND amount % 10000 IN (0D, 9999D, 5000D) "
          "AND amount NOT IN (9999D, 10000D, 5000D)"),
 ]
@@ -47,6 +47,16 @@ RULES = [
 
 BALANCE_RATIO = "CASE WHEN oldbalanceOrg > 0 THEN amount / (oldbalanceOrg + 1) ELSE amount END"
 
+# Figures in texts, cut to whole numbers.
+FIGURES = {"amount": "floor(amount)", "share": f"floor(100 * ({BALANCE_RATIO}))"}
+
+
+def with_figures(line: str) -> Column:
+    """A line of texts, as Spark SQL, with the row's figures put in."""
+    for name, figure in FIGURES.items():
+        line = f"replace({line}, '{{{name}}}', coalesce(cast({figure} AS string), ''))"
+    return F.expr(line)
+
 
 def _weighted(factor) -> str:
     """Sum over the rules that hold, in rule order: sums of doubles depend on the
@@ -90,7 +100,7 @@ def flagged_count() -> Column:
 def flagged_text() -> Column:
     """Texts of the rules that hold in one line, or a word that there are none."""
     joined = ", ".join(f"CASE WHEN {rule.code} THEN '{rule.text}' END" for rule in RULES)
-    return F.expr(f"coalesce(nullif(concat_ws(' | ', {joined}), ''), '{NO_REASON}')")
+    return with_figures(f"coalesce(nullif(concat_ws(' | ', {joined}), ''), '{NO_REASON}')")
 
 
 def confidence(score: str) -> Column:
@@ -116,9 +126,9 @@ def reason_codes(column: str = "reasons") -> Column:
 
 
 def reason_text(column: str = "reasons") -> Column:
-    """Text of an array of reasons that did not come from these rules' flags."""
-    texts = F.create_map(*[F.lit(x) for rule in RULES for x in (rule.code, rule.text)])
-    joined = F.array_join(F.transform(column, lambda r: texts[r["code"]]), " | ")
+    """Text of an array of reasons that did not come from these rules' flags; the row's amount and balance give the figures."""
+    texts = "map(" + ", ".join(f"'{rule.code}', '{rule.text}'" for rule in RULES) + ")"
+    joined = with_figures(f"array_join(transform({column}, r -> {texts}[r.code]), ' | ')")
     return F.when(F.size(column) == 0, NO_REASON).otherwise(joined)
 
 

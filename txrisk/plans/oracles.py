@@ -63,24 +63,24 @@ BALANCES_OK = " AND ".join(f"{c} >= 0" for c in C.BALANCES)
 
 # ---------------------------------------------------------------- rule scoring
 WEIGHTS = [
-    ("r1", "R1", "high", "0.8e0", "amount exceeds the balance"),
-    ("r2", "R2", "high", "0.7e0", "account almost emptied"),
-    ("r3a", "R3a", "high", "0.6e0", "most of the balance moved"),
-    ("r3b", "R3b", "medium", "0.4e0", "over half of the balance moved"),
-    ("r4a", "R4a", "medium", "0.5e0", "amount above 10000"),
-    ("r4b", "R4b", "low", "0.3e0", "amount above 5000"),
-    ("r5", "R5", "medium", "0.5e0", "transfer to a merchant"),
-    ("r6", "R6", "medium", "0.5e0", "balance reduced to zero"),
-    ("r7", "R7", "medium", "0.4e0", "large transfer leaving nothing"),
-    ("r8", "R8", "low", "0.3e0", "large cash withdrawal"),
-    ("r9a", "R9a", "medium", "0.4e0", "suspicious round amount"),
-    ("r9b", "R9b", "low", "0.3e0", "amount ending in a round pattern"),
+    ("r1", "R1", "high", "0.8e0", "format('needs {} but holds less', whole)"),
+    ("r2", "R2", "high", "0.7e0", "'under 5 % of the opening balance is left'"),
+    ("r3a", "R3a", "high", "0.6e0", "format('share sent: {} % (limit 80)', share)"),
+    ("r3b", "R3b", "medium", "0.4e0", "format('share sent: {} % (limit 50)', share)"),
+    ("r4a", "R4a", "medium", "0.5e0", "format('value {}, limit 10000', whole)"),
+    ("r4b", "R4b", "low", "0.3e0", "format('value {}, limit 5000', whole)"),
+    ("r5", "R5", "medium", "0.5e0", "'payee of a TRANSFER has a merchant number'"),
+    ("r6", "R6", "medium", "0.5e0", "format('closing balance 0 after paying {}', whole)"),
+    ("r7", "R7", "medium", "0.4e0", "format('TRANSFER above 1000 closes at 0: {}', whole)"),
+    ("r8", "R8", "low", "0.3e0", "format('CASH_OUT takes {} % (limit 50)', share)"),
+    ("r9a", "R9a", "medium", "0.4e0", "format('value is a listed one: {}', whole)"),
+    ("r9b", "R9b", "low", "0.3e0", "format('last four digits of {} are 0000, 5000 or 9999', whole)"),
 ]
 FACTOR = {"high": "1.0e0", "medium": "0.6e0", "low": "0.3e0"}
 RAW = " + ".join(f"(CASE WHEN {f} THEN {w} ELSE 0e0 END)" for f, _, _, w, _ in WEIGHTS)
 EVIDENCE = " + ".join(f"(CASE WHEN {f} THEN {w} * {FACTOR[s]} ELSE 0e0 END)" for f, _, s, w, _ in WEIGHTS)
 CODES = "concat_ws(' ', " + ", ".join(f"CASE WHEN {f} THEN '{c}' END" for f, c, _, _, _ in WEIGHTS) + ")"
-TEXTS = "concat_ws(' | ', " + ", ".join(f"CASE WHEN {f} THEN '{t}' END" for f, _, _, _, t in WEIGHTS) + ")"
+TEXTS = "concat_ws(' | ', " + ", ".join(f"CASE WHEN {f} THEN {t} END" for f, _, _, _, t in WEIGHTS) + ")"
 N_REASONS = " + ".join(f"CAST({f} AS INT)" for f, *_ in WEIGHTS)
 
 
@@ -89,6 +89,7 @@ def rules_over(source: str = "tx") -> str:
 , ratios AS (
   SELECT *, CASE WHEN oldbalanceOrg > 0 THEN amount / (oldbalanceOrg + 1) ELSE amount END AS ratio,
     type IN ('TRANSFER', 'CASH_OUT') AS moving, CAST(floor(amount) AS BIGINT) AS whole,
+    CAST(floor(100 * CASE WHEN oldbalanceOrg > 0 THEN amount / (oldbalanceOrg + 1) ELSE amount END) AS BIGINT) AS share,
     amount > 1000 AND amount = floor(amount) AS is_whole
   FROM {source}),
 hits AS (
@@ -399,8 +400,8 @@ def build() -> dict[str, str]:
       SELECT event_id, step, type, format('${{:,.2f}}', amount) AS amount, nameOrig, nameDest,
         CASE WHEN is_fraud THEN 'FRAUD' ELSE 'LEGITIMATE' END AS verdict,
         printf('%.2f%%', fraud_probability * 100) AS fraud_probability, printf('%.3f', risk_score) AS risk_score,
-        concat(CASE WHEN n_reasons = 0 THEN 'no suspicious pattern' ELSE {TEXTS} END,
-          CASE WHEN fp_reduced THEN ' | [cleared by behaviour analysis]' ELSE '' END) AS fraud_reasons FROM reduced"""
+        concat(CASE WHEN n_reasons = 0 THEN 'no rule applies' ELSE {TEXTS} END,
+          CASE WHEN fp_reduced THEN ' | verdict withdrawn: usual conduct' ELSE '' END) AS fraud_reasons FROM reduced"""
 
     # rules
     q["rule_hits"] = rules + " UNION ALL ".join(
@@ -408,7 +409,7 @@ def build() -> dict[str, str]:
     q["rule_score"] = rules + """SELECT event_id, round(raw_score, 6) AS raw_score, round(score, 6) AS score,
       conf AS confidence, verdict AS is_fraud FROM scored"""
     q["rule_reasons"] = rules + f"""SELECT event_id, {CODES} AS codes,
-      CASE WHEN n_reasons = 0 THEN 'no suspicious pattern' ELSE {TEXTS} END AS text, n_reasons FROM scored"""
+      CASE WHEN n_reasons = 0 THEN 'no rule applies' ELSE {TEXTS} END AS text, n_reasons FROM scored"""
     q["report"] = q["stream_report"] = rules + reduced + f"SELECT {REPORT_LIST} FROM reduced"
     q["report_unreduced"] = rules + """SELECT event_id, step, type, amount, nameOrig, nameDest, verdict AS is_fraud,
       round(score, 6) AS fraud_probability, round(score, 6) AS risk_score, conf AS confidence, false AS fp_reduced
