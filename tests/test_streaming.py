@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from txrisk.constants import TX_COLUMNS
 from txrisk.operators import aggregates, counters, profile
 from txrisk.plans import scoring
 from txrisk.session import scratch_path, tuned
@@ -110,3 +111,40 @@ def test_continuous_query_starts_and_stops(spark):
     finally:
         query.stop()
     assert spark.read.parquet(f"{path}/rows").count() == 2 and not query.isActive
+
+
+def test_models_are_replaced_between_batches(spark, tx):
+    """A new version changes who scores the later batches, and nothing else."""
+    from txrisk.operators import forest
+    from txrisk.operators.features import training_features
+    from txrisk.plans import scoring
+    from txrisk.streaming import models as published
+
+    path = scratch_path(spark, "replaced")
+    rows = tx.select("event_id", *TX_COLUMNS, "ts")
+    rows.filter("event_id % 2 = 0").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+    grown = forest.fit(training_features(rows, 1.0), "event_id", trees=3)
+    first, second = scoring.Models(None, None, None), scoring.Models(grown, None, 1.0)
+    assert published.newest(spark, f"{path}/models") is None
+    made = published.score_available(stream, f"{path}/models", path)
+    assert {(r.model_version, r.model_used) for r in made.collect()} == {(None, "rule_based")} and first.forest is None
+    monkey = published.save_models, published.load_models
+    try:
+        published.save_models = lambda s, m, p: m.forest.save(s, p)
+        published.load_models = lambda s, p: scoring.Models(forest.Forest.load(s, p), None, 1.0)
+        assert published.publish(spark, second, f"{path}/models") == 1
+        rows.filter("event_id % 4 = 1").write.mode("append").parquet(f"{path}/in")
+        published.score_available(stream, f"{path}/models", path)
+        assert published.publish(spark, second, f"{path}/models") == 2
+        rows.filter("event_id % 4 = 3").write.mode("append").parquet(f"{path}/in")
+        made = published.score_available(stream, f"{path}/models", path)
+    finally:
+        published.save_models, published.load_models = monkey
+    said = {r.event_id: r for r in made.collect()}
+    want = {r.event_id: r for r in scoring.dispatch(rows, second).collect()}
+    assert len(said) == len(want) == made.count()
+    for i, r in said.items():
+        assert r.model_version == {0: None, 2: None, 1: 1, 3: 2}[i % 4]
+        assert r.model_version is None or (r.is_fraud, r.fraud_probability, r.model_used) == (
+            want[i].is_fraud, want[i].fraud_probability, want[i].model_used)

@@ -1,9 +1,13 @@
-"""Boosted trees through Spark ML, which trains on the whole cluster."""
+"""Boosted trees: Spark ML's, or those of ``gradient_trees``, which know penalties and stop on the validation AUC.
+The settings given choose; scoring, saving and loading take either."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import os
+
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -11,11 +15,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from txrisk.constants import FEATURES, SAMPLE_SEED
+from txrisk.operators import gradient_trees
 
 VECTOR = "_features"
 
 # Settings by their common names -> parameter of the Spark ML learner. The two
-# penalties reg_alpha and reg_lambda have no counterpart there.
+# penalties reg_alpha and reg_lambda have no counterpart there; gamma is a gain on
+# the scale of its impurity.
 PARAMETERS = {
     "n_estimators": "maxIter",
     "max_depth": "maxDepth",
@@ -45,9 +51,14 @@ def _numeric(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumns({name: F.coalesce(F.col(name).cast("double"), F.lit(0.0)) for name in features})
 
 
-def fit(train: DataFrame, settings: Settings = Settings(), val: DataFrame | None = None,
-        label: str = "isFraud") -> PipelineModel:
+Model = PipelineModel | gradient_trees.Boosted
+
+
+def fit(train: DataFrame, settings: Settings | gradient_trees.Settings = Settings(), val: DataFrame | None = None,
+        label: str = "isFraud", key: str = "event_id") -> Model:
     """Train; with ``val`` boosting stops once it no longer helps there."""
+    if isinstance(settings, gradient_trees.Settings):
+        return gradient_trees.fit(train, settings, val, label, key)
     weight = settings.scale_pos_weight
     if weight is None:
         counts = train.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")).first()
@@ -72,12 +83,16 @@ def fit(train: DataFrame, settings: Settings = Settings(), val: DataFrame | None
     return Pipeline(stages=[assembler, learner]).fit(rows)
 
 
-def features_of(model: PipelineModel) -> list[str]:
+def features_of(model: Model) -> list[str]:
+    if isinstance(model, gradient_trees.Boosted):
+        return model.features
     return model.stages[0].getInputCols()
 
 
-def scored(df: DataFrame, model: PipelineModel, name: str = "boosted_probability") -> DataFrame:
+def scored(df: DataFrame, model: Model, name: str = "boosted_probability") -> DataFrame:
     """Add the probability of fraud and the verdict ``<name>_verdict``."""
+    if isinstance(model, gradient_trees.Boosted):
+        return gradient_trees.scored(df, model, name)
     features = features_of(model)
     shadow = {f: f"_in_{f}" for f in features}
     # The model gets its own copies, so the caller's columns keep their types.
@@ -94,16 +109,28 @@ def scored(df: DataFrame, model: PipelineModel, name: str = "boosted_probability
     )
 
 
-def importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
+def importance(model: Model, spark: SparkSession) -> DataFrame:
     """Features by falling importance: one row per feature of the model."""
+    if isinstance(model, gradient_trees.Boosted):
+        return gradient_trees.importance(model, spark)
     values = model.stages[1].featureImportances.toArray()
     rows = [(name, float(value)) for name, value in zip(features_of(model), values)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save(model: Model, path: str) -> None:
+    if isinstance(model, gradient_trees.Boosted):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load(path: str) -> Model:
+    spark = SparkSession.active()
+    try:
+        spark.read.parquet(os.path.join(path, "settings"))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return PipelineModel.load(path)
+    return gradient_trees.load(spark, path)

@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from txrisk.constants import FEATURES, SAMPLE_SEED
-from txrisk.operators import boosted, forest, metrics
+from txrisk.operators import boosted, forest, gradient_trees, metrics
 from txrisk.sources.tables import best_run, log_run, read_runs
 
 # ---------------------------------------------------------------- fixed values
@@ -38,6 +38,9 @@ BOOSTED_SPACE = {
     "subsample": ("float", 0.6, 1.0),
     "colsample": ("float", 0.6, 1.0),
     "min_child_weight": ("int", 1, 10),
+    "gamma": ("float", 0.0, 5.0),
+    "reg_alpha": ("float", 0.0, 5.0),
+    "reg_lambda": ("float", 0.0, 5.0),
     "scale_pos_weight": ("int", 1, 50),
 }
 FOREST_SPACE = {
@@ -48,10 +51,7 @@ FOREST_SPACE = {
 }
 # ----------------------------------------------------------- end fixed values
 
-# The least gain of a split is on the scale of the learner's impurity, where
-# anything near one stops every split; the penalties have no counterpart there
-# and are not drawn.
-BOOSTED_SPACE["gamma"] = ("log", 1e-6, 1e-1)
+PENALTIES = {"reg_alpha", "reg_lambda"}
 
 
 def grid(space: dict[str, list]) -> list[dict]:
@@ -88,8 +88,12 @@ def forest_trial(train: DataFrame, val: DataFrame, params: dict, key: str = "eve
 
 def boosted_trial(train: DataFrame, val: DataFrame, params: dict,
                   features: list[str] = FEATURES) -> tuple[dict, object]:
-    known = {k: v for k, v in params.items() if k in boosted.PARAMETERS or k == "scale_pos_weight"}
-    model = boosted.fit(train, boosted.Settings(features=list(features), **known), val)
+    """Settings with penalties are for the learner that knows them; it is judged with all its trees."""
+    if PENALTIES & params.keys():
+        model = boosted.fit(train, gradient_trees.of_params(params, features))
+    else:
+        known = {k: v for k, v in params.items() if k in boosted.PARAMETERS or k == "scale_pos_weight"}
+        model = boosted.fit(train, boosted.Settings(features=list(features), **known), val)
     judged = boosted.scored(val, model)
     return metrics.quality(judged, "isFraud", "boosted_probability_verdict").first().asDict(), model
 

@@ -494,7 +494,7 @@ def build() -> dict[str, str]:
         f"SELECT event_id, {COUNTS} FROM untimed LEFT JOIN sliding USING (event_id)"
     q["customer_profile_untimed"] = untimed + profile_sql("placed", False) + \
         "SELECT event_id, total_amount, tx_count, avg_amount, max_amount, last_us FROM untimed LEFT JOIN profiled USING (event_id)"
-    q["clear_state"] = "SELECT 0 AS entries"
+    q["clear_state"] = STATE_SQL + "SELECT kind, count(*) AS entries, 0 AS entries_left FROM entries GROUP BY kind"
     q["customer_profile"] = profile_sql("tx", False) + \
         "SELECT event_id, total_amount, tx_count, avg_amount, max_amount, last_us FROM profiled"
     q["customer_profile_before"] = profile_sql("tx", True) + \
@@ -544,6 +544,14 @@ def build() -> dict[str, str]:
       count(*) AS consistent FROM tx"""
     q["search_resume"] = """SELECT * FROM (VALUES (0, 5, 0.01e0, true), (0, 5, 0.02e0, true), (1, 6, 0.03e0, true),
       (2, 5, 0.01e0, true), (2, 5, 0.02e0, true)) AS v(search, trees, contamination, scored)"""
+    q["grid_forest"] = """SELECT contamination, n_estimators, true AS scored FROM (VALUES (0.005e0), (0.01e0), (0.02e0)) AS c(contamination),
+      (VALUES (50), (100), (200)) AS n(n_estimators)"""
+    q["grid_boosted"] = """SELECT 3 AS n_estimators, max_depth, 0.1e0 AS learning_rate, 10 AS scale_pos_weight, true AS scored
+      FROM (VALUES (3), (4)) AS d(max_depth)"""
+    q["trials_forest"] = "SELECT 4 AS trials, 4 AS in_space, 4 AS scored"
+    q["trials_boosted"] = "SELECT 2 AS trials, 2 AS in_space, 2 AS scored"
+    q["gbt_penalised"] = "SELECT count(*) AS rows, count(*) AS in_range, count(*) AS consistent, true AS best_kept FROM tx"
+    q["stream_ensemble"] = "SELECT 1 AS model_version, 'ensemble' AS model_used, count(*) AS rows, count(*) AS as_in_batch FROM tx"
     q["best_refit"] = "SELECT count(*) AS rows, count(*) AS in_range, 5 AS trees FROM tx"
     # mean path of an unsuccessful search among eight rows
     mean_path = "(2e0 * (ln(7e0) + 0.5772156649015329e0) - 2e0 * 7e0 / 8e0)"

@@ -5,14 +5,16 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from txrisk.constants import BOOSTED_WEIGHT, FOREST_WEIGHT
-from txrisk.operators import boosted, forest, metrics, tuning
+from txrisk.constants import BOOSTED_WEIGHT, FEATURES, FOREST_WEIGHT
+from txrisk.operators import boosted, forest, gradient_trees, metrics, tuning
 from txrisk.plans.prepare import Prepared, prepare
 from txrisk.plans.scoring import Models, model_scores
 from txrisk.sources.tables import log_run
 
+# Changes with what a training run makes of the same settings and rows.
+LEARNERS = 3
 METRICS = ["precision", "recall", "f1_score", "auc"]
 
 
@@ -21,7 +23,7 @@ class Sizes:
     """How much training to do; the defaults are the full settings."""
 
     trees: int = forest.TREES
-    boosted: boosted.Settings = boosted.Settings()
+    boosted: boosted.Settings | gradient_trees.Settings = boosted.Settings()
 
 
 def train(prepared: Prepared, sizes: Sizes = Sizes(), key: str = "event_id") -> Models:
@@ -137,10 +139,18 @@ def trial_of(prepared: Prepared, model: str):
     return lambda params: tuning.boosted_trial(train_rows, val_rows, params)
 
 
+def marked(prepared: Prepared) -> str:
+    """What tells one prepared table from another: the rows, keys and labels of each part, the features and the threshold."""
+    counts = prepared.rows.groupBy("part").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64("event_id", "isFraud").cast("decimal(20,0)")).alias("sum")).orderBy("part").collect()
+    parts = [(r["part"], r["rows"], str(r["sum"])) for r in counts]
+    return f"{parts}:{FEATURES}:{prepared.large_amount!r}:{LEARNERS}"
+
+
 def _search(prepared, runs_path, model, study, settings, parallelism, model_path) -> DataFrame:
     spark = prepared.rows.sparkSession
     trial = trial_of(prepared, model)
-    data = f"{model}:{prepared.large_amount!r}"
+    data = f"{model}:{marked(prepared)}"
     runs = tuning.search(spark, settings, trial, study, runs_path, parallelism, data)
     if model_path and (best := tuning.refit(runs, trial)):
         if model == "forest":
