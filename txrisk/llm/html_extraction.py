@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 #: Labelled pages of the table that are learnt from, the first by a hash; and the most blocks that such a page has.
 TRAINING_PAGES = 300
 TRAINING_BLOCKS = 200
+#: Longer pages, in characters, are not drawn for training; with TRAINING_PAGES this bounds what the driver gets.
+TRAINING_LENGTH = 100_000
 STEPS = 250
 RATE = 0.1
 DECAY = 1e-3
@@ -41,12 +43,13 @@ NAMING = frozenset("class id role itemprop aria-label".split())
 HIDDEN = "(hidden)"
 NAME = re.compile(r"[a-z]+")
 #: Their content is never text of the page.
-OPAQUE = frozenset("script style noscript template iframe object svg math canvas select textarea button title datalist audio video".split())
+OPAQUE = frozenset("script style noscript template iframe object svg annotation canvas select textarea button title datalist audio video".split())
 #: Of these, everything up to the end tag is raw text.
 RAW = frozenset("script style textarea title iframe noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var nobr output".split())
+                   "small span strike strong sub sup time tt u var nobr output math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mover munder "
+                   "semantics".split())
 #: Tags that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt tr td th".split())
@@ -403,13 +406,27 @@ def described(blocks: list[Block], hide: frozenset = frozenset()) -> list[set[st
     return [place_features(b.tags, b.names, hide) | text_features(b, p) for b, p in zip(blocks, [None, *blocks[:-1]])]
 
 
+def drawn(pages: DataFrame, key: str, html: str, number: int) -> list[str]:
+    """At most ``number`` pages of at most TRAINING_LENGTH characters, those with the smallest hashes of key and length. Only
+    keys are put in order; the pages of the chosen ones are fetched in a second pass."""
+    fit = pages.select(F.col(key).alias("key"), F.length(html).alias("size"), F.col(html).alias("html")).filter(F.col("size") <= TRAINING_LENGTH)
+    mark = F.xxhash64(F.col("key").cast("string"), F.col("size"))
+    chosen = fit.select("key", "size", mark.alias("mark")).orderBy("mark", "key").limit(number).collect()
+    if not chosen:
+        return []
+    wanted = pages.sparkSession.createDataFrame(
+        sorted({tuple(r) for r in chosen}, key=str), f"k {fit.schema['key'].dataType.simpleString()}, s int, m bigint")
+    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("size") == F.col("s"))
+    met = fit.filter(mark <= max(r["mark"] for r in chosen)).join(F.broadcast(wanted), same)  # at most `number` rows
+    found = met.groupBy("m", "k", "s").agg(F.min("html").alias("html")).collect()  # rows of one key and length count once
+    return [r["html"] for r in sorted(found, key=lambda r: (r["m"], str(r["k"]), r["s"]))]
+
+
 def learnt(pages: DataFrame, key: str = "page_id", html: str = "html", training_pages: int = TRAINING_PAGES, **settings) -> Field:
     """The field of a table: from a bounded sample of its pages, as far as they label themselves, and the patterns."""
-    sample = (pages.filter(F.col(html).isNotNull()).orderBy(F.xxhash64(F.col(key).cast("string"), F.length(html)), key)
-              .limit(training_pages).select(F.col(html).alias("html")).collect())
     learn = [(described(blocks), labels) for blocks, labels in patterns()]
-    for row in sample:
-        blocks = leaf_blocks(row.html)
+    for page in drawn(pages, key, html, training_pages):
+        blocks = leaf_blocks(page)
         labels = own_labels(blocks)
         if labels and len(blocks) <= TRAINING_BLOCKS:
             learn += [(described(blocks), labels), (described(blocks, ARTICLE), labels)]
