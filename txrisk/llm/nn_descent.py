@@ -5,15 +5,18 @@ blocks: a few random-hyperplane partitions, in each of which the vertices of a b
 round, the neighbours and reverse neighbours of a vertex meet and are compared with each other, and better ones enter
 the lists. Pairs at the threshold are links; links give components.
 
-A list is cut to its best, so links are not read from lists alone: every block and every meeting also ties together what
-its links connect, by at most one row per member, before anything is cut. Lists and ties give the components; within a
-component all pairs are compared, block against block, and only counts leave a task. So no link that was ever computed
-is lost, and the number of links is complete as far as the components are.
-
-The recall is audited: vectors chosen by hash are compared with all vectors, until enough of them have links. The recall
-is the mean over these vertices of the share of their distinct partners that was found, whatever the copies. While it is too
-low, further partitions and rounds follow; if they do not suffice, or too few vertices of the largest sample have links
-to tell, all vertices are compared block against block, which misses nothing.
+A list whose last member is still a link is saturated: it is made twice as long, and its vertex meets the neighbours of its
+neighbours again, until no list is saturated or LONGEST is reached. A group of more near copies than that is not written out as
+lists, whose number would grow with its square: every block and every meeting also ties together what its links connect, by at
+most one row per member, before anything is cut. Lists and ties give the components; within a component all pairs are
+compared, block against block, and only counts leave a task. So no link that was ever computed is lost, and the number of
+links is complete as far as the components are.
+
+The recall is audited: vectors chosen by hash are compared with all vectors, until enough of them have links; where links are
+too rare for that, vectors with links that were found are asked as well, and every try is made. The recall is the mean over
+these vertices of the share of their distinct partners that was found, whatever the copies. While it is too low, further
+partitions and rounds follow. At most EXACT_VERTICES vertices that fall short after MOST_TRIES, or whose recall can't be told, are
+also compared block against block, which misses nothing; more get further tries, and that comparison only after LAST_TRY of them.
 """
 
 from __future__ import annotations
@@ -31,12 +34,17 @@ from txrisk.session import discard, reliable
 
 THRESHOLD = 0.9
 NEIGHBOURS = 8
+#: Neighbours that a saturated list grows to at most.
+LONGEST = 32
 PARTITIONS = 8
 LEAF = 256
 #: Vertices that are compared with each other in one task at most.
 BLOCK = 1024
 ROUNDS = 2
 MOST_TRIES = 3
+LAST_TRY = 12
+#: Vertices up to which all are compared with all if the audit fails after MOST_TRIES or cannot tell (some seconds).
+EXACT_VERTICES = 10_000
 #: Vectors that the audit asks first and at most, and how many of them shall have links.
 AUDIT = 500
 MOST_AUDITED = 16_384
@@ -80,7 +88,7 @@ def leaves(vertices: DataFrame, trees: range, bits: int, seed: int) -> DataFrame
                         [pa.array(np.full(len(x), tree, np.int32)), pa.array(np.full(len(x), width, np.int32)), pa.array(code.astype(np.int64)),
                          part.column("id"), part.column("vec")], names=["tree", "width", "code", "id", "vec"])
 
-    return vertices.mapInArrow(run, "tree int, width int, code bigint, id bigint, vec array<float>")
+    return vertices.mapInArrow(run, f"tree int, width int, code bigint, id bigint, vec {vertices.schema['vec'].dataType.simpleString()}")
 
 
 def tied(count: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,6 +225,30 @@ def descended(vertices: DataFrame, graph: DataFrame, most: int, threshold: float
     return kept(met, edges, most)
 
 
+def enlarged(vertices: DataFrame, graph: DataFrame, most: int, threshold: float) -> tuple[DataFrame, DataFrame] | None:
+    """Lists of up to 2 * most neighbours for the vertices whose list ends with a link, and the ties; none if there are none.
+
+    They and their neighbours are the pivots; only pairs that link a saturated vertex come out.
+    """
+    full = reliable(graph.filter((F.size("list") >= most) & (F.element_at("list", -1)["s"] >= threshold)).select("u"))
+    if full.isEmpty():
+        discard(full)
+        return None
+    edges = graph.select("u", F.explode("list").alias("e")).select("u", "e.v", "e.s")
+    pivots = full.unionByName(edges.join(full, "u", "left_semi").select(F.col("v").alias("u"))).distinct()
+    reverse = lists(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "s"), 2 * most)
+    members = edges.select("u", "v").unionByName(reverse.select("u", F.explode("list").alias("e")).select("u", "e.v")).unionByName(
+        graph.select("u", F.col("u").alias("v"))).distinct().join(pivots, "u", "left_semi")
+    # Above every similarity for those that want no more neighbours.
+    bar = full.select(F.col("u").alias("id"), F.lit(threshold - 1e-12).alias("least"))
+    known = vertices.join(bar, "id", "left").select(F.col("id").alias("m"), F.coalesce("least", F.lit(2.0)).alias("least"), "vec")
+    rows = members.select(F.col("u").alias("p"), F.col("v").alias("m")).join(known, "m").select("p", "m", "least", "vec")
+    met = rows.repartition("p").sortWithinPartitions("p").mapInArrow(lambda t: meetings(t, threshold), "u bigint, v bigint, s double")
+    made = kept(met, edges, 2 * most)
+    discard(full)
+    return made
+
+
 def counted(table: pa.Table, threshold: float) -> pa.Table:
     """Block i against block j of a component: how many vertices of j each vertex of i is linked to, and their weight."""
     left = table["left"].to_numpy(zero_copy_only=False).astype(bool)
@@ -240,9 +272,12 @@ def link_counts(members: DataFrame, threshold: float) -> DataFrame:
     return parts.groupBy("id").agg(F.sum("links").alias("links"), F.sum("partners").alias("partners"))
 
 
-def real_partners(vertices: DataFrame, threshold: float, most: int) -> DataFrame:
-    """(id, real) of a sample of ``most`` vertices, compared with all: those that have partners, and how many."""
-    sample = vertices.orderBy(F.xxhash64("id"), "id").limit(most).select("id", "vec").toArrow()
+def real_partners(vertices: DataFrame, threshold: float, most: int, of: DataFrame | None = None) -> DataFrame:
+    """(id, real) of a sample of ``most`` vertices (of those in ``of``), compared with all: those that have partners, and how many."""
+    drawn_from = vertices if of is None else vertices.join(of, "id", "left_semi")
+    sample = drawn_from.orderBy(F.xxhash64("id"), "id").limit(most).select("id", "vec").toArrow()
+    if not sample.num_rows:
+        return vertices.select("id", F.lit(0).cast("long").alias("real")).limit(0)
     widths = np.asarray(sample["vec"].combine_chunks().value_lengths())
     asked = {w: (sample["id"].to_numpy()[widths == w], vectors(sample["vec"].combine_chunks().filter(pa.array(widths == w))))
              for w in np.unique(widths).tolist()}
@@ -330,31 +365,39 @@ def linked(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", thre
     counts the other rows. Rows without a key take part, but are never named; alone, their component is missing and
     they are kept. No rows give no rows. Other columns may have any name.
     """
-    all_rows = reliable(rows.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("vec")).withColumn("ok", usable("vec")))
+    # Whatever is wider than float is kept as double: sizes that floats do not have still have a direction.
+    kind = "float" if rows.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    all_rows = reliable(rows.select(F.col(key).alias("key"), F.col(vector).cast(f"array<{kind}>").alias("vec")).withColumn("ok", usable("vec")))
     grouped = (all_rows.filter("ok").groupBy("vec").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"))
                .withColumn("id", F.xxhash64("vec")))
     # The hash of a vector is its vertex; should two vectors share one, the second takes its next.
     turn = F.row_number().over(Window.partitionBy("id").orderBy("vec"))
     vertices = reliable(grouped.withColumn("id", F.when(turn > 1, F.xxhash64("vec", turn)).otherwise(F.col("id"))))
     count = vertices.count()
-    graph, ties, reached = None, None, 0.0
+    graph, ties, reached, attempt = None, None, 0.0, 0
     real, telling = drawn(vertices, count, threshold, audit)
-    # Where the audit cannot tell, it could not after any partitions either.
-    for attempt in range(tries if telling else 0):
+    last = tries if count <= EXACT_VERTICES else max(tries, LAST_TRY)
+    small = count <= EXACT_VERTICES
+    while attempt < last and (reached < recall or not (telling or small) and attempt < tries):
         trees = range(attempt * partitions, (attempt + 1) * partitions)
         pairs = first_pairs(vertices.select("id", "vec"), count, trees, neighbours, threshold, seed)
         known = None if graph is None else graph.select("u", F.explode("list").alias("e")).select("u", "e.v", "e.s")
-        graph, more = kept(pairs, known, neighbours)
+        most = neighbours
+        graph, more = kept(pairs, known, most)
         ties = more if ties is None else ties.unionByName(more)
         for _ in range(rounds):
-            graph, more = descended(vertices.select("id", "vec"), graph, neighbours, threshold)
+            graph, more = descended(vertices.select("id", "vec"), graph, most, threshold)
             ties = ties.unionByName(more)
+        while most < LONGEST and (made := enlarged(vertices.select("id", "vec"), graph, most, threshold)):
+            graph, more = made
+            ties, most = ties.unionByName(more), 2 * most
         links = graph.select("u", F.explode("list").alias("e")).filter(F.col("e.s") >= threshold).select(F.col("u").alias("a"), F.col("e.v").alias("b"))
         labels, found = joined(vertices, links.unionByName(ties), threshold)
-        reached = audited(real, found)
-        if reached >= recall:
-            break
-    if reached < recall:
+        asked = real if telling else reliable(real.unionByName(
+            real_partners(vertices, threshold, audit, found.filter("partners > 0"))).dropDuplicates(["id"]))
+        reached = audited(asked, found)
+        attempt += 1
+    if reached < recall or small and not telling:
         labels, found = joined(vertices, exact_ties(vertices, count, threshold), threshold)
     rooted = vertices.join(labels, vertices["id"] == labels["node"], "left").select(
         "id", "vec", "least", "n", F.coalesce("root", "id").alias("root"))
