@@ -1,7 +1,10 @@
 """Personal data replaced by keyed surrogates.
 
 Entities are found in every text: e-mail addresses, telephone and card numbers, IP addresses, account and social
-security numbers, and names that follow a form of address. A surrogate is drawn from a keyed hash of the entity: of the
+security numbers, and names that follow a form of address: all words with capitals, over initials and particles. Their words
+are then found wherever else they stand in the text, and a first name before a family name that was met with its initial. A
+word has one role in a text, whatever the forms of address. Names that no form of address introduces anywhere in their text
+are not found. A surrogate is drawn from a keyed hash of the entity: of the
 same kind and format (lengths, separators, letter case, country prefix, valid or invalid check digits), of the same
 script, and for first names of the same gender, which the form of address tells. One entity has one surrogate
 everywhere, however it is written; a name is kept word by word, so that a later mention by surname alone still agrees.
@@ -14,6 +17,7 @@ are drawn on the spot.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -26,7 +30,9 @@ from pyspark.sql import functions as F
 from txrisk.llm.common import whole
 from txrisk.session import reliable
 
+#: The key where neither the caller nor the session's KEY_SETTING gives one: for tests, as anybody can recompute what it draws.
 KEY = "surrogates-1"
+KEY_SETTING = "txrisk.surrogates.key"
 #: Redrawn entities that are sent to every task; with more, they are joined to their documents.
 MOST_SENT = 50_000
 MOST_DRAWS = 40
@@ -55,6 +61,8 @@ SYLLABLES = {
               {"m": ["νος", "ρης", "δης", "κος"], "f": ["νια", "ρα", "δα", "λη"], "n": ["νι", "λι", "κι", "ρι"],
                "family": ["ίδου", "άκη", "ούλου", "όπουλου"]}),
 }
+#: Words in lower case between the words of a name.
+PARTICLES = frozenset("von vom van den der de del della di da do dos das du la le los las zu zum zur ter ten bin ibn al el y e i".split())
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 # ----------------------------------------------------------- end fixed values
 
@@ -70,6 +78,7 @@ PATTERNS = {
 FORMS = sorted({form for a in ADDRESS for form in (a, a.capitalize(), a.upper())}, key=lambda a: (-len(a), a))
 NAMED = re.compile(r"(?:" + "|".join(map(re.escape, FORMS)) + r")(?:\.?[ \t]+)(?=[^\W\d_])")
 WORDS = re.compile(r"[^\W\d_][^\W\d_'\u2019-]*")
+JOINS = ("'", "\u2019", "-")
 KINDS = [*PATTERNS, "name"]
 
 
@@ -100,40 +109,101 @@ def normal(kind: str, surface: str) -> str:
     return head + "".join(c for c in surface if c.isalnum())
 
 
+def people(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[str]]]:
+    """Gender, words and initials of every name after a form of address: all words with capitals that follow, over particles and
+    initials. Where all is in capitals they mark no names, so two words are taken."""
+    for m in NAMED.finditer(text):
+        form = m[0].rstrip(" \t").rstrip(".")
+        if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
+            continue
+        words, initials, at = [], [], m.end()
+        while w := WORDS.match(text, at):
+            if w[0][0].isupper():
+                if len(w[0]) == 1 and text[w.end():w.end() + 1] == ".":
+                    initials.append(w[0].lower())
+                    at = w.end() + 1
+                else:
+                    if len(w[0]) > 1:
+                        words.append((w.start(), w.end()))
+                    at = w.end()
+                    if text[at:at + 1] in JOINS and text[at + 1:at + 2].isupper():
+                        at += 1  # the next part of a name with a hyphen or an apostrophe
+                        continue
+                    if len(words) == 2 and form.isupper() and len(form) > 1 and all(text[x:y].isupper() for x, y in words):
+                        break
+            elif w[0] in PARTICLES:
+                at = w.end()
+            else:
+                break
+            begin = at
+            while at < len(text) and text[at] in " \t":
+                at += 1
+            if at == begin:
+                break
+        if words:
+            yield ADDRESS[form.lower()], words, initials
+
+
+def single_words(text: str) -> Iterator[tuple[int, int]]:
+    """Words with a capital; a hyphen or an apostrophe ends a word."""
+    for w in WORDS.finditer(text):
+        if w.start() and (text[w.start() - 1].isalnum() or text[w.start() - 1] == "_") or text[w.end():w.end() + 1].isalnum() or text[w.end():w.end() + 1] == "_":
+            continue
+        if w[0][0].isupper():
+            yield w.start(), w.end()
+
+
+def named(text: str) -> Iterator[tuple[int, int, str]]:
+    """Begin, end and role (first-m, first-f, first-n or family) of the words of names in a text. A word has one role there: if any
+    name has it before its last word, it is a first name. Words of names are also found where they stand alone later or earlier,
+    and so is a first name before a family name that was met with its initial."""
+    roles: dict[str, str] = {}
+    short: dict[tuple[str, str], str] = {}  # family name, initial -> gender
+    for gender, words, initials in people(text):
+        for i, (begin, end) in enumerate(words):
+            word, role = text[begin:end].lower(), "family" if i == len(words) - 1 else f"first-{gender}"
+            before = roles.get(word)
+            if before is None or before == "family" or before == "first-n" and role != "family":
+                roles[word] = role if before is None or role != "family" else before
+        family_name = text[slice(*words[-1])].lower()
+        short.update({(family_name, c): gender for c in initials})
+    if not roles:
+        return
+    if short:
+        last = None
+        for begin, end in single_words(text):
+            if last and text[last[1]:begin].strip(" \t") == "" and last[1] < begin:
+                gender = short.get((text[begin:end].lower(), text[last[0]].lower()))
+                if gender and last[1] - last[0] > 1:
+                    roles.setdefault(text[last[0]:last[1]].lower(), f"first-{gender}")
+            last = begin, end
+    for begin, end in single_words(text):
+        if role := roles.get(text[begin:end].lower()):
+            yield begin, end, role
+
+
 def entities(text: str | None) -> list[Found]:
     """The entities of a text, left to right, none over another; of two that overlap the one of the kind listed first."""
     text = text or ""
     out: list[Found] = []
     digits = any(c in text for c in "0123456789")
-    taken: list[tuple[int, int]] = []
+    begins: list[int] = []
+    ends: list[int] = []
 
     def put(begin: int, end: int, kind: str, entity: str) -> None:
-        if all(end <= b or begin >= e for b, e in taken):
-            taken.append((begin, end))
-            out.append(Found(begin, end, kind, entity))
+        at = bisect.bisect_right(begins, begin)
+        if (at and ends[at - 1] > begin) or (at < len(begins) and begins[at] < end):
+            return
+        begins.insert(at, begin)
+        ends.insert(at, end)
+        out.append(Found(begin, end, kind, entity))
 
     for kind, pattern in PATTERNS.items():
         if ("@" in text) if kind == "email" else digits:
             for m in pattern.finditer(text):
                 put(m.start(), m.end(), kind, normal(kind, m[0]))
-    for m in NAMED.finditer(text):
-        form = m[0].rstrip(" \t").rstrip(".")
-        if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
-            continue
-        # Names are written with capitals; a form of address before another word is no name.
-        words = []
-        at = m.end()
-        while len(words) < 2 and (w := WORDS.match(text, at)) and w[0][0].isupper():
-            words.append(w)
-            at = w.end()
-            while at < len(text) and text[at] in " \t":
-                at += 1
-            if at == w.end():
-                break
-        gender = ADDRESS[form.lower()]
-        for i, w in enumerate(words):
-            kind = "family" if i == len(words) - 1 else f"first-{gender}"
-            put(w.start(), w.end(), f"{kind}-{script(w[0])}", w[0].lower())
+    for begin, end, role in named(text):
+        put(begin, end, f"{role}-{script(text[begin:end])}", text[begin:end].lower())
     return sorted(out, key=lambda f: f.begin)
 
 
@@ -282,12 +352,13 @@ def assigned(found: DataFrame, secret: str = KEY) -> DataFrame:
     raise RuntimeError(f"surrogates still clash after {MOST_DRAWS} draws")
 
 
-def replaced_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: str = KEY, most_sent: int = MOST_SENT) -> DataFrame:
+def replaced_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: str | None = None, most_sent: int = MOST_SENT) -> DataFrame:
     """One row per row of ``docs``: key, text with surrogates, and the number of entities of every kind.
 
     A missing text is empty. Rows that repeat each other get equal texts; rows without a key are treated like any. No
     rows give no rows. Other columns may have any name.
     """
+    secret = secret or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     found = reliable(mentions(docs, key, text))
     moved = assigned(found, secret).filter("turn > 0").select("kind", "entity", "turn")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
