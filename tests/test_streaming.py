@@ -148,3 +148,28 @@ def test_models_are_replaced_between_batches(spark, tx):
         assert r.model_version == {0: None, 2: None, 1: 1, 3: 2}[i % 4]
         assert r.model_version is None or (r.is_fraud, r.fraud_probability, r.model_used) == (
             want[i].is_fraud, want[i].fraud_probability, want[i].model_used)
+
+
+def test_durations_of_all_batches(spark, tx):
+    """Every micro-batch is kept, also those that the query's own progress has forgotten."""
+    import time
+
+    path = scratch_path(spark, "durations")
+    tx.select("event_id").repartition(130).write.parquet(f"{path}/in")
+    before = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "5")
+    kept = run.Durations(spark, f"{path}/durations", keep=50)
+    spark.streams.addListener(kept)
+    try:
+        stream = spark.readStream.schema("event_id bigint").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        query = stream.writeStream.format("noop").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        until = time.time() + 20
+        while time.time() < until and len(kept.held) + spark.read.schema(run.DURATIONS).parquet(f"{path}/durations").count() < 130:
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(kept)
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)
+    rows = kept.table().collect()
+    assert len(query.recentProgress) <= 5 and sorted(r.batch_id for r in rows) == list(range(130))
+    assert sum(r.rows for r in rows) == tx.count()

@@ -355,6 +355,8 @@ def build() -> dict[str, str]:
     q["stored_predictions"] = f"""SELECT CAST(event_id AS VARCHAR) AS key, {FALLBACK} AS prediction,
       0.5e0 AS probability, 'rule_based' AS model_used FROM tx
       WHERE us <= {AS_OF + 1800 * 1000000} AND {AS_OF + 1800 * 1000000} < us + 3600000000"""
+    q["stored_once"] = f"""SELECT CAST(event_id AS VARCHAR) AS key, event_id % 3 AS batch, {FALLBACK} AS prediction,
+      'rule_based' AS model_used FROM tx"""
     q["run_log"] = rules + RUNS_SQL + "SELECT run_id, 'rules' AS parent_id, cut, f1_score FROM runs"
     q["best_run"] = rules + RUNS_SQL + "SELECT run_id, f1_score FROM runs ORDER BY f1_score DESC, run_id LIMIT 1"
 

@@ -36,4 +36,6 @@ def prepare(tx: DataFrame, sample_rows: int | None = None, scope: str = "train",
     split = temporal_split(rows, key=key)
     fitted_on = split.filter(F.col("part") == "train") if scope == "train" else split
     threshold = large_amount_threshold(fitted_on)
-    return Prepared(derive(encode(split), threshold), threshold)
+    made = derive(encode(split), threshold)
+    # The features are stored too, or every training pass would derive them again.
+    return Prepared(reliable(made) if durable else made, threshold)

@@ -7,7 +7,7 @@ import json
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 RUN_SCHEMA = (
     "run_id string, parent_id string, model string, params map<string,string>, "
@@ -22,6 +22,30 @@ def append_predictions(scored: DataFrame, path: str, row_id: str = "event_id", t
     predictions.write.mode("append").parquet(path)
 
 
+STORED = "batch string, attempt string, stored timestamp"
+
+
+def store_once(rows: DataFrame, path: str, batch: str) -> None:
+    """Store the rows of a batch so that a batch that runs again counts once.
+
+    An attempt writes to a folder of its own and is entered in the ledger once all its files are there. Readers take the
+    first attempt that the ledger names for a batch, so neither half a write nor a second one is ever seen.
+    """
+    spark, attempt = rows.sparkSession, uuid.uuid4().hex
+    rows.write.parquet(os.path.join(path, "rows", f"batch={batch}", f"attempt={attempt}"))
+    entry = spark.range(1).select(F.lit(str(batch)).alias("batch"), F.lit(attempt).alias("attempt"), F.current_timestamp().alias("stored"))
+    entry.coalesce(1).write.mode("append").parquet(os.path.join(path, "ledger"))
+
+
+def stored_once(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of all batches in the ledger, each batch once, with their ``batch``."""
+    ledger = spark.read.schema(STORED).parquet(os.path.join(path, "ledger"))
+    first = ledger.groupBy("batch").agg(F.min(F.struct("stored", "attempt"))["attempt"].alias("attempt"))
+    full = T.StructType([*schema.fields, T.StructField("batch", T.StringType()), T.StructField("attempt", T.StringType())])
+    rows = spark.read.schema(full).parquet(os.path.join(path, "rows"))
+    return rows.join(first, ["batch", "attempt"], "left_semi").drop("attempt")
+
+
 def prediction_entries(scored: DataFrame, row_id: str = "event_id", time: str = "ts") -> DataFrame:
     from txrisk.operators.state import entries
 

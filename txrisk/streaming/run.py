@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from txrisk.constants import BATCH_SECONDS
 
@@ -57,10 +57,46 @@ def run_to_the_end(out: DataFrame, path: str, keys: list[str], mode: str = "upda
     return newest.select(*[F.col(c) if c in keys else F.col(f"_v.{c}") for c in out.columns])
 
 
+DURATIONS = "batch_id bigint, rows bigint, seconds double"
+
+
+class Durations(StreamingQueryListener):
+    """Keeps rows and seconds of every micro-batch of the queries that run while it is registered, and appends them to a table
+    ``keep`` at a time; the rest follows when a query ends."""
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 1000):
+        self.spark, self.path, self.keep, self.held = spark, path, keep, []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.held.append((int(p.batchId), int(p.numInputRows), p.durationMs.get("triggerExecution", 0) / 1000.0))
+        if len(self.held) >= self.keep:
+            self.store()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.store()
+
+    def store(self) -> None:
+        rows, self.held = self.held, []
+        if rows:
+            self.spark.createDataFrame(rows, DURATIONS).coalesce(1).write.mode("append").parquet(self.path)
+
+    def table(self) -> DataFrame:
+        """All micro-batches so far."""
+        self.store()
+        return self.spark.read.schema(DURATIONS).parquet(self.path)
+
+
 def batch_durations(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Seconds and rows of the recent micro-batches, for ``aggregates.histogram``."""
+    """Seconds and rows of the recent micro-batches, for ``aggregates.histogram``; :class:`Durations` keeps all of them."""
     rows = [
         (int(p["batchId"]), int(p["numInputRows"]), p["durationMs"].get("triggerExecution", 0) / 1000.0)
         for p in query.recentProgress
     ]
-    return spark.createDataFrame(rows, "batch_id bigint, rows bigint, seconds double")
+    return spark.createDataFrame(rows, DURATIONS)
