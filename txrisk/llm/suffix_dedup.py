@@ -16,6 +16,11 @@ together as a segment.
    bounded size as before. A minimizer too large for one shard is cut into shards in the order of documents; the sorted
    strings of a shard are looked up in those of the earlier ones by binary search, then merged into them.
 3. The spans found are joined to the documents by id and text.
+
+No bucket grows with a frequent gram. Bytes per minimizer are estimated from a fixed share of all slices of all texts. The
+strings of a heavy minimizer are named by the gram and the bytes beside it on the side where the string has more of them;
+where that name is heavy too, by the whole string. Equal strings have equal names in each case, so nothing is lost
+where the estimate is wrong; only sizes change.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from txrisk.llm.common import whole
 from txrisk.session import reliable
@@ -40,6 +45,12 @@ SHARD_BYTES = 6_000_000
 #: Bytes of segments that a bucket holds, and that one suffix array is built over.
 BUCKET_BYTES = 40_000_000
 ARRAY_BYTES = 2_000_000
+#: Bytes from which a name counts as heavy, as a share of a bucket, and the most names that are; tasks carry eight bytes of each.
+HEAVY_SHARE = 0.25
+MOST_HEAVY = 1_000_000
+#: Texts are weighed by slices of these bytes, one in WEIGHED (fewer bytes a bucket: more of them, down to all).
+SLICE = 4096
+WEIGHED = 32
 LAST = np.iinfo(np.int64).max  # stands for a missing id: after all others
 U = np.uint64
 PLACE = U((1 << 24) - 1)
@@ -96,6 +107,70 @@ def segments(minimal: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size:
     return (*named(minimal, begin, end - begin + size - 1, size), document, begin, end - begin + size - 1)
 
 
+def gram_places(words: np.ndarray, minimal: np.ndarray, size: int, gram: int) -> np.ndarray:
+    """Where in its string the first gram of the smallest hash is, for every string of the buffer."""
+    step = 1 << 23  # places are known modulo 2 to the 24th
+    if len(minimal) < 2 * step:
+        return ((minimal & PLACE).astype(np.int64) - np.arange(len(minimal))) % (2 * step)
+    parts = [minimizers(words[lo:lo + step + size - 1], size, gram) for lo in range(0, len(minimal), step)]
+    return np.concatenate([(x & PLACE).astype(np.int64) - np.arange(len(x)) for x in parts])
+
+
+def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(29))) * U(0xBF58476D1CE4E5B9) + y * U(0x94D049BB133111EB)
+    return x ^ (x >> U(32))
+
+
+def sided(words: np.ndarray, at: np.ndarray, name: np.ndarray, place: np.ndarray, size: int, gram: int) -> np.ndarray:
+    """Names of the strings at ``at``: their minimizer and the bytes beside the gram on the longer side."""
+    width = (size - gram) // 2
+    behind = place <= size - gram - width
+    here = at + np.where(behind, place + gram, place - width)
+    out = mixed(name, behind.astype(U) + U(1))
+    for step in range(0, width - 7, 8):
+        out = mixed(out, words[here + step])
+    return out
+
+
+def whole_strings(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Names of the strings at ``at`` by all their bytes."""
+    out = np.full(len(at), 3, U)
+    for step in [*range(0, size - 7, 8), size - 8]:
+        out = mixed(out, words[at + step])
+    return out
+
+
+def is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def split(words: np.ndarray, minimal: np.ndarray, name: np.ndarray, begin: np.ndarray, length: np.ndarray, heavy: tuple[np.ndarray, np.ndarray],
+          size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, name, begin, bytes): segments of heavy minimizers cut into runs of strings of one finer name, the others as
+    they are. ``heavy`` has the heavy minimizers and the heavy names of :func:`sided`, each sorted."""
+    large = is_in(name, heavy[0])
+    few = np.flatnonzero(~large)
+    cut = np.flatnonzero(large)
+    if not len(cut):
+        return few, name, begin, length
+    per = length[cut] - size + 1
+    segment = np.repeat(cut, per)
+    at = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(begin[cut], per)
+    finer = sided(words, at, name[segment], gram_places(words, minimal, size, gram)[at], size, gram)
+    again = is_in(finer, heavy[1])
+    finer[again] = whole_strings(words, at[again], size)
+    fresh = np.flatnonzero(np.concatenate(([True], (finer[1:] != finer[:-1]) | (segment[1:] != segment[:-1]))))
+    count = np.diff(np.append(fresh, len(at)))
+    parts = (np.concatenate(x) for x in ((few, segment[fresh]), (name[few], finer[fresh]), (begin[few], at[fresh]),
+                                         (length[few], count + size - 1)))
+    which, finer, begin, length = parts
+    by = np.lexsort((begin, which))
+    return which[by], finer[by], begin[by], length[by]
+
+
 def named(minimal: np.ndarray, begin: np.ndarray, length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(minimizer, anchor) of segments. The anchor is where its gram is in the segment, or MANY if it is there more than
     once."""
@@ -387,7 +462,8 @@ def unbundle(blob: bytes, size: int, gram: int) -> tuple[np.ndarray, ...]:
             np.cumsum(start.astype(np.int64)), length, body)
 
 
-def shards(batches: Iterator[pa.RecordBatch], size: int, gram: int, shard_bytes: int, array_bytes: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def shards(batches: Iterator[pa.RecordBatch], size: int, gram: int, shard_bytes: int, array_bytes: int, buckets: int,
+           heavy: tuple[np.ndarray, np.ndarray] = (np.empty(0, U), np.empty(0, U))) -> Iterator[pa.RecordBatch]:
     """(key, mark, text) -> rows (bucket, spans, segments) of each shard."""
     key, mark, texts, held = [], [], [], 0
 
@@ -396,7 +472,8 @@ def shards(batches: Iterator[pa.RecordBatch], size: int, gram: int, shard_bytes:
         starts = np.cumsum(lengths) - lengths
         buffer = np.frombuffer(b"".join(texts), np.uint8)
         keys, marks = np.array(key, np.int64), np.array(mark, np.int64)
-        minimal = minimizers(eight(buffer), size, gram) if len(buffer) >= size else np.empty(0, U)
+        words = eight(buffer)
+        minimal = minimizers(words, size, gram) if len(buffer) >= size else np.empty(0, U)
         m, anchor, d, begin, length = segments(minimal, starts, lengths, size)
         late, offset = resolved(m, keys[d], length, anchor, begin, buffer, size, gram, array_bytes)
         rows: dict[str, list] = {"bucket": [], "spans": [], "segments": []}
@@ -412,6 +489,8 @@ def shards(batches: Iterator[pa.RecordBatch], size: int, gram: int, shard_bytes:
         # A segment all of whose strings are settled need not go on.
         settled = np.bincount(late, minlength=len(m)) >= length - size + 1 if len(m) else np.empty(0, bool)
         m, d, begin, length = (x[~settled] for x in (m, d, begin, length))
+        part, m, begin, length = split(words, minimal, m, begin, length, heavy, size, gram)
+        d = d[part]
         bucket = (m % U(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         d, begin, length, bucket = (x[by] for x in (d, begin, length, bucket))
@@ -423,7 +502,7 @@ def shards(batches: Iterator[pa.RecordBatch], size: int, gram: int, shard_bytes:
                 rows["bucket"].append(int(bucket[lo]))
                 rows["spans"].append(None)
                 rows["segments"].append(bundle(keys[d[lo:hi]], marks[d[lo:hi]], begin[lo:hi] - starts[d[lo:hi]], length[lo:hi], body))
-        return pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int64()), pa.array(rows["spans"], pa.binary()),
+        return pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), pa.array(rows["spans"], pa.binary()),
                                            pa.array(rows["segments"], pa.binary())], names=["bucket", "spans", "segments"])
 
     for batch in batches:
@@ -442,7 +521,50 @@ def shards(batches: Iterator[pa.RecordBatch], size: int, gram: int, shard_bytes:
         yield shard()
 
 
-NO_SPANS = {"bucket": pa.int64(), "spans": pa.binary()}
+def weighed(batches: Iterator[pa.RecordBatch], size: int, gram: int, every: int, heavy: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(mark, text) -> (name, bytes) of the segments in one slice of ``every``: by minimizer, or, for the strings of the given
+    heavy ones, by :func:`sided`."""
+    for batch in batches:
+        parts = []
+        for mark, text in zip(*[batch.column(i).to_pylist() for i in range(2)]):
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            slices = np.arange(-(-len(raw) // SLICE))
+            drawn = mixed(slices.astype(U), np.full(len(slices), mark % (1 << 64), U)) % U(every) == 0
+            # A string belongs to the slice that it begins in.
+            parts += [raw[i * SLICE:(i + 1) * SLICE + size - 1] for i in slices[drawn].tolist()]
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        buffer = np.frombuffer(b"".join(parts), np.uint8)
+        if len(buffer) < size:
+            continue
+        words = eight(buffer)
+        minimal = minimizers(words, size, gram)
+        name, _, _, begin, length = segments(minimal, np.cumsum(lengths) - lengths, lengths, size)
+        if heavy is not None:
+            mine = is_in(name, heavy)
+            _, name, _, length = split(words, minimal, name[mine], begin[mine], length[mine], (heavy, np.empty(0, U)), size, gram)
+        names, place = np.unique(name, return_inverse=True)
+        total = np.bincount(place, length, len(names)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(total)], names=["name", "bytes"])
+
+
+def heavy_names(rows: DataFrame, total: int, size: int, gram: int, bucket_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The heavy minimizers, and the heavy ones among the finer names of their strings; at most MOST_HEAVY of each."""
+    every = int(min(WEIGHED, max(1, bucket_bytes * HEAVY_SHARE // 250_000)))
+    # Segments have some four times the bytes of the texts, so no more than MOST_HEAVY names can weigh so much.
+    least = max(bucket_bytes * HEAVY_SHARE, 4 * total / MOST_HEAVY) / every
+    out = []
+    for _ in range(2):
+        known = out[0] if out else None
+        if known is not None and not len(known):
+            return known, known
+        names = rows.select("mark", "text").mapInArrow(lambda it, k=known: weighed(it, size, gram, every, k), "name bigint, bytes bigint")
+        large = names.groupBy("name").agg(F.sum("bytes").alias("bytes")).filter(F.col("bytes") >= least)
+        listed = large.orderBy(F.desc("bytes")).limit(MOST_HEAVY).select("name").toArrow()["name"].to_numpy()
+        out.append(np.sort(listed.astype(np.int64).view(U)))
+    return out[0], out[1]
+
+
+NO_SPANS = {"bucket": pa.int32(), "spans": pa.binary()}
 
 
 def met(table: pa.Table, size: int, gram: int, array_bytes: int, buckets: int) -> pa.Table:
@@ -470,7 +592,7 @@ def met(table: pa.Table, size: int, gram: int, array_bytes: int, buckets: int) -
     by = np.argsort(to, kind="stable")
     cuts = np.flatnonzero(np.diff(to[by])) + 1
     parts = np.split(by, cuts)
-    return pa.table({"bucket": pa.array([int(to[p[0]]) for p in parts], pa.int64()), "spans": pa.array([Spans.pack(*spans[:, p]) for p in parts], pa.binary())})
+    return pa.table({"bucket": pa.array([int(to[p[0]]) for p in parts], pa.int32()), "spans": pa.array([Spans.pack(*spans[:, p]) for p in parts], pa.binary())})
 
 
 def by_document(table: pa.Table) -> pa.Table:
@@ -496,12 +618,16 @@ def free(spark: SparkSession) -> None:
 def spans_found(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, shard_bytes: int = SHARD_BYTES,
                 bucket_bytes: int = BUCKET_BYTES, array_bytes: int = ARRAY_BYTES) -> DataFrame:
     """(key, mark, spans), stored: the pieces to remove of every document that has some."""
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"ids have to be whole numbers: {key}")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(whole(text)).alias("mark"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Segments overlap: together they have about four times the bytes.
-    buckets = max(1, -(-4 * total // bucket_bytes))
-    sent = rows.mapInArrow(lambda it: shards(it, size, gram, shard_bytes, array_bytes, buckets), "bucket bigint, spans binary, segments binary")
-    found = sent.groupBy("bucket").applyInArrow(lambda t: met(t, size, gram, array_bytes, buckets), "bucket bigint, spans binary")
+    buckets = min((1 << 31) - 1, max(1, -(-4 * total // bucket_bytes)))
+    heavy = heavy_names(rows, total, size, gram, bucket_bytes)
+    sent = rows.mapInArrow(lambda it: shards(it, size, gram, shard_bytes, array_bytes, buckets, heavy), "bucket int, spans binary, segments binary")
+    # A task for each bucket; by hash several would fall to one.
+    found = sent.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: met(t, size, gram, array_bytes, buckets), "bucket int, spans binary")
     return reliable(found.groupBy("bucket").applyInArrow(by_document, "key bigint, mark bigint, spans binary"))
 
 
@@ -523,6 +649,7 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings
 
     A missing text is empty. A missing id is larger than any other; documents with one id never count as repeats of
     each other, so rows that repeat each other are treated alike. No rows give no rows. Other columns may have any name.
+    A very long text is held by one task as a whole. Ids that are no whole numbers are an error.
     """
     spans = spans_found(docs, key, text, **settings)
     free(docs.sparkSession)
