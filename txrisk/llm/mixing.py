@@ -145,19 +145,25 @@ def shares(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The mixed corpus, with the columns of ``docs``: a row for every time that a document is taken, holding the
     words taken that time (white space between them as it was, ranges that do not touch parted by a line break);
-    n_chars, where there is one, is the new length. A document taken whole keeps its text untouched.
+    n_chars, where there is one, is the new length. A document taken whole keeps its text untouched. Rows equal in id and
+    text share their ranges in any order. No rows give no rows.
     """
     p = prefix(docs)
-    c = {n: f"{p}{n}" for n in ("id", "hash", "size", "runs", "turn", "own", "use", "time", "now", "tokens", "new")}
-    took = (shares(docs.select("doc_id", "text", "source"), **settings).filter("taken > 0")
-            .select(F.col("doc_id").alias(c["id"]), F.col("text_hash").alias(c["hash"]), F.col("size").alias(c["size"]),
-                    F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("runs")).alias(c["turn"]),
-                    F.col("runs").alias(c["runs"])))
-    rows = docs.withColumn(c["own"], F.xxhash64(whole("text"))).join(
-        took, F.col("doc_id").eqNullSafe(F.col(c["id"])) & (F.col(c["own"]) == F.col(c["hash"])))
-    # Rows that repeat each other meet each other's ranges: each set of ranges is used once.
-    once = Window.partitionBy(c["id"], c["hash"], c["turn"]).orderBy(c["turn"])
-    rows = rows.withColumn(c["use"], F.row_number().over(once)).filter(F.col(c["use"]) == 1)
+    c = {n: f"{p}{n}" for n in ("id", "hash", "size", "runs", "turn", "copies", "own", "time", "now", "tokens", "new")}
+    alike = Window.partitionBy("doc_id", "text_hash")
+    took = reliable(
+        shares(docs.select("doc_id", "text", "source"), **settings)
+        .withColumn("turn", F.row_number().over(alike.orderBy(F.desc("taken"), "runs")))
+        .withColumn("copies", F.count(F.lit(1)).over(alike)).filter("taken > 0")
+        .select(F.col("doc_id").alias(c["id"]), F.col("text_hash").alias(c["hash"]), F.col("size").alias(c["size"]),
+                F.col("turn").alias(c["turn"]), F.col("copies").alias(c["copies"]), F.col("runs").alias(c["runs"])))
+    same = F.col("doc_id").eqNullSafe(F.col(c["id"])) & (F.col(c["own"]) == F.col(c["hash"]))
+    first = docs.withColumn(c["own"], F.xxhash64(whole("text"))).join(took.filter(F.col(c["turn"]) == 1), same)
+    # Rows that repeat each other are numbered on both sides, so that each meets one set of ranges and not all.
+    number = F.row_number().over(Window.partitionBy("doc_id", c["own"]).orderBy(c["own"]))
+    repeated = (first.filter(F.col(c["copies"]) > 1).select(*docs.columns, c["own"]).withColumn(f"{p}number", number)
+                .join(took.filter(F.col(c["copies"]) > 1), same & (F.col(f"{p}number") == F.col(c["turn"]))).drop(f"{p}number"))
+    rows = first.filter(F.col(c["copies"]) == 1).unionByName(repeated)
     top = F.array_max(F.transform(c["runs"], lambda r: r["times"]))
     rows = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), top)).alias(c["time"]))
     rows = rows.withColumn(c["now"], F.filter(c["runs"], lambda r: r["times"] >= F.col(c["time"])))
