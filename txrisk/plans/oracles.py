@@ -201,6 +201,19 @@ known AS (
   FROM tx ASOF LEFT JOIN risk_entries e ON tx.nameOrig = e.key AND tx.us >= e.us)
 """
 
+# What a stream has passed when its input ends: ten minutes before the latest event, in milliseconds.
+LIVE_SQL = KNOWN_SQL + """
+, passed AS (SELECT max(us) // 1000 - 600000 AS ms FROM tx),
+written AS (SELECT key, us, arg_max(payload, event_id) AS payload, us + 43200000000 AS until_us FROM risk_entries GROUP BY key, us),
+gone AS (SELECT DISTINCT nameOrig AS key, us FROM tx WHERE isFlaggedFraud = 1),
+newest AS (SELECT tx.event_id, tx.nameOrig, tx.us, w.us AS w_us, w.payload, w.until_us
+  FROM tx ASOF LEFT JOIN written w ON tx.nameOrig = w.key AND tx.us >= w.us),
+erased AS (SELECT n.*, g.us AS g_us FROM newest n ASOF LEFT JOIN gone g ON n.nameOrig = g.key AND n.us >= g.us),
+last_written AS (SELECT key, max(us) AS us, arg_max(payload, us) AS payload, max(until_us) AS until_us FROM written, passed
+  WHERE us // 1000 < ms GROUP BY key),
+last_gone AS (SELECT key, max(us) AS g_us FROM gone, passed WHERE us // 1000 < ms GROUP BY key)
+"""
+
 
 def anchored_sql(key: str, source: str = "tx") -> str:
     """One recursive walk per key and window length: the n-th event joins the open
@@ -486,6 +499,12 @@ def build() -> dict[str, str]:
         ORDER BY us DESC, event_id DESC) AS rn FROM entries WHERE us <= {AS_OF})
       SELECT kind, key, payload, ttl_s FROM newest WHERE rn = 1 AND {AS_OF} < us + CAST(ttl_s AS BIGINT) * 1000000"""
     q["state_asof"] = KNOWN_SQL + "SELECT event_id, nameOrig, known FROM known"
+    q["stream_state_asof"] = LIVE_SQL + """SELECT event_id, nameOrig, CASE WHEN us < until_us THEN payload END AS known
+      FROM newest, passed WHERE us // 1000 < ms"""
+    q["stream_state_erased"] = LIVE_SQL + """SELECT event_id, nameOrig,
+      CASE WHEN us < until_us AND (g_us IS NULL OR g_us < w_us) THEN payload END AS known FROM erased, passed WHERE us // 1000 < ms"""
+    q["stream_state_held"] = LIVE_SQL + """SELECT key, payload, until_us FROM last_written LEFT JOIN last_gone USING (key), passed
+      WHERE until_us // 1000 >= ms AND (g_us IS NULL OR g_us < us)"""
     q["counter_anchored"] = anchored_sql("nameOrig") + f"SELECT event_id, {COUNTS} FROM anchored"
     q["counter_anchored_dest"] = anchored_sql("nameDest") + f"SELECT event_id, {COUNTS} FROM anchored"
     q["counter_sliding"] = SLIDING_SQL.format(source="tx") + f"SELECT event_id, {COUNTS} FROM sliding"

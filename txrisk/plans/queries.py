@@ -20,7 +20,7 @@ from txrisk.plans import prepare as preparing, scoring, training
 from txrisk.session import scratch_path, tuned
 from txrisk.sources import files, messages, tables
 from txrisk.sources.fixture import transaction_stream, transactions, untidy
-from txrisk.streaming import flows, models as published, run, velocity
+from txrisk.streaming import flows, live_state, models as published, run, velocity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -983,6 +983,45 @@ def stream_sessions(stream, path):
                        micros(made, "session_end").alias("end_us"), "tx_count", "total_amount", "max_amount")
 
 
+def _live_events(stream: DataFrame) -> list[DataFrame]:
+    """Risk scores as they are written, and a question for each transaction."""
+    risky = stream.filter(F.col("amount") > 10000)
+    risk = (F.col("event_id") % 100) / F.lit(100.0)
+    return [live_state.writes(risky, F.col("nameOrig"), risk, "ts", 43200, F.col("event_id")),
+            live_state.questions(stream, F.col("nameOrig"), "ts", F.col("event_id"))]
+
+
+def _live_erasures(stream: DataFrame) -> DataFrame:
+    """A flagged transaction erases what is known of its customer."""
+    return live_state.erasures(stream.filter(F.col("isFlaggedFraud") == 1), F.col("nameOrig"), "ts")
+
+
+def _answered(events: list[DataFrame], path: str) -> DataFrame:
+    made = run.run_available(live_state.live_answers(events), path)
+    return made.select(F.col("id").alias("event_id"), F.col("key").alias("nameOrig"), F.col("payload").cast("double").alias("known"))
+
+
+@stream_query
+def stream_state_asof(stream, path):
+    """The risk alive at each transaction that the watermark has passed, updates and transactions as streams."""
+    return _answered(_live_events(stream), path)
+
+
+@stream_query
+def stream_state_erased(stream, path):
+    """The same while customers are erased."""
+    return _answered([*_live_events(stream), _live_erasures(stream)], path)
+
+
+@stream_query
+def stream_state_held(stream, path):
+    """What that stream still holds of each customer when it stops, read from its checkpoint."""
+    events = [*_live_events(stream), _live_erasures(stream)]
+    run.run_available(live_state.live_answers(events), path)
+    held = live_state.entries_held(stream.sparkSession, f"{path}/checkpoint")
+    return held.select("key", F.col("payload").cast("double").alias("payload"), "until_us")
+
+
 @folder_query
 def stream_velocity(spark, sf_dir):
     """Small micro-batches: a task holds the rows of one customer and micro-batch."""
