@@ -57,7 +57,9 @@ def cuts(length: int, lengths: list[int]) -> list[int]:
 
 #: New words that are encoded in one call.
 JOINED = 4_000
-STOP = re.compile(r"(?<=[A-Za-z0-9])([.,]) ")
+#: The marks that end a word, begun after a letter or digit that no normalization changes into anything else. They share no token
+#: with it; an apostrophe may, as in 's.
+ENDING = re.compile(r"([!-&(-/:-@\[-`{-~](?<=[A-Za-z0-9À-ÖØ-öø-ÿ].)[!-&(-/:-@\[-`{-~]*) ")
 
 
 class Ids:
@@ -76,6 +78,7 @@ class Ids:
         special = tokenizer.get_added_tokens_decoder()
         self.parting = next(((t.content, i) for i, t in special.items() if t.special and not (t.normalized or t.lstrip or t.rstrip)
                              and len(t.content) > 4 and not t.content.isalnum()), None)
+        self.special = [t.content for t in special.values()]
         self.folds = '"Lowercase"' in json.dumps(json.loads(tokenizer.to_str())["normalizer"])
         self.tokenizer, self.known, self.older, self.remembered = tokenizer, {}, {}, remembered
 
@@ -90,8 +93,10 @@ class Ids:
                 held += len(text)
                 if self.folds and text.isascii() and "<|" not in text:
                     text = text.lower()  # special tokens are looked for before case is dropped
-                # A full stop or comma after a letter is a token of its own, so there are fewer kinds of words.
-                split.append(STOP.sub(r" \1 ", text.replace("\n", " ")).split(" "))
+                text = text.replace("\n", " ")
+                if not any(token in text for token in self.special):
+                    text = ENDING.sub(r" \1 ", text)  # fewer kinds of words
+                split.append(text.split(" "))
                 at += 1
             self.learn(split)
             out += [b"".join(map(self.known.__getitem__, words)) for words in split]
