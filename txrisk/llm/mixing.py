@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.llm.common import WORD, prefix, whole
+from txrisk.operators.scans import HEAVY_ROWS, KeyedRows, Running
 from txrisk.session import reliable
 
 WEIGHTS = (5, 2, 1)
@@ -58,30 +59,32 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
                                             (most * F.col("source_size")).cast("double"))).drop("level")
 
 
-def sainte_lague(parties: DataFrame, group: list[str], order: str, wanted: str, most: str, seats: str) -> DataFrame:
+def sainte_lague(parties: DataFrame, group: list[str], order: str, wanted: str, most: str, seats: str,
+                 heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Adds the integer column ``seats``: the sum of ``wanted`` over the group, rounded, dealt out by the highest
-    quotients wanted / (2 k + 1), none above the column ``most``; ties go to the smaller ``order``.
+    quotients wanted / (2 k + 1), none above the column ``most``; ties go to the smaller ``order``, which is unique in a group.
 
     Only quotients near the end are compared. With n parties the seats at the divisor one and the final seats differ
     by at most 1.5 n times the party's share of the votes, plus one; quotients before that all win, those after it
-    all lose. So about 8 n rows are ranked, however many seats there are.
+    all lose. So about 8 n rows are ranked, however many seats there are. Groups with more than ``heavy_rows`` of them are
+    ranked in chunks, each by a task of its own.
     """
-    over = Window.partitionBy(*(group or [F.lit(0)]))
+    by = group or ["_all"]
+    known = parties if group else parties.withColumn("_all", F.lit(0))
+    sums = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum(wanted).alias("_votes"))
     near = F.ceil(1.5 * F.col("_n") * F.when(F.col("_votes") > 0, F.col(wanted) / F.col("_votes")).otherwise(0.0)) + 2
-    rows = (parties.withColumn("_n", F.count(F.lit(1)).over(over)).withColumn("_votes", F.sum(wanted).over(over))
-            .withColumn("_near", near.cast("long"))
-            .withColumn("_sure", F.greatest(F.lit(0), F.least(F.col(most), F.round(wanted).cast("long")) - F.col("_near")))
-            .withColumn("_open", F.round(F.col("_votes")).cast("long") - F.sum("_sure").over(over)))
+    rows = (known.join(sums, by).withColumn("_near", near.cast("long"))
+            .withColumn("_sure", F.greatest(F.lit(0), F.least(F.col(most), F.round(wanted).cast("long")) - F.col("_near"))))
+    rows = reliable(rows)  # a row per party; what is sure must be the same wherever it is read
+    left = rows.groupBy(*by).agg((F.round(F.first("_votes")).cast("long") - F.sum("_sure")).alias("_open"))
     last = F.least(F.col(most) - 1, F.col("_sure") + 2 * F.col("_near"))
     steps = F.when(last >= F.col("_sure"), F.sequence("_sure", last)).otherwise(F.array().cast("array<bigint>"))
-    tried = rows.select("*", F.explode_outer(steps).alias("_k"))
-    quotient = F.col(wanted) / (2 * F.col("_k") + 1)
-    best = Window.partitionBy(*(group or [F.lit(0)])).orderBy(quotient.desc_nulls_last(), order, "_k")
-    won = (F.row_number().over(best) <= F.col("_open")) & F.col("_k").isNotNull()
-    keys = list(dict.fromkeys([*group, order]))
-    kept = [c for c in parties.columns if c not in keys]
-    return (tried.withColumn("_won", won.cast("long")).groupBy(*keys)
-            .agg(*[F.first(c).alias(c) for c in kept], (F.first("_sure") + F.sum("_won")).alias(seats)))
+    tried = rows.select(*by, *[c for c in (order, wanted) if c not in by], F.explode(steps).alias("_k"))
+    tried = tried.withColumn("_behind", -F.col(wanted) / (2 * F.col("_k") + 1))
+    ranked = KeyedRows.of(tried, by, ["_behind", order, "_k"], heavy_rows).running(Running("_place", "count")).rows()
+    won = ranked.join(left, by).filter("_place <= _open").groupBy(*by, order).agg(F.count(F.lit(1)).alias("_won"))
+    return rows.join(won, [*by, order], "left").select(
+        *parties.columns, (F.col("_sure") + F.coalesce(F.col("_won"), F.lit(0))).alias(seats))
 
 
 def shares(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
@@ -108,6 +111,7 @@ def shares(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
                                               F.first("source_size").alias("source_size"))
     lots = lots.withColumn("blocks", F.when(F.col("lot") > 0, F.greatest(
         F.lit(1), F.round(F.col("lot") / block_words).cast("long"))).otherwise(0))
+    lots = reliable(lots)  # a row per shard
     per = (lots.groupBy("sid").agg(F.sum("blocks").alias("n"), F.first("target").alias("target"),
                                    F.first("source_size").alias("source_size"))
            .withColumn("wanted", F.when(F.col("source_size") > 0, F.col("target") * F.col("n") / F.col("source_size")).otherwise(0.0))
