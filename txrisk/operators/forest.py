@@ -382,11 +382,11 @@ def _grown_in_groups(drawn_from: DataFrame, features: list[str], drawn, size: in
         drawn_from = drawn_from.repartition(POOL_PARTS)  # few rows: spread them, because each meets every tree
     # Each tree draws from the pool the rows with the smallest hash of (seed, tree,
     # row). A row is copied only for trees that may draw it: few more than needed.
+    # The draws are compared in generated code; inside a lambda they would be interpreted.
     margin = (size + 6.0 * math.sqrt(size) + 10.0) / total
     numbers = F.sequence(F.lit(0), F.lit(trees - 1))
     candidates = (
-        drawn_from.withColumn("tree", F.explode(F.filter(numbers, lambda tree: drawn(tree) < margin)))
-        .withColumn("_u", drawn(F.col("tree")))
+        drawn_from.withColumn("tree", F.explode(numbers)).withColumn("_u", drawn(F.col("tree"))).filter(F.col("_u") < margin)
     )
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
