@@ -24,18 +24,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from txrisk.constants import FEATURES, SAMPLE_SEED
 from txrisk.operators.ranks import BRACKET_ROWS, percentile, seeded_sample
-from txrisk.session import reliable, scratch_path
+from txrisk.session import discard, reliable, scratch_path
 
 TREES = 100
 TREE_ROWS = 256
 CONTAMINATION = 0.01
 POOL_PARTS = 16
-# Nodes that scoring broadcasts at once (about 50 bytes each).
-MOST_NODES = 4_000_000
+# Nodes that scoring broadcasts at once (18 bytes each; the driver holds some 200 while it puts them in order).
+MOST_NODES = 1_000_000
 # Rows that go through the trees together; their values stay in the cache.
 SCORE_ROWS = 2048
 NODE_SCHEMA = "tree int, node bigint, feature int, threshold double, left bigint, right bigint, length double"
@@ -412,20 +413,32 @@ def scored(df: DataFrame, forest: Forest, name: str = "forest_score") -> DataFra
     """Add the score of each row, -1 (isolated at once) .. 0; lower is more unusual.
 
     A forest that is too large to broadcast at once is walked in blocks of trees:
-    the sums of the paths are stored between the blocks.
+    the sums of the paths are stored between the blocks, and a block's nodes are let go once they are.
     """
-    blocks = _blocks(forest, df.sparkSession)
-    total = _path_column(forest, df.sparkSession, *blocks[0])
-    rows = df.withColumn(name, total)
-    for block in blocks[1:]:
-        rows = rows if df.isStreaming else reliable(rows)
-        rows = rows.withColumn(name, F.col(name) + _path_column(forest, df.sparkSession, *block))
+    spark = df.sparkSession
+    *blocks, last = _blocks(forest, spark)
+    rows, stored = df, None
+
+    def walked(block):
+        length, shared = _walk(forest, spark, *block)
+        return rows.withColumn(name, length if rows is df else F.col(name) + length), shared
+
+    for block in blocks:
+        rows, shared = walked(block)
+        if df.isStreaming:
+            continue
+        rows, old = reliable(rows), stored
+        shared.destroy()
+        if old is not None:
+            discard(old)
+        stored = rows
+    rows, _ = walked(last)
     scale = forest.trees * mean_path(forest.tree_rows) or 1.0
     return rows.withColumn(name, -F.pow(F.lit(2.0), -F.col(name) / F.lit(scale)))
 
 
 def _blocks(forest: Forest, spark: SparkSession) -> list[tuple[int, int]]:
-    """Ranges of trees with at most MOST_NODES nodes; one tree has far fewer."""
+    """Ranges of trees with at most MOST_NODES nodes; a tree with more is a range of its own."""
     sizes = forest.nodes(spark).groupBy("tree").agg(F.count(F.lit(1)).alias("n")).orderBy("tree").collect()
     blocks, first, nodes = [], sizes[0]["tree"], 0
     for row in sizes:
@@ -438,36 +451,48 @@ def _blocks(forest: Forest, spark: SparkSession) -> list[tuple[int, int]]:
 
 def _path_column(forest: Forest, spark: SparkSession, first: int, last: int) -> Column:
     """Summed length of the paths of a row through a block of trees."""
+    return _walk(forest, spark, first, last)[0]
+
+
+def _packed(nodes: pa.Table) -> tuple[np.ndarray, ...]:
+    """Roots, features, thresholds (of a leaf its length) and both children of the nodes of some trees, by tree and number.
+
+    Both children of the node at place i are at 2i and 2i+1; a leaf is its own child. Nodes may have any numbers.
+    """
+    tree, number = nodes["tree"].to_numpy(), nodes["node"].to_numpy()
+    order = np.lexsort((number, tree))
+    tree, number = tree[order], number[order]
+    begins = np.append(np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1]))), len(tree))
+    children = np.empty((len(tree), 2), np.int32)
+    for side, name in enumerate(("left", "right")):
+        wanted = nodes[name].to_numpy()[order]
+        for begin, end in zip(begins[:-1], begins[1:]):
+            children[begin:end, side] = begin + np.searchsorted(number[begin:end], wanted[begin:end])
+    return begins[:-1], nodes["feature"].to_numpy()[order], nodes["value"].to_numpy()[order], children.ravel()
+
+
+def _walk(forest: Forest, spark: SparkSession, first: int, last: int) -> tuple[Column, Broadcast]:
+    """Summed length of the paths of a row through a block of trees, and the nodes that it needs."""
     block = forest.nodes(spark).filter(F.col("tree").between(first, last))
-    table = block.orderBy("tree", "node").toPandas()  # at most MOST_NODES rows
-    sizes = table.groupby("tree", sort=True)["node"].size()
-    roots = (sizes.cumsum() - sizes).to_numpy()
-    # Both children of the node at place i at 2i and 2i+1; a leaf is its own child. Nodes may have any numbers.
-    ends = roots + sizes.to_numpy()
-    children = np.empty((len(table), 2), np.int64)
-    numbers = table["node"].to_numpy()
-    for begin, end in zip(roots, ends):
-        for side, name in enumerate(("left", "right")):
-            children[begin:end, side] = begin + np.searchsorted(numbers[begin:end], table[name].to_numpy()[begin:end])
-    children = children.ravel()
-    shared = spark.sparkContext.broadcast((
-        roots.astype(np.intp), np.maximum(table["feature"].to_numpy(), 0).astype(np.intp),
-        table["threshold"].to_numpy(), children.astype(np.intp), table["length"].to_numpy(),
-    ))
+    value = F.when(F.col("feature") < 0, F.col("length")).otherwise(F.col("threshold"))
+    wanted = block.select("tree", "node", F.greatest("feature", F.lit(0)).cast("smallint").alias("feature"), value.alias("value"), "left", "right")
+    shared = spark.sparkContext.broadcast(_packed(wanted.toArrow()))  # at most MOST_NODES rows, or a tree
     levels = math.ceil(math.log2(max(forest.tree_rows, 2)))
 
     @F.pandas_udf("double")
     def walk(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        roots, feature, value, children = shared.value
+        places = roots.astype(np.intp), feature.astype(np.intp), value, children.astype(np.intp), value
         for columns in batches:
             columns = [columns] if isinstance(columns, pd.Series) else columns  # a single feature
             values = np.column_stack([c.to_numpy(dtype=np.float64) for c in columns])
             total = np.empty(len(values))
             for start in range(0, len(values), SCORE_ROWS):
                 part = slice(start, start + SCORE_ROWS)
-                total[part] = path_lengths(np.ascontiguousarray(values[part]), levels, *shared.value)
+                total[part] = path_lengths(np.ascontiguousarray(values[part]), levels, *places)
             yield pd.Series(total)
 
-    return walk(*_numbers(forest.features))
+    return walk(*_numbers(forest.features)), shared
 
 
 def path_lengths(values, levels, roots, feature, threshold, children, length) -> np.ndarray:
