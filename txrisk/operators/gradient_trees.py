@@ -119,24 +119,47 @@ def best_split(g: np.ndarray, h: np.ndarray, columns: np.ndarray, s: Settings) -
     return Node(int(columns[i]), b, float(gain[i, b]))
 
 
+@dataclass(frozen=True)
+class Walk:
+    """A tree as arrays: its nodes by number and those its splits lead to; a node without children leads to itself."""
+
+    number: np.ndarray
+    feature: np.ndarray
+    bin: np.ndarray
+    child: np.ndarray  # of the node at place i at 2i and 2i + 1
+    value: np.ndarray
+    levels: int
+
+    @staticmethod
+    def of(tree: Tree) -> Walk:
+        splits = [n for n, x in tree.items() if x.feature >= 0]
+        number = np.array(sorted({1, *tree, *(c for n in splits for c in (2 * n, 2 * n + 1))}), np.int64)
+        nodes = [tree.get(n, Node()) for n in number.tolist()]
+        inner = np.array([x.feature >= 0 for x in nodes])
+        child = np.stack([np.where(inner, np.searchsorted(number, 2 * number + side), np.arange(len(number))) for side in (0, 1)], 1)
+        return Walk(number, np.array([max(x.feature, 0) for x in nodes]), np.array([x.bin for x in nodes]), child.ravel(),
+                    np.array([x.value for x in nodes]), max((n.bit_length() for n in splits), default=0))
+
+    def places(self, bins: np.ndarray) -> np.ndarray:
+        """The place of the node that each row comes to, for bins as (row, feature)."""
+        flat, offset, at = bins.ravel(), np.arange(len(bins)) * bins.shape[1], np.zeros(len(bins), np.intp)
+        for _ in range(self.levels):
+            goes_right = flat.take(offset + self.feature.take(at)) > self.bin.take(at)
+            at = self.child.take(2 * at + goes_right)
+        return at
+
+
 def places(bins: np.ndarray, tree: Tree) -> np.ndarray:
     """The node that each row comes to, for bins as (row, feature)."""
-    at = np.ones(len(bins), np.int64)
-    splits = {n: x for n, x in tree.items() if x.feature >= 0}
-    for depth in range(max((n.bit_length() for n in splits), default=0)):
-        for n in [n for n in splits if n.bit_length() == depth + 1]:
-            here = np.flatnonzero(at == n)
-            at[here] = 2 * n + (bins[here, splits[n].feature] > splits[n].bin)
-    return at
+    walk = Walk.of(tree)
+    return walk.number[walk.places(bins)]
 
 
-def margins(bins: np.ndarray, trees: list[Tree]) -> np.ndarray:
+def margins(bins: np.ndarray, walks: list[Walk]) -> np.ndarray:
     """What each tree adds, as (row, tree)."""
-    out = np.zeros((len(bins), len(trees)))
-    for i, tree in enumerate(trees):
-        at = places(bins, tree)
-        for n in np.unique(at).tolist():
-            out[at == n, i] = tree[n].value
+    out = np.zeros((len(bins), len(walks)))
+    for i, walk in enumerate(walks):
+        out[:, i] = walk.value[walk.places(bins)]
     return out
 
 
@@ -172,31 +195,40 @@ def binned(rows: DataFrame, features: list[str], edges: list[np.ndarray], others
 
 
 def codes_of(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, width)
+    """The bins of the rows, ``width`` bytes each, which lie one after the other."""
+    column = batch.column("bins")
+    _, offsets, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    begin = int(np.frombuffer(offsets, kind, 1, column.offset * kind().itemsize)[0]) if len(column) else 0
+    return np.frombuffer(data or b"", np.uint8, len(column) * width, begin).reshape(len(column), width)
 
 
 def sums(rows: DataFrame, recent: list[Tree], tree: Tree, open_nodes: list[int], width: int, bins: int, scale: int, number: int,
          s: Settings) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """First and second derivatives per open node as (feature, bin) arrays, over the rows that the tree samples."""
+    walk, walks, cells = Walk.of(tree), [Walk.of(t) for t in recent], len(open_nodes) * bins
     place = {n: i for i, n in enumerate(open_nodes)}
+    known_at = np.array([place.get(n, -1) for n in walk.number.tolist()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, len(open_nodes) * width * bins), np.int64)
+        by_feature = np.zeros((2, width, cells), np.int64)  # of each feature the bins of the first open node, of the second ..
         for batch in batches:
             codes = codes_of(batch, width)
-            margin = batch.column("margin").to_numpy() + margins(codes, recent).sum(1)
+            margin = batch.column("margin").to_numpy() + margins(codes, walks).sum(1)
             g, h = derivatives(margin, batch.column("y").to_numpy(), batch.column("w").to_numpy())
-            at = places(codes, tree)
-            known = np.array([place.get(n, -1) for n in range(int(at.max(initial=0)) + 1)])[at] if len(at) else at
+            known = known_at[walk.places(codes)]
             use = known >= 0
-            cell = (known[use, None] * width + np.arange(width)) * bins + codes[use]
+            first, codes = known[use] * bins, np.ascontiguousarray(codes[use].T)
+            parts = []
             for k, d in enumerate((g, h)):
                 whole = np.rint(d[use] * 2.0 ** scale).astype(np.int64)
                 # bincount adds doubles; two halves keep whole numbers exact
-                for part, shift in ((whole >> 26, 26), (whole & ((1 << 26) - 1), 0)):
-                    for f in range(width):
-                        added = np.bincount(cell[:, f], part, minlength=0)
-                        total[k, :len(added)] += added.astype(np.int64) << shift
+                parts += [(k, 26, (whole >> 26).astype(float)), (k, 0, (whole & ((1 << 26) - 1)).astype(float))]
+            for f in range(width):
+                cell = first + codes[f]
+                for k, shift, part in parts:
+                    by_feature[k, f] += np.bincount(cell, part, cells).astype(np.int64) << shift
+        total = by_feature.reshape(2, width, len(open_nodes), bins).swapaxes(1, 2).reshape(2, -1)
         used = np.flatnonzero(total[0] | total[1])
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0, used]), pa.array(total[1, used])], names=["cell", "g", "h"])
 
@@ -232,12 +264,12 @@ def grown(add_up, width: int, number: int, s: Settings) -> Tree:
 
 def aucs_of(rows: DataFrame, recent: list[Tree], width: int) -> list[float]:
     """The AUC on the validation rows after each of the recent trees, of probabilities in steps; ties count half."""
-    n = len(recent)
+    n, walks = len(recent), [Walk.of(t) for t in recent]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {}
         for batch in batches:
-            margin = batch.column("margin").to_numpy()[:, None] + np.cumsum(margins(codes_of(batch, width), recent), 1)
+            margin = batch.column("margin").to_numpy()[:, None] + np.cumsum(margins(codes_of(batch, width), walks), 1)
             step = np.floor(STEPS / (1.0 + np.exp(-margin))).astype(np.int64)
             cell = (np.arange(n) * (STEPS + 1) + step) * 2 + batch.column("y").to_numpy().astype(np.int64)[:, None]
             for c, k in zip(*(x.tolist() for x in np.unique(cell, return_counts=True))):
@@ -313,10 +345,11 @@ def kept(trees: list[Tree], aucs: list[float], patience: int) -> tuple[list[Tree
 
 def moved(rows: DataFrame, recent: list[Tree], width: int) -> DataFrame:
     """The rows with the margins after the recent trees."""
+    walks = [Walk.of(t) for t in recent]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            margin = batch.column("margin").to_numpy() + margins(codes_of(batch, width), recent).sum(1)
+            margin = batch.column("margin").to_numpy() + margins(codes_of(batch, width), walks).sum(1)
             yield batch.set_column(batch.schema.get_field_index("margin"), "margin", pa.array(margin))
 
     return rows.mapInArrow(run, rows.schema)
