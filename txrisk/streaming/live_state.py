@@ -16,7 +16,9 @@ from txrisk.streaming.flows import LATENESS, timed
 # its own time, and an erasure takes what was written at its time.
 WRITE, ERASE, ASK = 0, 1, 2
 EVENT = "key string, ts timestamp, what int, id bigint, payload string, until_us bigint"
-WAITING = "us bigint, what int, id bigint, payload string, until_us bigint"
+COLUMNS = ["us", "what", "id", "payload", "until_us"]
+# Events that arrived together are one entry: each entry and each call costs a message to the state store.
+WAITING = "us array<bigint>, what array<int>, id array<bigint>, payload array<string>, until_us array<bigint>"
 ANSWER = "id bigint, key string, payload string"
 
 
@@ -54,50 +56,59 @@ class LiveState(StatefulProcessor):
         self._due = handle.getValueState("due", "ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        columns, watermark = ["us", "what", "id", "payload", "until_us"], timerValues.getCurrentWatermarkInMs()
+        """Keep what arrives until the watermark has passed it; the timer then applies it."""
+        watermark, first = timerValues.getCurrentWatermarkInMs(), None
         for frame in rows:
             # Spark lets rows through that are late by one batch only; here they would change what is answered.
-            frame = frame[frame["us"] // 1000 >= watermark]
+            ms = frame["us"].to_numpy() // 1000
+            in_time = ms >= watermark
+            if not in_time.all():
+                frame, ms = frame[in_time], ms[in_time]
             if len(frame):
-                self._waiting.appendList(list(frame[columns].itertuples(index=False, name=None)))
-        return self._pass(key[0], watermark)
+                self._waiting.appendValue(tuple(frame[c].tolist() for c in COLUMNS))
+                first = int(ms.min()) if first is None else min(first, int(ms.min()))
+        if first is not None:
+            due = self._due.get()
+            if due is None or first < due[0]:
+                if due is not None:
+                    self._handle.deleteTimer(due[0])
+                self._wait(first)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._due.clear()
         return self._pass(key[0], timerValues.getCurrentWatermarkInMs())
 
     def _pass(self, key: str, watermark: int) -> Iterator[pd.DataFrame]:
         """Apply and answer what the watermark has passed; wait for the rest."""
-        events = list(self._waiting.get()) if self._waiting.exists() else []
+        events = [event for arrived in self._waiting.get() for event in zip(*arrived)]
         passed = sorted((e for e in events if e[0] // 1000 < watermark), key=lambda e: e[:3])
-        entry = self._entry.get() if self._entry.exists() else None
+        held = entry = self._entry.get()
         if passed:
             left = [e for e in events if e[0] // 1000 >= watermark]
-            self._waiting.put(left) if left else self._waiting.clear()
+            self._waiting.put([tuple(map(list, zip(*left)))]) if left else self._waiting.clear()
             events = left
-        answers = []
+        numbers, answers = [], []
         for us, what, number, payload, until in passed:
             if what == ASK:
-                answers.append((number, key, entry[0] if entry is not None and us < entry[1] else None))
+                numbers.append(number)
+                answers.append(entry[0] if entry is not None and us < entry[1] else None)
             else:
                 entry = (payload, until) if what == WRITE else None
         if entry is not None and entry[1] // 1000 < watermark:
             entry = None
-        if entry is None:
+        if entry is None and held is not None:
             self._entry.clear()
-        elif passed:
+        elif entry is not held:
             self._entry.update(entry)
-        self._wait([e[0] // 1000 for e in events] + ([entry[1] // 1000] if entry is not None else []))
+        self._wait(min([e[0] // 1000 for e in events] + ([entry[1] // 1000] if entry is not None else []), default=None))
         if answers:
-            yield pd.DataFrame(answers, columns=["id", "key", "payload"]).astype({"id": np.int64, "payload": object})
+            yield pd.DataFrame({"id": np.array(numbers, np.int64), "key": key, "payload": pd.Series(answers, dtype=object)})
 
-    def _wait(self, times: list[int]) -> None:
+    def _wait(self, first: int | None) -> None:
         """One timer, at the earliest time something is due."""
-        due = self._due.get()[0] if self._due.exists() else None
-        first = min(times, default=None)
-        if first is not None and (due is None or first < due):
-            if due is not None:
-                self._handle.deleteTimer(due)
+        if first is None:
+            self._due.clear()
+        else:
             self._handle.registerTimer(first)
             self._due.update((first,))
 
