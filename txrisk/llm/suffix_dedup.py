@@ -43,7 +43,7 @@ SIZE = 50
 GRAM = 12
 SHARD_BYTES = 6_000_000
 #: Bytes of segments that a bucket holds, and that one suffix array is built over.
-BUCKET_BYTES = 40_000_000
+BUCKET_BYTES = 28_000_000
 ARRAY_BYTES = 2_000_000
 #: Bytes from which a name counts as heavy, as a share of a bucket, and the most names that are; tasks carry eight bytes of each.
 HEAVY_SHARE = 0.25
