@@ -13,9 +13,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,36 @@ JOINED = 4_000
 #: The marks that end a word, begun after a letter or digit that no normalization changes into anything else. They share no token
 #: with it; an apostrophe may, as in 's.
 ENDING = re.compile(r"([!-&(-/:-@\[-`{-~](?<=[A-Za-z0-9À-ÖØ-öø-ÿ].)[!-&(-/:-@\[-`{-~]*) ")
+#: Words of these letters alone are one piece each, whose tokens are those of its bytes in lower case, where a vocabulary is prepared so.
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+NORMALIZED = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PARTED = [("Split", PIECES, "Removed", True), ("ByteLevel", None, None, False)]
+
+
+def letters_alike(spec: dict) -> bool:
+    """Whether a vocabulary lower-cases words and takes runs of letters as bytes to be merged, so that ``LETTERS`` holds."""
+    def steps(part: str, inner: str) -> list[dict]:
+        return (spec.get(part) or {}).get(inner, [])
+
+    def pattern(step: dict) -> str | None:
+        return step.get("pattern", {}).get("Regex")
+
+    normalized = [(x["type"], pattern(x)) for x in steps("normalizer", "normalizers")]
+    parted = [(x["type"], pattern(x), x.get("behavior"), x.get("invert", x.get("use_regex"))) for x in steps("pre_tokenizer", "pretokenizers")]
+    plain = not any(x.get("add_prefix_space") for x in steps("pre_tokenizer", "pretokenizers")) and not spec.get("truncation") and not spec.get("padding")
+    return (normalized, parted) == (NORMALIZED, PARTED) and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and plain
+
+
+def byte_letters() -> dict[int, str]:
+    """The bytes of the letters of two bytes as byte-level vocabularies write them: bytes that are no visible character of Latin-1
+    count on from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    name = {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    return {c: "".join(name[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+BYTE_LETTERS = byte_letters()
 
 
 class Ids:
@@ -79,7 +110,9 @@ class Ids:
         self.parting = next(((t.content, i) for i, t in special.items() if t.special and not (t.normalized or t.lstrip or t.rstrip)
                              and len(t.content) > 4 and not t.content.isalnum()), None)
         self.special = [t.content for t in special.values()]
-        self.folds = '"Lowercase"' in json.dumps(json.loads(tokenizer.to_str())["normalizer"])
+        spec = json.loads(tokenizer.to_str())
+        self.folds = '"Lowercase"' in json.dumps(spec["normalizer"])
+        self.merged = tokenizer.model.tokenize if letters_alike(spec) else None
         self.tokenizer, self.known, self.older, self.remembered = tokenizer, {}, {}, remembered
 
     def raw(self, texts: list[str | None]) -> list[bytes]:
@@ -87,7 +120,7 @@ class Ids:
         out = []
         at = 0
         while at < len(texts):
-            split, held = [], 0
+            words, counts, held = [], [], 0
             while at < len(texts) and held < HELD:
                 text = texts[at] or ""
                 held += len(text)
@@ -96,22 +129,43 @@ class Ids:
                 text = text.replace("\n", " ")
                 if not any(token in text for token in self.special):
                     text = ENDING.sub(r" \1 ", text)  # fewer kinds of words
-                split.append(text.split(" "))
+                split = text.split(" ")
+                words += split
+                counts.append(len(split))
                 at += 1
-            self.learn(split)
-            out += [b"".join(map(self.known.__getitem__, words)) for words in split]
+            found = iter(self.learned(words))
+            out += [b"".join(islice(found, n)) for n in counts]
         return out
 
-    def learn(self, split: list[list[str]]) -> None:
-        """Makes sure that all words are known. When too many are, those not met again are forgotten."""
+    def learned(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; those not known are learned. When too many are known, those not met again are forgotten."""
         if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
+        found = list(map(known.get, words))
+        missing = [i for i, raw in enumerate(found) if raw is None]
+        new = dict.fromkeys(map(words.__getitem__, missing))
         known.update({w: older[w] for w in new if w in older})
         new = [w for w in new if w not in known]
+        if self.merged:
+            new = [w for w in new if not self.merge(w)]
         for i in range(0, len(new), JOINED):
             self.encode(new[i:i + JOINED])
+        for i in missing:
+            found[i] = known[words[i]]
+        return found
+
+    def merge(self, word: str) -> bool:
+        """Learns a word of letters alone by the merges of its bytes, which need neither normalization nor cutting; tells whether it is one."""
+        if not LETTERS(word):
+            return False
+        small = word.lower()
+        raw = self.known.get(small)
+        if raw is None:
+            made = self.merged(small if small.isascii() else small.translate(BYTE_LETTERS))
+            raw = struct.pack(f"<{len(made)}I", *[token.id for token in made])
+        self.known[word] = raw
+        return True
 
     def encode(self, words: list[str]) -> None:
         """Learns new words: all in one call, parted by a special token, which is looked for before anything else is done to
