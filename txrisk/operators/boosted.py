@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import os
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -63,14 +63,20 @@ def fit(train: DataFrame, settings: Settings | gradient_trees.Settings = Setting
     if weight is None:
         counts = train.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")).first()
         weight = counts["n"] / counts["p"] if counts["p"] else 1.0
-    columns = [*settings.features, label]
-    rows = train.select(*columns).withColumn("_val", F.lit(False))
+    assembler = VectorAssembler(inputCols=settings.features, outputCol=VECTOR)
+
+    def vectors(part: DataFrame, held_out: bool) -> DataFrame:
+        # Marked last: the learner's choice by the mark cannot pass the making of vectors, so marked
+        # earlier each part would be read, put into vectors and carried as empty partitions by the other.
+        made = _numeric(part.select(*settings.features, label), settings.features).withColumns({
+            "_weight": F.when(F.col(label) == 1, F.lit(float(weight))).otherwise(F.lit(1.0)),
+            label: F.col(label).cast("double"),
+        })
+        return assembler.transform(made).select(VECTOR, label, "_weight").withColumn("_val", F.lit(held_out))
+
+    rows = vectors(train, False)
     if val is not None:
-        rows = rows.unionByName(val.select(*columns).withColumn("_val", F.lit(True)))
-    rows = _numeric(rows, settings.features).withColumns({
-        "_weight": F.when(F.col(label) == 1, F.lit(float(weight))).otherwise(F.lit(1.0)),
-        label: F.col(label).cast("double"),
-    })
+        rows = rows.unionByName(vectors(val, True))
     learner = GBTClassifier(
         featuresCol=VECTOR, labelCol=label, weightCol="_weight", seed=settings.seed,
         maxIter=settings.n_estimators, maxDepth=settings.max_depth, stepSize=settings.learning_rate,
@@ -79,8 +85,7 @@ def fit(train: DataFrame, settings: Settings | gradient_trees.Settings = Setting
     )
     if val is not None:
         learner = learner.setValidationIndicatorCol("_val")
-    assembler = VectorAssembler(inputCols=settings.features, outputCol=VECTOR)
-    return Pipeline(stages=[assembler, learner]).fit(rows)
+    return PipelineModel(stages=[assembler, learner.fit(rows)])
 
 
 def features_of(model: Model) -> list[str]:
