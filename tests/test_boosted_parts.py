@@ -1,4 +1,4 @@
-"""The learner of boosted trees reads each part alone."""
+"""The learner of boosted trees reads each part alone; a prepared table is not prepared again for the training."""
 
 import pytest
 from pyspark.ml import Pipeline
@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from txrisk.operators import boosted
+from txrisk.plans import prepare as preparing, queries, training
 from txrisk.session import reliable
 
 SETTINGS = boosted.Settings(n_estimators=4, max_depth=3, features=["a", "b"])
@@ -50,3 +51,16 @@ def test_a_missing_number_in_vectors_is_still_an_error(parts):
     spoiled = parts[0].withColumn("a", F.when(F.col("a") > 50, float("nan")).otherwise(F.col("a")))
     with pytest.raises(Exception, match="NaN"):
         boosted.fit(spoiled, SETTINGS, parts[1])
+
+
+@pytest.mark.parametrize("name", ["gbt_score", "ensemble_metrics", "ensemble_metrics_checked"])
+def test_a_table_is_prepared_once_for_training_and_scoring(tx, monkeypatch, name):
+    calls = []
+    prepare, train = preparing.prepare, training.train
+    monkeypatch.setattr(preparing, "prepare", lambda rows, *more, **named: calls.append(1) or prepare(rows, *more, **named))
+    monkeypatch.setattr(training, "train", lambda rows: train(
+        rows, training.Sizes(5, boosted.Settings(n_estimators=2, max_depth=2))))
+    monkeypatch.setattr(queries, "_TRAINED", {})
+    found = getattr(queries, name)
+    assert found(tx).count() == {"gbt_score": prepare(tx).rows.count(), "ensemble_metrics": 3}.get(name, 1)
+    assert len(calls) == 1
