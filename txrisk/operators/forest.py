@@ -1,12 +1,13 @@
 """Isolation forest (Liu, Ting and Zhou, 2008) on Spark.
 
 A tree sees a random sample. Small samples are grown side by side, one group per
-tree. A tree that sees more rows than a group may hold is grown breadth first:
-every pass over the rows counts them per open node and takes the least and the
-largest value of each feature there, nodes with more rows than a group holds are
-split, and once none is left the rows of the others are grouped by node and
-grown to the end. The draws of a node depend on the seed, the tree and the node's
-place alone, so both ways grow the same tree.
+tree. Rows of larger ones are handed on as packed columns. A tree that sees more
+rows than a task may hold is grown breadth first: every pass over the rows counts
+them per open node and takes the least and the largest value of each feature
+there, nodes with more rows than a task holds are split, and once none is left
+the rows of the others are handed to tasks and grown to the end. The draws of a
+node depend on the seed, the tree and the node's place alone, so all ways grow
+the same tree.
 
 Nodes are placed as in a heap (root 1, children 2n and 2n + 1). The forest is a
 table of nodes, of which the root has the smallest number; scoring walks it inside
@@ -15,15 +16,18 @@ the scan of the rows, without a shuffle.
 
 from __future__ import annotations
 
+import gc
 import json
 import math
 import os
+import threading
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -35,13 +39,25 @@ TREES = 100
 TREE_ROWS = 256
 CONTAMINATION = 0.01
 POOL_PARTS = 16
-# Nodes that scoring broadcasts at once (18 bytes each; the driver holds some 200 while it puts them in order).
-MOST_NODES = 1_000_000
-# Rows that go through the trees together; their values stay in the cache.
-SCORE_ROWS = 2048
+# Nodes that scoring broadcasts at once (18 bytes each; the driver holds them twice while it puts them together).
+MOST_NODES = 8_000_000
+# Nodes that a task packs for that.
+PACKED_ROWS = 500_000
+# Rows that go through a tree together; their values stay in the cache.
+SCORE_ROWS = 4096
+# Rows that meet a tree before the next one is unpacked.
+HELD_ROWS = 65_536
 NODE_SCHEMA = "tree int, node bigint, feature int, threshold double, left bigint, right bigint, length double"
-# Rows that one task may hold while it grows a tree or a part of one.
-GROUP_ROWS = 50_000
+# Rows that one task may hold while it grows a tree or a part of one (a feature takes 1 to 8 bytes each).
+GROUP_ROWS = 2_500_000
+# Samples up to this size are grouped by tree as plain rows.
+PLAIN_ROWS = 50_000
+# Bytes of the samples of trees that grow at once, each value counted as 8.
+MOST_HANDED = 24 << 30
+# Nodes of more rows are split one by one, smaller ones side by side, some rows at a time.
+ALONE_ROWS, BESIDE_ROWS = 16_384, 262_144
+# Rows of a node that are looked at first to tell which features differ there.
+PROBES = 8
 # Nodes of the upper parts of the trees that the driver holds at once.
 MOST_UPPER = 200_000
 EULER = 0.5772156649015329
@@ -103,6 +119,19 @@ def draws(seed: int, tree: int, node: int) -> tuple[float, float]:
 _MASK = (1 << 64) - 1
 
 
+def draws_of(seed: int, tree: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`draws` of many nodes."""
+    own = (seed * 0x9E3779B97F4A7C15 + tree * 0xD1B54A32D192ED03) & _MASK
+    state = np.uint64(own) + nodes.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)
+    out = []
+    for _ in range(2):
+        state = state + np.uint64(0x9E3779B97F4A7C15)
+        mixed = (state ^ (state >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)) / 2.0 ** 53)
+    return out[0], out[1]
+
+
 def columns_of(seed: int, tree: int, features: int, width: int) -> np.ndarray:
     """The features that a tree may use."""
     return np.sort(np.random.default_rng([seed, tree]).choice(features, width, replace=False))
@@ -135,23 +164,139 @@ def leaf(node: int, rows: int) -> tuple:
     return node, -1, 0.0, node, node, depth_of(node) + mean_path(rows)
 
 
-def grow(rows: np.ndarray, seed: int, tree: int, columns: np.ndarray, limit: int, root: int = 1) -> list[tuple]:
-    """Nodes below and including ``root``: (node, feature, threshold, left, right, length)."""
-    nodes = []
-    open_nodes = [(root, np.arange(len(rows)))]
+@dataclass
+class Nodes:
+    """Nodes of a tree; a split has no rows, a leaf the feature -1."""
+
+    node: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    rows: np.ndarray
+
+    @staticmethod
+    def of(parts: list[tuple]) -> Nodes:
+        return Nodes(*(np.concatenate(p) for p in zip(*parts)))
+
+    def columns(self) -> tuple[np.ndarray, ...]:
+        """Node, feature, threshold, left, right, length."""
+        ends = self.feature < 0
+        rows, place = np.unique(self.rows, return_inverse=True)
+        mean = np.array([mean_path(n) for n in rows.tolist()])[place]
+        length = np.where(ends, np.frexp(self.node.astype(np.float64))[1] - 1 + mean, 0.0)
+        left = np.where(ends, self.node, 2 * self.node)
+        return self.node, self.feature, self.threshold, left, left + ~ends, length
+
+    def tuples(self) -> list[tuple]:
+        return list(zip(*(c.tolist() for c in self.columns())))
+
+
+def grow(values: list[np.ndarray], columns: np.ndarray, seed: int, tree: int, limit: int, root: int = 1) -> Nodes:
+    """Nodes below and including ``root``, given the values of each of the ``columns``."""
+    made, beside, held = [], [], 0
+    open_nodes = [(root, np.arange(len(values[0]), dtype=np.int32), range(len(values)))]
     while open_nodes:
-        node, members = open_nodes.pop()
+        node, members, differing = open_nodes.pop()
         found = None
-        if depth_of(node) < limit and len(members) > 1:
-            inside = rows[members][:, columns]
-            found = split(inside.min(axis=0), inside.max(axis=0), columns, seed, tree, node)
-        if found is None:
-            nodes.append(leaf(node, len(members)))
+        if len(members) > ALONE_ROWS and depth_of(node) < limit:
+            first = members[::max(1, len(members) // PROBES)]
+            # A feature that is equal in all rows stays so below.
+            differing = [j for j in differing if _differ(values[j].take(first)) or _differ(values[j].take(members))]
+            which, where = draws(seed, tree, node)
+            if differing:
+                found = differing[int(which * len(differing))]
+        if found is None:  # a leaf, or small
+            beside.append((node, members))
+            held += len(members)
+            if held >= BESIDE_ROWS:
+                made.append(_grown_beside(values, columns, seed, tree, limit, beside))
+                beside, held = [], 0
             continue
-        nodes.append((node, *found, 2 * node, 2 * node + 1, 0.0))
-        goes_left = rows[members, found[0]] <= found[1]
-        open_nodes += [(2 * node, members[goes_left]), (2 * node + 1, members[~goes_left])]
-    return nodes
+        here = values[found].take(members)
+        threshold = _between(np.float64(here.min()), np.float64(here.max()), where)
+        goes_left = here <= threshold
+        made.append((np.array([node]), columns[[found]], np.array([threshold]), np.zeros(1, np.int64)))
+        open_nodes += [(2 * node, members[goes_left], differing), (2 * node + 1, members[~goes_left], differing)]
+    if beside:
+        made.append(_grown_beside(values, columns, seed, tree, limit, beside))
+    return Nodes.of(made)
+
+
+def _differ(values: np.ndarray) -> bool:
+    return bool((values != values[0]).any())
+
+
+def _between(low, high, where):
+    """The threshold; strictly below the maximum, so that both sides get rows."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        threshold = low + (high - low) * where
+    return np.where(threshold < high, threshold, low)
+
+
+def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places from each start on, so many as its count, one after the other."""
+    end = np.cumsum(count)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - end + count, count)
+
+
+def _grown_beside(values: list[np.ndarray], columns: np.ndarray, seed: int, tree: int, limit: int, given: list[tuple]) -> tuple:
+    """Nodes below and including the given nodes with their rows, all of a level at once."""
+    node, count = np.array([n for n, _ in given]), np.array([len(m) for _, m in given])
+    rows, made = np.concatenate([m for _, m in given]), []
+    depth = np.frexp(node.astype(np.float64))[1] - 1
+
+    def ended(which):
+        made.append((node[which], np.full(which.sum(), -1), np.zeros(which.sum()), count[which]))
+
+    def kept(rows, which):
+        return rows[_spans((np.cumsum(count) - count)[which], count[which])]
+
+    splits = (depth < limit) & (count > 1)
+    ended(~splits)
+    rows, node, count, depth = kept(rows, splits), node[splits], count[splits], depth[splits]
+    dense = np.empty((len(values), len(rows)))
+    for j, of in enumerate(values):
+        of.take(rows, out=dense[j]) if of.dtype == dense.dtype else np.copyto(dense[j], of.take(rows))
+    flat, size = dense.ravel(), len(rows)
+    rows, equal = np.arange(size), np.zeros((len(values), len(node)), bool)
+    while len(node):
+        start = np.cumsum(count) - count
+        probed = rows[start[:, None] + (count - 1)[:, None] * np.arange(PROBES) // (PROBES - 1)]
+        differs = np.empty(equal.shape, bool)
+        for j, of in enumerate(dense):
+            seen = of.take(probed)
+            differs[j] = (seen != seen[:, :1]).any(axis=1)
+        for j in range(len(dense)):
+            unsure = np.flatnonzero(~differs[j] & ~equal[j] & (count > PROBES))
+            if len(unsure):
+                seen, at = dense[j].take(rows[_spans(start[unsure], count[unsure])]), np.cumsum(count[unsure]) - count[unsure]
+                differs[j, unsure] = np.maximum.reduceat(seen, at) > np.minimum.reduceat(seen, at)
+        equal, usable = ~differs, differs.sum(axis=0)
+        which, where = draws_of(seed, tree, node)
+        pick = (np.cumsum(differs, axis=0) > (which * usable).astype(np.int64)).argmax(axis=0)
+        splits = usable > 0
+        if not splits.all():
+            ended(~splits)
+            rows, node, count, depth = kept(rows, splits), node[splits], count[splits], depth[splits]
+            equal, pick, where, start = equal[:, splits], pick[splits], where[splits], np.cumsum(count) - count
+            if not len(node):
+                break
+        here = flat.take(np.repeat(pick * size, count) + rows)
+        threshold = _between(np.minimum.reduceat(here, start), np.maximum.reduceat(here, start), where)
+        made.append((node, columns[pick], threshold, np.zeros(len(node), np.int64)))
+        goes_left = here <= np.repeat(threshold, count)
+        lefts, so_far = np.add.reduceat(goes_left, start, dtype=np.int64), np.cumsum(goes_left)
+        before = so_far[start] - goes_left[start]
+        place = np.where(goes_left, so_far - 1 + np.repeat(start - before, count),
+                         np.arange(len(rows)) - so_far + np.repeat(lefts + before, count))
+        moved = np.empty_like(rows)
+        moved[place] = rows
+        node, count = np.column_stack((2 * node, 2 * node + 1)).ravel(), np.column_stack((lefts, count - lefts)).ravel()
+        rows, depth, equal = moved, np.repeat(depth + 1, 2), np.repeat(equal, 2, axis=1)
+        splits = (depth < limit) & (count > 1)
+        if not splits.all():
+            ended(~splits)
+            rows, node, count, depth, equal = kept(rows, splits), node[splits], count[splits], depth[splits], equal[:, splits]
+    return tuple(np.concatenate(p) for p in zip(*made))
 
 
 class Upper:
@@ -162,6 +307,7 @@ class Upper:
         self.splits: dict[int, tuple[int, float]] = {}
         self.leaves: dict[int, int] = {}  # node -> rows
         self.open, self.small = {1}, set()
+        self.rows: dict[int, int] = {}  # of small nodes
 
     def walk(self, values: np.ndarray) -> np.ndarray:
         """The node below all splits that each row comes to."""
@@ -185,6 +331,7 @@ class Upper:
             rows, low, high = stats[node]
             if rows <= group_rows:
                 self.small.add(node)
+                self.rows[node] = rows
                 continue
             found = split(low, high, columns, seed, tree, node) if depth_of(node) < limit else None
             if found is None:
@@ -222,9 +369,9 @@ def _members(drawn, ends: dict[int, tuple] | None, trees: range) -> Column:
     """For each tree whether the row is in its sample."""
     if ends is None:
         return F.array(*[F.lit(True) for _ in trees])
-    last = F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(ends[t][0]).alias("u"), F.lit(ends[t][1]).alias("id")) for t in trees])
-    return F.transform(last, lambda x: (drawn(x["tree"]) < x["u"]) | F.coalesce(
-        (drawn(x["tree"]) == x["u"]) & (F.col("_id") <= x["id"]), F.lit(False)))
+    # One expression per tree: inside a lambda the draws would be interpreted.
+    return F.array(*[(drawn(F.lit(t)) < ends[t][0]) | F.coalesce((drawn(F.lit(t)) == ends[t][0]) & (F.col("_id") <= ends[t][1]), F.lit(False))
+                     for t in trees])
 
 
 def _grown_by_level(numeric: DataFrame, features: list[str], drawn, size: int, total: int, trees: range, width: int, seed: int,
@@ -235,6 +382,9 @@ def _grown_by_level(numeric: DataFrame, features: list[str], drawn, size: int, t
     ends = None if size == total else cuts(numeric.select("_id"), drawn, size, total, trees)
     rows = numeric.select(_members(drawn, ends, trees).alias("_in"), *features)
     upper = {t: Upper() for t in trees}
+    if size <= group_rows:
+        for u in upper.values():
+            u.open, u.small, u.rows = set(), {1}, {1: size}
 
     def matrices(batches):
         for batch in batches:
@@ -286,32 +436,103 @@ def _grown_by_level(numeric: DataFrame, features: list[str], drawn, size: int, t
             u.settle(stats[t], columns[t], seed, t, limit, group_rows)
         shared.unpersist()
 
-    shared = spark.sparkContext.broadcast(upper)
+    tasks = _bins({(t, n): rows for t, u in upper.items() for n, rows in u.rows.items()}, group_rows)
+    shared = spark.sparkContext.broadcast((upper, tasks))
 
     def handed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper, tasks = shared.value
         for member, values in matrices(batches):
+            narrow, out = [narrowed(v) for v in values.T], []
             for i, t in enumerate(trees):
-                mine = values[member[:, i]]
-                at = shared.value[t].walk(mine)
-                use = np.isin(at, np.fromiter(shared.value[t].small, np.int64))
-                if use.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(use.sum(), t, np.int32)), pa.array(at[use]), *map(pa.array, mine[use].T)],
-                                                     names=["tree", "node", *features])
-
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        tree, root = int(group["tree"].iloc[0]), int(group["node"].iloc[0])
-        return _table(tree, grow(group[features].to_numpy(dtype=np.float64), seed, tree, columns[tree], limit, root))
-
-    parts = rows.mapInArrow(handed, "tree int, node bigint, " + ", ".join(f"`{f}` double" for f in features))
-    lower = parts.groupBy("tree", "node").applyInPandas(build, NODE_SCHEMA)
+                mine = np.flatnonzero(member[:, i])
+                if not len(mine):
+                    continue
+                at = upper[t].walk(values[mine]) if upper[t].splits else np.ones(len(mine), np.int64)
+                order = np.argsort(at, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                    node = int(at[part[0]])
+                    if node in upper[t].small:
+                        packed = [narrow[f].take(mine[part]) for f in columns[t]]
+                        out.append((tasks[t, node], t, node, len(part), "".join(p.dtype.char for p in packed), b"".join(p.tobytes() for p in packed)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _HANDED.types)], schema=_HANDED)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper, held = shared.value[0], {}
+        for batch in batches:
+            for _, t, node, n, kinds, packed in zip(*(c.to_pylist() if c.type != pa.binary() else c for c in batch.columns)):
+                if (t, node) not in held:
+                    held[t, node] = Gathered(upper[t].rows[node])
+                held[t, node].add(n, kinds, packed.as_buffer())
+        for t, node in list(held):
+            made = grow(held.pop((t, node)).columns(), columns[t], seed, t, limit, node).columns()
+            for first in range(0, len(made[0]), 50_000):
+                part = [c[first:first + 50_000] for c in made]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), t, np.int32)), *(pa.array(c, k) for c, k in zip(part, _NODE_TYPES))],
+                                                 names=["tree", "node", "feature", "threshold", "left", "right", "length"])
+
+    parts = rows.mapInArrow(handed, "task int, tree int, node bigint, n int, kinds string, packed binary")
+    lower = parts.repartitionById(1 + max(tasks.values(), default=0), F.col("task")).mapInArrow(build, NODE_SCHEMA)
     made = [(t, *n) for t, u in upper.items() for n in u.nodes()]
     return spark.createDataFrame(made, NODE_SCHEMA).unionByName(lower) if made else lower
 
 
+_HANDED = pa.schema([("task", pa.int32()), ("tree", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("kinds", pa.string()),
+                     ("packed", pa.binary())])
+_NODE_TYPES = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.float64()]
+
+
+def _bins(rows: dict[tuple[int, int], int], most: int) -> dict[tuple[int, int], int]:
+    """Small nodes to tasks; the nodes of a task have at most ``most`` rows in all."""
+    tasks, task, held = {}, 0, 0
+    for key, n in rows.items():
+        if held and held + n > most:
+            task, held = task + 1, 0
+        tasks[key] = task
+        held += n
+    return tasks
+
+
+def narrowed(values: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest of some types that holds them all."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        for kind in (np.int8, np.int16, np.float32):
+            small = values.astype(kind)
+            if (small == values).all():
+                return small
+    return values
+
+
+class Gathered:
+    """Columns of a node, put together from packed pieces."""
+
+    def __init__(self, expected: int):
+        self.n, self.room, self.arrays = 0, max(1, expected), []
+
+    def add(self, n: int, kinds: str, packed: pa.Buffer) -> None:
+        if self.n + n > self.room:  # more than expected where keys repeat
+            self.room = max(self.n + n, self.room + self.room // 8)
+            self.arrays = [np.resize(a, self.room) for a in self.arrays]
+        self.arrays = self.arrays or [np.empty(self.room, k) for k in kinds]
+        at = 0
+        for j, k in enumerate(kinds):
+            piece = np.frombuffer(packed, k, n, at)
+            at += piece.nbytes
+            wide = np.promote_types(self.arrays[j].dtype, piece.dtype)
+            if wide != self.arrays[j].dtype:
+                self.arrays[j] = self.arrays[j].astype(wide)
+            self.arrays[j][self.n:self.n + n] = piece
+        self.n += n
+
+    def columns(self) -> list[np.ndarray]:
+        return [a[:self.n] for a in self.arrays]
+
+
 def copied(upper: Upper) -> Upper:
     """Another object, as tasks may still read the one that was sent."""
     out = Upper()
     out.splits, out.leaves, out.open, out.small = dict(upper.splits), dict(upper.leaves), set(upper.open), set(upper.small)
+    out.rows = dict(upper.rows)
     return out
 
 
@@ -362,14 +583,18 @@ def fit(df: DataFrame, key: str, features: list[str] = FEATURES, contamination:
 
     width = max(1, int(max_features * len(features)))
     path = path or os.path.join(scratch_path(spark, "forest"), "nodes")
-    if size > group_rows:
+    if size > min(group_rows, PLAIN_ROWS):
         rows = reliable(drawn_from)  # read once per level
         # Every open node of a level holds more than group_rows rows of the sample, so a tree's upper nodes are bounded.
-        at_once = max(1, MOST_UPPER // (2 * deepest(size) * (size // group_rows + 1)))
+        at_once = max(1, min(MOST_UPPER // (2 * deepest(size) * (size // group_rows + 1)), MOST_HANDED // (size * width * 8)))
+        at_once = math.ceil(trees / math.ceil(trees / at_once))  # blocks of like size
         for first in range(0, trees, at_once):
             block = range(first, min(first + at_once, trees))
             grown = _grown_by_level(rows, features, drawn, size, pool_rows, block, width, seed, group_rows)
             grown.write.mode("append" if first else "overwrite").parquet(path)
+            del grown
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()  # frees the rows that were handed on before others are
     else:
         _grown_in_groups(drawn_from, features, drawn, size, pool_rows, trees, width, seed).write.mode("overwrite").parquet(path)
     forest = Forest(path, list(features), trees, size, contamination)
@@ -394,8 +619,8 @@ def _grown_in_groups(drawn_from: DataFrame, features: list[str], drawn, size: in
         tree = int(group["tree"].iloc[0])
         chosen = group.sort_values(["_u", "_id"]).head(size)
         columns = columns_of(seed, tree, len(features), width)
-        nodes = grow(chosen[features].to_numpy(dtype=np.float64), seed, tree, columns, deepest(size))
-        return _table(tree, numbered(nodes))
+        values = [chosen[features[f]].to_numpy(dtype=np.float64) for f in columns]
+        return _table(tree, numbered(grow(values, columns, seed, tree, deepest(size)).tuples()))
 
     return candidates.groupBy("tree").applyInPandas(build, NODE_SCHEMA)
 
@@ -454,59 +679,113 @@ def _path_column(forest: Forest, spark: SparkSession, first: int, last: int) ->
     return _walk(forest, spark, first, last)[0]
 
 
-def _packed(nodes: pa.Table) -> tuple[np.ndarray, ...]:
-    """Roots, features, thresholds (of a leaf its length) and both children of the nodes of some trees, by tree and number.
+def _packed(nodes: pa.Table) -> pa.Table:
+    """Features, values (threshold, of a leaf its length) and both children of the nodes of a tree, in a row.
 
-    Both children of the node at place i are at 2i and 2i+1; a leaf is its own child. Nodes may have any numbers.
+    The root comes first, then the children of each split, side by side; a leaf is its own child. Nodes may have any numbers.
     """
-    tree, number = nodes["tree"].to_numpy(), nodes["node"].to_numpy()
-    order = np.lexsort((number, tree))
-    tree, number = tree[order], number[order]
-    begins = np.append(np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1]))), len(tree))
-    children = np.empty((len(tree), 2), np.int32)
-    for side, name in enumerate(("left", "right")):
-        wanted = nodes[name].to_numpy()[order]
-        for begin, end in zip(begins[:-1], begins[1:]):
-            children[begin:end, side] = begin + np.searchsorted(number[begin:end], wanted[begin:end])
-    return begins[:-1], nodes["feature"].to_numpy()[order], nodes["value"].to_numpy()[order], children.ravel()
+    nodes = nodes.sort_by("node")
+    number, feature = nodes["node"].to_numpy(), nodes["feature"].to_numpy()
+    splits = np.flatnonzero(feature >= 0)
+    left, right = (np.searchsorted(number, nodes[side].to_numpy()[splits]) for side in ("left", "right"))
+    place = np.zeros(len(number), np.int64)
+    place[left] = 1 + 2 * np.arange(len(splits))
+    place[right] = place[left] + 1
+    children = np.repeat(place, 2).reshape(-1, 2)
+    children[splits] = np.column_stack((place[left], place[right]))
+    order = np.argsort(place, kind="stable")
+    value = np.where(feature < 0, nodes["length"].to_numpy(), nodes["threshold"].to_numpy())
+    found = np.maximum(feature, 0).astype(np.int16), value, children.astype(np.int32)
+    return pa.table({"tree": nodes["tree"][:1].cast(pa.int32()), "n": pa.array([len(number)]), **{
+        k: pa.array([v[order].tobytes()], pa.binary()) for k, v in zip(("feature", "value", "children"), found)}})
+
+
+def _packed_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each tree of a task; all its nodes are there."""
+    held = list(batches)
+    if held:
+        nodes = pa.Table.from_batches(held)
+        for tree in nodes["tree"].unique():
+            yield from _packed(nodes.filter(pc.equal(nodes["tree"], tree))).to_batches()
+
+
+# One block of trees at a time is put together on the driver.
+_PACKING = threading.Lock()
+
+
+def _together(trees: pa.Table) -> tuple[np.ndarray, ...]:
+    """Roots, features, values and both children of the nodes of all trees."""
+    trees = trees.sort_by("tree")
+    n = trees["n"].to_numpy()
+    roots = np.cumsum(n) - n
+    feature, value, children = (np.empty(n.sum() * each, kind) for each, kind in ((1, np.int16), (1, np.float64), (2, np.int32)))
+    for i, root in enumerate(roots):
+        here = slice(root, root + n[i])
+        feature[here] = np.frombuffer(trees["feature"][i].as_buffer(), np.int16)
+        value[here] = np.frombuffer(trees["value"][i].as_buffer(), np.float64)
+        np.add(np.frombuffer(trees["children"][i].as_buffer(), np.int32), np.int32(root), out=children[2 * root:2 * (root + n[i])])
+    return roots, feature, value, children
 
 
 def _walk(forest: Forest, spark: SparkSession, first: int, last: int) -> tuple[Column, Broadcast]:
     """Summed length of the paths of a row through a block of trees, and the nodes that it needs."""
     block = forest.nodes(spark).filter(F.col("tree").between(first, last))
-    value = F.when(F.col("feature") < 0, F.col("length")).otherwise(F.col("threshold"))
-    wanted = block.select("tree", "node", F.greatest("feature", F.lit(0)).cast("smallint").alias("feature"), value.alias("value"), "left", "right")
-    shared = spark.sparkContext.broadcast(_packed(wanted.toArrow()))  # at most MOST_NODES rows, or a tree
+    # As many tasks as there is work for; left to itself, Spark makes few of a table that is small when compressed.
+    parts = max(1, min(last - first + 1, 2 * forest.tree_rows * (last - first + 1) // PACKED_ROWS))
+    packed = block.repartitionById(parts, (F.col("tree") - first) % parts).mapInArrow(
+        _packed_trees, "tree int, n bigint, feature binary, value binary, children binary")
+    with _PACKING:
+        shared = spark.sparkContext.broadcast(_together(packed.toArrow()))  # at most MOST_NODES nodes, or a tree
     levels = math.ceil(math.log2(max(forest.tree_rows, 2)))
 
     @F.pandas_udf("double")
     def walk(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        roots, feature, value, children = shared.value
-        places = roots.astype(np.intp), feature.astype(np.intp), value, children.astype(np.intp), value
+        roots, *nodes = shared.value
+        held = []
         for columns in batches:
             columns = [columns] if isinstance(columns, pd.Series) else columns  # a single feature
-            values = np.column_stack([c.to_numpy(dtype=np.float64) for c in columns])
-            total = np.empty(len(values))
-            for start in range(0, len(values), SCORE_ROWS):
-                part = slice(start, start + SCORE_ROWS)
-                total[part] = path_lengths(np.ascontiguousarray(values[part]), levels, *places)
-            yield pd.Series(total)
+            held.append(np.column_stack([*(c.to_numpy(dtype=np.float64) for c in columns), np.full(len(columns[0]), -np.inf)]))
+            if sum(map(len, held)) >= HELD_ROWS:
+                yield from map(pd.Series, path_lengths(held, levels, roots, *nodes))
+                held = []
+        yield from map(pd.Series, path_lengths(held, levels, roots, *nodes))
 
     return walk(*_numbers(forest.features)), shared
 
 
-def path_lengths(values, levels, roots, feature, threshold, children, length) -> np.ndarray:
-    """Summed path lengths of the rows through all trees; all rows go down a level
-    at a time."""
-    n, width = values.shape
-    flat, offset, total = values.ravel(), np.arange(n) * width, np.zeros(n)
-    for root in roots:
-        at = np.full(n, root, dtype=np.intp)
-        for _ in range(levels):
-            goes_right = flat.take(offset + feature.take(at)) > threshold.take(at)
-            at = children.take(2 * at + goes_right)
-        total += length.take(at)
-    return total
+_NODE = np.dtype([("value", np.float64), ("child", np.int32), ("feature", np.int32)])
+
+
+def path_lengths(batches: list[np.ndarray], levels: int, roots, feature, value, children) -> list[np.ndarray]:
+    """Summed path lengths of the rows of each batch through all trees; the last value of a row is below all others.
+
+    A tree is unpacked so that a level reads a node at once, and all rows go down a level at a time. A leaf compares the
+    last value with its length, so rows stay there.
+    """
+    totals = [np.zeros(len(values)) for values in batches]
+    if not batches:
+        return totals
+    width = batches[0].shape[1]
+    parts = [(values[start:start + SCORE_ROWS], total[start:start + SCORE_ROWS])
+             for values, total in zip(batches, totals) for start in range(0, len(values), SCORE_ROWS)]
+    for root, end in zip(roots, [*roots[1:], len(feature)]):
+        nodes = np.empty(end - root, _NODE)
+        nodes["value"], nodes["child"] = value[root:end], children[2 * root:2 * end:2] - np.int32(root)
+        nodes["feature"] = np.where(nodes["child"] == np.arange(end - root), width - 1, feature[root:end])
+        whole = nodes.view(np.complex128)  # numbers of the same size, which are read faster
+        for values, total in parts:
+            n = len(values)
+            flat, begin, at = values.ravel(), np.arange(n) * width, np.zeros(n, np.intp)
+            here, place, seen, right = np.empty(n, _NODE), np.empty(n, np.intp), np.empty(n), np.empty(n, bool)
+            taken = here.view(np.complex128)
+            for _ in range(levels):
+                whole.take(at, out=taken, mode="clip")
+                np.add(begin, here["feature"], out=place)
+                flat.take(place, out=seen, mode="clip")
+                np.greater(seen, here["value"], out=right)
+                np.add(here["child"], right, out=at)
+            total += value[root:end].take(at)
+    return totals
 
 
 def is_outlier(forest: Forest, score: str = "forest_score") -> Column:
